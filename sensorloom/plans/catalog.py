@@ -1,6 +1,6 @@
 """All registered queries (importing the modules fills the registry)."""
 
-from . import q_readings, q_sources  # noqa: F401
+from . import q_readings, q_sources, q_store  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
