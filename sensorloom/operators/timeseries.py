@@ -13,9 +13,11 @@ one bucket of one asset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import prev_by_key
+
 
 def event_time(text_col: str = "timestamp") -> Column:
     """Typed event time from the text timestamp (unparsable -> NULL)."""
@@ -29,23 +31,9 @@ def changes_only(df: DataFrame, key: str = "asset_id", value: str = "value", ts:
 
     Order is (``ts``, ``tiebreak``).  ``bucket`` is a ``date_trunc`` unit
     bounding the rows any one task sees for a hot key."""
-    b = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    order = [F.col(ts).asc_nulls_first(), F.col(tiebreak).asc()]
-    w = Window.partitionBy(key, "_b").orderBy(*order)
-    rows = b.withColumn("_prev", F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
-
-    last = b.groupBy(key, "_b").agg(F.max_by(F.col(value), F.struct(ts, tiebreak)).alias("_last"))
-    wb = Window.partitionBy(key).orderBy(F.col("_b").asc_nulls_first())
-    carry = last.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"),
-                        F.lag("_last").over(wb).alias("_carry"),
-                        (F.row_number().over(wb) > 1).alias("_has_carry"))
-
-    j = rows.join(carry, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "inner")
-    first_in_bucket = F.col("_rn") == 1
-    prev = F.when(first_in_bucket, F.col("_carry")).otherwise(F.col("_prev"))
-    has_prev = ~first_in_bucket | F.col("_has_carry")
-    keep = ~has_prev | ~prev.eqNullSafe(F.col(value))
-    return j.where(keep).drop("_b", "_prev", "_rn", "_k", "_kb", "_carry", "_has_carry")
+    p = prev_by_key(df, key, [ts, tiebreak], F.date_trunc(bucket, F.col(ts)), [value], prefix="_prev_")
+    keep = ~F.col("has_prev") | ~F.col(f"_prev_{value}").eqNullSafe(F.col(value))
+    return p.where(keep).drop(f"_prev_{value}", "has_prev")
 
 
 def sample_interval(df: DataFrame, interval_ms: int, key: str = "asset_id", value: str = "value",

@@ -124,4 +124,7 @@ def with_views(names, body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in order)
+    head = body.lstrip()
+    if head[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{head[5:]}"
     return f"WITH {ctes}\n{body}"
