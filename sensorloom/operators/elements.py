@@ -52,6 +52,24 @@ def _node(path: Column, parent_path: Column, depth: int, pos: Column, el: Column
                     pos.alias("pos"), el.alias("el"))
 
 
+def _expander(depth: int):
+    """Lambda building the child nodes of one node (depth bound by closure:
+    ``F.transform`` reads a second lambda parameter as the index)."""
+
+    def expand(x):
+        ptype = _get(x["el"], "modelType")
+
+        def child(c, i):
+            seg = F.when(ptype == "SubmodelElementList", F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+            path = F.when(ptype == "SubmodelElementList", F.concat(x["path"], seg)) \
+                    .otherwise(F.concat(x["path"], F.lit("."), _get(c, "idShort")))
+            return _node(path, x["path"], depth, i, c)
+
+        return F.transform(_children(x["el"]), child)
+
+    return expand
+
+
 def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "elements_json",
                      max_depth: int = 8) -> DataFrame:
     """Rows ``key, path, parent_path, depth, pos, id_short, model_type,
@@ -66,18 +84,7 @@ def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "e
     cur = df.select(key, F.transform(top, lambda e, i: _node(_get(e, "idShort"), F.lit(None).cast("string"), 0, i, e))
                     .alias("_l0"))
     for d in range(1, max_depth + 1):
-        def expand(x, d=d):
-            ptype = _get(x["el"], "modelType")
-
-            def child(c, i):
-                seg = F.when(ptype == "SubmodelElementList", F.concat(F.lit("["), i.cast("string"), F.lit("]")))
-                path = F.when(ptype == "SubmodelElementList", F.concat(x["path"], seg)) \
-                        .otherwise(F.concat(x["path"], F.lit("."), _get(c, "idShort")))
-                return _node(path, x["path"], d, i, c)
-
-            return F.transform(_children(x["el"]), child)
-
-        cur = cur.withColumn(f"_l{d}", F.flatten(F.transform(F.col(f"_l{d - 1}"), expand)))
+        cur = cur.withColumn(f"_l{d}", F.flatten(F.transform(F.col(f"_l{d - 1}"), _expander(d))))
     deepest = F.col(f"_l{max_depth}")
     too_deep = F.exists(deepest, lambda x: F.size(_children(x["el"])) > 0)
     allv = F.concat(*[F.col(f"_l{d}") for d in range(max_depth + 1)])
