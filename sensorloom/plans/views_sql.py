@@ -125,6 +125,8 @@ def with_views(names, body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in order)
     head = body.lstrip()
+    if head[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{head[15:]}"
     if head[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{head[5:]}"
     return f"WITH {ctes}\n{body}"
