@@ -41,3 +41,37 @@ def prev_by_key(df: DataFrame, key: str, order: list[str], bucket: Column, cols:
         *[F.when(first, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"{prefix}{c}") for c in cols],
         (~first | F.col("_has_carry")).alias("has_prev"))
     return out
+
+
+def running_by_key(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
+                   count_as: str | None = "rank", max_of: dict[str, str] | None = None) -> DataFrame:
+    """Exact running aggregates per key in ``order``: the 1-based row rank
+    (``count_as``) and running maxima (``max_of``: output -> input column).
+
+    Same bucket scheme as ``prev_by_key``: inside (keys, bucket) a window
+    frame gives the local value; the totals of earlier buckets come from a
+    per-bucket summary with a small running window; they are combined with
+    one join.  No task holds more than one bucket of one key."""
+    max_of = max_of or {}
+    b = df.withColumn("_b", bucket)
+    ordc = [F.col(o).asc_nulls_first() for o in order]
+    w = Window.partitionBy(*keys, "_b").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = [F.count(F.lit(1)).over(w).alias("_lc")] + [F.max(src).over(w).alias(f"_lm_{o}")
+                                                         for o, src in max_of.items()]
+    rows = b.select("*", *local)
+    summary = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"),
+                                         *[F.max(src).alias(f"_m_{o}") for o, src in max_of.items()])
+    wb = Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first()) \
+               .rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"),
+                           F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_cn"),
+                           *[F.max(f"_m_{o}").over(wb).alias(f"_cm_{o}") for o in max_of])
+    cond = F.col("_b").eqNullSafe(F.col("_kb"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = rows.join(carry, cond, "inner")
+    out = [F.col(c) for c in df.columns]
+    if count_as:
+        out.append((F.col("_cn") + F.col("_lc")).alias(count_as))
+    out += [F.greatest(F.col(f"_cm_{o}"), F.col(f"_lm_{o}")).alias(o) for o in max_of]
+    return j.select(*out)
