@@ -50,8 +50,8 @@ def json_rejects(fx):
 
 
 @register("envelope_opcua", f"""
-SELECT offset_id, json_object('source_type', 'opcua', 'asset_id', asset_id,
-  'timestamp', {ISO_PY_SQL.format(c="TRY_CAST(timestamp AS TIMESTAMP)")}, 'quality', 'good', 'value', value, 'unit', NULL) AS message
+SELECT offset_id, CAST(json_object('source_type', 'opcua', 'asset_id', asset_id,
+  'timestamp', {ISO_PY_SQL.format(c="TRY_CAST(timestamp AS TIMESTAMP)")}, 'quality', 'good', 'value', value, 'unit', NULL) AS VARCHAR) AS message
 FROM readings
 """, ["readings"])
 def envelope_opcua(fx):
@@ -62,8 +62,8 @@ def envelope_opcua(fx):
 @register("envelope_kafka", f"""
 SELECT offset_id, 'opcua' AS source_type, coalesce(nullif(asset_id, ''), 'unknown') AS asset_id,
   '{CLOCK}' AS timestamp, value AS data, nullif(unit, '') AS unit, coalesce(nullif(quality, ''), 'good') AS quality,
-  json_object('source_type', 'opcua', 'asset_id', coalesce(nullif(asset_id, ''), 'unknown'), 'timestamp', '{CLOCK}',
-    'data', value, 'unit', nullif(unit, ''), 'quality', coalesce(nullif(quality, ''), 'good')) AS message
+  CAST(json_object('source_type', 'opcua', 'asset_id', coalesce(nullif(asset_id, ''), 'unknown'), 'timestamp', '{CLOCK}',
+    'data', value, 'unit', nullif(unit, ''), 'quality', coalesce(nullif(quality, ''), 'good')) AS VARCHAR) AS message
 FROM readings
 """, ["readings"])
 def envelope_kafka(fx):
@@ -92,7 +92,7 @@ def mqtt_topic(fx):
 
 
 @register("modbus_registers", f"""
-SELECT event_id, address, 'modbus' AS source_type, 'hr' || CAST(address AS VARCHAR) AS asset_id,
+SELECT event_id, CAST(address AS INTEGER) AS address, 'modbus' AS source_type, 'hr' || CAST(address AS VARCHAR) AS asset_id,
   {ISO_MS_SQL.format(c="ts")} AS timestamp, 'good' AS quality, CAST(reg AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS unit
 FROM (SELECT event_id, ts, unnest(generate_series(0, 2)) AS address, unnest([r0, r1, r2]) AS reg FROM modbus_polls)
 """, ["modbus_polls"])
@@ -117,7 +117,7 @@ def http_bodies(fx):
 
 
 @register("tcp_lines", f"""
-SELECT doc_id, line_no, 'tcp' AS source_type, 'unknown' AS asset_id, '{CLOCK}' AS timestamp, line AS data,
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, 'tcp' AS source_type, 'unknown' AS asset_id, '{CLOCK}' AS timestamp, line AS data,
   CAST(NULL AS VARCHAR) AS unit, 'good' AS quality
 FROM (SELECT doc_id, unnest(generate_series(1, len(parts))) AS line_no, unnest(parts) AS line
       FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
