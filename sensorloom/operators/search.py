@@ -1,8 +1,8 @@
 """Search: hit clean-up, BM25 corpus search, batched clarification, page text.
 
 BM25 plan (exact, exhaustive):
-* document length = number of tokens, computed per document from the
-  token array (no explode);
+* the corpus is tokenised once; document count and lengths ride along as
+  a per-document sentinel term in the same shuffle;
 * only occurrences of query terms are exploded and shuffled: the query
   vocabulary is size-checked and broadcast into a semi-join;
 * per-(doc, term) frequencies and per-term document frequencies are
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_small
+from .joins import join_bounded, join_small
 from .topk import clamp, top_k_per_group
 
 # BM25 parameters, tokenizer, snippet length, URL rule.
@@ -48,20 +48,38 @@ def clean_hits(hits: DataFrame, max_results: int = DEFAULT_MAX_RESULTS, group: s
     return top_k_per_group(out, [group], [F.col(order).asc()], k, salt_cols=[group, order]).drop("rank")
 
 
+DOC_SENTINEL = ""   # no token is empty: one sentinel occurrence per document
+
+
 def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "text",
          dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``."""
+    """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``.
+
+    The corpus is tokenised once.  Every document also emits one sentinel
+    term, so the postings exchange carries the document count and lengths;
+    the two corpus statistics are scalar subqueries over that same exchange
+    (AQE reuses it).  Per-term document frequencies are bounded by the
+    query vocabulary and broadcast behind its size check."""
     d = docs.select(dkey, tokens(F.col(dtext)).alias("_tok"))
-    # corpus statistics as scalar subqueries (computed once, inlined)
-    n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    avgdl = d.select(F.avg(F.size("_tok"))).scalar()
     qt = queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term")).distinct()
     vocab = qt.select("term").distinct()
-    occ = d.select(dkey, F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
-    occ = join_small(occ, vocab, "term", "left_semi")
+    keep = vocab.unionByName(vocab.sparkSession.range(1).select(F.lit(DOC_SENTINEL).alias("term")))
+    occ = d.select(dkey, F.size("_tok").alias("dl"),
+                   F.explode(F.concat("_tok", F.array(F.lit(DOC_SENTINEL)))).alias("term"))
+    occ = join_bounded(occ, keep, "term", "left_semi", bounded_by=vocab)
     tf = occ.groupBy(dkey, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    t = tf.join(df_, "term")
+    # Every aggregate over ``tf`` reads ``tf`` (``ctf``) and filters on
+    # aggregate outputs only (never on the grouping key), so Catalyst keeps
+    # one identical postings aggregate under all branches and AQE shares
+    # its exchange.  ``ctf >= df`` always holds.
+    per_term = tf.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"), F.sum("dl").alias("sdl"),
+        F.max(F.col("term") == DOC_SENTINEL).alias("is_sentinel"))
+    corpus = per_term.where(F.col("is_sentinel") & (F.col("ctf") >= F.col("df")))
+    n_docs = corpus.select(F.col("df").cast("double")).scalar()
+    avgdl = corpus.select(F.col("sdl") / F.col("df")).scalar()
+    terms = per_term.where(~F.col("is_sentinel") & (F.col("ctf") >= F.col("df"))).select("term", "df")
+    t = join_bounded(tf, terms, "term", bounded_by=vocab)
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     tw = t.select(dkey, "term", w.alias("w"))
@@ -77,7 +95,8 @@ def search_topk(queries: DataFrame, docs: DataFrame, max_results: int = DEFAULT_
     k = clamp(max_results)
     s = bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, **kw)
     mx = s.groupBy(qkey).agg(F.max("score").alias("_mx"))
-    s = join_small(s, mx, qkey).withColumn("score", F.round(F.col("score") / F.col("_mx"), digits)).drop("_mx")
+    # one max per query: bounded by the query table, which is checked instead
+    s = join_bounded(s, mx, qkey, bounded_by=queries).withColumn("score", F.round(F.col("score") / F.col("_mx"), digits)).drop("_mx")
     top = top_k_per_group(s, [qkey], [F.col("score").desc(), F.col(dkey).asc()], k, salt_cols=[qkey, dkey])
     snip = docs.select(dkey, F.substring(F.col(dtext), 1, SNIPPET_CHARS).alias("snippet"))
     return top.join(snip, dkey)
