@@ -70,8 +70,21 @@ def _expander(depth: int):
     return expand
 
 
+def common_attributes(el: Column) -> list[Column]:
+    """Attributes every element may carry: category, semanticId (first key),
+    displayName / description as language maps, qualifiers as JSON."""
+    lang = "array<struct<language: string, text: string>>"
+    return [
+        _get(el, "category").alias("category"),
+        F.try_variant_get(el, "$.semanticId.keys[0].value", "string").alias("semantic_id"),
+        lang_strings_to_map(_get(el, "displayName", lang)).alias("display_name"),
+        lang_strings_to_map(_get(el, "description", lang)).alias("description"),
+        F.to_json(F.try_variant_get(el, "$.qualifiers", "variant")).alias("qualifiers"),
+    ]
+
+
 def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "elements_json",
-                     max_depth: int = 8) -> DataFrame:
+                     max_depth: int = 8, with_common: bool = False) -> DataFrame:
     """Rows ``key, path, parent_path, depth, pos, id_short, model_type,
     value_type, value, min, max, content_type`` for every element.
 
@@ -99,7 +112,8 @@ def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "e
         _get(el, "modelType").alias("model_type"), _get(el, "valueType").alias("value_type"),
         F.when(~is_container, F.coalesce(_get(el, "value"), F.to_json(F.try_variant_get(el, "$.value", "variant"))))
          .alias("value"),
-        _get(el, "min").alias("min"), _get(el, "max").alias("max"), _get(el, "contentType").alias("content_type"))
+        _get(el, "min").alias("min"), _get(el, "max").alias("max"), _get(el, "contentType").alias("content_type"),
+        *(common_attributes(el) if with_common else []))
 
 
 def element_values(flat: DataFrame, requests: DataFrame, key: str = "submodel_id") -> DataFrame:

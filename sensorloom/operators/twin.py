@@ -150,3 +150,37 @@ def change_log_conflicts(log: DataFrame, key: str = "id", seq: str = "seq",
     return p.where((F.col("op") == "create") & F.col("has_prev") & (F.col("prev_op") != "delete")) \
             .drop("has_prev")
 
+
+
+_SHELL_FIELDS = (("id", "shell_id"), ("idShort", "id_short"), ("assetInformation.assetKind", "asset_kind"),
+                 ("assetInformation.globalAssetId", "global_asset_id"))
+
+
+def shell_listing(responses: DataFrame, json_col: str = "body", keep: tuple = ()):
+    """Shell-listing responses -> (shells, rejects).
+
+    A response is ``{"result": [...]}`` or a bare list of shells; any other
+    shape (or unparsable text) is a reject, never silently empty."""
+    v = F.try_parse_json(F.col(json_col))
+    wrapped = F.try_variant_get(v, "$.result", "array<variant>")
+    bare = F.try_variant_get(v, "$", "array<variant>")
+    items = F.coalesce(wrapped, bare)
+    ok = responses.where(items.isNotNull()).select(*keep, F.explode(items).alias("s"))
+    shells = ok.select(*keep, *[F.try_variant_get(F.col("s"), f"$.{p}", "string").alias(n) for p, n in _SHELL_FIELDS])
+    rejects = responses.where(items.isNull()).select(*keep, F.col(json_col).alias("raw_body"),
+                                                     F.when(v.isNull(), "unparsable")
+                                                     .otherwise("unexpected shape").alias("reason"))
+    return shells, rejects
+
+
+def read_submodels(spark, path: str) -> DataFrame:
+    """All submodels from AAS JSON documents (one per file, multi-line);
+    elements stay JSON text for ``flatten_elements``."""
+    raw = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
+    cols = [F.col("id").alias("submodel_id"), F.col("idShort").alias("id_short")]
+    for c, n in (("kind", "kind"), ("modelType", "model_type")):
+        if c in raw.columns:
+            cols.append(F.col(c).alias(n))
+    if "submodelElements" in raw.columns:
+        cols.append(F.to_json(F.col("submodelElements")).alias("elements_json"))
+    return raw.select(*cols)

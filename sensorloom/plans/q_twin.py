@@ -138,3 +138,42 @@ WHERE op = 'create' AND prev_op IS NOT NULL AND prev_op <> 'delete'
 """, ["change_log"])
 def change_log_conflicts(fx):
     return TW.change_log_conflicts(fx.change_log())
+
+
+def listing_responses(fx):
+    """Shell-listing responses: wrapped, bare and error shapes."""
+    s = fx.shells()
+    item = F.concat(F.lit('{"id":"'), F.col("shell_id"), F.lit('","idShort":"'), F.col("id_short"),
+                    F.lit('","assetInformation":{"assetKind":"Instance","globalAssetId":"'), F.col("shell_id"),
+                    F.lit('"}}'))
+    k = F.col("s_suppkey") % 3
+    body = F.when(k == 0, F.concat(F.lit('{"result":['), item, F.lit("]}"))) \
+            .when(k == 1, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.lit('{"error":"unavailable"}'))
+    return s.select(F.col("s_suppkey").alias("response_id"), body.alias("body"))
+
+
+@register("shell_listing", """
+SELECT s_suppkey AS response_id, shell_id, id_short, 'Instance' AS asset_kind, shell_id AS global_asset_id
+FROM shells WHERE s_suppkey % 3 <> 2
+""", ["shells"])
+def shell_listing(fx):
+    shells, _ = TW.shell_listing(listing_responses(fx), keep=("response_id",))
+    return shells
+
+
+@register("shell_listing_rejects", """
+SELECT s_suppkey AS response_id, '{"error":"unavailable"}' AS raw_body, 'unexpected shape' AS reason
+FROM supplier WHERE s_suppkey % 3 = 2
+""")
+def shell_listing_rejects(fx):
+    _, rejects = TW.shell_listing(listing_responses(fx), keep=("response_id",))
+    return rejects
+
+
+@register("all_submodels", """
+SELECT m.submodel_id, m.id_short, m.semantic_group, m.price, e.elements_json
+FROM submodels m LEFT JOIN element_trees e ON m.submodel_id = e.submodel_id
+""", ["submodels", "element_trees"])
+def all_submodels(fx):
+    """Every submodel with its element tree (the store's full listing)."""
+    return fx.submodels().join(fx.element_trees(), "submodel_id", "left")

@@ -63,3 +63,24 @@ def test_too_deep_raises(spark):
 def test_broken_json_gives_no_rows(spark):
     df = spark.createDataFrame([("sm", "not json")], "submodel_id string, elements_json string")
     assert EL.flatten_elements(df).count() == 0
+
+
+def test_common_attributes(spark):
+    tree = [{"modelType": "Property", "idShort": "P", "category": "PARAMETER", "value": "1",
+             "semanticId": {"type": "ExternalReference", "keys": [{"type": "GlobalReference", "value": "urn:x"}]},
+             "description": [{"language": "en", "text": "speed"}, {"language": "de", "text": "Tempo"}],
+             "qualifiers": [{"type": "unit", "value": "m/s"}]}]
+    df = spark.createDataFrame([("sm", json.dumps(tree))], "submodel_id string, elements_json string")
+    r = EL.flatten_elements(df, with_common=True).collect()[0]
+    assert (r.category, r.semantic_id, r.description["de"]) == ("PARAMETER", "urn:x", "Tempo")
+    assert json.loads(r.qualifiers)[0]["value"] == "m/s"
+
+
+def test_shell_listing_shapes(spark):
+    from sensorloom.operators.twin import shell_listing
+    bodies = [(1, '{"result":[{"id":"a","idShort":"A","assetInformation":{"assetKind":"Instance","globalAssetId":"a"}}]}'),
+              (2, '[{"id":"b","idShort":"B"}]'), (3, '{"error":"boom"}'), (4, 'oops')]
+    df = spark.createDataFrame(bodies, "n int, body string")
+    shells, rejects = shell_listing(df, keep=("n",))
+    assert sorted((r.n, r.shell_id) for r in shells.collect()) == [(1, "a"), (2, "b")]
+    assert sorted((r.n, r.reason) for r in rejects.collect()) == [(3, "unexpected shape"), (4, "unparsable")]
