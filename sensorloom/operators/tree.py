@@ -19,20 +19,29 @@ NOT_FOUND = "not found"
 
 
 def browse(edges: DataFrame, start: str | None = None, max_depth: int = MAX_DEPTH,
-           descend: str = "all") -> DataFrame:
+           descend: str = "all", materialize: bool = False) -> DataFrame:
     """Nodes below ``start`` (children of ``start`` have depth 0).
 
     ``start=None`` browses from the roots (NULL parent).  ``descend='all'``
     recurses into every child (reader); ``'objects'`` recurses only into
-    Object nodes (bridge)."""
+    Object nodes (bridge).  ``materialize=True`` checkpoints every level to
+    the session's checkpoint folder (reliable checkpoint: survives lost
+    executors), so each level is computed once and the browse stops at the
+    first empty level; use it for very large trees."""
     e = edges.select("parent_id", "node_id", "name", "node_class", "value")
     lvl = (e.where(F.col("parent_id").isNull()) if start is None else e.where(F.col("parent_id") == start)) \
         .withColumn("depth", F.lit(0))
+    if materialize:
+        lvl = lvl.checkpoint(eager=True)
     out = lvl
     for d in range(1, max_depth + 1):
         frontier = lvl if descend == "all" else lvl.where(F.col("node_class") == "Object")
         lvl = (e.alias("c").join(frontier.select(F.col("node_id").alias("_p")), F.col("c.parent_id") == F.col("_p"))
                .select("c.*").withColumn("depth", F.lit(d)))
+        if materialize:
+            lvl = lvl.checkpoint(eager=True)
+            if lvl.isEmpty():
+                break
         out = out.unionByName(lvl)
     return out
 

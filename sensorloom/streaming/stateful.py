@@ -71,9 +71,9 @@ def rpc_stream(requests: DataFrame, responses: DataFrame, timeout_s: int = 300,
     """Stream-stream left outer join: a request without a response within
     the timeout is emitted (status timeout) once the watermark passes."""
     q = requests.withWatermark("sent_at", delay)
-    r = responses.select(F.col("id").alias("_rid"), "recv_at", "error_code").withWatermark("recv_at", delay)
+    r = responses.withWatermark("recv_at", delay).select(F.col("id").alias("_rid"), "recv_at", "error_code")
     cond = (F.col("id") == F.col("_rid")) & (F.col("recv_at") >= F.col("sent_at")) & \
-           (F.col("recv_at") <= F.col("sent_at") + F.make_dt_interval(secs=F.lit(timeout_s)))
+           (F.col("recv_at") <= F.col("sent_at") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))
     j = q.join(r, cond, "leftOuter").drop("_rid")
     status = F.when(F.col("recv_at").isNull(), "timeout").when(F.col("error_code").isNotNull(), "error").otherwise("ok")
     return j.withColumn("status", status)
