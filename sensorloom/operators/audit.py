@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PLAN, REVIEW
-from .ordered import prev_by_key, running_by_key
+from .ordered import run_lengths, running_by_key
 
 LOOP_GUARD = 10                 # fixed value: consecutive calls that trip the guard
 GENERATOR_BUDGET = 3            # fixed value: 1 generation + 2 clarification rounds
@@ -43,16 +43,10 @@ def tool_runs(calls: DataFrame, guard: int = LOOP_GUARD, run: str = "run_id", se
               tool: str = "tool") -> DataFrame:
     """Consecutive calls of the same tool inside a run (gaps and islands);
     rows from the ``guard``-th consecutive call on are returned with their
-    count.  Every step is bucketed: a run holding a third of all calls is
-    spread over many tasks."""
-    p = prev_by_key(calls, run, [seq], _seq_bucket(seq), [tool])
-    p = p.withColumn("_brk", ~F.col("has_prev") | ~F.col(f"prev_{tool}").eqNullSafe(F.col(tool))) \
-         .drop(f"prev_{tool}", "has_prev")
-    r = running_by_key(p, [run], [seq], _seq_bucket(seq), count_as="_rank")
-    r = running_by_key(r.withColumn("_brk_rank", F.when(F.col("_brk"), F.col("_rank"))), [run], [seq],
-                       _seq_bucket(seq), count_as=None, max_of={"_start": "_brk_rank"})
-    n = (F.col("_rank") - F.col("_start") + 1).alias("n_consecutive")
-    return r.select(*[F.col(c) for c in calls.columns], n).where(F.col("n_consecutive") >= guard)
+    count.  One bucketed pass: a run holding a third of all calls is spread
+    over many tasks."""
+    r = run_lengths(calls, run, seq, tool, _seq_bucket(seq), out="n_consecutive")
+    return r.where(F.col("n_consecutive") >= guard)
 
 
 def budget_violations(calls: DataFrame, tool_name: str = "generate_mcp_server", budget: int = GENERATOR_BUDGET,

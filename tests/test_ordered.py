@@ -60,3 +60,15 @@ def test_top_k_per_group_equals_row_number(fx):
     plain = r.withColumn("rank", F.row_number().over(Window.partitionBy("asset_id").orderBy(*order))) \
              .where(F.col("rank") <= 3)
     assert spark_bag(got) == spark_bag(plain)
+
+
+def test_run_lengths_tiny_buckets_equal_plain(fx):
+    from sensorloom.operators.ordered import run_lengths
+    calls = fx.tool_calls()
+    w = Window.partitionBy("run_id").orderBy("seq")
+    p = calls.withColumn("brk", F.when(F.lag("tool").over(w).eqNullSafe(F.col("tool")), 0).otherwise(1))
+    p = p.withColumn("island", F.sum("brk").over(w))
+    plain = p.withColumn("run_length", F.row_number().over(Window.partitionBy("run_id", "island").orderBy("seq"))) \
+             .select(*calls.columns, "run_length")
+    for bits in (0, 1, 3, 20):
+        assert spark_bag(run_lengths(calls, "run_id", "seq", "tool", F.shiftright("seq", bits))) == spark_bag(plain), bits
