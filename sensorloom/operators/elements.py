@@ -191,6 +191,18 @@ def root_violations(submodels: DataFrame, key: str = "submodel_id", id_short: st
     return submodels.select(key, F.lit(None).cast("string").alias("path"), F.explode(rules).alias("rule"))
 
 
+def shell_violations(shells: DataFrame, key: str = "shell_id", id_short: str = "id_short",
+                     global_asset_id: str = "global_asset_id") -> DataFrame:
+    """Shell write rules: numeric IRI form, ``_NNN`` idShort suffix and
+    ``globalAssetId`` equal to the shell id."""
+    rules = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col(key).rlike(IRI_PATTERN), F.lit(False)), F.lit("id_form")),
+        F.when(~F.coalesce(F.col(id_short).rlike(IDSHORT_SUFFIX), F.lit(False)), F.lit("idshort_suffix")),
+        F.when(~F.col(global_asset_id).eqNullSafe(F.col(key)), F.lit("global_asset_id")),
+    ))
+    return shells.select(key, F.explode(rules).alias("rule"))
+
+
 # Root fields of a valid AAS V3 submodel payload, and
 # fields that must not appear.
 REQUIRED_ROOT = ("id", "idShort", "modelType", "kind", "submodelElements")

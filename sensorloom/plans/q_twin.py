@@ -177,3 +177,16 @@ FROM submodels m LEFT JOIN element_trees e ON m.submodel_id = e.submodel_id
 def all_submodels(fx):
     """Every submodel with its element tree (the store's full listing)."""
     return fx.submodels().join(fx.element_trees(), "submodel_id", "left")
+
+
+@register("shell_violations", r"""
+SELECT shell_id, 'id_form' AS rule FROM shells
+  WHERE s_suppkey % 3 <> 2 AND NOT coalesce(regexp_full_match(shell_id, '^https://example\.com/ids/(sm|aas)/\d{4}_\d{4}_\d{4}_\d{4}$'), false)
+UNION ALL SELECT shell_id, 'idshort_suffix' FROM shells
+  WHERE s_suppkey % 3 <> 2 AND NOT coalesce(regexp_matches(id_short, '_\d{3}$'), false)
+""", ["shells"])
+def shell_violations(fx):
+    """Write rules over the listed shells (globalAssetId equals the id here)."""
+    from ..operators import elements as EL
+    shells, _ = TW.shell_listing(listing_responses(fx), keep=("response_id",))
+    return EL.shell_violations(shells)

@@ -54,7 +54,8 @@ def stages(readings: DataFrame, flags: dict, source_schema: dict | None = None)
 def start_chain(spark: SparkSession, messages: DataFrame, sink_path: str, flags: dict, *,
                 source_name: str = "messages", fmt: str = "parquet", taps: dict[str, str] | None = None,
                 checkpoint: str | None = None, available_now: bool = True,
-                processing_time: str | None = None) -> StreamingQuery:
+                processing_time: str | None = None, kafka_servers: str | None = None,
+                sink_topic: str | None = None) -> StreamingQuery:
     """Start the chain.  Without taps the processed stream is written with
     the file sink (exactly-once through its commit log); with taps each
     micro-batch is persisted once and written to every target."""
@@ -64,7 +65,12 @@ def start_chain(spark: SparkSession, messages: DataFrame, sink_path: str, flags:
                           normalization=flags.get("normalization", False),
                           transformation=flags.get("transformation", False))
     ckpt = checkpoint or checkpoint_for(spark, source_name, sink_path, result.steps)
-    if not taps:
+    if fmt == "kafka":
+        # processed readings as JSON messages keyed by the source offset
+        msgs = to_json_messages(result.df, key_cols=["offset_id"])
+        w = (msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
+             .option("topic", sink_topic).option("checkpointLocation", ckpt).outputMode("append"))
+    elif not taps:
         w = result.df.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", ckpt) \
                                  .outputMode("append")
     else:

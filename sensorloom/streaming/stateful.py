@@ -80,7 +80,8 @@ def rpc_stream(requests: DataFrame, responses: DataFrame, timeout_s: int = 300,
 
 
 def document_sink(df: DataFrame, collection_path: str, checkpoint: str, namespace: str,
-                  key_cols: list[str], fmt: str = "parquet", available_now: bool = True):
+                  key_cols: list[str], fmt: str = "parquet", available_now: bool = True,
+                  dedupe_on: str | None = None, dedupe_delay: str = "10 minutes"):
     """Continuous append of a stream into a collection.  Document ids are a
     hash of (namespace, key columns), and each micro-batch overwrites only
     its own ``batch_id=N`` folder: a replayed batch replaces itself instead
@@ -90,6 +91,9 @@ def document_sink(df: DataFrame, collection_path: str, checkpoint: str, namespac
         docs = with_doc_id(batch, deterministic_from=key_cols, namespace=namespace)
         docs.write.mode("overwrite").format(fmt).save(os.path.join(collection_path, f"batch_id={batch_id}"))
 
+    if dedupe_on:
+        # drop redelivered messages (same key) that arrive within the delay
+        df = df.withWatermark(dedupe_on, dedupe_delay).dropDuplicatesWithinWatermark(key_cols)
     w = df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)

@@ -84,3 +84,11 @@ def test_shell_listing_shapes(spark):
     shells, rejects = shell_listing(df, keep=("n",))
     assert sorted((r.n, r.shell_id) for r in shells.collect()) == [(1, "a"), (2, "b")]
     assert sorted((r.n, r.reason) for r in rejects.collect()) == [(3, "unexpected shape"), (4, "unparsable")]
+
+
+def test_shell_rules(spark):
+    rows = [("https://example.com/ids/aas/1234_0000_9999_0001", "Robot_001", "https://example.com/ids/aas/1234_0000_9999_0001"),
+            ("https://example.com/ids/aas/12_34", "Robot", "urn:other")]
+    df = spark.createDataFrame(rows, "shell_id string, id_short string, global_asset_id string")
+    got = sorted((r.shell_id[-5:], r.rule) for r in EL.shell_violations(df).collect())
+    assert got == [("12_34", "global_asset_id"), ("12_34", "id_form"), ("12_34", "idshort_suffix")]

@@ -52,3 +52,24 @@ def test_document_sink_replay_is_idempotent(spark, fx):
     again = spark.read.parquet(f"{base}/coll").drop("batch_id")
     assert again.count() == n
     assert again.select("_id").distinct().count() == n
+
+
+def test_chain_taps_write_every_stage(spark, fx):
+    from sensorloom.operators import readings as R
+    from sensorloom.streaming import chain as CH
+    from sensorloom.streaming import sources as SRC
+    base = scratch_path(spark, "tests", f"taps-{uuid.uuid4().hex}")
+    landing = os.path.join(base, "landing")
+    fx.raw_messages().write.json(landing)
+    flags = {"cleansing": True, "imputation": True, "normalization": True, "transformation": True}
+    q = CH.start_chain(spark, SRC.json_messages(spark, landing), f"{base}/processed", flags,
+                       taps={"cleansed": f"{base}/cleansed", "normalized": f"{base}/normalized"},
+                       checkpoint=f"{base}/ckpt")
+    q.awaitTermination(300)
+    batch = CH.parsed_readings(spark.read.schema(SRC.MESSAGE).json(landing))
+    expect = R.preprocess(batch, **flags).df
+    got = spark.read.parquet(f"{base}/processed").drop("batch_id")
+    assert sorted(got.columns) == sorted(expect.columns)
+    assert got.count() == expect.count()
+    assert spark.read.parquet(f"{base}/cleansed").count() == R.cleanse(batch).count()
+    assert spark.read.parquet(f"{base}/normalized").where("asset_id IS NULL").count() == 0
