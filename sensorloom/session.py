@@ -48,9 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         # Only reached when the cluster names no folder (unit tests).
         path = tempfile.mkdtemp(prefix="sensorloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    jsc = spark.sparkContext._jsc
-    if jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
+    try:  # classic sessions: RDD checkpoints (DataFrame.checkpoint) use the same folder
+        jsc = spark.sparkContext._jsc
+        if jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; the server's setting applies
+        pass
     return path
 
 
