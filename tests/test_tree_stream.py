@@ -40,3 +40,19 @@ def test_rpc_stream_matches_batch_pairs(spark, fx):
     assert spark_bag(matched) == spark_bag(batch.where(F.col("status") != "timeout"))
     emitted_timeouts = got.where(F.col("status") == "timeout").select("id")
     assert emitted_timeouts.join(batch.where(F.col("status") == "timeout").select("id"), "id", "left_anti").count() == 0
+
+
+def test_per_asset_chain_as_stream_static_join(spark, fx):
+    from sensorloom.operators import readings as R
+    from sensorloom.streaming import chain as CH
+    from sensorloom.streaming import sources as SRC
+    base = scratch_path(spark, "tests", f"perasset-{uuid.uuid4().hex}")
+    landing = os.path.join(base, "landing")
+    fx.raw_messages().write.json(landing)
+    stream = CH.parsed_readings(SRC.json_messages(spark, landing))
+    out = R.preprocess_by_flags(stream, fx.asset_flags())
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    batch = R.preprocess_by_flags(CH.parsed_readings(spark.read.schema(SRC.MESSAGE).json(landing)), fx.asset_flags())
+    assert spark_bag(spark.read.parquet(f"{base}/out")) == spark_bag(batch)
