@@ -2,7 +2,8 @@
 
 BM25 plan (exact, exhaustive):
 * the corpus is tokenised once; document count and lengths ride along as
-  a per-document sentinel term in the same shuffle;
+  a per-document sentinel term in the same shuffle and are read from the
+  small (broadcast) per-term table;
 * only occurrences of query terms are exploded and shuffled: the query
   vocabulary is size-checked and broadcast into a semi-join;
 * per-(doc, term) frequencies and per-term document frequencies are
@@ -13,10 +14,10 @@ BM25 plan (exact, exhaustive):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_bounded, join_small
+from .joins import fits, join_bounded, join_small
 from .topk import clamp, top_k_per_group
 
 # BM25 parameters, tokenizer, snippet length, URL rule.
@@ -56,10 +57,9 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str
     """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``.
 
     The corpus is tokenised once.  Every document also emits one sentinel
-    term, so the postings exchange carries the document count and lengths;
-    the two corpus statistics are scalar subqueries over that same exchange
-    (AQE reuses it).  Per-term document frequencies are bounded by the
-    query vocabulary and broadcast behind its size check."""
+    term, so the postings shuffle carries the document count and lengths
+    with the term frequencies.  Per-term document frequencies are bounded by
+    the query vocabulary and broadcast behind its size check."""
     d = docs.select(dkey, tokens(F.col(dtext)).alias("_tok"))
     qt = queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term")).distinct()
     vocab = qt.select("term").distinct()
@@ -68,18 +68,32 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str
                    F.explode(F.concat("_tok", F.array(F.lit(DOC_SENTINEL)))).alias("term"))
     occ = join_bounded(occ, keep, "term", "left_semi", bounded_by=vocab)
     tf = occ.groupBy(dkey, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # Every aggregate over ``tf`` reads ``tf`` (``ctf``) and filters on
-    # aggregate outputs only (never on the grouping key), so Catalyst keeps
-    # one identical postings aggregate under all branches and AQE shares
-    # its exchange.  ``ctf >= df`` always holds.
     per_term = tf.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"), F.sum("dl").alias("sdl"),
         F.max(F.col("term") == DOC_SENTINEL).alias("is_sentinel"))
-    corpus = per_term.where(F.col("is_sentinel") & (F.col("ctf") >= F.col("df")))
-    n_docs = corpus.select(F.col("df").cast("double")).scalar()
-    avgdl = corpus.select(F.col("sdl") / F.col("df")).scalar()
-    terms = per_term.where(~F.col("is_sentinel") & (F.col("ctf") >= F.col("df"))).select("term", "df")
-    t = join_bounded(tf, terms, "term", bounded_by=vocab)
+    if fits(vocab):
+        # per_term holds at most |vocabulary| + 1 rows and is broadcast, i.e.
+        # gathered whole anyway: the corpus statistics are read from its
+        # sentinel row by an unpartitioned window over that small table
+        # (no extra job, no subquery, one tokenisation pass).
+        # (``ctf >= df`` always holds; it keeps ``ctf``, which reads ``tf``,
+        # so this branch shares the postings aggregate and its exchange)
+        whole = Window.partitionBy()
+        terms = per_term.where(F.col("ctf") >= F.col("df")).select(
+            "term", "df", "is_sentinel",
+            F.max(F.when(F.col("is_sentinel"), F.col("df"))).over(whole).cast("double").alias("_n_docs"),
+            F.max(F.when(F.col("is_sentinel"), F.col("sdl") / F.col("df"))).over(whole).alias("_avgdl"))
+        t = tf.join(F.broadcast(terms.where(~F.col("is_sentinel")).drop("is_sentinel")), "term")
+        n_docs, avgdl = F.col("_n_docs"), F.col("_avgdl")
+    else:
+        # large vocabulary: statistics as scalar subqueries, per-term table
+        # joined by AQE (``ctf >= df`` always holds; it keeps ``ctf``, which
+        # reads ``tf``, so every branch shares the postings aggregate)
+        corpus = per_term.where(F.col("is_sentinel") & (F.col("ctf") >= F.col("df")))
+        n_docs = corpus.select(F.col("df").cast("double")).scalar()
+        avgdl = corpus.select(F.col("sdl") / F.col("df")).scalar()
+        terms = per_term.where(~F.col("is_sentinel") & (F.col("ctf") >= F.col("df"))).select("term", "df")
+        t = tf.join(terms, "term")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     tw = t.select(dkey, "term", w.alias("w"))
