@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..schemas import READING, READING_FIELDS
 
 # Fixed values of the reference envelopes.
@@ -43,17 +45,23 @@ def iso_python(ts) -> Column:
 
 # -- SRC-1 / SRC-2 --------------------------------------------------------
 
+CORRUPT = "_corrupt_record"
+_READING_WITH_CORRUPT = T.StructType(READING.fields + [T.StructField(CORRUPT, T.StringType())])
+
+
 def parse_readings(raw: DataFrame, value_col: str = "value", keep=("offset_id",)) -> DataFrame:
     """JSON text -> six string columns plus ``_malformed``.
 
     Missing fields are NULL, extra fields are ignored, numbers and booleans
-    keep their JSON text.  ``_malformed`` is true when the text is not
-    valid JSON (``try_parse_json`` gives NULL)."""
+    keep their JSON text.  One parse: PERMISSIVE ``from_json`` puts the raw
+    text of an unparsable message into a corrupt-record field.  A message
+    that is valid JSON but not an object (no reading) is malformed too; a
+    NULL message (tombstone) gives a row of NULLs."""
     v = F.col(value_col)
-    parsed = F.from_json(v, READING, {"mode": "PERMISSIVE"})
-    bad = v.isNotNull() & F.try_parse_json(v).isNull()
-    return raw.select(*keep, *[parsed[f].alias(f) for f in READING_FIELDS], bad.alias("_malformed"),
-                      v.alias("_raw"))
+    parsed = F.from_json(v, _READING_WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    p = raw.select(*keep, v.alias("_raw"), parsed.alias("_p"))
+    bad = F.col(f"_p.{CORRUPT}").isNotNull() | (F.col("_raw").isNotNull() & F.col("_p").isNull())
+    return p.select(*keep, *[F.col(f"_p.{f}").alias(f) for f in READING_FIELDS], bad.alias("_malformed"), "_raw")
 
 
 def split_readings(raw: DataFrame, value_col: str = "value", keep=("offset_id",)):
