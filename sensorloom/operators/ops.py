@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as SC
 
+# Connector state that counts as healthy, and the name part
+# that marks a sink connector.
 RUNNING = "RUNNING"
 SINK_MARKER = "mongo-sink"
 

@@ -9,7 +9,7 @@ from ..operators import ops as OP
 from .q_elements import bridge_requests
 from .registry import register
 
-SERVERS = ("opcua", "kafka", "mongodb", "aasx", "docker", "grafana", "websearch")
+SERVERS = ("opcua", "kafka", "docstore", "aasx", "docker", "dashboard", "websearch")
 
 
 def pipelines(fx):
