@@ -30,44 +30,41 @@ def _get(el: Column, field: str, typ: str = "string") -> Column:
     return F.try_variant_get(el, f"$.{field}", typ)
 
 
-def _children(el: Column) -> Column:
-    """Child elements of a container element (empty array for leaves)."""
-    mt = _get(el, "modelType")
-    empty = F.array().cast(_VARR)
+# The level expressions are written as SQL text (one ``F.expr`` per level):
+# the same expression tree, built with one call into the JVM instead of
+# thousands of small Column calls on the driver.
+_EMPTY = f"cast(array() as {_VARR})"
 
-    def opvars(field):
-        return F.coalesce(F.transform(_get(el, field, _VARR), lambda v: F.try_variant_get(v, "$.value", "variant")),
-                          empty)
-
-    kids = (F.when(mt.isin("SubmodelElementCollection", "SubmodelElementList"), _get(el, "value", _VARR))
-            .when(mt == "Entity", _get(el, "statements", _VARR))
-            .when(mt == "AnnotatedRelationshipElement", _get(el, "annotations", _VARR))
-            .when(mt == "Operation", F.concat(opvars("inputVariables"), opvars("outputVariables"),
-                                              opvars("inoutputVariables"))))
-    return F.coalesce(kids, empty)
 
+def _get_sql(el: str, field: str, typ: str = "string") -> str:
+    return f"try_variant_get({el}, '$.{field}', '{typ}')"
 
-def _node(path: Column, parent_path: Column, depth: int, pos: Column, el: Column) -> Column:
-    return F.struct(path.alias("path"), parent_path.alias("parent_path"), F.lit(depth).alias("depth"),
-                    pos.alias("pos"), el.alias("el"))
 
+def _children_sql(el: str, v: str) -> str:
+    """SQL of the child elements of a container element (empty otherwise)."""
+    mt = _get_sql(el, "modelType")
 
-def _expander(depth: int):
-    """Lambda building the child nodes of one node (depth bound by closure:
-    ``F.transform`` reads a second lambda parameter as the index)."""
-
-    def expand(x):
-        ptype = _get(x["el"], "modelType")
+    def opvars(field):
+        return (f"coalesce(transform({_get_sql(el, field, _VARR)}, {v} -> try_variant_get({v}, '$.value', 'variant')),"
+                f" {_EMPTY})")
 
-        def child(c, i):
-            seg = F.when(ptype == "SubmodelElementList", F.concat(F.lit("["), i.cast("string"), F.lit("]")))
-            path = F.when(ptype == "SubmodelElementList", F.concat(x["path"], seg)) \
-                    .otherwise(F.concat(x["path"], F.lit("."), _get(c, "idShort")))
-            return _node(path, x["path"], depth, i, c)
+    return (f"coalesce(CASE WHEN {mt} IN ('SubmodelElementCollection', 'SubmodelElementList') "
+            f"THEN {_get_sql(el, 'value', _VARR)} "
+            f"WHEN {mt} = 'Entity' THEN {_get_sql(el, 'statements', _VARR)} "
+            f"WHEN {mt} = 'AnnotatedRelationshipElement' THEN {_get_sql(el, 'annotations', _VARR)} "
+            f"WHEN {mt} = 'Operation' THEN concat({opvars('inputVariables')}, {opvars('outputVariables')}, "
+            f"{opvars('inoutputVariables')}) END, {_EMPTY})")
 
-        return F.transform(_children(x["el"]), child)
 
-    return expand
+def _level_sql(depth: int) -> str:
+    """SQL building level ``depth`` from level ``depth - 1`` (list children
+    get ``[i]`` path segments, others ``.idShort``)."""
+    x, c, i, v = f"x{depth}", f"c{depth}", f"i{depth}", f"v{depth}"
+    ptype = _get_sql(f"{x}.el", "modelType")
+    path = (f"CASE WHEN {ptype} = 'SubmodelElementList' THEN concat({x}.path, '[', cast({i} AS STRING), ']') "
+            f"ELSE concat({x}.path, '.', {_get_sql(c, 'idShort')}) END")
+    node = f"named_struct('path', {path}, 'parent_path', {x}.path, 'depth', {depth}, 'pos', {i}, 'el', {c})"
+    return f"flatten(transform(_l{depth - 1}, {x} -> transform({_children_sql(f'{x}.el', v)}, ({c}, {i}) -> {node})))"
 
 
 def common_attributes(el: Column) -> list[Column]:
@@ -93,13 +90,13 @@ def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "e
     projection per level, each computed once), then all levels are
     concatenated and exploded.  No union of re-scanned levels, no shuffle.
     A tree deeper than ``max_depth`` raises instead of being cut."""
-    top = F.coalesce(F.try_variant_get(F.try_parse_json(F.col(json_col)), "$", _VARR), F.array().cast(_VARR))
-    cur = df.select(key, F.transform(top, lambda e, i: _node(_get(e, "idShort"), F.lit(None).cast("string"), 0, i, e))
-                    .alias("_l0"))
+    top = f"coalesce(try_variant_get(try_parse_json(`{json_col}`), '$', '{_VARR}'), {_EMPTY})"
+    level0 = (f"transform({top}, (e0, i0) -> named_struct('path', {_get_sql('e0', 'idShort')}, "
+              f"'parent_path', cast(NULL AS STRING), 'depth', 0, 'pos', i0, 'el', e0))")
+    cur = df.select(key, F.expr(level0).alias("_l0"))
     for d in range(1, max_depth + 1):
-        cur = cur.withColumn(f"_l{d}", F.flatten(F.transform(F.col(f"_l{d - 1}"), _expander(d))))
-    deepest = F.col(f"_l{max_depth}")
-    too_deep = F.exists(deepest, lambda x: F.size(_children(x["el"])) > 0)
+        cur = cur.withColumn(f"_l{d}", F.expr(_level_sql(d)))
+    too_deep = F.expr(f"exists(_l{max_depth}, z -> size({_children_sql('z.el', 'w')}) > 0)")
     allv = F.concat(*[F.col(f"_l{d}") for d in range(max_depth + 1)])
     guarded = F.when(too_deep, F.raise_error(F.lit(f"element tree deeper than max_depth={max_depth}"))) \
                .otherwise(allv)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import fits, join_bounded, join_small
+from .joins import fits
 from .topk import clamp, top_k_per_group
 
 # BM25 parameters, tokenizer, snippet length, URL rule.
@@ -52,8 +52,14 @@ def clean_hits(hits: DataFrame, max_results: int = DEFAULT_MAX_RESULTS, group: s
 DOC_SENTINEL = ""   # no token is empty: one sentinel occurrence per document
 
 
+def query_terms(queries: DataFrame, qkey: str = "query_id", qtext: str = "text") -> DataFrame:
+    """Distinct (query, term) pairs."""
+    return queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term")).distinct()
+
+
 def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "text",
-         dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+         dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B,
+         small_queries: bool | None = None) -> DataFrame:
     """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``.
 
     The corpus is tokenised once.  Every document also emits one sentinel
@@ -61,17 +67,21 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str
     with the term frequencies.  Per-term document frequencies are bounded by
     the query vocabulary and broadcast behind its size check."""
     d = docs.select(dkey, tokens(F.col(dtext)).alias("_tok"))
-    qt = queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term")).distinct()
+    qt = query_terms(queries, qkey, qtext)
+    # One size check covers every small side: the vocabulary, the per-term
+    # table (vocabulary + 1 rows) and the per-query maxima all have at most
+    # as many rows as the (query, term) pairs.
+    small = fits(qt) if small_queries is None else small_queries
     vocab = qt.select("term").distinct()
     keep = vocab.unionByName(vocab.sparkSession.range(1).select(F.lit(DOC_SENTINEL).alias("term")))
     occ = d.select(dkey, F.size("_tok").alias("dl"),
                    F.explode(F.concat("_tok", F.array(F.lit(DOC_SENTINEL)))).alias("term"))
-    occ = join_bounded(occ, keep, "term", "left_semi", bounded_by=vocab)
+    occ = occ.join(F.broadcast(keep) if small else keep, "term", "left_semi")
     tf = occ.groupBy(dkey, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     per_term = tf.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"), F.sum("dl").alias("sdl"),
         F.max(F.col("term") == DOC_SENTINEL).alias("is_sentinel"))
-    if fits(vocab):
+    if small:
         # per_term holds at most |vocabulary| + 1 rows and is broadcast, i.e.
         # gathered whole anyway: the corpus statistics are read from its
         # sentinel row by an unpartitioned window over that small table
@@ -97,7 +107,7 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     tw = t.select(dkey, "term", w.alias("w"))
-    j = join_small(tw, qt, "term", "inner")
+    j = tw.join(F.broadcast(qt) if small else qt, "term")
     return j.groupBy(qkey, dkey).agg(F.sum("w").alias("score"))
 
 
@@ -107,10 +117,11 @@ def search_topk(queries: DataFrame, docs: DataFrame, max_results: int = DEFAULT_
     """Top hits per query: score max-normalised to [0, 1] per query and
     rounded, ties broken by document id; with a ~200-character snippet."""
     k = clamp(max_results)
-    s = bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, **kw)
+    small = fits(query_terms(queries, qkey, kw.get("qtext", "text")))
+    s = bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, small_queries=small, **kw)
     mx = s.groupBy(qkey).agg(F.max("score").alias("_mx"))
-    # one max per query: bounded by the query table, which is checked instead
-    s = join_bounded(s, mx, qkey, bounded_by=queries).withColumn("score", F.round(F.col("score") / F.col("_mx"), digits)).drop("_mx")
+    # one max per query: at most as many rows as the checked (query, term) pairs
+    s = s.join(F.broadcast(mx) if small else mx, qkey).withColumn("score", F.round(F.col("score") / F.col("_mx"), digits)).drop("_mx")
     top = top_k_per_group(s, [qkey], [F.col("score").desc(), F.col(dkey).asc()], k, salt_cols=[qkey, dkey])
     snip = docs.select(dkey, F.substring(F.col(dtext), 1, SNIPPET_CHARS).alias("snippet"))
     return top.join(snip, dkey)

@@ -16,15 +16,21 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
 
 
 class Tables:
+    """Opens each table once per instance (one file listing / footer read);
+    views built from the same table share that relation."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return os.path.join(self.sf_dir, f"{name}.parquet")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(self.path(name))
+        return self._opened[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
