@@ -125,18 +125,23 @@ def preprocess(df: DataFrame, *, cleansing: bool = False, imputation: bool = Fal
     return ChainResult(df, steps)
 
 
-def preprocess_by_flags(readings: DataFrame, flags: DataFrame, key: str = "asset_id") -> DataFrame:
+def preprocess_by_flags(readings: DataFrame, flags: DataFrame, key: str = "asset_id",
+                        eager_size_check: bool = False) -> DataFrame:
     """Per-asset chain: each asset's flags choose its steps, one plan for all.
 
     ``flags`` has ``key, cleansing, imputation, normalize, transformation``
-    (booleans; NULL = off).  Only readings of configured assets flow.  The
-    flags side is small per asset; the join is left to the size-checked
-    broadcast of ``join_small`` (sort-merge beyond the bound)."""
+    (booleans; NULL = off).  Only readings of configured assets flow.
+
+    Join strategy: by default AQE decides at run time from the measured size
+    of the flags side (broadcast below the adaptive threshold, otherwise a
+    sort-merge join whose skewed asset partitions AQE splits); no extra pass
+    is spent on a derived flags table.  ``eager_size_check=True`` instead
+    counts a small base table up front (``join_small``)."""
     from .joins import join_small
 
     f = flags.select(key, *[F.coalesce(F.col(c), F.lit(False)).alias(f"_f_{c}")
                             for c in ("cleansing", "imputation", "normalize", "transformation")])
-    j = join_small(readings, f, key, "inner")
+    j = join_small(readings, f, key, "inner") if eager_size_check else readings.join(f, key, "inner")
     on = {c: F.col(f"_f_{c}") for c in ("cleansing", "imputation", "normalize", "transformation")}
     j = j.where(~on["cleansing"] | (F.col("quality") != BAD_QUALITY))
     imp = on["imputation"]
