@@ -59,7 +59,11 @@ def parse_readings(raw: DataFrame, value_col: str = "value", keep=("offset_id",)
     NULL message (tombstone) gives a row of NULLs."""
     v = F.col(value_col)
     parsed = F.from_json(v, _READING_WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    p = raw.select(*keep, v.alias("_raw"), parsed.alias("_p"))
+    # The parsed struct comes out of a one-element ``explode``: a filter on a
+    # generator's output cannot be pushed below the generator, so the good /
+    # reject filters do not copy ``from_json`` into a pushed-down Filter and
+    # every message is parsed exactly once.
+    p = raw.select(*keep, v.alias("_raw"), F.explode(F.array(parsed)).alias("_p"))
     bad = F.col(f"_p.{CORRUPT}").isNotNull() | (F.col("_raw").isNotNull() & F.col("_p").isNull())
     return p.select(*keep, *[F.col(f"_p.{f}").alias(f) for f in READING_FIELDS], bad.alias("_malformed"), "_raw")
 
