@@ -19,14 +19,15 @@ def node_browse(fx):
     return TR.browse(fx.nodes()).select("node_id", "name", "node_class", "depth")
 
 
-@register("node_variables", REC.format(start="parent_id = 'ns=2;s=R1'")
+@register("node_variables", REC.format(start="parent_id IS NULL")
           + " SELECT node_id, name, value, depth FROM t WHERE node_class = 'Variable'", ["nodes"])
 def node_variables(fx):
-    return TR.variables(TR.browse(fx.nodes(), "ns=2;s=R1", descend="objects")).select("node_id", "name", "value", "depth")
+    """Variables of the whole tree, recursing into Objects only (bridge)."""
+    return TR.variables(TR.browse(fx.nodes(), None, descend="objects")).select("node_id", "name", "value", "depth")
 
 
 def read_requests(fx):
-    o = fx.orders.where(F.col("o_orderpriority") == "1-URGENT")
+    o = fx.orders
     nid = F.concat(F.when(F.col("o_orderstatus") == "P", "ns=2;s=N").otherwise("ns=2;s=C"),
                    F.col("o_custkey").cast("string"))
     return o.select(F.col("o_orderkey").alias("req_pos"), nid.alias("node_id"))
@@ -35,7 +36,7 @@ def read_requests(fx):
 @register("node_batch_read", """
 SELECT q.req_pos, q.node_id, n.name, n.value, CASE WHEN n.node_id IS NULL THEN 'not found' END AS error
 FROM (SELECT o_orderkey AS req_pos, CASE WHEN o_orderstatus = 'P' THEN 'ns=2;s=N' ELSE 'ns=2;s=C' END || CAST(o_custkey AS VARCHAR) AS node_id
-      FROM orders WHERE o_orderpriority = '1-URGENT') q
+      FROM orders) q
 LEFT JOIN nodes n ON q.node_id = n.node_id
 """, ["nodes"])
 def node_batch_read(fx):
@@ -48,7 +49,7 @@ def node_readings(fx):
                             F.col("o_orderdate").alias("ts"), "o_orderkey", F.col("o_totalprice").alias("value"))
 
 
-@register("node_snapshot", REC.format(start="parent_id = 'ns=2;s=R1'") + """
+@register("node_snapshot", REC.format(start="parent_id IS NULL") + """
 , lv AS (SELECT node_id, value AS latest_value FROM (
     SELECT 'ns=2;s=C' || CAST(o_custkey AS VARCHAR) AS node_id, o_totalprice AS value,
       ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1)
@@ -57,4 +58,4 @@ SELECT t.node_id, t.name, coalesce(CAST(lv.latest_value AS VARCHAR), t.value) AS
 FROM t LEFT JOIN lv ON t.node_id = lv.node_id WHERE t.node_class = 'Variable'
 """, ["nodes"])
 def node_snapshot(fx):
-    return TR.snapshot(fx.nodes(), node_readings(fx), "ns=2;s=R1", tiebreak="o_orderkey")
+    return TR.snapshot(fx.nodes(), node_readings(fx), None, tiebreak="o_orderkey")

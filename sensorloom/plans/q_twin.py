@@ -61,12 +61,11 @@ def dangling_refs(fx):
 @register("lookup_shells", """
 SELECT k.shell_id, s.id_short, s.s_suppkey, s.shell_id IS NOT NULL AS found
 FROM (SELECT DISTINCT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 4, '0') AS shell_id
-      FROM orders WHERE o_orderstatus = 'P') k
+      FROM orders) k
 LEFT JOIN shells s ON k.shell_id = s.shell_id
 """, ["shells"])
 def lookup_shells(fx):
-    keys = (fx.orders.where(F.col("o_orderstatus") == "P")
-            .select(shell_iri(F.col("o_custkey") % 1000).alias("shell_id")).distinct())
+    keys = fx.orders.select(shell_iri(F.col("o_custkey") % 1000).alias("shell_id")).distinct()
     return TW.lookup(keys, fx.shells(), "shell_id")
 
 
