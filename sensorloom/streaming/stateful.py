@@ -29,19 +29,17 @@ def changes_only_stream(readings: DataFrame, key: str = "asset_id", value: str =
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf.sort_values(list(order), kind="mergesort", na_position="first")
-        if state.exists:
-            last, seen = state.get
-        else:
-            last, seen = None, False
-        vals = pdf[value].tolist()
-        keep = []
-        for v in vals:
-            v = None if (v is None or (isinstance(v, float) and pd.isna(v))) else v
-            keep.append((not seen) or v != last)
-            last, seen = v, True
-        state.update((last, seen))
-        yield pdf.loc[keep, cols]
+        pdf = pdf.sort_values(list(order), kind="mergesort", na_position="first", ignore_index=True)
+        last, seen = state.get if state.exists else (None, False)
+        vals = pdf[value].astype(object).where(pdf[value].notna(), None)
+        prev = vals.shift(1)
+        prev.iloc[0] = last
+        same = (vals == prev) | (vals.isna() & prev.isna())  # null-safe equality
+        keep = ~same
+        if not seen:
+            keep.iloc[0] = True
+        state.update((vals.iloc[-1], True))
+        yield pdf.loc[keep.to_numpy(), cols]
 
     return readings.groupBy(key).applyInPandasWithState(
         fn, out_schema, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
