@@ -170,7 +170,8 @@ def union_readings(*frames: DataFrame) -> DataFrame:
     out = None
     for f in frames:
         if "data" in f.columns:
-            f = f.withColumn("value", F.coalesce(*( [F.col("value")] if "value" in f.columns else []),
-                                                  F.col("data").cast("string"))).drop("data")
+            data = F.col("data").cast("string")
+            value = F.coalesce(F.col("value"), data) if "value" in f.columns else data
+            f = f.withColumn("value", value).drop("data")
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
