@@ -83,3 +83,28 @@ def test_stream_change_state_carries_across_micro_batches(spark, fx):
     batch = CH.parsed_readings(spark.read.schema(SRC.MESSAGE).json(landing)).withColumn("event_time", TS.event_time())
     expected = TS.changes_only(batch)
     assert spark_bag(spark.read.parquet(f"{base}/out")) == spark_bag(expected)
+
+
+def test_stream_sampling_emits_closed_windows_across_batches(spark, fx):
+    import time as _time
+
+    from sensorloom.operators import timeseries as TS
+    from sensorloom.streaming import chain as CH
+    from sensorloom.streaming import sources as SRC
+    base = scratch_path(spark, "tests", f"smp-{uuid.uuid4().hex}")
+    landing = os.path.join(base, "landing")
+    raw = fx.raw_messages()
+    n = raw.count()
+    for i in range(3):
+        raw.where((F.col("offset_id") >= i * n // 3) & (F.col("offset_id") < (i + 1) * n // 3)).coalesce(1) \
+           .write.mode("append").json(landing)
+        _time.sleep(1.1)
+    stream = CH.parsed_readings(SRC.json_messages(spark, landing, max_files_per_trigger=1))
+    out = ST.sampled_stream(stream.withColumn("event_time", TS.event_time()), 3_600_000)
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    batch = CH.parsed_readings(spark.read.schema(SRC.MESSAGE).json(landing)).withColumn("event_time", TS.event_time())
+    watermark = batch.agg(F.max("event_time")).first()[0]
+    expected = TS.sample_interval(batch, 3_600_000).where(F.col("window_end") <= F.lit(watermark))
+    assert spark_bag(spark.read.parquet(f"{base}/out")) == spark_bag(expected)
