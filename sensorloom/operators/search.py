@@ -60,13 +60,24 @@ def query_terms(queries: DataFrame, qkey: str = "query_id", qtext: str = "text")
 def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "text",
          dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B,
          small_queries: bool | None = None) -> DataFrame:
+    """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``."""
+    return _bm25(queries, docs, qkey, qtext, dkey, dtext, k1, b, small_queries)[0]
+
+
+def _bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "text",
+          dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B,
+          small_queries: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``.
 
     The corpus is tokenised once.  Every document also emits one sentinel
     term, so the postings shuffle carries the document count and lengths
     with the term frequencies.  Per-term document frequencies are bounded by
     the query vocabulary and broadcast behind its size check."""
-    d = docs.select(dkey, tokens(F.col(dtext)).alias("_tok"))
+    # Documents need an id to be returned.  Stating the filter here also keeps
+    # every branch identical (a join on the id would otherwise add it to one
+    # branch only and split the shared postings exchange).
+    d = docs.where(F.col(dkey).isNotNull()).select(dkey, tokens(F.col(dtext)).alias("_tok"),
+                                                   F.substring(F.col(dtext), 1, SNIPPET_CHARS).alias("_snip"))
     qt = query_terms(queries, qkey, qtext)
     # One size check covers every small side: the vocabulary, the per-term
     # table (vocabulary + 1 rows) and the per-query maxima all have at most
@@ -74,10 +85,18 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str
     small = fits(qt) if small_queries is None else small_queries
     vocab = qt.select("term").distinct()
     keep = vocab.unionByName(vocab.sparkSession.range(1).select(F.lit(DOC_SENTINEL).alias("term")))
-    occ = d.select(dkey, F.size("_tok").alias("dl"),
+    occ = d.select(dkey, F.size("_tok").alias("dl"), "_snip",
                    F.explode(F.concat("_tok", F.array(F.lit(DOC_SENTINEL)))).alias("term"))
     occ = occ.join(F.broadcast(keep) if small else keep, "term", "left_semi")
-    tf = occ.groupBy(dkey, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # The sentinel row of a document also carries its snippet, as a grouping
+    # key (NULL on every other row), so no branch can prune it and all share
+    # one postings exchange: the text is read once.  The snippet branch's
+    # filter also reads ``tf`` (an aggregate output) so it stays above the
+    # aggregate instead of being pushed into that branch alone.
+    snip = F.when(F.col("term") == DOC_SENTINEL, F.col("_snip"))
+    tf = occ.groupBy(dkey, "term", "dl", snip.alias("_snippet")).agg(F.count(F.lit(1)).alias("tf"))
+    snippets = tf.where(F.when(F.col("tf") > 0, F.col("_snippet").isNotNull())) \
+                 .select(dkey, F.col("_snippet").alias("snippet"))
     per_term = tf.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"), F.sum("dl").alias("sdl"),
         F.max(F.col("term") == DOC_SENTINEL).alias("is_sentinel"))
@@ -108,7 +127,7 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     tw = t.select(dkey, "term", w.alias("w"))
     j = tw.join(F.broadcast(qt) if small else qt, "term")
-    return j.groupBy(qkey, dkey).agg(F.sum("w").alias("score"))
+    return j.groupBy(qkey, dkey).agg(F.sum("w").alias("score")), snippets
 
 
 def search_topk(queries: DataFrame, docs: DataFrame, max_results: int = DEFAULT_MAX_RESULTS,
@@ -118,13 +137,13 @@ def search_topk(queries: DataFrame, docs: DataFrame, max_results: int = DEFAULT_
     rounded, ties broken by document id; with a ~200-character snippet."""
     k = clamp(max_results)
     small = fits(query_terms(queries, qkey, kw.get("qtext", "text")))
-    s = bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, small_queries=small, **kw)
+    s, snip = _bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, small_queries=small, **kw)
     mx = s.groupBy(qkey).agg(F.max("score").alias("_mx"))
     # one max per query: at most as many rows as the checked (query, term) pairs
     s = s.join(F.broadcast(mx) if small else mx, qkey).withColumn("score", F.round(F.col("score") / F.col("_mx"), digits)).drop("_mx")
     top = top_k_per_group(s, [qkey], [F.col("score").desc(), F.col(dkey).asc()], k, salt_cols=[qkey, dkey])
-    snip = docs.select(dkey, F.substring(F.col(dtext), 1, SNIPPET_CHARS).alias("snippet"))
-    return top.join(snip, dkey)
+    # snippets come from the postings shuffle (no second read of the text)
+    return top.join(snip, dkey, "left")
 
 
 def clarify(requests: DataFrame, docs: DataFrame, key: str = "request_id", technology: str = "technology",
