@@ -54,14 +54,19 @@ def sampled_stream(readings: DataFrame, interval_ms: int, delay: str = "0 second
     secs = interval_ms // 1000
     r = readings.where(F.col(ts).isNotNull())
     ntz = dict(r.dtypes)[ts] == "timestamp_ntz"
-    if ntz:  # watermarks need TIMESTAMP; bounds are cast back (session time zone)
-        r = r.withColumn(ts, F.col(ts).cast("timestamp"))
+    if ntz:
+        # Watermarks need TIMESTAMP.  Convert by microseconds since the epoch
+        # (no time zone involved), so windows align exactly as on the naive
+        # time whatever the session time zone is.
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        r = r.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts))))
     g = (r.withWatermark(ts, delay)
          .groupBy(key, F.window(ts, f"{secs} seconds").alias("w"))
          .agg(F.max_by(F.col(value), F.struct(ts, tiebreak)).alias(value), F.count(F.lit(1)).alias("n_readings")))
     start, end = F.col("w.start"), F.col("w.end")
     if ntz:
-        start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+        start = F.timestamp_add("MICROSECOND", F.unix_micros(start), epoch)
+        end = F.timestamp_add("MICROSECOND", F.unix_micros(end), epoch)
     return g.select(key, start.alias("window_start"), end.alias("window_end"), value, "n_readings")
 
 

@@ -108,3 +108,19 @@ def test_stream_sampling_emits_closed_windows_across_batches(spark, fx):
     watermark = batch.agg(F.max("event_time")).first()[0]
     expected = TS.sample_interval(batch, 3_600_000).where(F.col("window_end") <= F.lit(watermark))
     assert spark_bag(spark.read.parquet(f"{base}/out")) == spark_bag(expected)
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from conftest import SF_SMALL
+
+    from __spark_entry__ import queries
+    names = ["stream_sampled", "sampled", "envelope_opcua", "mqtt_topic"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        base = {n: spark_bag(queries()[n](spark, SF_SMALL)) for n in names}
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")  # +05:30: not a whole hour
+        for n in names:
+            assert spark_bag(queries()[n](spark, SF_SMALL)) == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
