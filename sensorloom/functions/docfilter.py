@@ -164,7 +164,7 @@ def _ops(f: _Field, spec: dict) -> Column:
                 parts.append(_safe(f.col.rlike(pattern)))
         elif op == "$size":
             parts.append(_false() if f.missing or not isinstance(f.dtype, T.ArrayType)
-                         else _safe(F.size(f.col) == int(v)))
+                         else _safe(F.when(f.col.isNotNull(), F.size(f.col) == int(v))))
         elif op == "$all":
             if f.missing or not isinstance(f.dtype, T.ArrayType):
                 parts.append(_false())

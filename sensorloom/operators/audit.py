@@ -97,7 +97,8 @@ def plan_status(plans: DataFrame, key: str = "doc_id", body: str = "body",
     missing = F.array_compact(F.array(*[F.when(F.try_variant_get(v, f"$.{f}", "string").isNull(), F.lit(f))
                                         for f in required]))
     tech = p["technology_lower"]
-    nq = F.coalesce(F.size(p["clarification_questions"]), F.lit(0))
+    qs = p["clarification_questions"]
+    nq = F.coalesce(F.when(qs.isNotNull(), F.size(qs)), F.lit(0))  # size(NULL) is -1 without ANSI
     bad = v.isNull() | (F.size(missing) > 0)
     status = F.when(bad, "error").when(nq > 0, "clarification_needed").otherwise("success")
     path = F.when(~bad & (nq == 0), F.concat(F.lit("generated/"), tech, F.lit("/"), tech, F.lit("_server.py")))
