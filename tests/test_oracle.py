@@ -4,10 +4,9 @@ import pytest
 
 from helpers import bag, spark_bag
 
-from __spark_entry__ import oracle_sql, queries
+from sensorloom.plans.catalog import ORACLE, QUERIES
 
-NAMES = sorted(queries())
-ORACLE = oracle_sql()
+NAMES = sorted(QUERIES)
 
 
 def test_every_query_has_an_oracle():
@@ -18,7 +17,7 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     from conftest import SF_SMALL
-    df = queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     res = duck.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(res.columns)
     assert spark_bag(df) == bag(res.columns, res.fetchall())
