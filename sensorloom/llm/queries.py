@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import decontam, ngram_join, packing, quality, secret_scan
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -25,3 +26,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def _joined(spans, only=None):
+    """kind:start:end of spans in their order, comma-joined."""
+    if only:
+        spans = F.filter(spans, lambda s: s["kind"].isin(*only))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _n(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op4_secret_scans(spark, sf_dir):
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = ("assign", "access", "hex")
+    return found.select("doc_id", *[_n("secrets", k) for k in base], F.sha2(_joined("secrets", base), 256).alias("base_sha256"),
+                        _joined("secrets").alias("spans"), F.expr("array_max(transform(secrets, s -> s.score))").alias("top_score"))
+
+
+@query
+def op5_hierarchical_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
+
+
+def held_out():
+    return (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+
+
+@query
+def op8_quality_neighbours(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.training_part(table(spark, sf_dir, "labels")))
+    return quality.score_documents(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "score", "predicted") \
+        .select("doc_id", held_out(), "score", "predicted")
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LLM_ORACLE["op10_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM benchmark),
+bl AS (SELECT item_id, w, least(len(w), 13) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM bl)),
+dk AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bl) WHERE len(w) >= k),
+dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM dk),
+m AS (SELECT doc_id, item_id, dg.k, i FROM dg JOIN bw ON dg.k = bw.k AND dg.g = bw.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
