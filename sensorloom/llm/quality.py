@@ -159,7 +159,6 @@ def score_udf(spark, model: Model):
                     p = part.slice(i, 512)
                     out[at + i:at + i + len(p)] = shared.value.score(features(p))
             yield pa.array(np.clip(out, 0, 1))
-    from collections.abc import Iterator  # noqa: PLC0415  the type hints are read by Spark
     return F.arrow_udf(run, "double")
 
 
