@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, quality, secret_scan
+from . import decontam, langid, ngram_join, packing, pii, quality, secret_scan, sketch, warc
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -87,3 +87,46 @@ def op10_benchmark_decontamination(spark, sf_dir):
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+LLM_ORACLE["op2_legacy_archives"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m
+"""
+
+
+@query
+def op2_legacy_archives(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_personal_data(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_n("found", k) for k in pii.BASE], F.sha2(_joined("found", pii.BASE), 256).alias("base_sha256"),
+                        _joined("found").alias("spans"))
+
+
+@query
+def op6_language_backoff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_part(docs))
+    return langid.identify(docs, model).select("doc_id", held_out(), "lang_pred", "score")
+
+
+@query
+def op9_scaled_sketch(spark, sf_dir):
+    rows = sketch.with_next(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next.sketch").alias("next_sketch"))
+    rows = rows.select("*", sketch.sketch(F.col("edited")).alias("edited_sketch"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.as_text(F.col("sketch")).alias("fingerprint"),
+                       sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+                       sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                       sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+                       sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("share_in_edited"))
