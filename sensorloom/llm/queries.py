@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngram_join, packing, pii, quality, secret_scan, sketch, warc
+from . import chaining, decontam, langid, ngram_join, packing, pii, quality, secret_scan, sketch, warc
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -130,3 +130,8 @@ def op9_scaled_sketch(spark, sf_dir):
                        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
                        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
                        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("share_in_edited"))
+
+
+@query
+def op7_collinear_chains(spark, sf_dir):
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
