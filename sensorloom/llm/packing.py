@@ -87,6 +87,12 @@ class Encoder:
         return [self.whole(t) if s is None else self.whole(s[0]) + b"".join(map(get, s[1:])) for t, s in zip(texts, split)]
 
 
+def _cut(piece: tuple, lo: int, hi: int | None) -> tuple:
+    """Tokens ``lo`` to ``hi`` of a piece."""
+    doc, start, ids, total = piece
+    return doc, start + lo, ids[4 * lo:None if hi is None else 4 * hi], total
+
+
 class Packer:
     """Packs pieces (document, start, ids, tokens of the document); ``out`` gets rows."""
 
@@ -124,31 +130,34 @@ class Packer:
     def _pack(self, last: bool) -> None:
         # by length; equal ones in order of arrival, never compared further
         pool = sorted(((len(p[2]) // 4, i, p) for i, p in enumerate(self.pool)), key=lambda x: x[:2])
-        serial = len(pool)
+        serial, total = len(pool), self.held
         left = []
+
+        def put_back(n: int, piece: tuple) -> None:
+            nonlocal serial
+            insort(pool, (n, serial, piece), key=lambda x: x[:2])
+            serial += 1
+
         for tier in self.tiers:
             short = tier // 2 if tier > self.tiers[-1] else 0
-            while pool and pool[-1][0] > short:
-                if sum(x[0] for x in pool[-64:]) < tier and sum(x[0] for x in pool) < tier:
-                    break  # too little for another window of this tier
+            while pool and pool[-1][0] > short and total >= tier:
                 size, _, piece = pool.pop()
+                if size > tier:  # left over from a longer tier
+                    put_back(size - tier, _cut(piece, tier, None))
+                    size, piece = tier, _cut(piece, 0, tier)
                 window, gap = [piece], tier - size
-                while gap and pool:
+                while gap:
                     i = bisect_right(pool, gap, key=lambda x: x[0])
                     if i:  # the largest that fits
                         n, _, p = pool.pop(i - 1)
                     else:  # cut the shortest
                         n, _, p = pool.pop(0)
-                        rest = (p[0], p[1] + gap, p[2][4 * gap:], p[3])
-                        insort(pool, (n - gap, serial, rest), key=lambda x: x[:2])
-                        serial += 1
-                        n, p = gap, (p[0], p[1], p[2][:4 * gap], p[3])
+                        put_back(n - gap, _cut(p, gap, None))
+                        n, p = gap, _cut(p, 0, gap)
                     window.append(p)
                     gap -= n
-                if gap:
-                    left += window
-                    break
                 self._emit(window)
+                total -= tier
         left += [x[2] for x in pool]
         self.pool, self.held = left, sum(len(p[2]) // 4 for p in left)
         if last and self.held:

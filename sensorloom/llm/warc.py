@@ -3,8 +3,8 @@
 ARC files (version 1 and 2) name their record fields in the version block; a record is one header
 line, whose last field is the declared length, and so many bytes.  The
 converter parses both versions by those fields and makes WARC records: ids from the
-place in the archive, timestamps from the 14-digit date, types from URL scheme
-and repeats, SHA-1 digests from the payload.
+place in the archive, timestamps from the 14-digit date, types from the block (an
+HTTP message or not) and repeats, SHA-1 digests from the payload.
 
 Archives are written by Spark's text writer (a record per row, the record
 separator as line separator, gzip), so they go through the session's file
@@ -181,11 +181,10 @@ def _parse_arc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows, held = [], 0
             name = os.path.basename(path)
             for r in arc_records(content):
-                http = r["URL"].startswith(("http:", "https:", "-")) and r["block"].startswith(b"HTTP/")
-                head, payload = split_http(r["block"]) if http else (b"", r["block"])
+                head, payload = split_http(r["block"])
                 page = header(head, ID_HEADER)
                 rows.append((f"<urn:uuid:{uuid.uuid5(SPACE, name + ':' + str(r['number']))}>", int(page) if page and re.fullmatch(r"-?\d+", page) else None, r["URL"],
-                             r["IP-address"], timestamp(r["Archive-date"]), "response" if http else "resource", r["Content-type"],
+                             r["IP-address"], timestamp(r["Archive-date"]), "response" if head else "resource", r["Content-type"],
                              head.decode("latin-1"), payload, len(payload), hashlib.sha1(payload).hexdigest()))
                 held += len(payload)
                 if held > 8 << 20 or len(rows) >= 2000:
@@ -282,7 +281,7 @@ def _parse_warc(with_payload: bool):
                 rows, held = [], 0
                 for fields, block in warc_records(content):
                     kind = fields.get("warc-type", "")
-                    head, payload = split_http(block)
+                    head, payload = split_http(block) if fields.get("content-type", "").startswith("application/http") else (b"", block)
                     page, to = header(head, ID_HEADER), fields.get(REFERS_HEADER.lower())
                     label = fields.get("warc-payload-digest", "")
                     declared = base64.b32decode(label[5:]).hex() if label.startswith("sha1:") else None
