@@ -39,7 +39,7 @@ BYTE_VALUE = stream(256, 1)
 STEP = U64(0x9E3779B97F4A7C15)
 
 
-def blocks(arr: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def blocks(arr: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a string array of about ``max_bytes`` each (one text at least),
     with the index of their first row; nulls become empty texts."""
     arr = arr.fill_null("") if arr.null_count else arr
@@ -88,14 +88,23 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.hash = self._hash(LOWER[data[word]])
 
-    def _hash(self, low: np.ndarray) -> np.ndarray:
+    def _hash(self, low: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+        """Hashes of the words, about ``step`` bytes at a time to bound the memory."""
         size = self.end - self.start
+        out = np.zeros(len(size), U64)
         if not len(size):
-            return np.zeros(0, U64)
+            return out
         begin = np.cumsum(size) - size
         power = np.cumprod(np.full(int(size.max()), STEP | U64(1), U64))
-        place = np.arange(len(low), dtype=np.int64) - np.repeat(begin, size)
-        return mix(np.add.reduceat(BYTE_VALUE[low] * power[place], begin) + size.astype(U64))
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + step)))
+            at, n = begin[i:j] - begin[i], size[i:j]
+            part = low[begin[i]:begin[j - 1] + n[-1]]
+            place = np.arange(len(part)) - np.repeat(at, n)
+            out[i:j] = mix(np.add.reduceat(BYTE_VALUE[part] * power[place], at) + n.astype(U64))
+            i = j
+        return out
 
     def __len__(self) -> int:
         return len(self.start)
