@@ -13,6 +13,7 @@ Tasks pack their own partition: no shuffle, and a pool of bounded size in memory
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_right, insort
@@ -31,43 +32,88 @@ PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, se
           "window long, step_group long")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int64()), ("step_group", pa.int64())])
-ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |^\s|\s\Z")
 WORD_GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Spaces other than a blank or a line end, ASCII ones first.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f" + "".join(c for c in map(chr, range(128, 0x3001)) if c.isspace())
+#: Words of marks, Latin letters and line ends, which all versions of Unicode class alike.
+PLAIN = re.compile(r"[\n!-~\u00C0-\u024F]+")
+
+
+def odd_spaces(text: str) -> bool:
+    """Whether a blank of the text may stand beside another space or at an end."""
+    if "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
+        return True
+    return any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE))
+
+
+def fast_encoder(tok):
+    """The same byte-level BPE by tiktoken, from the same vocabulary; None where its merges are not in the order of their ids."""
+    import tiktoken
+    spec = json.loads(tok.to_str())
+    pre = spec["pre_tokenizer"] or {}
+    if spec["model"]["type"] != "BPE" or spec["normalizer"] or (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    vocab = tok.get_vocab(with_added_tokens=False)
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    ids = [vocab["".join(m)] for m in pairs]
+    if ids != sorted(set(ids)) or len(vocab) != len(ids) + 256:
+        return None
+    byte_of = {c: b for b, c in enumerate(_byte_letters())}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: that of byte-level BPE
+    return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
 class Encoder:
     """Token ids (little-endian uint32 bytes) of texts, by a byte-level tokenizer file.
 
-    A single space between two non-spaces always begins a new word of such a
+    A single blank between two non-spaces always begins a new word of such a
     tokenizer, so texts are encoded word by word, and words seen before come from
-    a cache of bounded size.  Texts that hold a special token's string are encoded whole."""
+    a cache of bounded size.  New words of plain letters go through ``fast_encoder``, which has the
+    same ids; texts that hold a special token's string are encoded whole."""
 
     def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.opens = np.zeros(self.tok.get_vocab_size() + 1, bool)  # ids whose token begins with a space
+        self.opens = np.zeros(self.tok.get_vocab_size() + 1, bool)  # ids whose token begins with a blank
         for token, i in self.tok.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
+        self.fast = fast_encoder(self.tok) or self.slow
         self.words: dict[str, bytes] = {}
         self.max_words = max_words
 
+    def slow(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array((self.fast if PLAIN.fullmatch(text) else self.slow)(text), "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of ' ' + word for each word, encoded together and parted where a token opens with a space."""
-        for i in range(0, len(words), 2000):
-            part = words[i:i + 2000]
-            ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+        """Ids of ' ' + word for each word: plain words together, parted where a token opens with a blank."""
+        plain = PLAIN.fullmatch
+        odd = [w for w in words if not plain(w)]
+        words = [w for w in words if plain(w)]
+        for i in range(0, len(words), 1000):
+            part = words[i:i + 1000]
+            ids = np.array(self.fast(" " + " ".join(part)), "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(part) and at[0] == 0:
-                for w, x in zip(part, np.split(ids, at[1:])):
-                    self.words[w] = x.tobytes()
+                data = ids.tobytes()
+                at = (at * 4).tolist()
+                self.words.update(zip(part, (data[a:b] for a, b in zip(at, [*at[1:], len(data)]))))
             else:
-                for w in part:
-                    self.words[w] = self.whole(" " + w)
+                odd += part
+        for w in odd:
+            self.words[w] = np.array(self.slow(" " + w), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -75,7 +121,7 @@ class Encoder:
             if not t or any(s in t for s in self.special):
                 split.append(None)
             else:
-                split.append(WORD_GAP.split(t) if ODD_SPACE.search(t) else t.split(" "))
+                split.append(WORD_GAP.split(t) if odd_spaces(t) else t.split(" "))
         used = set()
         for s in split:
             if s:
@@ -84,7 +130,7 @@ class Encoder:
             self.words = {w: self.words[w] for w in used & self.words.keys()}
         self._learn([w for w in used if w not in self.words])
         get = self.words.__getitem__
-        return [self.whole(t) if s is None else self.whole(s[0]) + b"".join(map(get, s[1:])) for t, s in zip(texts, split)]
+        return [np.array(self.slow(t), "<u4").tobytes() if s is None else self.whole(s[0]) + b"".join(map(get, s[1:])) for t, s in zip(texts, split)]
 
 
 def _cut(piece: tuple, lo: int, hi: int | None) -> tuple:
