@@ -11,61 +11,100 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import blocks
+
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words of a text, cached per task, up to this many.
+#: Words whose scores a task keeps, at most.
 CACHE = 300_000
 
 
 @dataclass
 class Model:
-    """Log probabilities per language (columns as ``langs``) of words and of n-grams by length."""
+    """Log probabilities per language (columns as ``langs``): ``rows`` of the table by word, and
+    by n-gram for each length; the row before the last is zero, the last the prior."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
-    prior: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.cache.get(w)
-        if got is None:
-            got = self.words.get(w)
-            if got is None:
-                got = self.back_off(w)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(w) <= 64:
-                self.cache[w] = got
-        return got
-
-    def back_off(self, w: str) -> np.ndarray:
-        """Mean over the longest n-grams of the word that any language knows, else shorter ones."""
-        padded = f" {w} "
-        for n in range(len(self.grams), 0, -1):
-            table = self.grams[n - 1]
-            hits = [v for v in (table.get(padded[i:i + n]) for i in range(len(padded) - n + 1)) if v is not None]
+    words: dict[str, int]
+    grams: list[dict[str, int]]
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], prior: np.ndarray) -> Model:
+        rows: list[np.ndarray] = []
+
+        def placed(part: dict[str, np.ndarray]) -> dict[str, int]:
+            out = {k: len(rows) + i for i, k in enumerate(part)}
+            rows.extend(part.values())
+            return out
+        words, grams = placed(words), [placed(g) for g in grams]
+        return cls(langs, words, grams, np.array([*rows, np.zeros(len(langs)), prior]).reshape(len(rows) + 2, len(langs)))
+
+
+class Scorer:
+    """Predicts batches of texts; keeps the scores of the words met so far, a bounded number."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.reset()
+
+    def reset(self) -> None:
+        self.at: dict[str, int] = dict(self.model.words)
+        self.scores = self.model.table[:-1]
+        self.size = len(self.scores)
+
+    def back_off(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of the word that any language knows, else of shorter ones."""
+        padded = f" {word} "
+        for n in range(len(self.model.grams), 0, -1):
+            get = self.model.grams[n - 1].get
+            hits = [r for r in [get(padded[i:i + n]) for i in range(len(padded) - n + 1)] if r is not None]
             if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior); ``und`` and 0 for a text without letters or an untrained model.
+                return hits
+        return [len(self.model.table) - 2]
+
+    def learn(self, words: list[str]) -> None:
+        """An unseen word scores the mean of its n-grams."""
+        hits = [self.back_off(w) for w in words]
+        size = np.array([len(h) for h in hits])
+        flat = self.model.table[np.fromiter(chain.from_iterable(hits), np.int64, int(size.sum()))]
+        mean = np.add.reduceat(flat, np.cumsum(size) - size) / size[:, None]
+        if self.size + len(mean) > len(self.scores):
+            more = np.zeros((max(len(mean), len(self.scores)), flat.shape[1]))
+            self.scores = np.concatenate([self.scores[:self.size], more])
+        self.scores[self.size:self.size + len(mean)] = mean
+        self.at.update(zip(words, range(self.size, self.size + len(mean))))
+        self.size += len(mean)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text; ``und`` and 0 for one without letters or an untrained model.
         Equal scores go to the first language by name."""
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
-        if not counts or not self.langs:
-            return "und", 0.0
-        total = self.prior.copy()
-        for w, c in counts.items():
-            total += c * self.word(w)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if not self.model.langs or not any(found):
+            return [("und", 0.0)] * len(texts)
+        if len(self.at) > CACHE + len(self.model.words):
+            self.reset()
+        new = list(dict.fromkeys(w for words in found for w in words if w not in self.at))
+        if new:
+            self.learn(new)
+        get = self.at.__getitem__
+        out = []
+        for words in found:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            rows = np.fromiter(map(get, words), np.int64, len(words))
+            total = self.scores[rows].sum(axis=0) + self.model.table[-1]
+            best = int(total.argmax())
+            out.append((self.model.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())))
+        return out
 
 
 def _logs(rows: list, langs: list[str], smooth: float = 0.5) -> dict[str, np.ndarray]:
@@ -121,7 +160,7 @@ def fit(docs: DataFrame, *, max_docs: int = 800, max_words: int = 30_000, max_gr
     langs = sorted({r.lang for r in top})
     by_n = [_logs([(r.lang, r.item, r["count"]) for r in top if r.n == n], langs) for n in range(max_n + 1)]
     prior = np.array([math.log(size[x] / sum(size.values())) for x in langs])
-    return Model(langs, by_n[0], by_n[1:], prior)
+    return Model.of(langs, by_n[0], by_n[1:], prior)
 
 
 def training_part(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -135,8 +174,9 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
         for texts in batches:
-            got = [shared.value.predict(t.as_py()) for t in texts]
+            got = [g for _, part in blocks(texts, 1 << 20) for g in scorer.predict(part.to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang", "score"])
     out = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(run, "struct<lang:string,score:double>")(F.col(text_col)).alias("p"))
     return out.select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

@@ -18,20 +18,30 @@ def test_held_out_accuracy(spark, docs):
 def test_back_off_and_odd_texts(spark, odd):
     train = spark.createDataFrame([(1, "the thing and that", "en"), (2, "der die und nicht", "de"), (3, None, "de"), (4, "x", None), (None, "y", "fr")], "doc_id long, text string, lang string")
     m = L.fit(train)
+    predict = lambda t: L.Scorer(m).predict([t])[0]
     assert m.langs == ["de", "en"]
-    assert m.predict("nicht")[0] == "de" and m.predict("thethat")[0] == "en"
-    assert m.predict("nichtund")[0] == "de"  # unseen word, known n-grams
-    assert m.predict(None) == m.predict("") == m.predict("12 !") == ("und", 0.0)
+    assert predict("nicht")[0] == "de" and predict("thethat")[0] == "en"
+    assert predict("nichtund")[0] == "de"  # unseen word, known n-grams
+    assert predict(None) == predict("") == predict("12 !") == ("und", 0.0)
     rows = L.identify(odd, m).collect()
     assert len(rows) == odd.count()
     by = {r.doc_id: r.lang_pred for r in rows}
     assert by[1] == by[2] == by[3] == "und" and by[8] in ("de", "en")
     assert L.identify(odd.limit(0), m).count() == 0
     none = L.fit(train.limit(0))
-    assert none.predict("word") == ("und", 0.0)
+    assert L.Scorer(none).predict(["word", None]) == [("und", 0.0)] * 2
 
 
 def test_longest_known_gram_wins():
     import numpy as np
-    m = L.Model(["a", "b"], {}, [{"x": np.array([0.0, -9.0])}, {"xy": np.array([-9.0, 0.0])}], np.zeros(2))
-    assert m.predict("xy")[0] == "b" and m.predict("xz")[0] == "a" and m.predict("q")[0] == "a"
+    m = L.Model.of(["a", "b"], {}, [{"x": np.array([0.0, -9.0])}, {"xy": np.array([-9.0, 0.0])}], np.zeros(2))
+    assert [p for p, _ in L.Scorer(m).predict(["xy", "xz", "q"])] == ["b", "a", "a"]
+
+
+def test_a_full_cache_changes_nothing(monkeypatch, texts, spark, docs):
+    m = L.fit(docs)
+    want = L.Scorer(m).predict(list(texts.values()))
+    monkeypatch.setattr(L, "CACHE", 5)
+    s = L.Scorer(m)
+    got = [s.predict([t])[0] for t in texts.values()]
+    assert [g[0] for g in got] == [w[0] for w in want] and max(abs(a[1] - b[1]) for a, b in zip(got, want)) < 1e-9
