@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.llm import decontam, ngram_join, packing, quality, secret_scan
-from sensorloom.llm.shared import shared_table
+from sensorloom.llm.shared import let_workers_import, shared_table
 
 #: No stage but the last but one has rows that plain SQL gives (a fitted model, MinHash
 #: candidates, a tokenizer); tests hold each stage against a brute-force version.
@@ -59,6 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder."""
+    let_workers_import(spark)
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))

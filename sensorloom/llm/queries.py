@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chaining, decontam, langid, ngram_join, packing, pii, quality, secret_scan, sketch, warc
+from .shared import let_workers_import
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
 
 
 def query(fn):
-    LLM_QUERIES[fn.__name__] = fn
-    return fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        return fn(spark, sf_dir)
+    LLM_QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
