@@ -84,7 +84,9 @@ def rpc_pairs(requests: DataFrame, responses: DataFrame, timeout_s: int = RPC_TI
 # -- JSON verdicts ---------------------------------------------------------------
 
 # Fixed value: required fields of a generation plan.
-PLAN_REQUIRED = ("technology_lower", "technology_pascal", "default_port", "server_instructions")
+PLAN_REQUIRED = ("technology_lower", "technology_pascal", "default_port", "server_instructions", "tools")
+# Types other than text; a value of another type counts as missing.
+PLAN_TYPES = {"default_port": "int", "tools": "array<variant>"}
 
 
 def plan_status(plans: DataFrame, key: str = "doc_id", body: str = "body",
@@ -94,7 +96,7 @@ def plan_status(plans: DataFrame, key: str = "doc_id", body: str = "body",
     the rendered file ``generated/<tech>/<tech>_server.py``."""
     v = F.try_parse_json(F.col(body))
     p = F.from_json(F.col(body), PLAN)
-    missing = F.array_compact(F.array(*[F.when(F.try_variant_get(v, f"$.{f}", "string").isNull(), F.lit(f))
+    missing = F.array_compact(F.array(*[F.when(F.try_variant_get(v, f"$.{f}", PLAN_TYPES.get(f, "string")).isNull(), F.lit(f))
                                         for f in required]))
     tech = p["technology_lower"]
     qs = p["clarification_questions"]
@@ -113,10 +115,11 @@ def review_verdicts(reviews: DataFrame, key: str = "review_id", body: str = "bod
     r = F.from_json(F.col(body), REVIEW)
     issues = F.coalesce(r["issues"], F.array().cast(REVIEW["issues"].dataType))
     parsed = F.try_parse_json(F.col(body)).isNotNull() & r["approved"].isNotNull() & r["summary"].isNotNull()
-    enums_ok = F.forall(issues, lambda i: i["severity"].isin(*SEVERITIES) & i["criterion"].isin(*CRITERIA)
+    no = F.lit(False)  # a NULL field fails its test
+    enums_ok = F.forall(issues, lambda i: F.coalesce(i["severity"].isin(*SEVERITIES), no) & F.coalesce(i["criterion"].isin(*CRITERIA), no)
                         & i["description"].isNotNull() & i["fix"].isNotNull())
-    valid = parsed & enums_ok
-    has_critical = F.exists(issues, lambda i: i["severity"] == "critical")
+    valid = F.coalesce(parsed & enums_ok, no)
+    has_critical = F.exists(issues, lambda i: F.coalesce(i["severity"] == "critical", no))
     return reviews.select(
         key, valid.alias("valid"), F.when(valid, r["approved"]).otherwise(F.lit(False)).alias("approved"),
         has_critical.alias("has_critical"),
@@ -138,13 +141,15 @@ def review_intake(requests: DataFrame, files: DataFrame, key: str = "request_id"
     """Checks before a file is reviewed, in order: no path, missing file,
     not ``.py``, empty (whitespace only).  Failing rows get approved=false
     and the reason; passing rows have NULL approved (they go to review)."""
-    f = files.select(F.col("path").alias("_fpath"), "content")
+    # only whether it is empty goes through the join, not the content
+    f = files.select(F.col("path").alias("_fpath"), (F.regexp_replace(F.col("content"), r"\s", "") == "").alias("_empty"))
     j = requests.join(f, F.col("path") == F.col("_fpath"), "left")
     suffix = F.regexp_extract(F.regexp_extract(F.col("path"), r"([^/]*)$", 1), r"[^.](\.[^.]*)$", 1)
+    # The texts of the four reasons.
     reason = (F.when(F.col("path").isNull() | (F.col("path") == ""), F.lit("No file path provided"))
               .when(F.col("_fpath").isNull(), F.concat(F.lit("File not found: "), F.col("path")))
               .when(suffix != ".py", F.concat(F.lit("Expected a .py file, got: "), suffix))
-              .when(F.regexp_replace(F.col("content"), r"\s", "") == "", F.lit("File is empty.")))
+              .when(F.col("_empty"), F.lit("File is empty.")))
     return j.select(key, "path", F.when(reason.isNotNull(), F.lit(False)).alias("approved"), reason.alias("reason"))
 
 

@@ -139,7 +139,7 @@ def preprocessing_flags(flat: DataFrame, key: str = "submodel_id") -> DataFrame:
     in ``review_needed`` (comma-separated)."""
     p = F.col("path")
     for pre in FLAG_PREFIXES:
-        p = F.when(p.startswith(pre), F.substring(p, len(pre) + 1, 1 << 20)).otherwise(p)
+        p = F.when(p.startswith(pre), F.substring(p, F.lit(len(pre) + 1), F.length(p))).otherwise(p)
     f = flat.select(key, p.alias("fpath"), "value").where(F.col("fpath").isin(*FLAG_PATHS))
     piv = f.groupBy(key).pivot("fpath", list(FLAG_PATHS)).agg(F.max("value"))
     raw = {name: F.nullif(F.trim(F.col(f"`{path}`")), F.lit("")) for path, name in FLAG_PATHS.items()}
@@ -218,7 +218,8 @@ def payload_violations(payloads: DataFrame, key: str, json_col: str) -> DataFram
 
 def lang_strings_to_map(arr: Column) -> Column:
     """``[{language, text}]`` -> ``MAP<language, text>`` (last wins)."""
-    return F.map_from_entries(F.transform(arr, lambda e: F.struct(e["language"], e["text"])))
+    last = F.filter(arr, lambda e, i: ~F.exists(F.slice(arr, i + 2, F.size(arr)), lambda later: later["language"].eqNullSafe(e["language"])))
+    return F.map_from_entries(F.transform(F.filter(last, lambda e: e["language"].isNotNull()), lambda e: F.struct(e["language"], e["text"])))
 
 
 def reference_key(ref: Column, which: str = "first") -> Column:

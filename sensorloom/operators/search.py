@@ -133,17 +133,18 @@ def _bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: st
 def search_topk(queries: DataFrame, docs: DataFrame, max_results: int = DEFAULT_MAX_RESULTS,
                 qkey: str = "query_id", dkey: str = "doc_id", dtext: str = "text", digits: int = 4,
                 **kw) -> DataFrame:
-    """Top hits per query: score max-normalised to [0, 1] per query and
-    rounded, ties broken by document id; with a ~200-character snippet."""
+    """Top hits per query: score max-normalised to [0, 1] per query, ranked
+    as it is (but for floating-point noise), ties broken by document id, and
+    rounded to ``digits`` for display only; with a ~200-character snippet."""
     k = clamp(max_results)
     small = fits(query_terms(queries, qkey, kw.get("qtext", "text")))
     s, snip = _bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, small_queries=small, **kw)
     mx = s.groupBy(qkey).agg(F.max("score").alias("_mx"))
     # one max per query: at most as many rows as the checked (query, term) pairs
-    s = s.join(F.broadcast(mx) if small else mx, qkey).withColumn("score", F.round(F.col("score") / F.col("_mx"), digits)).drop("_mx")
+    s = s.join(F.broadcast(mx) if small else mx, qkey).withColumn("score", F.round(F.col("score") / F.col("_mx"), 10)).drop("_mx")
     top = top_k_per_group(s, [qkey], [F.col("score").desc(), F.col(dkey).asc()], k, salt_cols=[qkey, dkey])
     # snippets come from the postings shuffle (no second read of the text)
-    return top.join(snip, dkey, "left")
+    return top.withColumn("score", F.round("score", digits)).join(snip, dkey, "left")
 
 
 def clarify(requests: DataFrame, docs: DataFrame, key: str = "request_id", technology: str = "technology",

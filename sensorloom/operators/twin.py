@@ -16,27 +16,34 @@ from .ordered import prev_by_key
 
 
 def enrich_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame,
-                  scoped: DataFrame | None = None) -> DataFrame:
+                  scoped: DataFrame | None = None, on_missing: str = "keep") -> DataFrame:
     """One row per (shell, reference) with the resolved submodel columns.
 
+    ``on_missing``: a dangling reference is kept and marked ("keep"), left out ("skip") or ends the job ("error").
+
     Resolution: the submodel as seen under the shell (``scoped``, keyed by
     shell_id + submodel_id) else the standalone submodel; ``resolved`` is
     false for a dangling reference.  Shells without references keep one row
     with NULL submodel.  References without a key (NULL id) are skipped."""
     r = refs.where(F.col("submodel_id").isNotNull())
-    sm = submodels.select("submodel_id", *[F.col(c).alias(f"sm_{c}") for c in submodels.columns
-                                           if c != "submodel_id"])
+    sm = submodels.select("submodel_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"sm_{c}") for c in submodels.columns
+                                                                      if c != "submodel_id"])
     j = r.join(sm, "submodel_id", "left")
     if scoped is not None:
-        sc = scoped.select("shell_id", "submodel_id", *[F.col(c).alias(f"sc_{c}") for c in scoped.columns
+        sc = scoped.select("shell_id", "submodel_id", F.lit(True).alias("_scoped"), *[F.col(c).alias(f"sc_{c}") for c in scoped.columns
                                                         if c not in ("shell_id", "submodel_id")])
         j = j.join(sc, ["shell_id", "submodel_id"], "left")
         for c in submodels.columns:
             if c != "submodel_id" and f"sc_{c}" in j.columns:
-                j = j.withColumn(f"sm_{c}", F.coalesce(F.col(f"sc_{c}"), F.col(f"sm_{c}"))).drop(f"sc_{c}")
-    first = sm.columns[1] if len(sm.columns) > 1 else None
-    resolved = F.col(first).isNotNull() if first else F.lit(True)
-    j = j.withColumn("resolved", resolved)
+                j = j.withColumn(f"sm_{c}", F.when(F.col("_scoped"), F.col(f"sc_{c}")).otherwise(F.col(f"sm_{c}"))).drop(f"sc_{c}")
+        j = j.withColumn("_hit", F.coalesce("_scoped", "_hit")).drop("_scoped")
+    # a hit is a matched row, whatever its columns hold
+    j = j.withColumn("resolved", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+    if on_missing == "error":
+        missing = F.concat(F.lit("submodel not found: "), F.col("submodel_id"))
+        j = j.withColumn("resolved", F.when(F.col("resolved"), True).otherwise(F.raise_error(missing).cast("boolean")))
+    elif on_missing == "skip":
+        j = j.where("resolved")
     return shells.join(j, "shell_id", "left")
 
 
@@ -87,16 +94,25 @@ def export_pending(shells: DataFrame, exported: DataFrame, key: str = "shell_id"
     return shells.join(exported.select(key), key, "left_anti")
 
 
+def export_documents(shells: DataFrame, refs: DataFrame, submodels: DataFrame, exported: DataFrame) -> DataFrame:
+    """One document per pending shell: its columns, ``submodels`` (the resolved ones, by id) and the number of dangling
+    references.  A shell without resolvable submodels has an empty array.  A document holds its shell's content
+    whole, as a file of it would; only that much is gathered into one row."""
+    pending = export_pending(shells, exported)
+    e = enrich_shells(pending, refs, submodels)
+    names = [c for c in e.columns if c.startswith("sm_")]
+    content = F.array_sort(F.collect_list(F.when(F.col("resolved"), F.struct("submodel_id", *[F.col(c).alias(c[3:]) for c in names]))))
+    keep = [c for c in shells.columns if c != "shell_id"]
+    return e.groupBy("shell_id", *keep).agg(content.alias("submodels"), F.count(F.when(~F.col("resolved"), 1)).alias("n_dangling"))
+
+
 def export_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame, exported: DataFrame,
                   path: str, fmt: str = "json") -> None:
     """Write one document per pending shell with its resolved submodels.
 
-    Rows are written long (shell x submodel) partitioned by nothing but the
-    commit protocol: a failed job leaves no partial output (all-or-nothing)
-    and ``append`` never overwrites earlier exports."""
-    pending = export_pending(shells, exported)
-    e = enrich_shells(pending, refs, submodels).where(F.col("resolved") | F.col("submodel_id").isNull())
-    e.write.mode("append").format(fmt).save(path)
+    A failed job leaves no partial output (all-or-nothing) and ``append``
+    never overwrites earlier exports."""
+    export_documents(shells, refs, submodels, exported).write.mode("append").format(fmt).save(path)
 
 
 def orphans(submodels: DataFrame, refs: DataFrame, template_refs: DataFrame | None = None) -> DataFrame:
@@ -121,25 +137,48 @@ def idshort_collisions(submodels: DataFrame, id_short: str = "id_short") -> Data
             .where(F.col("n_submodels") > 1))
 
 
+def accepted_links(refs: DataFrame, submodels: DataFrame, links: DataFrame) -> DataFrame:
+    """Link requests with ``accepted``: the submodel exists, no shell has it yet, and of several requests for
+    it in one batch the one of the smallest shell id wins (a submodel belongs to one shell)."""
+    free = (links.select("submodel_id").distinct().join(submodels.select("submodel_id"), "submodel_id", "left_semi")
+            .join(refs.select("submodel_id"), "submodel_id", "left_anti"))
+    winner = links.join(free, "submodel_id", "left_semi").groupBy("submodel_id").agg(F.min("shell_id").alias("_winner"))
+    out = links.join(winner, "submodel_id", "left")
+    return out.withColumn("accepted", F.coalesce(F.col("shell_id") == F.col("_winner"), F.lit(False))).drop("_winner")
+
+
 def apply_links(refs: DataFrame, submodels: DataFrame, links: DataFrame, unlinks: DataFrame) -> DataFrame:
-    """Link requests (submodel must exist and not be linked elsewhere yet)
-    added, unlink requests removed; the submodels themselves stay."""
+    """Accepted link requests (see ``accepted_links``) added, unlink requests
+    removed; the submodels themselves stay."""
     pairs = ["shell_id", "submodel_id"]
-    valid = (links.select(*pairs).join(submodels.select("submodel_id"), "submodel_id", "left_semi")
-             .join(refs.select("submodel_id"), "submodel_id", "left_anti"))
+    valid = accepted_links(refs, submodels, links.select(*pairs)).where("accepted").select(*pairs)
     added = refs.select(*pairs).unionByName(valid).dropDuplicates(pairs)
     return added.join(unlinks.select(*pairs), pairs, "left_anti")
 
 
-def change_log_state(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
-    """Current state from a create/replace/patch/delete log: the last op of
-    each id unless it is a delete.  ``max_by`` is a partial aggregate, so a
-    hot id combines map-side instead of landing in one task."""
-    payload = [c for c in log.columns if c not in (key, seq)]
-    last = log.groupBy(key).agg(F.max_by(F.struct(F.col(seq), *[F.col(c) for c in payload]), F.col(seq))
-                                .alias("_l"))
-    out = last.select(key, *[F.col(f"_l.{c}").alias(c) for c in [seq, *payload]])
-    return out.where(F.col("op") != "delete")
+def change_log_state(log: DataFrame, key: str = "id", seq: str = "seq", path: str | None = None,
+                     seq_bucket_bits: int = 20) -> DataFrame:
+    """Current state from a create/replace/patch/delete log, as the store would hold it.
+
+    A create of a live id is refused (409) and a patch of an id that is not live too (404), so neither changes
+    anything; replace writes the whole value, live or not.  Each live id has the last op applied to it, or with
+    ``path`` a row for the whole value (NULL path) and one for the last patch of each path since.
+
+    Whether an id is live is decided by its ops other than patches alone: the previous one, by the bucketed lag.
+    The rest are partial aggregates (``max_by``), so a hot id combines map-side instead of landing in one task."""
+    rest = [c for c in log.columns if c not in (key, seq)]
+    whole = log.where(F.col("op") != "patch")
+    p = prev_by_key(whole, key, [seq], F.shiftright(F.col(seq), seq_bucket_bits), ["op"])
+    refused = (F.col("op") == "create") & F.col("has_prev") & (F.col("prev_op") != "delete")
+    done = p.where(~refused).select(*log.columns)
+    pick = lambda df, *by: df.groupBy(*by).agg(F.max_by(F.struct(seq, *rest), F.col(seq)).alias("_l")) \
+        .select(by[0], F.col(f"_l.{seq}").alias(seq), *[F.col(f"_l.{c}").alias(c) for c in rest])
+    base = pick(done, key).where(F.col("op") != "delete")
+    since = base.select(F.col(key).alias("_k"), F.col(seq).alias("_from"))
+    patches = log.where(F.col("op") == "patch").join(since, (F.col(key) == F.col("_k")) & (F.col(seq) > F.col("_from"))).drop("_k", "_from")
+    if path is None:
+        return pick(base.unionByName(patches), key)
+    return base.withColumn(path, F.lit(None).cast(base.schema[path].dataType)).unionByName(pick(patches, key, path))
 
 
 def change_log_conflicts(log: DataFrame, key: str = "id", seq: str = "seq",

@@ -8,7 +8,7 @@ from ..operators import elements as EL
 from ..operators import rules as RU
 from .registry import register
 
-SM = "'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0')"
+SM = "'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(8, length(CAST(p_partkey AS VARCHAR))) AS INT), '0')"
 FLAG = "CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END"
 N = "CAST(NULL AS VARCHAR)"
 # Expected flattened rows, generated from the part keys (4 per part).

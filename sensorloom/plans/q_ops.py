@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as SC
 from ..operators import ops as OP
-from .q_elements import bridge_requests
 from .registry import register
 
-SERVERS = ("opcua", "kafka", "docstore", "aasx", "docker", "dashboard", "websearch")
-
 
 def pipelines(fx):
     k = F.col("s_suppkey").cast("string")
@@ -25,9 +22,9 @@ def deployed_pipelines(fx):
 
 
 def tool_registry(fx):
-    """Tool names exposed per server namespace (from the call log)."""
-    server = F.element_at(F.array(*[F.lit(s) for s in SERVERS]), (F.col("user_id") % len(SERVERS) + 1).cast("int"))
-    return fx.events.select(server.alias("server"), F.col("event_type").alias("tool"))
+    """Tools per server namespace: the event types of the customers of each nation."""
+    users = fx.customer.join(fx.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower("n_name").alias("server"))
+    return fx.events.join(users, F.col("user_id") == F.col("c_custkey")).select("server", F.col("event_type").alias("tool"))
 
 
 def connector_status_docs(fx):
@@ -96,29 +93,26 @@ def sink_health(fx):
     return OP.sink_health(connector_status_docs(fx))
 
 
-SERVERS_SQL = "[" + ", ".join(f"'{s}'" for s in SERVERS) + "]"
+TOOLS_SQL = """(SELECT lower(n_name) AS server, event_type AS tool FROM events
+  JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 @register("capabilities", f"""
-SELECT server, count(DISTINCT tool) AS n_tools, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools
-FROM (SELECT {SERVERS_SQL}[user_id % 7 + 1] AS server, event_type AS tool FROM events) GROUP BY server
+SELECT server, count(DISTINCT tool) AS n_tools, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM {TOOLS_SQL} GROUP BY server
 """)
 def capabilities(fx):
     return OP.capabilities(tool_registry(fx))
 
 
 @register("gap_analysis", f"""
-WITH b AS (SELECT ['opcua','mqtt','modbus','http','tcp','coap'][o_custkey % 6 + 1] AS src,
-  ['kafka','http','mqtt','tcp','modbus','amqp'][o_orderkey % 6 + 1] AS tgt FROM orders),
-tech AS (SELECT src AS technology FROM b UNION SELECT tgt FROM b),
-srv AS (SELECT DISTINCT {SERVERS_SQL}[user_id % 7 + 1] AS server FROM events)
+WITH tech AS (SELECT DISTINCT ' ' || n_name AS technology FROM nation UNION SELECT DISTINCT p_brand FROM part),
+srv AS (SELECT DISTINCT server FROM {TOOLS_SQL})
 SELECT t.technology, s.server AS covered_by, s.server IS NULL AS gap
 FROM tech t LEFT JOIN srv s ON regexp_replace(lower(trim(t.technology)), '[^a-z0-9]', '', 'g') = regexp_replace(lower(trim(s.server)), '[^a-z0-9]', '', 'g')
 """)
 def gap_analysis(fx):
-    b = bridge_requests(fx)
-    tech = b.select(F.col("source_protocol").alias("technology")).unionByName(
-        b.select(F.col("target_protocol").alias("technology")))
+    """Technologies (nations and brands) against the server namespaces in use."""
+    tech = fx.nation.select(F.concat(F.lit(" "), "n_name").alias("technology")).unionByName(fx.part.select(F.col("p_brand").alias("technology")))
     return OP.gap_analysis(tech, tool_registry(fx))
 
 

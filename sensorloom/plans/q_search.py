@@ -19,8 +19,8 @@ dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT tf.doc_id, tf.term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (1.2 + 1) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w
       FROM tf JOIN dfreq USING (term) CROSS JOIN stats),
 s AS (SELECT q.query_id, w.doc_id, sum(w.w) AS score FROM w JOIN q USING (term) GROUP BY ALL),
-n AS (SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 4) AS score FROM s),
-r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM n)"""
+n AS (SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 10) AS exact FROM s),
+r AS (SELECT query_id, doc_id, round(exact, 4) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY exact DESC, doc_id) AS INTEGER) AS rank FROM n)"""
 
 
 @register("hits_clean", """

@@ -14,7 +14,6 @@ from ..streaming import sources as SRC
 from ..streaming import stateful as ST
 from .registry import register
 
-STREAM_TIMEOUT_S = 600
 DEPLOYED = {"cleansing": True, "normalization": True}
 
 PARSED_SQL = """parsed AS (
@@ -37,10 +36,7 @@ def land(fx, base: str) -> str:
 
 
 def _await(q):
-    q.awaitTermination(STREAM_TIMEOUT_S)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {q.name} did not finish in {STREAM_TIMEOUT_S}s")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
@@ -110,6 +106,6 @@ def stream_sink(fx):
     processed = R.preprocess(_readings_stream(fx, landing), cleansing=True, normalization=True).df
     q = ST.document_sink(processed, f"{base}/collection", f"{base}/ckpt", "processed", ["offset_id"])
     _await(q)
-    return fx.spark.read.parquet(f"{base}/collection").drop("batch_id")
+    return fx.spark.read.parquet(f"{base}/collection").drop("stream", "batch_id")
 
 

@@ -10,9 +10,9 @@ from .registry import register
 
 
 def link_requests(fx):
-    """New link requests (second line items of large orders)."""
+    """New link requests (second line items)."""
     li = fx.lineitem
-    return (li.where((F.col("l_linenumber") == 2) & (F.col("l_quantity") > 45))
+    return (li.where(F.col("l_linenumber") == 2)
             .select(shell_iri("l_suppkey").alias("shell_id"), submodel_iri("l_partkey").alias("submodel_id")))
 
 
@@ -27,8 +27,8 @@ def exported_manifest(fx):
     return fx.supplier.where(F.col("s_acctbal") > 5000).select(shell_iri("s_suppkey").alias("shell_id"))
 
 
-LINKS_SQL = """(SELECT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS shell_id,
-  'https://example.com/ids/sm/0000_0000_' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS submodel_id
+LINKS_SQL = """(SELECT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(4, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') AS shell_id,
+  'https://example.com/ids/sm/0000_0000_' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(8, length(CAST(l_partkey AS VARCHAR))) AS INT), '0') AS submodel_id
   FROM lineitem WHERE {w})"""
 
 
@@ -60,19 +60,19 @@ def dangling_refs(fx):
 
 @register("lookup_shells", """
 SELECT k.shell_id, s.id_short, s.s_suppkey, s.shell_id IS NOT NULL AS found
-FROM (SELECT DISTINCT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 4, '0') AS shell_id
+FROM (SELECT DISTINCT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(4, length(CAST(o_custkey AS VARCHAR))) AS INT), '0') AS shell_id
       FROM orders) k
 LEFT JOIN shells s ON k.shell_id = s.shell_id
 """, ["shells"])
 def lookup_shells(fx):
-    keys = fx.orders.select(shell_iri(F.col("o_custkey") % 1000).alias("shell_id")).distinct()
+    keys = fx.orders.select(shell_iri("o_custkey").alias("shell_id")).distinct()
     return TW.lookup(keys, fx.shells(), "shell_id")
 
 
 @register("lookup_scoped", f"""
 SELECT k.shell_id, k.submodel_id, m.id_short, m.semantic_group, m.price,
   (r.shell_id IS NOT NULL AND m.submodel_id IS NOT NULL) AS found
-FROM {LINKS_SQL.format(w="l_linenumber = 2 AND l_quantity > 45")} k
+FROM {LINKS_SQL.format(w="l_linenumber = 2")} k
 LEFT JOIN (submodel_refs r JOIN submodels m ON r.submodel_id = m.submodel_id)
   ON k.shell_id = r.shell_id AND k.submodel_id = r.submodel_id
 """, ["submodel_refs", "submodels"])
@@ -82,12 +82,28 @@ def lookup_scoped(fx):
 
 @register("export_pending", """
 SELECT s.* FROM shells s WHERE s.shell_id NOT IN (
-  SELECT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') FROM supplier WHERE s_acctbal > 5000)
+  SELECT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR))) AS INT), '0') FROM supplier WHERE s_acctbal > 5000)
 """, ["shells"])
 def export_pending(fx):
     return TW.export_pending(fx.shells(), exported_manifest(fx))
 
 
+@register("export_documents", """
+SELECT s.shell_id, s.id_short, s.s_suppkey, count(r.submodel_id) - count(m.submodel_id) AS n_dangling, count(m.submodel_id) AS n_submodels,
+  coalesce(string_agg(m.submodel_id || '=' || coalesce(m.id_short, 'none'), ',' ORDER BY m.submodel_id), '') AS submodels
+FROM shells s LEFT JOIN submodel_refs r ON s.shell_id = r.shell_id
+LEFT JOIN (SELECT submodel_id, CASE WHEN semantic_group = 'Brand#11' THEN NULL ELSE id_short END AS id_short FROM submodels) m ON r.submodel_id = m.submodel_id
+WHERE s.shell_id NOT IN (SELECT shell_id FROM shells JOIN supplier USING (s_suppkey) WHERE s_acctbal > 5000)
+GROUP BY s.shell_id, s.id_short, s.s_suppkey
+""", ["shells", "submodel_refs", "submodels"])
+def export_documents(fx):
+    """One document per pending shell; a whole brand of submodels has no idShort."""
+    sm = fx.submodels().withColumn("id_short", F.when(F.col("semantic_group") == "Brand#11", None).otherwise(F.col("id_short")))
+    d = TW.export_documents(fx.shells(), fx.submodel_refs(), sm.select("submodel_id", "id_short"), exported_manifest(fx))
+    text = F.transform("submodels", lambda m: F.concat(m["submodel_id"], F.lit("="), F.coalesce(m["id_short"], F.lit("none"))))
+    return d.select("shell_id", "id_short", "s_suppkey", "n_dangling", F.size("submodels").cast("long").alias("n_submodels"), F.array_join(text, ",").alias("submodels"))
+
+
 @register("orphans", """
 SELECT m.* FROM submodels m WHERE NOT EXISTS (SELECT 1 FROM submodel_refs r WHERE r.submodel_id = m.submodel_id)
 """, ["submodels", "submodel_refs"])
@@ -112,8 +128,9 @@ def dup_idshort(fx):
 
 @register("link_unlink", f"""
 WITH valid AS (
-  SELECT DISTINCT k.shell_id, k.submodel_id FROM {LINKS_SQL.format(w="l_linenumber = 2 AND l_quantity > 45")} k
-  WHERE k.submodel_id IN (SELECT submodel_id FROM submodels) AND k.submodel_id NOT IN (SELECT submodel_id FROM submodel_refs)),
+  SELECT min(k.shell_id) AS shell_id, k.submodel_id FROM {LINKS_SQL.format(w="l_linenumber = 2")} k
+  WHERE k.submodel_id IN (SELECT submodel_id FROM submodels) AND k.submodel_id NOT IN (SELECT submodel_id FROM submodel_refs)
+  GROUP BY k.submodel_id),
 added AS (SELECT shell_id, submodel_id FROM submodel_refs UNION SELECT shell_id, submodel_id FROM valid)
 SELECT a.shell_id, a.submodel_id FROM added a
 WHERE NOT EXISTS (SELECT 1 FROM {LINKS_SQL.format(w="l_linenumber = 1 AND l_quantity > 40 AND l_discount >= 0.08")} u
@@ -124,8 +141,12 @@ def link_unlink(fx):
 
 
 @register("change_log_state", """
-SELECT id, seq, op, body FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM change_log)
-WHERE rn = 1 AND op <> 'delete'
+WITH w AS (SELECT *, LAG(op) OVER (PARTITION BY id ORDER BY seq) AS prev FROM change_log WHERE op <> 'patch'),
+f AS (SELECT * FROM w WHERE NOT (op = 'create' AND prev IS NOT NULL AND prev <> 'delete')),
+b AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM f) WHERE rn = 1 AND op <> 'delete'),
+a AS (SELECT id, seq, op, body FROM b UNION ALL
+  SELECT c.id, c.seq, c.op, c.body FROM change_log c JOIN b ON c.id = b.id AND c.seq > b.seq WHERE c.op = 'patch')
+SELECT id, seq, op, body FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM a) WHERE rn = 1
 """, ["change_log"])
 def change_log_state(fx):
     return TW.change_log_state(fx.change_log())

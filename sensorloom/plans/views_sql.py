@@ -18,16 +18,16 @@ SELECT event_id AS offset_id,
 FROM events
 """,
     "shells": """
-SELECT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(s_suppkey AS STRING), 4, '0') AS shell_id,
+SELECT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(s_suppkey AS STRING), CAST(greatest(4, length(CAST(s_suppkey AS STRING))) AS INT), '0') AS shell_id,
   s_name AS id_short, s_suppkey FROM supplier
 """,
     "submodel_refs": """
-SELECT DISTINCT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(l_suppkey AS STRING), 4, '0') AS shell_id,
-  'https://example.com/ids/sm/0000_0000_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS submodel_id
+SELECT DISTINCT 'https://example.com/ids/aas/0000_0000_0000_' || lpad(CAST(l_suppkey AS STRING), CAST(greatest(4, length(CAST(l_suppkey AS STRING))) AS INT), '0') AS shell_id,
+  'https://example.com/ids/sm/0000_0000_' || lpad(CAST(l_partkey AS STRING), CAST(greatest(8, length(CAST(l_partkey AS STRING))) AS INT), '0') AS submodel_id
 FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40
 """,
     "submodels": """
-SELECT 'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS STRING), 8, '0') AS submodel_id,
+SELECT 'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS STRING), CAST(greatest(8, length(CAST(p_partkey AS STRING))) AS INT), '0') AS submodel_id,
   p_type AS id_short, p_brand AS semantic_group, p_retailprice AS price FROM part WHERE p_partkey % 10 <> 3
 """,
     "nodes": """
@@ -81,7 +81,7 @@ FROM nation CROSS JOIN (SELECT 1 AS rank, 'Collection' AS stage, 'PreProcess' AS
 SELECT o_custkey AS id, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'replace' WHEN 2 THEN 'patch' ELSE 'delete' END AS op, o_orderpriority AS body FROM orders
 """,
     "element_trees": """
-SELECT 'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS STRING), 8, '0') AS submodel_id,
+SELECT 'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS STRING), CAST(greatest(8, length(CAST(p_partkey AS STRING))) AS INT), '0') AS submodel_id,
   '[{"modelType":"SubmodelElementCollection","idShort":"Cleansing","value":[{"modelType":"Property","idShort":"Enabled","valueType":"xs:boolean","value":"'
   || CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END || '"}]},{"modelType":"Range","idShort":"Size","valueType":"xs:int","min":"0","max":"' || CAST(p_size AS STRING)
   || '"},{"modelType":"Property","idShort":"Brand","valueType":"xs:string","value":"' || p_brand || '"}]' AS elements_json FROM part

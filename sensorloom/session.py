@@ -45,7 +45,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        # Only reached when the cluster names no folder (unit tests).
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One machine (unit tests): its own folder will do.
         path = tempfile.mkdtemp(prefix="sensorloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:  # classic sessions: RDD checkpoints (DataFrame.checkpoint) use the same folder

@@ -21,12 +21,17 @@ def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def _padded(key, digits: int) -> Column:
+    """At least ``digits`` digits; ``lpad`` alone would cut longer keys."""
+    return F.lpad(_s(key), F.greatest(F.lit(digits), F.length(_s(key))), F.lit("0"))
+
+
 def shell_iri(key) -> Column:
-    return F.concat(F.lit(SHELL_PREFIX), F.lpad(_s(key), 4, "0"))
+    return F.concat(F.lit(SHELL_PREFIX), _padded(key, 4))
 
 
 def submodel_iri(key) -> Column:
-    return F.concat(F.lit(SUBMODEL_PREFIX), F.lpad(_s(key), 8, "0"))
+    return F.concat(F.lit(SUBMODEL_PREFIX), _padded(key, 8))
 
 
 class Fixtures(Tables):
@@ -69,7 +74,7 @@ class Fixtures(Tables):
                         .otherwise(body).alias("value"))
 
     def asset_flags(self) -> DataFrame:
-        n = F.substring(F.col("asset_id"), 7, 1 << 20).cast("int")
+        n = F.expr("substring(asset_id, 7)").cast("int")
         return (self.readings().where(F.col("asset_id").isNotNull())
                 .select("asset_id", (n % 2 == 0).alias("cleansing"), (n % 3 == 0).alias("imputation"),
                         (n % 5 != 0).alias("normalize"), (n % 7 == 0).alias("transformation"))

@@ -30,10 +30,20 @@ def checkpoint_for(spark: SparkSession, source: str, sink: str, steps: list[str]
 def parsed_readings(messages: DataFrame) -> DataFrame:
     """Raw message stream -> readings (malformed rows dropped here; use
     ``split_readings`` directly to keep the rejects)."""
-    good, _ = split_readings(messages, keep=("offset_id",))
+    good, _ = split_readings(messages, keep=message_id(messages))
     return good
 
 
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """Malformed rows of the message stream, with their message id (for a rejects sink)."""
+    return split_readings(messages, keep=message_id(messages))[1]
+
+
+def message_id(messages: DataFrame) -> tuple[str, ...]:
+    """Columns that identify a message: offsets repeat between topics and partitions."""
+    return tuple(c for c in ("topic", "partition", "offset_id") if c in messages.columns)
+
+
 def stages(readings: DataFrame, flags: dict, source_schema: dict | None = None) -> dict[str, DataFrame]:
     """Every intermediate stage of the chain by name (for taps)."""
     out = {"raw": readings}
@@ -67,20 +77,22 @@ def start_chain(spark: SparkSession, messages: DataFrame, sink_path: str, flags:
     ckpt = checkpoint or checkpoint_for(spark, source_name, sink_path, result.steps)
     if fmt == "kafka":
         # processed readings as JSON messages keyed by the source offset
-        msgs = to_json_messages(result.df, key_cols=["offset_id"])
+        msgs = to_json_messages(result.df, key_cols=list(message_id(messages)))
         w = (msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
              .option("topic", sink_topic).option("checkpointLocation", ckpt).outputMode("append"))
     elif not taps:
         w = result.df.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", ckpt) \
                                  .outputMode("append")
     else:
+        own = "stream=" + hashlib.sha256(ckpt.encode()).hexdigest()[:16]  # streams may share a sink
+
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             batch.persist()
             try:
                 st = stages(batch, flags)
-                st["processed"].write.mode("overwrite").format(fmt).save(os.path.join(sink_path, f"batch_id={batch_id}"))
+                st["processed"].write.mode("overwrite").format(fmt).save(os.path.join(sink_path, own, f"batch_id={batch_id}"))
                 for name, path in taps.items():
-                    st[name].write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch_id={batch_id}"))
+                    st[name].write.mode("overwrite").format(fmt).save(os.path.join(path, own, f"batch_id={batch_id}"))
             finally:
                 batch.unpersist()
 

@@ -3,6 +3,7 @@ RPC timeouts, and an idempotent document sink."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -87,12 +88,15 @@ def document_sink(df: DataFrame, collection_path: str, checkpoint: str, namespac
                   dedupe_on: str | None = None, dedupe_delay: str = "10 minutes"):
     """Continuous append of a stream into a collection.  Document ids are a
     hash of (namespace, key columns), and each micro-batch overwrites only
-    its own ``batch_id=N`` folder: a replayed batch replaces itself instead
-    of duplicating documents."""
+    its own ``stream=S/batch_id=N`` folder, S being a hash of namespace and
+    checkpoint: a replayed batch replaces itself instead of duplicating
+    documents, and streams that share a collection, or a redeployment with a
+    new checkpoint, never overwrite one another."""
+    stream = hashlib.sha256(f"{namespace}\x01{checkpoint}".encode()).hexdigest()[:16]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         docs = with_doc_id(batch, deterministic_from=key_cols, namespace=namespace)
-        docs.write.mode("overwrite").format(fmt).save(os.path.join(collection_path, f"batch_id={batch_id}"))
+        docs.write.mode("overwrite").format(fmt).save(os.path.join(collection_path, f"stream={stream}", f"batch_id={batch_id}"))
 
     if dedupe_on:
         # drop redelivered messages (same key) that arrive within the delay

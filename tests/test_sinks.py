@@ -45,13 +45,22 @@ def test_document_sink_replay_is_idempotent(spark, fx):
     q.awaitTermination(300)
     first = spark.read.parquet(f"{base}/coll").drop("batch_id")
     n = first.count()
-    # replay the same input with a fresh checkpoint into the same folders:
-    # batch folders are overwritten, ids are the same
-    q = ST.document_sink(stream, f"{base}/coll", f"{base}/ckpt2", "r", ["offset_id"])
-    q.awaitTermination(300)
-    again = spark.read.parquet(f"{base}/coll").drop("batch_id")
-    assert again.count() == n
-    assert again.select("_id").distinct().count() == n
+    # the same stream again has nothing new to add
+    ST.document_sink(stream, f"{base}/coll", f"{base}/ckpt", "r", ["offset_id"]).awaitTermination()
+    assert spark.read.parquet(f"{base}/coll").count() == n
+    # another stream into the same collection overwrites nothing
+    ST.document_sink(stream, f"{base}/coll", f"{base}/ckpt2", "other", ["offset_id"]).awaitTermination()
+    both = spark.read.parquet(f"{base}/coll")
+    assert both.count() == 2 * n and both.select("_id").distinct().count() == 2 * n
+
+
+def test_messages_of_two_partitions_stay_apart(spark):
+    from sensorloom.streaming import chain as CH
+    rows = [("t", p, o, '{"source_type":"mqtt","asset_id":"a","timestamp":"2024-01-01 00:00:00","quality":"good","value":"1","unit":null}') for p in (0, 1) for o in range(3)]
+    msgs = spark.createDataFrame([*rows, ("t", 1, 3, "{broken")], "topic string, partition int, offset_id long, value string")
+    good = CH.parsed_readings(msgs)
+    assert good.select("topic", "partition", "offset_id").distinct().count() == 6
+    assert [(r.partition, r.offset_id, r.raw_value) for r in CH.rejected_messages(msgs).collect()] == [(1, 3, "{broken")]
 
 
 def test_chain_taps_write_every_stage(spark, fx):
@@ -68,7 +77,7 @@ def test_chain_taps_write_every_stage(spark, fx):
     q.awaitTermination(300)
     batch = CH.parsed_readings(spark.read.schema(SRC.MESSAGE).json(landing))
     expect = R.preprocess(batch, **flags).df
-    got = spark.read.parquet(f"{base}/processed").drop("batch_id")
+    got = spark.read.parquet(f"{base}/processed").drop("stream", "batch_id")
     assert sorted(got.columns) == sorted(expect.columns)
     assert got.count() == expect.count()
     assert spark.read.parquet(f"{base}/cleansed").count() == R.cleanse(batch).count()
