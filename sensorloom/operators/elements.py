@@ -2,9 +2,9 @@
 
 A tree arrives as JSON text (the submodel's ``submodelElements``).  One
 submodel is one document, so its tree is bounded by a row; it is parsed
-once into a VARIANT and unrolled to ``max_depth`` levels inside the row
-with higher-order functions, then exploded: one scan, no shuffle, no
-driver loop.
+once into a VARIANT and unrolled some levels inside the row with
+higher-order functions, then exploded: one scan, no shuffle; only trees
+that are deeper go on level by level.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 # AAS V3 model types.
 CONTAINER_TYPES = ("SubmodelElementCollection", "SubmodelElementList", "Entity",
@@ -79,37 +81,83 @@ def common_attributes(el: Column) -> list[Column]:
     ]
 
 
+def typed_fields(el: Column) -> list[Column]:
+    """Fields that single element types have besides the value: references as their last key (RelationshipElement,
+    BasicEventElement, value ids), event settings, entity and list attributes; and the JSON type of the value."""
+    ref = lambda field: F.try_variant_get(el, f"$.{field}.keys", "array<struct<type: string, value: string>>")
+    last = lambda field, name: F.try_element_at(ref(field), F.lit(-1))["value"].alias(name)
+    plain = {"direction": "direction", "state": "state", "messageTopic": "message_topic", "minInterval": "min_interval", "maxInterval": "max_interval",
+             "entityType": "entity_type", "globalAssetId": "global_asset_id", "typeValueListElement": "list_element_type",
+             "valueTypeListElement": "list_value_type", "orderRelevant": "order_relevant"}
+    return [last("first", "first_key"), last("second", "second_key"), last("observed", "observed_key"), last("valueId", "value_id_key"),
+            *[_get(el, f).alias(n) for f, n in plain.items()],
+            F.schema_of_variant(F.try_variant_get(el, "$.value", "variant")).alias("value_kind")]
+
+
+def element_rejects(df: DataFrame, key: str = "submodel_id", json_col: str = "elements_json") -> DataFrame:
+    """Submodels whose element JSON cannot be read as an array: ``key, raw_value, reason``."""
+    v = F.try_parse_json(F.col(json_col))
+    reason = F.when(F.col(json_col).isNull(), "missing").when(v.isNull(), "broken JSON") \
+              .when(F.try_variant_get(v, "$", _VARR).isNull(), "not an array")
+    return df.select(key, F.col(json_col).alias("raw_value"), reason.alias("reason")).where("reason is not null")
+
+
+def _levels(df: DataFrame, key: str, json_col: str, unroll: int) -> DataFrame:
+    """Nodes of the levels 0 to ``unroll``, built inside the row and exploded once."""
+    top = f"coalesce(try_variant_get(try_parse_json(`{json_col}`), '$', '{_VARR}'), {_EMPTY})"
+    level0 = (f"transform({top}, (e0, i0) -> named_struct('path', {_get_sql('e0', 'idShort')}, "
+              f"'parent_path', cast(NULL AS STRING), 'depth', 0, 'pos', i0, 'el', e0))")
+    cur = df.select(key, F.expr(level0).alias("_l0"))
+    for d in range(1, unroll + 1):
+        cur = cur.withColumn(f"_l{d}", F.expr(_level_sql(d)))
+    return cur.select(key, F.explode(F.concat(*[F.col(f"_l{d}") for d in range(unroll + 1)])).alias("n"))
+
+
+def _below(nodes: DataFrame, key: str) -> DataFrame:
+    """Children of nodes, one level down, as nodes."""
+    x = F.col("x")
+    kids = nodes.select(key, F.col("n").alias("x"), F.posexplode(F.expr(_children_sql("n.el", "w"))).alias("i", "c"))
+    path = F.when(_get(x["el"], "modelType") == "SubmodelElementList", F.concat(x["path"], F.lit("["), F.col("i").cast("string"), F.lit("]"))) \
+            .otherwise(F.concat(x["path"], F.lit("."), _get(F.col("c"), "idShort")))
+    return kids.select(key, F.struct(path.alias("path"), x["path"].alias("parent_path"), (x["depth"] + 1).alias("depth"),
+                                     F.col("i").alias("pos"), F.col("c").alias("el")).alias("n"))
+
+
 def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "elements_json",
-                     max_depth: int = 8, with_common: bool = False) -> DataFrame:
+                     unroll: int = 8, with_common: bool = False, with_typed: bool = False) -> DataFrame:
     """Rows ``key, path, parent_path, depth, pos, id_short, model_type,
-    value_type, value, min, max, content_type`` for every element.
+    value_type, value, min, max, content_type`` for every element, at any depth.
 
     Single pass: the tree is parsed once into a VARIANT; level k+1 is built
     from level k inside the row with ``transform``/``flatten`` (one
     projection per level, each computed once), then all levels are
     concatenated and exploded.  No union of re-scanned levels, no shuffle.
-    A tree deeper than ``max_depth`` raises instead of being cut."""
-    top = f"coalesce(try_variant_get(try_parse_json(`{json_col}`), '$', '{_VARR}'), {_EMPTY})"
-    level0 = (f"transform({top}, (e0, i0) -> named_struct('path', {_get_sql('e0', 'idShort')}, "
-              f"'parent_path', cast(NULL AS STRING), 'depth', 0, 'pos', i0, 'el', e0))")
-    cur = df.select(key, F.expr(level0).alias("_l0"))
-    for d in range(1, max_depth + 1):
-        cur = cur.withColumn(f"_l{d}", F.expr(_level_sql(d)))
-    too_deep = F.expr(f"exists(_l{max_depth}, z -> size({_children_sql('z.el', 'w')}) > 0)")
-    allv = F.concat(*[F.col(f"_l{d}") for d in range(max_depth + 1)])
-    guarded = F.when(too_deep, F.raise_error(F.lit(f"element tree deeper than max_depth={max_depth}"))) \
-               .otherwise(allv)
-    n = cur.select(key, F.explode(guarded).alias("n"))
+    Trees deeper than ``unroll`` (looked for only among texts with that many arrays) go on level by
+    level from a checkpoint of their lowest nodes.  An element without ``modelType`` is a Property."""
+    nodes = _levels(df, key, json_col, unroll)
+    text = F.col(json_col)
+    maybe = df.where(F.length(text) - F.length(F.replace(text, F.lit("["))) > unroll)
+    low = _levels(maybe, key, json_col, unroll).where(F.col("n.depth") == unroll)
+    more = _below(low, key)
+    if not more.isEmpty():
+        ensure_checkpoint_dir(df.sparkSession)
+        while True:
+            more = more.checkpoint(eager=True)
+            if more.isEmpty():
+                break
+            nodes = nodes.unionByName(more)
+            more = _below(more, key)
+    n = nodes.select(key, "n")
     el = F.col("n.el")
-    is_container = _get(el, "modelType").isin(*CONTAINER_TYPES)
+    model_type = F.coalesce(_get(el, "modelType"), F.lit("Property"))
     return n.select(
         key, F.col("n.path").alias("path"), F.col("n.parent_path").alias("parent_path"),
         F.col("n.depth").alias("depth"), F.col("n.pos").alias("pos"), _get(el, "idShort").alias("id_short"),
-        _get(el, "modelType").alias("model_type"), _get(el, "valueType").alias("value_type"),
-        F.when(~is_container, F.coalesce(_get(el, "value"), F.to_json(F.try_variant_get(el, "$.value", "variant"))))
+        model_type.alias("model_type"), _get(el, "valueType").alias("value_type"),
+        F.when(~model_type.isin(*CONTAINER_TYPES), F.coalesce(_get(el, "value"), F.to_json(F.try_variant_get(el, "$.value", "variant"))))
          .alias("value"),
         _get(el, "min").alias("min"), _get(el, "max").alias("max"), _get(el, "contentType").alias("content_type"),
-        *(common_attributes(el) if with_common else []))
+        *(common_attributes(el) if with_common else []), *(typed_fields(el) if with_typed else []))
 
 
 def element_values(flat: DataFrame, requests: DataFrame, key: str = "submodel_id") -> DataFrame:
@@ -167,11 +215,13 @@ IDSHORT_SUFFIX = r"_\d{3}$"
 
 
 def element_violations(flat: DataFrame, key: str = "submodel_id") -> DataFrame:
-    """One row per element violating a value rule."""
+    """One row per element violating a value rule.  With the typed fields (``value_kind``) a literal
+    JSON boolean is told from the text that the rule asks for."""
     vt, v = F.col("value_type"), F.col("value")
+    literal = F.col("value_kind").eqNullSafe("BOOLEAN") if "value_kind" in flat.columns else F.lit(False)
     rules = F.array_compact(F.array(
         F.when(vt.isNotNull() & ~vt.startswith("xs:"), F.lit("valuetype_prefix")),
-        F.when((vt == "xs:boolean") & (v.isNull() | ~v.isin("true", "false")), F.lit("boolean_text")),
+        F.when((vt == "xs:boolean") & (v.isNull() | ~v.isin("true", "false") | literal), F.lit("boolean_text")),
         F.when(vt.isin("xs:date", "xs:dateTime") & v.try_cast("timestamp_ntz").isNull(), F.lit("iso_date")),
         F.when((F.col("model_type") == "File") & (v.isNull() | F.col("content_type").isNull()),
                F.lit("file_incomplete")),

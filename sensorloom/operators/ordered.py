@@ -24,6 +24,12 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(carry, cond, "inner")
 
 
+def _all_columns(df: DataFrame) -> Column:
+    """An aggregate that reads every column.  With it (and one that reads a window's output) the summary branch
+    keeps the columns and the exchange of the row branch; without it column pruning would make them differ and scan twice."""
+    return F.max(F.hash(*[F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])).alias("_read")
+
+
 def prev_by_key(df: DataFrame, key: str, order: list[str], bucket: Column, cols: list[str],
                 prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` for each ``c`` in ``cols`` and ``has_prev``.
@@ -36,7 +42,8 @@ def prev_by_key(df: DataFrame, key: str, order: list[str], bucket: Column, cols:
     rows = b.select("*", *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols],
                     F.row_number().over(w).alias("_rn"))
     last_key = F.struct(*[F.col(o) for o in order])
-    summary = rows.groupBy(key, "_b").agg(*[F.max_by(F.col(c), last_key).alias(f"_last_{c}") for c in cols])
+    summary = rows.groupBy(key, "_b").agg(_all_columns(df), F.max("_rn").alias("_n"), *[F.max_by(F.col(c), last_key).alias(f"_last_{c}") for c in cols]) \
+                  .where(F.col("_read").isNotNull() & (F.col("_n") > 0))
     wb = Window.partitionBy(key).orderBy(F.col("_b").asc_nulls_first())
     carry = summary.select(F.col(key).alias(f"_k_{key}"), F.col("_b").alias("_kb"),
                            *[F.lag(f"_last_{c}").over(wb).alias(f"_carry_{c}") for c in cols],
@@ -59,8 +66,8 @@ def running_by_key(df: DataFrame, keys: list[str], order: list[str], bucket: Col
     w = Window.partitionBy(*keys, "_b").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = b.select("*", F.count(F.lit(1)).over(w).alias("_lc"),
                     *[F.max(src).over(w).alias(f"_lm_{o}") for o, src in max_of.items()])
-    summary = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"),
-                                            *[F.max(f"_lm_{o}").alias(f"_m_{o}") for o in max_of])
+    summary = rows.groupBy(*keys, "_b").agg(F.max("_lc").alias("_n"), _all_columns(df),
+                                            *[F.max(f"_lm_{o}").alias(f"_m_{o}") for o in max_of]).where(F.col("_read").isNotNull())
     wb = Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first()) \
                .rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"),
@@ -93,8 +100,8 @@ def run_lengths(df: DataFrame, key: str, order: str, value: str, bucket: Column,
     local_brk = (F.col("_lrank") > 1) & ~F.col("_pv").eqNullSafe(F.col(value))
     rows = rows.withColumn("_lbrk", F.max(F.when(local_brk, F.col("_lrank"))).over(wr))
     summary = rows.groupBy(key, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), F.col(order)).alias("_first"),
-        F.max_by(F.col(value), F.col(order)).alias("_last"), F.max("_lbrk").alias("_max_lbrk"))
+        F.max("_lrank").alias("_n"), _all_columns(df), F.min_by(F.col(value), F.col(order)).alias("_first"),
+        F.max_by(F.col(value), F.col(order)).alias("_last"), F.max("_lbrk").alias("_max_lbrk")).where(F.col("_read").isNotNull())
     wb = Window.partitionBy(key).orderBy(F.col("_b").asc_nulls_first())
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     s = summary.select(key, "_b", "_max_lbrk",

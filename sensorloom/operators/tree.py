@@ -14,30 +14,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 MAX_DEPTH = 5            # fixed value: deepest level browsed (levels 0..5)
 NOT_FOUND = "not found"
 
 
-def browse(edges: DataFrame, start: str | None = None, max_depth: int = MAX_DEPTH,
-           descend: str = "all", materialize: bool = False) -> DataFrame:
+def browse(edges: DataFrame, start: str | None = None, max_depth: int | None = None,
+           descend: str = "all", materialize: bool = True) -> DataFrame:
     """Nodes below ``start`` (children of ``start`` have depth 0).
 
     ``start=None`` browses from the roots (NULL parent).  ``descend='all'``
-    recurses into every child (reader); ``'objects'`` recurses only into
-    Object nodes (bridge).  ``materialize=True`` checkpoints every level to
-    the session's checkpoint folder (reliable checkpoint: survives lost
-    executors), so each level is computed once and the browse stops at the
-    first empty level; use it for very large trees."""
+    recurses into every child (reader, levels 0 to MAX_DEPTH unless said otherwise); ``'objects'`` recurses only into
+    Object nodes (bridge), to any depth unless ``max_depth`` is given.  Every level is checkpointed to the session's
+    checkpoint folder (a reliable checkpoint: survives lost executors), so it is one join on the level above, and
+    the browse stops at the first empty level; a node met before (a cycle) is not met again.
+    ``materialize=False`` (with a limit only) leaves everything to one lazy plan."""
+    if max_depth is None and descend == "all":
+        max_depth = MAX_DEPTH
+    if max_depth is None and not materialize:
+        raise ValueError("an unlimited browse needs its levels materialised")
     e = edges.select("parent_id", "node_id", "name", "node_class", "value")
     lvl = (e.where(F.col("parent_id").isNull()) if start is None else e.where(F.col("parent_id") == start)) \
         .withColumn("depth", F.lit(0))
     if materialize:
+        ensure_checkpoint_dir(edges.sparkSession)
         lvl = lvl.checkpoint(eager=True)
-    out = lvl
-    for d in range(1, max_depth + 1):
+    out, d = lvl, 0
+    while max_depth is None or d < max_depth:
+        d += 1
         frontier = lvl if descend == "all" else lvl.where(F.col("node_class") == "Object")
         lvl = (e.alias("c").join(frontier.select(F.col("node_id").alias("_p")), F.col("c.parent_id") == F.col("_p"))
                .select("c.*").withColumn("depth", F.lit(d)))
+        if max_depth is None:
+            lvl = lvl.join(out.select("node_id"), "node_id", "left_anti").select(*lvl.columns)
         if materialize:
             lvl = lvl.checkpoint(eager=True)
             if lvl.isEmpty():
@@ -65,7 +75,7 @@ def latest_values(readings: DataFrame, key: str = "node_id", value: str = "value
     return readings.groupBy(key).agg(F.max_by(F.col(value), order).alias("latest_value"))
 
 
-def snapshot(edges: DataFrame, readings: DataFrame, start: str | None = None, max_depth: int = MAX_DEPTH,
+def snapshot(edges: DataFrame, readings: DataFrame, start: str | None = None, max_depth: int | None = MAX_DEPTH,
              **kw) -> DataFrame:
     """Current value of every variable under ``start``: the latest reading
     of the node, else the value stored on the node."""

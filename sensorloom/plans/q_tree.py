@@ -19,7 +19,9 @@ def node_browse(fx):
     return TR.browse(fx.nodes()).select("node_id", "name", "node_class", "depth")
 
 
-@register("node_variables", REC.format(start="parent_id IS NULL")
+@register("node_variables", """WITH RECURSIVE t AS (
+  SELECT node_id, name, node_class, value, 0 AS depth FROM nodes WHERE parent_id IS NULL
+  UNION ALL SELECT n.node_id, n.name, n.node_class, n.value, t.depth + 1 FROM nodes n JOIN t ON n.parent_id = t.node_id WHERE t.node_class = 'Object')"""
           + " SELECT node_id, name, value, depth FROM t WHERE node_class = 'Variable'", ["nodes"])
 def node_variables(fx):
     """Variables of the whole tree, recursing into Objects only (bridge)."""

@@ -2,8 +2,6 @@
 
 import json
 
-import pytest
-
 from sensorloom.operators import elements as EL
 
 
@@ -55,9 +53,9 @@ def test_too_deep_raises(spark):
     for i in range(5):
         deep = {"modelType": "SubmodelElementCollection", "idShort": f"c{i}", "value": [deep]}
     df = spark.createDataFrame([("sm", json.dumps([deep]))], "submodel_id string, elements_json string")
-    assert EL.flatten_elements(df, max_depth=5).count() == 6
-    with pytest.raises(Exception, match="deeper than max_depth"):
-        EL.flatten_elements(df, max_depth=3).collect()
+    assert EL.flatten_elements(df, unroll=5).count() == 6
+    whole = sorted(tuple(r) for r in EL.flatten_elements(df, unroll=5).collect())
+    assert sorted(tuple(r) for r in EL.flatten_elements(df, unroll=1).collect()) == whole
 
 
 def test_broken_json_gives_no_rows(spark):
@@ -92,3 +90,24 @@ def test_shell_rules(spark):
     df = spark.createDataFrame(rows, "shell_id string, id_short string, global_asset_id string")
     got = sorted((r.shell_id[-5:], r.rule) for r in EL.shell_violations(df).collect())
     assert got == [("12_34", "global_asset_id"), ("12_34", "id_form"), ("12_34", "idshort_suffix")]
+
+
+def test_default_type_rejects_and_typed_fields(spark):
+    keys = lambda v: {"type": "ModelReference", "keys": [{"type": "Submodel", "value": "s"}, {"type": "Property", "value": v}]}
+    rows = [("a", json.dumps([{"idShort": "P", "valueType": "xs:boolean", "value": True},
+                              {"idShort": "Q", "modelType": "Property", "valueType": "xs:boolean", "value": "true"},
+                              {"idShort": "R", "modelType": "RelationshipElement", "first": keys("x"), "second": keys("y")},
+                              {"idShort": "E", "modelType": "BasicEventElement", "observed": keys("o"), "direction": "input", "state": "on", "messageTopic": "t"}])),
+            ("b", "[broken"), ("c", "{}"), ("d", None)]
+    df = spark.createDataFrame(rows, "submodel_id string, elements_json string")
+    f = {r.path: r for r in EL.flatten_elements(df, with_typed=True).collect()}
+    assert (f["P"].model_type, f["P"].value, f["P"].value_kind) == ("Property", "true", "BOOLEAN")
+    assert (f["R"].first_key, f["R"].second_key) == ("x", "y") and (f["E"].observed_key, f["E"].direction, f["E"].message_topic) == ("o", "input", "t")
+    assert {(r.path, r.rule) for r in EL.element_violations(EL.flatten_elements(df, with_typed=True)).collect()} == {("P", "boolean_text")}
+    assert {r.submodel_id: r.reason for r in EL.element_rejects(df).collect()} == {"b": "broken JSON", "c": "not an array", "d": "missing"}
+
+
+def test_repeated_languages(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([([("en", "a"), ("de", "b"), ("en", "c"), (None, "d")],)], "x array<struct<language:string,text:string>>")
+    assert df.select(EL.lang_strings_to_map(F.col("x"))).first()[0] == {"de": "b", "en": "c"}

@@ -34,3 +34,14 @@ def test_chain_and_filters_have_no_python_or_nested_loops(fx):
     from sensorloom.operators import readings as R
     plan = _final_plan(R.preprocess_by_flags(fx.readings(), fx.asset_flags()))
     assert not re.search(r"ArrowEvalPython|BatchEvalPython|BroadcastNestedLoopJoin|CartesianProduct", plan)
+
+
+def test_bucketed_helpers_scan_and_shuffle_once(fx):
+    from sensorloom.operators import ordered as OD
+    rows = fx.tool_calls()
+    bucket = F.shiftright("seq", 8)
+    for df in (OD.prev_by_key(rows, "run_id", ["seq"], bucket, ["tool"]), OD.running_by_key(rows, ["run_id"], ["seq"], bucket, max_of={"m": "tool"}),
+               OD.run_lengths(rows, "run_id", "seq", "tool", bucket)):
+        plan = _final_plan(df)
+        assert "ReusedExchange" in plan, plan
+        assert len(re.findall(r"FileScan parquet", plan.split("== Final Plan ==")[-1])) == 1, plan

@@ -14,9 +14,18 @@ from sensorloom.streaming import stateful as ST
 
 def test_materialized_browse_equals_plain(fx):
     nodes = fx.nodes()
-    assert spark_bag(TR.browse(nodes, materialize=True)) == spark_bag(TR.browse(nodes))
-    assert spark_bag(TR.browse(nodes, "ns=2;s=R1", descend="objects", materialize=True)) == \
-        spark_bag(TR.browse(nodes, "ns=2;s=R1", descend="objects"))
+    assert spark_bag(TR.browse(nodes)) == spark_bag(TR.browse(nodes, materialize=False))
+    assert spark_bag(TR.browse(nodes, "ns=2;s=R1", descend="objects")) == \
+        spark_bag(TR.browse(nodes, "ns=2;s=R1", max_depth=5, descend="objects", materialize=False))
+
+
+def test_bridge_browse_has_no_depth_limit(spark):
+    rows = [(None if i == 0 else f"n{i - 1}", f"n{i}", "x", "Variable" if i == 9 else "Object", "v") for i in range(10)]
+    edges = spark.createDataFrame([*rows, ("n3", "n2", "again", "Object", "v")], "parent_id string, node_id string, name string, node_class string, value string")
+    got = TR.browse(edges, descend="objects")
+    assert [(r.node_id, r.depth) for r in TR.variables(got).collect()] == [("n9", 9)]
+    assert got.count() == 10
+    assert TR.browse(edges).agg(F.max("depth")).first()[0] == 5
 
 
 def test_rpc_stream_matches_batch_pairs(spark, fx):
