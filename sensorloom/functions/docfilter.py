@@ -238,9 +238,10 @@ def compile_filter(filt: dict | None, schema: T.StructType) -> Column:
     return _compile(filt or {}, schema)
 
 
-def query_documents(df: DataFrame, filt: dict | None = None, limit: int | None = None,
+def query_documents(df: DataFrame, filt: dict | None = None, limit: int | None = 100,
                     id_col: str = "_id") -> DataFrame:
-    """Filter a collection, drop the internal id, optional (unordered) limit."""
+    """Filter a collection, drop the internal id, (unordered) limit: 100 as in the
+    store's call, None for every match."""
     out = df.where(compile_filter(filt, df.schema))
     if id_col in out.columns:
         out = out.drop(id_col)

@@ -147,3 +147,31 @@ UNION ALL SELECT bridge_id, 'kafka_needs_topic' FROM b WHERE tgt = 'kafka' AND c
 """)
 def protocol_pairs(fx):
     return RU.bridge_violations(bridge_requests(fx))
+
+
+def deep_trees(fx):
+    """A chain of ten collections above a property without type; every seventh text is broken."""
+    down = "".join(f'[{{"modelType":"SubmodelElementCollection","idShort":"L{i}","value":' for i in range(10))
+    js = F.concat(F.lit(down + '[{"idShort":"V","value":"'), F.col("p_brand"), F.lit('"},{"modelType":"RelationshipElement","idShort":"R","first":{"keys":[{"type":"Property","value":"'),
+                  F.col("p_name"), F.lit('"}]}}]' + "}]" * 10))
+    return fx.part.select(F.col("p_partkey").alias("submodel_id"), F.when(F.col("p_partkey") % 7 == 0, F.substring(js, 1, 100)).otherwise(js).alias("elements_json"))
+
+
+DEEP = ".".join(f"L{i}" for i in range(10))
+
+
+@register("elements_deep", f"""
+SELECT p_partkey AS submodel_id, '{DEEP}.V' AS path, 10 AS depth, 'Property' AS model_type, p_brand AS value, {N} AS first_key FROM part WHERE p_partkey % 7 <> 0
+UNION ALL SELECT p_partkey, '{DEEP}.R', 10, 'RelationshipElement', {N}, p_name FROM part WHERE p_partkey % 7 <> 0
+""")
+def elements_deep(fx):
+    """Elements below ten levels, of a default type and of a type with a target."""
+    f = EL.flatten_elements(deep_trees(fx), with_typed=True)
+    return f.where("depth > 9").select("submodel_id", "path", "depth", "model_type", "value", "first_key")
+
+
+@register("element_rejects", f"""
+SELECT p_partkey AS submodel_id, 'broken JSON' AS reason FROM part WHERE p_partkey % 7 = 0
+""")
+def element_rejects(fx):
+    return EL.element_rejects(deep_trees(fx)).select("submodel_id", "reason")

@@ -55,13 +55,13 @@ def dashboard_json(fx):
 
 @register("doc_filter_eq", f"SELECT {COLS} FROM readings WHERE quality = 'good'", ["readings"])
 def doc_filter_eq(fx):
-    return S.query_documents(raw_collection(fx), {"quality": "good"})
+    return S.query_documents(raw_collection(fx), {"quality": "good"}, limit=None)
 
 
 @register("doc_filter_and", f"SELECT {COLS} FROM readings WHERE source_type = 'opcua' AND asset_id = 'asset_3'",
           ["readings"])
 def doc_filter_and(fx):
-    return S.query_documents(raw_collection(fx), {"source_type": "opcua", "asset_id": "asset_3"})
+    return S.query_documents(raw_collection(fx), {"source_type": "opcua", "asset_id": "asset_3"}, limit=None)
 
 
 @register("doc_filter_gt", """
@@ -70,7 +70,7 @@ SELECT offset_id, source_type, asset_id, timestamp, quality, value AS value_deg,
 FROM readings WHERE TRY_CAST(value AS DOUBLE) > 90
 """, ["readings"])
 def doc_filter_gt(fx):
-    out = S.query_documents(nested_collection(fx), {"data.value_deg": {"$gt": 90}})
+    out = S.query_documents(nested_collection(fx), {"data.value_deg": {"$gt": 90}}, limit=None)
     return out.select("offset_id", "source_type", "asset_id", "timestamp", "quality",
                       F.col("data.value_deg").alias("value_deg"), F.col("data.value_rad").alias("value_rad"), "unit")
 
@@ -93,4 +93,23 @@ WHERE (quality = 'bad' OR quality IS NULL OR unit IS NULL)
   AND NOT coalesce(TRY_CAST(value AS DOUBLE) < 1, false)
 """, ["readings"])
 def doc_filter_tier2(fx):
-    return S.query_documents(raw_collection(fx), TIER2)
+    return S.query_documents(raw_collection(fx), TIER2, limit=None)
+
+
+@register("processed_messages", f"""
+SELECT CAST(offset_id AS VARCHAR) AS key, to_json({{'offset_id': offset_id, 'source_type': source_type, 'asset_id': asset_id,
+  'timestamp': timestamp, 'quality': quality, 'value': value, 'unit': unit}}) AS value FROM ({DEPLOYED_SQL})
+""", ["readings"])
+def processed_messages(fx):
+    """Processed readings as JSON messages keyed by their id (message sink)."""
+    from ..streaming.chain import to_json_messages
+    return to_json_messages(processed_collection(fx).select(*COLS.split(", ")), key_cols=["offset_id"])
+
+
+@register("random_doc_ids", """
+SELECT count(*) AS n_documents, count(*) AS n_ids, 36 AS id_length FROM readings
+""", ["readings"])
+def random_doc_ids(fx):
+    """Random document ids: as many as documents, all of the length of a UUID."""
+    d = S.with_doc_id(fx.readings())
+    return d.agg(F.count("*").alias("n_documents"), F.count_distinct("_id").alias("n_ids"), F.max(F.length("_id")).alias("id_length"))

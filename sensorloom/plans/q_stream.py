@@ -109,3 +109,35 @@ def stream_sink(fx):
     return fx.spark.read.parquet(f"{base}/collection").drop("stream", "batch_id")
 
 
+@register("stream_rejects", "SELECT offset_id, value AS raw_value FROM raw_messages WHERE NOT json_valid(value)", ["raw_messages"])
+def stream_rejects(fx):
+    """Malformed messages of the stream, kept by a sink of their own."""
+    base = _run_dir(fx, "rejects")
+    bad = CH.rejected_messages(SRC.json_messages(fx.spark, land(fx, base)))
+    q = (bad.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    _await(q)
+    return fx.spark.read.parquet(f"{base}/sink")
+
+
+RPC_DAYS = 30
+
+
+@register("stream_rpc", f"""
+SELECT q.id, q.method, CASE WHEN r.error_code IS NOT NULL THEN 'error' ELSE 'ok' END AS status
+FROM rpc_requests q JOIN rpc_responses r ON q.id = r.id AND r.recv_at >= q.sent_at AND r.recv_at <= q.sent_at + INTERVAL {RPC_DAYS} DAY
+""", ["rpc_requests", "rpc_responses"])
+def stream_rpc(fx):
+    """Answered requests of the stream-stream join (open ones wait for the watermark)."""
+    from pyspark.sql import functions as F
+    base = _run_dir(fx, "rpc")
+    sides = []
+    for name, df, ts in (("req", fx.rpc_requests(), "sent_at"), ("resp", fx.rpc_responses(), "recv_at")):
+        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+        df.write.parquet(f"{base}/{name}")
+        sides.append(fx.spark.readStream.schema(df.schema).parquet(f"{base}/{name}"))
+    out = ST.rpc_stream(*sides, timeout_s=RPC_DAYS * 86400)
+    q = (out.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    _await(q)
+    return fx.spark.read.parquet(f"{base}/sink").where("status <> 'timeout'").select("id", "method", "status")
