@@ -27,6 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LLM_ORACLE["op1_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all({LOWER.format("text")}, '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, text, CASE WHEN text IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
+k AS (SELECT doc_id, g, CASE WHEN len(g) > 0 THEN 'g' || md5(array_to_string(g, '|')) WHEN text IS NULL THEN 'n' || doc_id ELSE 't' || md5(text) END AS key FROM s),
+c AS (SELECT key, min(doc_id) AS text_class, count(*) AS n_copies FROM k GROUP BY key),
+x AS (SELECT text_class AS d, n_copies, unnest(g) AS g, len(g) AS n FROM c JOIN k ON k.doc_id = c.text_class),
+p AS (SELECT a.d AS a, b.d AS b, any_value(b.n_copies) AS copies FROM x a JOIN x b ON a.g = b.g AND a.d <> b.d
+  GROUP BY a.d, b.d, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+l AS (SELECT a, count(*) AS n_texts, sum(copies) AS n_docs FROM p GROUP BY a),
+reach AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+root AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT k.doc_id, c.text_class, c.n_copies, coalesce(l.n_texts, 0) AS n_texts, CAST(coalesce(l.n_docs, 0) + c.n_copies - 1 AS BIGINT) AS n_links,
+  least(c.text_class, coalesce(root.low, c.text_class)) AS class_id
+FROM k JOIN c USING (key) LEFT JOIN l ON l.a = c.text_class LEFT JOIN root ON root.a = c.text_class
+"""
+
+
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
@@ -69,7 +90,6 @@ def op8_quality_neighbours(spark, sf_dir):
         .select("doc_id", held_out(), "score", "predicted")
 
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LLM_ORACLE["op10_benchmark_decontamination"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM benchmark),
