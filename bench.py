@@ -20,6 +20,8 @@ HEADLINE = [
     "doc_filter_tier2", "shell_enriched", "link_unlink", "change_log_conflicts", "elements_flat",
     "asset_flags", "node_browse", "node_snapshot", "deploy_ready", "tool_runs", "gating_audit",
     "rpc_pairs", "search_topk", "page_text", "transcripts", "tcp_lines", "stream_chain",
+    "clarify_top3", "change_log_state", "export_documents", "tool_budget", "elements_deep", "review_intake",
+    "stream_changes", "stream_sampled", "stream_sink",
 ]
 
 
