@@ -167,6 +167,7 @@ def _tasks(members: DataFrame, threshold: float) -> DataFrame:
     up = a.select("root", (F.col("bin") - 1).alias("bin"), F.col("nb").alias("up"))
     down = a.select("root", (F.col("bin") + 1).alias("bin"), F.col("nb").alias("down"))
     plan = a.join(up, ["root", "bin"], "left").join(down, ["root", "bin"], "left").join(small, "root", "left")
+    plan = shared_table(plan, "plan")  # a row per component and bin; the join with a hot one can be split then
     m = m.join(plan, ["root", "bin"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("nb")))
     m = m.withColumn("me", F.col("bin") * 1_000_000 + F.col("sub"))
     span = lambda n, b: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: (F.col("bin") + b) * 1_000_000 + j)
