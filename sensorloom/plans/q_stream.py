@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
 
 from ..operators import timeseries as TS
 from ..session import scratch_path
@@ -68,11 +69,8 @@ def stream_changes(fx):
     base = _run_dir(fx, "changes")
     landing = land(fx, base)
     r = _readings_stream(fx, landing).withColumn("event_time", TS.event_time())
-    out = ST.changes_only_stream(r)
-    q = (out.writeStream.format("parquet").option("path", f"{base}/sink")
-         .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return fx.spark.read.parquet(f"{base}/sink").drop("event_time")
+    _await(ST.changes_sink(r, f"{base}/sink", f"{base}/ckpt", f"{base}/state"))
+    return fx.spark.read.parquet(f"{base}/sink").drop("event_time", "batch_id")
 
 
 @register("stream_sampled", "WITH " + PARSED_SQL + """,
@@ -81,7 +79,7 @@ s AS (SELECT asset_id, time_bucket(INTERVAL 1 HOUR, et) AS window_start, value,
 SELECT asset_id, window_start, window_start + INTERVAL 1 HOUR AS window_end, value, n_readings FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY asset_id, window_start ORDER BY et DESC, offset_id DESC) AS rn,
     COUNT(*) OVER (PARTITION BY asset_id, window_start) AS n_readings FROM s)
-WHERE rn = 1 AND window_start + INTERVAL 1 HOUR <= (SELECT max(et) FROM t)
+WHERE rn = 1 AND window_start + INTERVAL 1 HOUR <= (SELECT max(et) FROM t) - INTERVAL 10 MINUTE
 """, ["raw_messages"])
 def stream_sampled(fx):
     """Hourly samples; only windows closed by the watermark are emitted."""
@@ -120,6 +118,37 @@ def stream_rejects(fx):
     return fx.spark.read.parquet(f"{base}/sink")
 
 
+@register("stream_taps", "WITH " + PARSED_SQL + """
+SELECT 'cleansed' AS stage, offset_id, source_type, asset_id, timestamp, quality, value, unit FROM parsed WHERE quality <> 'bad'
+UNION ALL SELECT 'processed', * FROM (""" + DEPLOYED_SQL + ")", ["raw_messages"])
+def stream_taps(fx):
+    """An intermediate stage materialised beside the processed readings, from the same micro-batches."""
+    base = _run_dir(fx, "taps")
+    _await(CH.start_chain(fx.spark, SRC.json_messages(fx.spark, land(fx, base)), f"{base}/processed", DEPLOYED,
+                          taps={"cleansed": f"{base}/cleansed"}, checkpoint=f"{base}/ckpt"))
+    out = [fx.spark.read.parquet(f"{base}/{name}").drop("stream", "batch_id").select(F.lit(name).alias("stage"), "*")
+           for name in ("cleansed", "processed")]
+    return out[0].unionByName(out[1])
+
+
+@register("stream_readers", "WITH " + PARSED_SQL + """
+SELECT 'deployed' AS chain, offset_id, source_type, asset_id, timestamp, quality, value, unit FROM (""" + DEPLOYED_SQL + """)
+UNION ALL SELECT 'imputed', offset_id, source_type, asset_id, timestamp, coalesce(quality, 'imputed'), coalesce(value, '0.0'), coalesce(unit, 'unknown') FROM parsed
+""", ["raw_messages"])
+def stream_readers(fx):
+    """Two chains that read the same topic, each with its own checkpoint; each is deployed twice, and the second
+    deployment (same source, sink and steps, so the same checkpoint) adds nothing."""
+    base = _run_dir(fx, "readers")
+    landing = land(fx, base)
+    out = None
+    for name, flags in (("deployed", DEPLOYED), ("imputed", {"imputation": True})):
+        for _ in range(2):
+            _await(CH.start_chain(fx.spark, SRC.json_messages(fx.spark, landing), f"{base}/{name}", flags, source_name=landing))
+        df = fx.spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("chain"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 RPC_DAYS = 30
 
 
@@ -129,7 +158,6 @@ FROM rpc_requests q JOIN rpc_responses r ON q.id = r.id AND r.recv_at >= q.sent_
 """, ["rpc_requests", "rpc_responses"])
 def stream_rpc(fx):
     """Answered requests of the stream-stream join (open ones wait for the watermark)."""
-    from pyspark.sql import functions as F
     base = _run_dir(fx, "rpc")
     sides = []
     for name, df, ts in (("req", fx.rpc_requests(), "sent_at"), ("resp", fx.rpc_responses(), "recv_at")):

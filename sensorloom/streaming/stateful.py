@@ -5,51 +5,53 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import prev_by_key
 from ..operators.store import with_doc_id
 
-CHANGE_STATE = T.StructType([T.StructField("last_value", T.StringType()), T.StructField("seen", T.BooleanType())])
-
-
-def changes_only_stream(readings: DataFrame, key: str = "asset_id", value: str = "value",
-                        order: tuple[str, ...] = ("event_time", "offset_id")) -> DataFrame:
-    """Emit a reading only when its value differs from the key's last one.
-
-    State is one value per key.  Inside a micro-batch the rows of a key are
-    ordered by ``order``; across batches arrival order counts (a late row
-    is compared with the newest state, like a live subscription)."""
-    out_schema = readings.schema
-    cols = list(readings.columns)
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf.sort_values(list(order), kind="mergesort", na_position="first", ignore_index=True)
-        last, seen = state.get if state.exists else (None, False)
-        vals = pdf[value].astype(object).where(pdf[value].notna(), None)
-        prev = vals.shift(1)
-        prev.iloc[0] = last
-        same = (vals == prev) | (vals.isna() & prev.isna())  # null-safe equality
-        keep = ~same
-        if not seen:
-            keep.iloc[0] = True
-        state.update((vals.iloc[-1], True))
-        yield pdf.loc[keep.to_numpy(), cols]
-
-    return readings.groupBy(key).applyInPandasWithState(
-        fn, out_schema, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
+def changes_sink(readings: DataFrame, path: str, checkpoint: str, state_path: str, key: str = "asset_id", value: str = "value",
+                 order: tuple[str, ...] = ("event_time", "offset_id"), bucket: str = "day", fmt: str = "parquet",
+                 available_now: bool = True):
+    """Write a reading only when its value differs from the key's last one.
+
+    The state is a table of one row per key (its last value), written anew by each micro-batch N to
+    ``state_path/batch_id=N`` and read from ``batch_id=N-1``: a replayed batch starts from the same state and
+    overwrites its own folders.  Inside a micro-batch the rows are compared as in batch, in buckets of time
+    (``prev_by_key``), so a key with a third of all rows is spread over many tasks and no task holds a key.
+    Inside a micro-batch the rows of a key are ordered by ``order``; across batches arrival order counts (a late
+    row is compared with the newest state, like a live subscription).  The first of ``order`` is a time."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_new", F.lit(True))
+        if batch_id > 0:
+            last = batch.sparkSession.read.format(fmt).load(os.path.join(state_path, f"batch_id={batch_id - 1}"))
+            rows = rows.unionByName(last.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        # the state comes before all new rows: in a bucket of its own (NULL), and by the first order column
+        when = F.when(F.col("_new"), F.coalesce(F.date_trunc(bucket, F.col(order[0])), F.lit("0001-01-01").cast("timestamp")))
+        seq = ["_new", *order]
+        rows.persist()
+        try:
+            prev = prev_by_key(rows, key, seq, when, [value])
+            changed = prev.where(F.col("_new") & (~F.col("has_prev") | ~F.col(f"prev_{value}").eqNullSafe(F.col(value))))
+            changed.select(*batch.columns).write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch_id={batch_id}"))
+            state = rows.groupBy(key).agg(F.max_by(F.col(value), F.struct(*seq)).alias(value))
+            state.write.mode("overwrite").format(fmt).save(os.path.join(state_path, f"batch_id={batch_id}"))
+        finally:
+            rows.unpersist()
+
+    w = readings.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
 
 
-def sampled_stream(readings: DataFrame, interval_ms: int, delay: str = "0 seconds", key: str = "asset_id",
+def sampled_stream(readings: DataFrame, interval_ms: int, delay: str = "10 minutes", key: str = "asset_id",
                    value: str = "value", ts: str = "event_time", tiebreak: str = "offset_id") -> DataFrame:
-    """Tumbling-window sampling with a watermark: a window is emitted once
-    the watermark passes its end (append mode); later rows are dropped."""
+    """Tumbling-window sampling with a watermark: a window is emitted once the watermark, ``delay`` behind the newest
+    reading, passes its end (append mode).  Rows later than that are dropped by the stream, and windows still open
+    when the input ends stay in its state; ``timeseries.sample_interval`` over the stored readings gives them all."""
     if interval_ms < 1000:
         raise ValueError("interval_ms must be at least 1000 (whole seconds)")
     secs = interval_ms // 1000
