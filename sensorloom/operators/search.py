@@ -14,6 +14,9 @@ BM25 plan (exact, exhaustive):
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,31 +170,56 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 DROP_BLOCKS = ("script", "style", "nav", "footer", "aside", "header", "noscript", "form")
 
 
+RAW_BLOCKS = ("script", "style", "noscript")  # unclosed, they run to the end of the page
+#: Named entities beyond those: the names that HTML gives to code points.
+NAMED = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {e[1:-1]: ch for e, ch in ENTITIES}
+OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in ENTITIES) + ");)(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _any_entity(c: Column) -> Column:
+    """All named and numeric entities decoded in one pass (nothing is decoded twice); unknown ones stay.
+    Code points that are no characters become U+FFFD."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # one literal, folded by the optimizer
+    name = lambda p: F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    parts = F.transform(F.split(c, "&", -1), lambda p, i: F.struct(i.alias("i"), p.alias("p"), name(p).alias("n")))
+
+    def one(x: Column) -> Column:
+        n = x["n"]
+        code = F.when(F.lower(F.substring(n, 1, 2)) == "#x", F.conv(F.substring(n, 3, 6), 16, 10)).otherwise(F.substring(n, 2, 7)).try_cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        known = F.when(n.startswith("#"), char).otherwise(F.try_element_at(names, n))
+        rest = F.substring(x["p"], F.length(n) + 2, F.length(x["p"]))
+        return F.when(x["i"] == 0, x["p"]).when((n != "") & known.isNotNull(), F.concat(known, rest)).otherwise(F.concat(F.lit("&"), x["p"]))
+
+    return F.array_join(F.transform(parts, one), "")
+
+
 def unescape(c: Column) -> Column:
+    """Entities decoded; pages with the common ones only take plain replacements."""
+    plain = c
     for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+        plain = F.replace(plain, F.lit(ent), F.lit(ch))
+    return F.when(c.rlike(OTHER_ENTITY), _any_entity(c)).otherwise(plain)
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Title and main text of a page: comments, scripts, styles and
     boilerplate blocks removed; the ``<article>`` if present, else the
     body; tags stripped, entities decoded, whitespace collapsed.  Empty
-    text is flagged ``likely_script_rendered``."""
-    h = F.col(html)
-    title = unescape(F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    x = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
-    for tag in DROP_BLOCKS:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    text is flagged ``likely_script_rendered``.  Each step is a column of its
+    own, so that no text is rewritten twice."""
+    x = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", " ")
+    x = F.regexp_replace(x, rf"(?is)<({'|'.join(DROP_BLOCKS)})\b[^>]*>.*?</\1\s*>", " ")
+    x = F.regexp_replace(x, rf"(?is)<({'|'.join(RAW_BLOCKS)})\b[^>]*>.*", " ")
     x = F.regexp_replace(x, r"(?is)<div class=\"ad\"[^>]*>.*?</div>", " ")
-    art = F.regexp_extract(x, r"(?is)<article\b[^>]*>(.*)</article>", 1)
-    body = F.regexp_extract(x, r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    main = F.when(art != "", art).when(body != "", body).otherwise(x)
+    p = pages.select("page_id", "url", F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("_title"), x.alias("_x"))
+    p = p.withColumn("_art", F.regexp_extract("_x", r"(?is)<article\b[^>]*>(.*)</article>", 1))
+    p = p.withColumn("_body", F.when(F.col("_art") == "", F.regexp_extract("_x", r"(?is)<body\b[^>]*>(.*)</body>", 1)))
+    main = F.when(F.col("_art") != "", F.col("_art")).when(F.col("_body") != "", F.col("_body")).otherwise(F.col("_x"))
     main = F.regexp_replace(main, r"(?i)<br\s*/?>|</(p|h[1-6]|li|div|tr)\s*>", "\n")
-    main = F.regexp_replace(main, r"<[^>]*>", " ")
-    main = unescape(main)
-    main = F.regexp_replace(main, r"[ \t\r\f ]+", " ")
-    main = F.regexp_replace(main, r" *\n[ \n]*", "\n")
-    text = F.trim(main, F.lit("\n "))
-    return pages.select("page_id", "url", title.alias("title"), text.alias("content"),
-                        (text == "").alias("likely_script_rendered"))
+    p = p.select("page_id", "url", "_title", F.regexp_replace(main, r"<[^>]*>", " ").alias("_main"))
+    text = F.regexp_replace(unescape(F.col("_main")), r"[ \t\r\f\u00a0]+", " ")
+    text = F.trim(F.regexp_replace(text, r" *\n[ \n]*", "\n"), F.lit("\n "))
+    p = p.select("page_id", "url", unescape(F.col("_title")).alias("title"), text.alias("content"))
+    return p.withColumn("likely_script_rendered", F.col("content") == "")
