@@ -70,14 +70,16 @@ def _level_sql(depth: int) -> str:
 
 def common_attributes(el: Column) -> list[Column]:
     """Attributes every element may carry: category, semanticId (first key),
-    displayName / description as language maps, qualifiers as JSON."""
+    supplementalSemanticIds (first keys), displayName / description as language maps, qualifiers as structs."""
     lang = "array<struct<language: string, text: string>>"
     return [
         _get(el, "category").alias("category"),
         F.try_variant_get(el, "$.semanticId.keys[0].value", "string").alias("semantic_id"),
         lang_strings_to_map(_get(el, "displayName", lang)).alias("display_name"),
         lang_strings_to_map(_get(el, "description", lang)).alias("description"),
-        F.to_json(F.try_variant_get(el, "$.qualifiers", "variant")).alias("qualifiers"),
+        F.transform(_get(el, "supplementalSemanticIds", "array<struct<keys: array<struct<type: string, value: string>>>>"),
+                    lambda r: F.try_element_at(r["keys"], F.lit(1))["value"]).alias("supplemental_semantic_ids"),
+        _get(el, "qualifiers", "array<struct<kind: string, type: string, valueType: string, value: string>>").alias("qualifiers"),
     ]
 
 
@@ -137,9 +139,9 @@ def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "e
     nodes = _levels(df, key, json_col, unroll)
     text = F.col(json_col)
     maybe = df.where(F.length(text) - F.length(F.replace(text, F.lit("["))) > unroll)
-    low = _levels(maybe, key, json_col, unroll).where(F.col("n.depth") == unroll)
-    more = _below(low, key)
-    if not more.isEmpty():
+    if not maybe.select(key).isEmpty():  # a look at the texts alone; nothing is parsed for it
+        low = _levels(maybe, key, json_col, unroll).where(F.col("n.depth") == unroll)
+        more = _below(low, key)
         ensure_checkpoint_dir(df.sparkSession)
         while True:
             more = more.checkpoint(eager=True)

@@ -21,13 +21,3 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if fits(small, max_rows):
         small = F.broadcast(small)
     return big.join(small, on, how)
-
-
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", *, bounded_by: DataFrame,
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Like ``join_small`` when ``small`` has at most as many rows as
-    ``bounded_by`` (e.g. one row per query): the cheap ``bounded_by`` side is
-    checked instead of computing ``small`` twice."""
-    if fits(bounded_by, max_rows):
-        small = F.broadcast(small)
-    return big.join(small, on, how)

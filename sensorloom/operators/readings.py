@@ -154,3 +154,8 @@ def preprocess_by_flags(readings: DataFrame, flags: DataFrame, key: str = "asset
     })
     j = j.withColumn("value_rad", F.when(on["transformation"], to_radians("value")))
     return j.drop(*[f"_f_{c}" for c in on])
+
+
+def unassigned(readings: DataFrame, flags: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Readings that ``preprocess_by_flags`` leaves out: NULL key, or a key without flags."""
+    return readings.join(flags.select(key), key, "left_anti").select(*readings.columns)

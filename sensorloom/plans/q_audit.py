@@ -106,31 +106,43 @@ def rpc_pairs(fx):
 
 @register("plan_status", """
 SELECT doc_id,
-  CASE WHEN tech IS NULL THEN 'error' WHEN nq > 0 THEN 'clarification_needed' ELSE 'success' END AS status,
-  CASE WHEN tech IS NOT NULL AND nq = 0 THEN 'generated/' || tech || '/' || tech || '_server.py' END AS file_path,
-  CASE WHEN tech IS NULL THEN body END AS raw_result, CAST(nq AS INTEGER) AS n_questions
-FROM (SELECT doc_id, body, json_extract_string(jb, '$.technology_lower') AS tech,
-        coalesce(json_array_length(jb, '$.clarification_questions'), 0) AS nq
-      FROM (SELECT doc_id, body, CASE WHEN json_valid(body) THEN body END AS jb FROM plans))
+  CASE WHEN bad THEN 'error' WHEN nq > 0 THEN 'clarification_needed' ELSE 'success' END AS status,
+  CASE WHEN NOT bad AND nq = 0 THEN 'generated/' || tech || '/' || tech || '_server.py' END AS file_path,
+  CASE WHEN bad THEN body END AS raw_result, CAST(nq AS INTEGER) AS n_questions
+FROM (SELECT doc_id, body, tech, nq, NOT (tech IS NOT NULL AND pascal IS NOT NULL AND instructions IS NOT NULL
+        AND coalesce(port, '') IN ('UBIGINT', 'BIGINT') AND coalesce(tools, '') = 'ARRAY') AS bad
+      FROM (SELECT doc_id, body, json_extract_string(jb, '$.technology_lower') AS tech, json_extract_string(jb, '$.technology_pascal') AS pascal,
+              json_extract_string(jb, '$.server_instructions') AS instructions, json_type(jb, '$.default_port') AS port, json_type(jb, '$.tools') AS tools,
+              coalesce(json_array_length(jb, '$.clarification_questions'), 0) AS nq
+            FROM (SELECT doc_id, body, CASE WHEN json_valid(body) THEN body END AS jb FROM plans)))
 """, ["plans"])
 def plan_status(fx):
-    """The fixture carries a reduced plan: only ``technology_lower`` is required."""
-    return AU.plan_status(fx.plans(), required=("technology_lower",))
+    """Complete plans, plans with a missing field or one of another type, and no plans."""
+    return AU.plan_status(fx.plans())
 
 
-@register("review_verdict", """
-SELECT review_id, true AS valid, approved, has_critical, approved AND NOT has_critical AS effective_approved,
-  approved AND has_critical AS contradiction, 1 AS n_issues
-FROM (SELECT review_id, CAST(json_extract(body, '$.approved') AS BOOLEAN) AS approved,
-        json_extract_string(body, '$.issues[0].severity') = 'critical' AS has_critical FROM reviews)
+REVIEW_SQL = """(SELECT review_id, body, list_transform(range(CAST(coalesce(json_array_length(jb, '$.issues'), 0) AS BIGINT)),
+    lambda i: json_extract(jb, '$.issues[' || i || ']')) AS issues,
+  json_extract_string(jb, '$.summary') AS summary, CAST(json_extract(jb, '$.approved') AS BOOLEAN) AS approved
+FROM (SELECT review_id, body, CASE WHEN json_valid(body) THEN body END AS jb FROM reviews))"""
+
+
+@register("review_verdict", f"""
+SELECT review_id, valid, valid AND approved AS approved, has_critical, valid AND approved AND NOT has_critical AS effective_approved,
+  valid AND approved AND has_critical AS contradiction, n_issues
+FROM (SELECT review_id, coalesce(approved, false) AS approved, CAST(len(issues) AS INTEGER) AS n_issues,
+        list_contains(list_transform(issues, lambda i: json_extract_string(i, '$.severity')), 'critical') AS has_critical,
+        summary IS NOT NULL AND approved IS NOT NULL
+          AND len(list_filter(issues, lambda i: json_extract_string(i, '$.severity') NOT IN ('critical', 'warning', 'suggestion'))) = 0 AS valid
+      FROM {REVIEW_SQL})
 """, ["reviews"])
 def review_verdict(fx):
     return AU.review_verdicts(fx.reviews())
 
 
-@register("review_counts", """
-SELECT json_extract_string(body, '$.issues[0].severity') AS severity, json_extract_string(body, '$.issues[0].criterion') AS criterion,
-  count(*) AS n FROM reviews GROUP BY 1, 2
+@register("review_counts", f"""
+SELECT json_extract_string(i, '$.severity') AS severity, json_extract_string(i, '$.criterion') AS criterion, count(*) AS n
+FROM (SELECT unnest(CASE WHEN len(issues) = 0 THEN [NULL] ELSE issues END) AS i FROM {REVIEW_SQL}) GROUP BY 1, 2
 """, ["reviews"])
 def review_counts(fx):
     return AU.review_counts(fx.reviews())

@@ -60,9 +60,9 @@ def asset_flags(fx):
 
 @register("payload_violations", f"""
 SELECT m.submodel_id, {N} AS path, 'id_form' AS rule FROM submodels m
-  WHERE NOT coalesce(regexp_full_match(m.submodel_id, '{EL.IRI_PATTERN}'), false)
+  WHERE NOT coalesce(regexp_full_match(m.submodel_id, '^https://example\\.com/ids/(sm|aas)/\\d{{4}}_\\d{{4}}_\\d{{4}}_\\d{{4}}$'), false)
 UNION ALL SELECT m.submodel_id, NULL, 'idshort_suffix' FROM submodels m
-  WHERE NOT coalesce(regexp_matches(m.id_short, '{EL.IDSHORT_SUFFIX}'), false)
+  WHERE NOT coalesce(regexp_matches(m.id_short, '_\\d{{3}}$'), false)
 UNION ALL SELECT f.submodel_id, f.path, 'boolean_text' FROM {FLAT_SQL} f JOIN submodels m ON f.submodel_id = m.submodel_id
   WHERE f.value_type = 'xs:boolean' AND (f.value IS NULL OR f.value NOT IN ('true', 'false'))
 """, ["submodels"])
@@ -175,3 +175,25 @@ SELECT p_partkey AS submodel_id, 'broken JSON' AS reason FROM part WHERE p_partk
 """)
 def element_rejects(fx):
     return EL.element_rejects(deep_trees(fx)).select("submodel_id", "reason")
+
+
+def described_trees(fx):
+    """One property per part with every common attribute; a language given twice."""
+    js = F.concat(F.lit('[{"modelType":"Property","idShort":"P","category":"PARAMETER","value":"1","semanticId":{"type":"ExternalReference","keys":[{"type":"GlobalReference","value":"'),
+                  F.col("p_type"), F.lit('"}]},"supplementalSemanticIds":[{"keys":[{"type":"GlobalReference","value":"'), F.col("p_brand"),
+                  F.lit('"}]},{"keys":[{"type":"GlobalReference","value":"x"}]}],"displayName":[{"language":"en","text":"old"},{"language":"en","text":"'), F.col("p_name"),
+                  F.lit('"}],"qualifiers":[{"kind":"ConceptQualifier","type":"size","valueType":"xs:int","value":"'), F.col("p_size").cast("string"),
+                  F.lit('"}]},{"idShort":"Q","value":"2"}]'))
+    return fx.part.select(F.col("p_partkey").alias("submodel_id"), js.alias("elements_json"))
+
+
+@register("common_attributes", f"""
+SELECT p_partkey AS submodel_id, 'P' AS path, 'PARAMETER' AS category, p_type AS semantic_id, p_brand || ',x' AS supplemental, p_name AS name_en,
+  'size=' || CAST(p_size AS VARCHAR) AS qualifier FROM part
+UNION ALL SELECT p_partkey, 'Q', {N}, {N}, {N}, {N}, {N} FROM part
+""")
+def common_attributes(fx):
+    f = EL.flatten_elements(described_trees(fx), with_common=True)
+    q = F.try_element_at("qualifiers", F.lit(1))
+    return f.select("submodel_id", "path", "category", "semantic_id", F.array_join("supplemental_semantic_ids", ",").alias("supplemental"),
+                    F.col("display_name")["en"].alias("name_en"), F.concat(q["type"], F.lit("="), q["value"]).alias("qualifier"))

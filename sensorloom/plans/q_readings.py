@@ -79,3 +79,9 @@ WHERE NOT f.cleansing OR r.quality <> 'bad'
 def per_asset_chain(fx):
     """Each asset's flags select the steps for its readings (one plan)."""
     return R.preprocess_by_flags(fx.readings(), fx.asset_flags())
+
+
+@register("unassigned_readings", "SELECT * FROM readings WHERE asset_id IS NULL", ["readings"])
+def unassigned_readings(fx):
+    """Readings that the per-asset chain does not process: no asset, or one without settings."""
+    return R.unassigned(fx.readings(), fx.asset_flags())

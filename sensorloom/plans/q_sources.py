@@ -83,7 +83,7 @@ def envelope_other(fx):
 SELECT event_id, 'mqtt' AS source_type, topic AS asset_id, {ISO_MS_SQL.format(c="ts")} AS timestamp, props AS data,
   CAST(NULL AS VARCHAR) AS unit, 'good' AS quality
 FROM (SELECT *, 'plant/line' || CAST(user_id % 4 AS VARCHAR) || '/' || event_type AS topic FROM events)
-WHERE regexp_full_match(topic, '{M.mqtt_filter_regex(MQTT_FILTER)}')
+WHERE regexp_full_match(topic, 'plant/[^/]*/click')
 """)
 def mqtt_topic(fx):
     msgs = M.mqtt_messages(captured_mqtt(fx), MQTT_FILTER)
@@ -133,7 +133,7 @@ SELECT 'r' || CAST(offset_id AS VARCHAR) AS msg_id, source_type, asset_id, times
 UNION ALL
 SELECT 'm' || CAST(event_id AS VARCHAR), 'mqtt', topic, {ISO_MS_SQL.format(c="ts")}, 'good', props, CAST(NULL AS VARCHAR)
 FROM (SELECT *, 'plant/line' || CAST(user_id % 4 AS VARCHAR) || '/' || event_type AS topic FROM events)
-WHERE regexp_full_match(topic, '{M.mqtt_filter_regex(MQTT_FILTER)}')
+WHERE regexp_full_match(topic, 'plant/[^/]*/click')
 """, ["readings"])
 def union_sources(fx):
     """Readings of two bridges (typed value vs flow ``data``) in one schema."""

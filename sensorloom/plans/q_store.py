@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import readings as R
 from ..operators import store as S
+from ..session import scratch_path
 from .registry import register
 
 COLS = "offset_id, source_type, asset_id, timestamp, quality, value, unit"
@@ -113,3 +116,14 @@ def random_doc_ids(fx):
     """Random document ids: as many as documents, all of the length of a UUID."""
     d = S.with_doc_id(fx.readings())
     return d.agg(F.count("*").alias("n_documents"), F.count_distinct("_id").alias("n_ids"), F.max(F.length("_id")).alias("id_length"))
+
+
+@register("appended_collection", "SELECT * FROM readings", ["readings"])
+def appended_collection(fx):
+    """Documents inserted in two batches, read back without their ids."""
+    path = scratch_path(fx.spark, "runs", f"append-{uuid.uuid4().hex[:12]}")
+    r = S.with_doc_id(fx.readings())
+    bad = F.coalesce(F.col("quality") == "bad", F.lit(False))
+    S.append(r.where(~bad), path)
+    S.append(r.where(bad), path)
+    return S.scan(fx.spark.read.parquet(path))

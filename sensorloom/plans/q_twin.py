@@ -10,15 +10,13 @@ from .registry import register
 
 
 def link_requests(fx):
-    """New link requests (second line items)."""
-    li = fx.lineitem
-    return (li.where(F.col("l_linenumber") == 2)
-            .select(shell_iri("l_suppkey").alias("shell_id"), submodel_iri("l_partkey").alias("submodel_id")))
+    """Link requests: every line item asks to link its part to its supplier."""
+    return fx.lineitem.select(shell_iri("l_suppkey").alias("shell_id"), submodel_iri("l_partkey").alias("submodel_id"))
 
 
 def unlink_requests(fx):
-    li = fx.lineitem
-    return (li.where((F.col("l_linenumber") == 1) & (F.col("l_quantity") > 40) & (F.col("l_discount") >= 0.08))
+    """Unlink requests: returned line items."""
+    return (fx.lineitem.where(F.col("l_returnflag") == "R")
             .select(shell_iri("l_suppkey").alias("shell_id"), submodel_iri("l_partkey").alias("submodel_id")))
 
 
@@ -72,7 +70,7 @@ def lookup_shells(fx):
 @register("lookup_scoped", f"""
 SELECT k.shell_id, k.submodel_id, m.id_short, m.semantic_group, m.price,
   (r.shell_id IS NOT NULL AND m.submodel_id IS NOT NULL) AS found
-FROM {LINKS_SQL.format(w="l_linenumber = 2")} k
+FROM {LINKS_SQL.format(w="true")} k
 LEFT JOIN (submodel_refs r JOIN submodels m ON r.submodel_id = m.submodel_id)
   ON k.shell_id = r.shell_id AND k.submodel_id = r.submodel_id
 """, ["submodel_refs", "submodels"])
@@ -128,12 +126,12 @@ def dup_idshort(fx):
 
 @register("link_unlink", f"""
 WITH valid AS (
-  SELECT min(k.shell_id) AS shell_id, k.submodel_id FROM {LINKS_SQL.format(w="l_linenumber = 2")} k
+  SELECT min(k.shell_id) AS shell_id, k.submodel_id FROM {LINKS_SQL.format(w="true")} k
   WHERE k.submodel_id IN (SELECT submodel_id FROM submodels) AND k.submodel_id NOT IN (SELECT submodel_id FROM submodel_refs)
   GROUP BY k.submodel_id),
 added AS (SELECT shell_id, submodel_id FROM submodel_refs UNION SELECT shell_id, submodel_id FROM valid)
 SELECT a.shell_id, a.submodel_id FROM added a
-WHERE NOT EXISTS (SELECT 1 FROM {LINKS_SQL.format(w="l_linenumber = 1 AND l_quantity > 40 AND l_discount >= 0.08")} u
+WHERE NOT EXISTS (SELECT 1 FROM {LINKS_SQL.format(w="l_returnflag = 'R'")} u
                   WHERE u.shell_id = a.shell_id AND u.submodel_id = a.submodel_id)
 """, ["submodel_refs", "submodels"])
 def link_unlink(fx):

@@ -7,13 +7,6 @@ from pyspark.sql import types as T
 READING_FIELDS = ("source_type", "asset_id", "timestamp", "quality", "value", "unit")
 READING = T.StructType([T.StructField(f, T.StringType(), True) for f in READING_FIELDS])
 
-# Processed reading after the transformation step.
-PROCESSED_FIELDS = ("source_type", "asset_id", "timestamp", "quality", "value_deg", "value_rad", "unit")
-
-# Flow envelope written by protocol bridges (payload under ``data``).
-FLOW_ENVELOPE = T.StructType([T.StructField(f, T.StringType(), True)
-                              for f in ("source_type", "asset_id", "timestamp", "data", "unit", "quality")])
-
 REVIEW_ISSUE = T.StructType([
     T.StructField("severity", T.StringType()),
     T.StructField("criterion", T.StringType()),
@@ -32,23 +25,3 @@ PLAN = T.StructType([
     T.StructField("technology_lower", T.StringType()),
     T.StructField("clarification_questions", T.ArrayType(T.StringType())),
 ])
-
-# One submodel element, parsed one level at a time; children stay JSON text
-# so the tree can be flattened level by level without a recursive type.
-ELEMENT = T.StructType([
-    T.StructField("modelType", T.StringType()),
-    T.StructField("idShort", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("valueType", T.StringType()),
-    T.StructField("value", T.StringType()),
-    T.StructField("min", T.StringType()),
-    T.StructField("max", T.StringType()),
-    T.StructField("contentType", T.StringType()),
-    T.StructField("first", T.StringType()),
-    T.StructField("second", T.StringType()),
-    T.StructField("statements", T.StringType()),
-    T.StructField("annotations", T.StringType()),
-    T.StructField("inputVariables", T.StringType()),
-    T.StructField("outputVariables", T.StringType()),
-    T.StructField("inoutputVariables", T.StringType()),
-])

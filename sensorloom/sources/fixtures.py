@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.elements import flatten_elements, preprocessing_flags
 from .tables import Tables
 
 SHELL_PREFIX = "https://example.com/ids/aas/0000_0000_0000_"
@@ -46,7 +47,7 @@ class Fixtures(Tables):
             F.when(eid % 5 == 0, F.lit(None).cast("string"))
              .when(eid % 5 == 1, "mqtt").otherwise("opcua").alias("source_type"),
             F.when(eid % 17 == 0, F.lit(None).cast("string"))
-             .otherwise(F.concat(F.lit("asset_"), _s(F.col("user_id") % 20))).alias("asset_id"),
+             .otherwise(F.concat(F.lit("asset_"), _s("user_id"))).alias("asset_id"),
             _s("ts").alias("timestamp"),
             F.when(F.col("event_type") == "error", "bad")
              .when(F.col("event_type") == "signup", F.lit(None).cast("string"))
@@ -73,12 +74,22 @@ class Fixtures(Tables):
         return r.select("offset_id", F.when(F.col("offset_id") % 19 == 0, '{"asset_id": broken')
                         .otherwise(body).alias("value"))
 
-    def asset_flags(self) -> DataFrame:
+    def asset_trees(self) -> DataFrame:
+        """The preprocessing submodel of each asset: four flags below collections."""
         n = F.expr("substring(asset_id, 7)").cast("int")
-        return (self.readings().where(F.col("asset_id").isNotNull())
-                .select("asset_id", (n % 2 == 0).alias("cleansing"), (n % 3 == 0).alias("imputation"),
-                        (n % 5 != 0).alias("normalize"), (n % 7 == 0).alias("transformation"))
-                .distinct())
+        steps = {"Cleansing": n % 2 == 0, "Imputation": n % 3 == 0, "Normalization": n % 5 != 0, "Transformation": n % 7 == 0}
+        kids = [F.concat(F.lit('{"modelType":"SubmodelElementCollection","idShort":"' + name + '","value":[{"modelType":"Property",'
+                               '"idShort":"Enabled","valueType":"xs:boolean","value":"'), on.cast("string"), F.lit('"}]}'))
+                for name, on in steps.items()]
+        js = F.concat(F.lit('[{"modelType":"SubmodelElementCollection","idShort":"PreProcessing","value":['),
+                      F.concat_ws(",", *kids), F.lit("]}]"))
+        assets = self.readings().where(F.col("asset_id").isNotNull()).select("asset_id").distinct()
+        return assets.select("asset_id", js.alias("elements_json"))
+
+    def asset_flags(self) -> DataFrame:
+        """Step flags per asset, read from the element trees."""
+        flat = flatten_elements(self.asset_trees(), key="asset_id", unroll=6)  # six arrays in a tree
+        return preprocessing_flags(flat, key="asset_id").drop("review_needed")
 
     def modbus_polls(self) -> DataFrame:
         eid = F.col("event_id")
@@ -91,15 +102,15 @@ class Fixtures(Tables):
                                     F.col("s_name").alias("id_short"), "s_suppkey")
 
     def submodel_refs(self) -> DataFrame:
-        return (self.lineitem.where((F.col("l_linenumber") == 1) & (F.col("l_quantity") > 40))
-                .select(shell_iri("l_suppkey").alias("shell_id"),
-                        submodel_iri("l_partkey").alias("submodel_id"))
+        # Every tenth part is referenced by a key that no submodel has: the references dangle, the parts are orphans.
+        k = F.col("l_partkey")
+        return (self.lineitem.select(shell_iri("l_suppkey").alias("shell_id"),
+                                     submodel_iri(F.when(k % 10 == 3, k + 50_000_000).otherwise(k)).alias("submodel_id"))
                 .distinct())
 
     def submodels(self) -> DataFrame:
-        return (self.part.where(F.col("p_partkey") % 10 != 3)
-                .select(submodel_iri("p_partkey").alias("submodel_id"), F.col("p_type").alias("id_short"),
-                        F.col("p_brand").alias("semantic_group"), F.col("p_retailprice").alias("price")))
+        return self.part.select(submodel_iri("p_partkey").alias("submodel_id"), F.col("p_type").alias("id_short"),
+                                F.col("p_brand").alias("semantic_group"), F.col("p_retailprice").alias("price"))
 
     def change_log(self) -> DataFrame:
         k = F.col("o_orderkey") % 4
@@ -124,13 +135,13 @@ class Fixtures(Tables):
 
     def stages(self) -> DataFrame:
         # Four template stages per pipeline; a literal array exploded per
-        # nation row (no cross join).
+        # supplier row (no cross join).
         tmpl = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(s).alias("stage"),
                                   F.lit(nx).cast("string").alias("next"))
                          for r, s, nx in [(1, "Collection", "PreProcess"), (3, "PreProcess", "Storage"),
                                           (4, "Storage", "Utilization"), (6, "Utilization", None)]])
-        n = F.col("n_nationkey")
-        k = self.nation.select(n, F.explode(tmpl).alias("k"))
+        n = F.col("s_suppkey")
+        k = self.supplier.select(n, F.explode(tmpl).alias("k"))
         key = _s(n)
         return k.select(
             n.alias("pipeline_id"), F.col("k.rank").alias("rank"), F.col("k.stage").alias("stage"),
@@ -184,29 +195,38 @@ class Fixtures(Tables):
                                   F.col("o_orderdate").alias("sent_at"))
 
     def rpc_responses(self) -> DataFrame:
-        return (self.lineitem.where(F.col("l_linenumber") == 1)
-                .select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("recv_at"),
-                        F.when(F.col("l_returnflag") == "R", F.lit(-32601)).alias("error_code")))
+        # an order is answered when its first line ships; a returned line makes the answer an error
+        return self.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
+            F.min("l_shipdate").alias("recv_at"), F.when(F.max("l_returnflag") == "R", F.lit(-32601)).alias("error_code"))
 
     def reviews(self) -> DataFrame:
-        issue = F.when(F.col("toxic") == 1,
-                       '{"severity":"critical","criterion":"security","description":"d","fix":"f"}') \
-                 .otherwise('{"severity":"warning","criterion":"code_quality","description":"d","fix":"f"}')
+        def issue(severity, criterion):
+            return f'{{"severity":"{severity}","criterion":"{criterion}","description":"d","fix":"f"}}'
+
+        d = F.col("doc_id")
+        unknown, none = d % 9 == 0, (d % 6 == 0) & (d % 9 != 0)
+        first = F.when(unknown, issue("blocker", "security")).when(none, "").otherwise(issue("warning", "code_quality"))
+        more = F.when((F.col("toxic") == 1) & ~none, "," + issue("critical", "security")).otherwise("")
         body = F.concat(F.lit('{"approved":'), F.when(F.col("quality") == 1, "true").otherwise("false"),
-                        F.lit(',"summary":"s","issues":['), issue, F.lit("]}"))
-        return self.labels.select(F.col("doc_id").alias("review_id"), body.alias("body"))
+                        F.lit(',"summary":"s","issues":['), first, more, F.lit("]}"))
+        return self.labels.select(d.alias("review_id"), F.when(d % 13 == 0, "no review").when(d % 17 == 0, '{"approved":true,"issues":[]}')
+                                  .otherwise(body).alias("body"))
 
     def plans(self) -> DataFrame:
-        tech = F.concat(F.lit('{"technology_lower":"t'), _s("doc_id"))
-        return self.labels.select(
-            "doc_id",
-            F.when(F.col("doc_id") % 5 == 0, "not json")
-             .when(F.col("quality") == 0, F.concat(tech, F.lit('","clarification_questions":["q"]}')))
-             .otherwise(F.concat(tech, F.lit('","clarification_questions":[]}'))).alias("body"))
+        # plans with all fields, and such with a missing field or one of another type
+        d = F.col("doc_id")
+        body = F.concat(
+            F.lit('{"technology_lower":'), F.when(d % 17 == 0, "null").otherwise(F.concat(F.lit('"t'), _s(d), F.lit('"'))),
+            F.lit(',"technology_pascal":"T'), _s(d), F.lit('","default_port":'), F.when(d % 11 == 0, '"abc"').otherwise("8000"),
+            F.lit(',"server_instructions":"s"'),
+            F.when(d % 7 == 0, "").when(d % 13 == 0, ',"tools":"read"').otherwise(',"tools":[{"name":"read"}]'),
+            F.lit(',"clarification_questions":['), F.when(F.col("quality") == 0, '"q"').otherwise(""), F.lit("]}"))
+        return self.labels.select("doc_id", F.when(d % 5 == 0, "not json").otherwise(body).alias("body"))
 
     def token_deltas(self) -> DataFrame:
-        return self.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
-                                         F.col("turn").alias("seq"), F.col("role").alias("delta"))
+        words = self.conversations.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("message_id"),
+                                          F.posexplode(F.split(F.col("text"), " ", -1)).alias("seq", "w"))
+        return words.select("message_id", "seq", F.concat("w", F.lit(" ")).alias("delta"))
 
     def audit_calls(self) -> DataFrame:
         k = F.col("o_orderkey") % 3
@@ -219,7 +239,9 @@ class Fixtures(Tables):
     def hits(self) -> DataFrame:
         pid = F.col("page_id")
         return self.pages.select(
-            (pid % 20).alias("query_id"), pid.alias("pos"),
+            F.floor(pid / 20).alias("query_id"), pid.alias("pos"),
+            F.when(pid % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("url")).alias("title"),
+            F.when(pid % 3 == 0, F.lit(None).cast("string")).otherwise(F.substring("html", 1, 80)).alias("snippet"),
             F.when(pid % 6 == 0, F.lit(None).cast("string")).otherwise(F.col("url")).alias("url"),
             F.when(pid % 4 == 0, F.lit(None).cast("double")).when(pid % 4 == 1, F.lit(0.0))
              .otherwise(pid.cast("double") / 1024).alias("score"))

@@ -71,7 +71,8 @@ def test_common_attributes(spark):
     df = spark.createDataFrame([("sm", json.dumps(tree))], "submodel_id string, elements_json string")
     r = EL.flatten_elements(df, with_common=True).collect()[0]
     assert (r.category, r.semantic_id, r.description["de"]) == ("PARAMETER", "urn:x", "Tempo")
-    assert json.loads(r.qualifiers)[0]["value"] == "m/s"
+    assert [(q["type"], q["value"], q["kind"]) for q in r.qualifiers] == [("unit", "m/s", None)]
+    assert r.supplemental_semantic_ids is None
 
 
 def test_shell_listing_shapes(spark):
