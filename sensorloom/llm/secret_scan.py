@@ -3,7 +3,8 @@
 The lexer reads source and configuration syntax (``name = "literal"``,
 ``name: literal``, ``"name": "literal"``, ``a = b + "literal"``) into name and literal pairs, carries constants to
 the names they are assigned to later, and scores each literal by how sensitive
-the names that receive it are and by how random it looks.
+the names that receive it are and by how random its longest part without blanks looks
+(all of it where the name ends like a password's, as that may be a passphrase).
 """
 
 from __future__ import annotations
@@ -31,23 +32,31 @@ PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a part of a name, or two joined parts, is.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0,
              "privatekey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "credential": 0.9, "credentials": 0.9, "auth": 0.7,
-             "bearer": 0.8, "pin": 0.4, "key": 0.4, "salt": 0.5, "dsn": 0.5, "connectionstring": 0.6, "cookie": 0.5, "session": 0.4}
+             "bearer": 0.8, "pin": 0.5, "key": 0.5, "salt": 0.5, "dsn": 0.5, "connectionstring": 0.6, "cookie": 0.5, "session": 0.5}
+#: Names that end so may hold words with blanks between.
+PHRASE = frozenset(("password", "passwd", "pwd", "passphrase"))
 PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|placeholder|dummy|your[_-]|^x+$|^\*+$|^\.+$|^<.*>$|^\$\{?\w+\}?$|^(true|false|null|none|undefined)$")
 
 
+def name_parts(name: str) -> list[str]:
+    return [p.lower() for p in PARTS.findall(name)]
+
+
 def name_score(name: str) -> float:
-    parts = [p.lower() for p in PARTS.findall(name)]
+    parts = name_parts(name)
     joined = parts + [a + b for a, b in zip(parts, parts[1:])]
     return max((SENSITIVE.get(p, 0.0) for p in joined), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """How much like a secret: length, spread of characters, mixed classes; 0 for placeholders."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.search(value):
+def literal_score(value: str, phrase: bool = False) -> float:
+    """How much like a secret the longest part without blanks (of a ``phrase``, all) is: length, spread of characters, mixed classes; 0 for placeholders."""
+    value = value.strip()
+    part = (value if phrase else max(value.split(), key=len, default=""))
+    if len(part) < 8 or PLACEHOLDER.search(part) or value[0] == "<" and value[-1] == ">":
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    n = len(part)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(part).values())
+    classes = sum(bool(re.search(c, part)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.6 * bits / math.log2(max(n, 9)) + 0.15 * classes)
 
 
@@ -77,7 +86,7 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
         pieces = list(dict.fromkeys(pieces))
         constants[name] = pieces
         sensitive = name_score(name)
-        looks = literal_score("".join(p[2] for p in pieces))
+        looks = literal_score("".join(p[2] for p in pieces), (name_parts(name) or [""])[-1] in PHRASE)
         for start, end, _ in pieces:
             score = sensitive * looks
             if end > start and score > best.get((start, end), (0.0, ""))[0]:
@@ -87,7 +96,7 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
 
 def scan(text: str | None, threshold: float = 0.5) -> list[dict]:
     """Spans by start, then kind: the fixed patterns, leftmost and non-overlapping per
-    kind, and the lexer's literals that no fixed span covers."""
+    kind, and the lexer's literals that no fixed span covers whole."""
     if not text:
         return []
     out = [(m.start(), 0, m.end(), 1.0, None) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -96,7 +105,7 @@ def scan(text: str | None, threshold: float = 0.5) -> list[dict]:
     if "=" in text or ":" in text:
         fixed = sorted((x[0], x[2]) for x in out)
         for start, end, name, score in literals(text):
-            if score >= threshold and not any(a < end and start < b for a, b in fixed):
+            if score >= threshold and not any(a <= start and end <= b for a, b in fixed):
                 out.append((start, 3, end, score, name))
     return [{"kind": KINDS[k], "start": s, "end": e, "score": sc, "name": name} for s, k, e, sc, name in sorted(out, key=lambda x: x[:3])]
 

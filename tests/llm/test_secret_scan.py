@@ -51,6 +51,18 @@ def test_lexer():
     assert found("The session: and so on = nothing") == []
 
 
+def test_literals_with_blanks():
+    key = "q8Zr2LxV0tPw7KdM"
+    for before, literal, after in (
+            ('"private_key": "', r"-----BEGIN PRIVATE KEY-----\nMIIE8s0Qx2+/k==\n-----END PRIVATE KEY-----\n", '"'), ('passphrase: "', "correct horse battery staple", '"'),
+            ('bearer = "', f"Bearer {key}", '"'), ('password = "', "ab cd 12345", '"'), ("connectionString = '", "Data Source=db1;Initial Catalog=app;User Id=sa;Pwd=q8Zr2LxV", "'"),
+            ('session_key = "', key, '"'), ('user_pin = "', key, '"')):
+        assert [x for _, x in found(before + literal + after)] == [literal], literal
+        assert S.redacted(before + literal + after) == f"{before}[SECRET]{after}"
+    assert S.redacted('password = "correcthorse battery staple"') == '[SECRET]"'  # the fixed pattern ends at the blank
+    assert found('auth = "see the notes on it"') == [] and found('privateKey = "<put it here>"') == []
+
+
 def test_redaction(spark, odd):
     text = "a password=abcdefgh1 b " + "0123456789abcdef" * 2
     assert S.redacted(text) == "a [SECRET] b [SECRET]"
