@@ -5,6 +5,7 @@ The lexer reads source and configuration syntax (``name = "literal"``,
 the names they are assigned to later, and scores each literal by how sensitive
 the names that receive it are and by how random its longest part without blanks looks
 (all of it where the name ends like a password's, as that may be a passphrase).
+Literals have no greatest length; triple-quoted and PEM ones go on over lines.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 NAME_AND_SIGN = re.compile(r"""(?<![\w.$-])["'\[]{0,2}([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]*+(?::=|=>|=(?![=>])|:(?![:/]))[ \t]*+""", re.A)
-#: A literal ends with its line, and after so many characters.
-LITERAL = re.compile(r"""(?:[rbfu]{1,2})?(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`)|([^\s"'`,;(){}\[\]<>]{1,4096})""", re.A)
+#: A quoted literal ends with its line, but for escaped line ends, PEM blocks and triple quotes.
+QUOTED = re.compile(r"""(?:[rbfu]{1,2})?(?:\"{3}((?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}"""
+                    r"""|"(-----BEGIN[^"]*+|(?:[^"\\\n]++|\\(?:\r\n|[\s\S]))*+)"|'(-----BEGIN[^']*+|(?:[^'\\\n]++|\\(?:\r\n|[\s\S]))*+)'|`(-----BEGIN[^`]*+|[^`\n]*+)`)""", re.A)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""", re.A)
+#: How random a literal looks is told by so many characters of it.
+LOOKS = 4096
 PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`A-Za-z_])")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -51,7 +56,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str, phrase: bool = False) -> float:
     """How much like a secret the longest part without blanks (of a ``phrase``, all) is: length, spread of characters, mixed classes; 0 for placeholders."""
     value = value.strip()
-    part = (value if phrase else max(value.split(), key=len, default=""))
+    part = (value if phrase else max(value.split(), key=len, default=""))[:LOOKS]
     if len(part) < 8 or PLACEHOLDER.search(part) or value[0] == "<" and value[-1] == ">":
         return 0.0
     n = len(part)
@@ -63,34 +68,58 @@ def literal_score(value: str, phrase: bool = False) -> float:
 def literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of each literal assigned to a name, with the
     most sensitive name that it reaches."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    constants: dict[str, list[tuple[int, int, int]]] = {}  # (start, end, end of what is scored) of the literals of a name
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    at = 0
-    while m := NAME_AND_SIGN.search(text, at):
-        name, pos, pieces = m[1], m.end(), []
-        at = m.end()
-        while operand := LITERAL.match(text, pos):
-            group = operand.lastindex
-            if group == 4 and operand[4] in constants:
-                pieces += constants[operand[4]]
-            elif group is not None:
-                bare = operand[group].rstrip(".,:") if group == 4 else operand[group]
-                pieces.append((operand.start(group), operand.start(group) + len(bare), bare))
-            pos = operand.end()
-            if group != 4:
-                at = pos  # what is quoted is no code
-            plus = PLUS.match(text, pos)
-            if not plus:
-                break
-            pos = plus.end()
-        pieces = list(dict.fromkeys(pieces))
-        constants[name] = pieces
-        sensitive = name_score(name)
-        looks = literal_score("".join(p[2] for p in pieces), (name_parts(name) or [""])[-1] in PHRASE)
-        for start, end, _ in pieces:
-            score = sensitive * looks
-            if end > start and score > best.get((start, end), (0.0, ""))[0]:
-                best[start, end] = (score, name)
+    known: dict[tuple, float] = {}
+    longest = 0
+    regions = [(0, len(text))]  # the text, then the insides of literals of several lines
+    for at, stop in regions:
+        lo = hi = at  # the last run of bare characters right after a sign
+        ends: dict[int, int] = {}
+        while m := NAME_AND_SIGN.search(text, at, stop):
+            name, pos, pieces = m[1], m.end(), []
+            at = m.end()
+            while True:
+                if operand := QUOTED.match(text, pos, stop):
+                    start, end = operand.span(operand.lastindex)
+                    pieces.append((start, end, end))
+                    at = pos = operand.end()  # what is quoted is no code
+                    if text.find("\n", start, end) >= 0:
+                        regions.append((start, end))
+                else:
+                    if not lo <= pos < hi:
+                        if pos not in ends:
+                            bare = BARE.match(text, pos, stop)
+                            if not bare:
+                                break
+                            ends[pos] = bare.end()
+                        if pos == m.end():
+                            lo, hi = pos, ends[pos]
+                    start, pos = pos, hi if lo <= pos < hi else ends[pos]
+                    if pos - start <= longest and text[start:pos] in constants:
+                        pieces += constants[text[start:pos]]
+                    else:
+                        end = pos
+                        while end > start and text[end - 1] in ".,:":
+                            end -= 1
+                        pieces.append((start, end, min(end, start + LOOKS)))
+                plus = PLUS.match(text, pos, stop)
+                if not plus:
+                    break
+                pos = plus.end()
+            pieces = list(dict.fromkeys(pieces))
+            constants[name] = pieces
+            longest = max(longest, len(name))
+            sensitive = name_score(name)
+            if not sensitive:
+                continue
+            key = (name_parts(name)[-1] in PHRASE, *pieces)
+            if key not in known:
+                known[key] = literal_score("".join(text[s:e] for s, _, e in pieces), key[0])
+            for start, end, _ in pieces:
+                score = sensitive * known[key]
+                if end > start and score > best.get((start, end), (0.0, ""))[0]:
+                    best[start, end] = (score, name)
     return [(s, e, name, score) for (s, e), (score, name) in sorted(best.items())]
 
 
