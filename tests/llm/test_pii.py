@@ -57,6 +57,20 @@ def test_checksums_and_context():
     assert near > P.scan("sample 4111111111111111")[0]["score"]
 
 
+def test_ibans_with_words_after():
+    def found(text):
+        return [text[x["start"]:x["end"]] for x in P.scan(text) if x["kind"] == "iban"]
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for iban in (de, gb, no, de.replace(" ", ""), "MT84MALT011000012345MTLCAST001S"):
+        for after in ("", " BIC COBADEFF", " 12345", " EUR 100", " A", ", B", " and"):
+            assert found(f"IBAN {iban}{after}") == [iban], (iban, after)
+        assert found(f"IBAN {iban}X") == [] and found(f"IBAN {iban}7") == []
+    assert found(f"IBAN {de} {gb} {no}") == [de, gb, no]
+    assert found("IBAN AB12 " + de) == [de]
+    other = next(x for x in (f"ZZ{c:02d} 1234 5678 9012 345" for c in range(100)) if P.mod97(x.replace(" ", "")))
+    assert other in found(f"IBAN {other}") and P.scan("DE89 " * 40_000) == []
+
+
 def test_odd_rows(spark, odd):
     got = P.find_personal_data(odd).collect()
     assert len(got) == odd.count() and all(r.found == [] for r in got)
