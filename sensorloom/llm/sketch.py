@@ -1,8 +1,10 @@
-"""Threshold-scaled sketches: every shingle hash below a fixed fraction is kept.
+"""Threshold-scaled sketches: every shingle hash below a fixed fraction is kept, and the least ones of short texts.
 
-DataFrame functions only.  Sketches of any texts can be merged by their union, and
+DataFrame functions only.  Sketches of any texts can be merged, and
 compared whatever the lengths: the share of a sketch found in another estimates
-the share of its shingles found there.
+the share of its shingles found there.  A sketch of fewer than LEAST hashes has all of its text;
+any other has all hashes up to the fraction, or up to its largest one if that is more.  Two sketches
+are held against each other up to the smaller of these limits.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 #: Shingle hashes are kept below this fraction of the hash range.
 FRACTION = 0.25
 SHINGLE = 5
+#: Where fewer lie there, the so many least hashes are kept.
+LEAST = 16
 
 
 def _let(value: Column, body) -> Column:
@@ -20,16 +24,36 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _top(fraction: float) -> int:
+    return -(1 << 63) + int(fraction * (1 << 64))
+
+
+def _limit(s: Column) -> Column:
+    """Up to where a sketch has all hashes of its text."""
+    return F.when(F.size(s) < LEAST, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.array_max(s), F.lit(_top(FRACTION))))
+
+
+def _common(a: Column, b: Column, body) -> Column:
+    """``body`` of both sketches up to the smaller limit."""
+    def upto(s, top):
+        return F.filter(s, lambda h: h <= top)
+    return _let(F.least(_limit(a), _limit(b)), lambda top: _let(F.struct(upto(a, top).alias("a"), upto(b, top).alias("b")), lambda x: body(x["a"], x["b"])))
+
+
 def sketch(text: Column, shingle: int = SHINGLE, fraction: float = FRACTION) -> Column:
     """Sorted distinct hashes (longs) of the text's ``shingle``-word runs that lie in the
-    lowest ``fraction``; a text of fewer words, but not none, has one run, and it is
-    kept whatever its hash.  Null and wordless texts have an empty sketch."""
+    lowest ``fraction``, or the LEAST least ones (all, if there are fewer) where fewer lie there, so only null and
+    wordless texts have an empty sketch; a text of fewer words, but not none, has one run."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    limit = -(1 << 63) + int(fraction * (1 << 64))
+    limit = _top(fraction)
+
+    def kept(hashes):
+        low = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit))))
+        return _let(low, lambda s: F.when(F.size(s) >= LEAST, s).otherwise(F.slice(F.array_sort(F.array_distinct(hashes)), 1, LEAST)))
 
     def of(w):
         hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (shingle - 1)), lambda i: F.xxhash64(F.slice(w, i, shingle)))
-        return F.when(F.size(w) >= shingle, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit))))) \
+        return F.when(F.size(w) >= shingle, _let(hashes, kept)) \
             .when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
     return _let(words, of)
 
@@ -41,19 +65,22 @@ def as_text(s: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two sketches; two empty ones are alike."""
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+    def of(x, y):
+        return _let(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(n / (F.size(x) + F.size(y) - n)))
+    return _common(a, b, of)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that are in b; 0 for an empty sketch."""
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that are in b; 0 for an empty sketch, null where b's sketch
+    does not reach up to a's least hash and so says nothing of it."""
+    def of(x, y):
+        return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(_common(a, b, of))
 
 
 def merge(a: Column, b: Column) -> Column:
     """Sketch of the union of two texts' shingles."""
-    return F.array_sort(F.array_union(a, b))
+    return _common(a, b, lambda x, y: F.array_sort(F.array_union(x, y)))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

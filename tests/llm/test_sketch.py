@@ -42,6 +42,27 @@ def test_merge_and_containment(spark):
     assert r.in_whole == r.both == 1.0 and 0.3 < r.back < 0.7
 
 
+def test_short_texts(spark):
+    def words(prefix, n):
+        return [f"{prefix}{i}" for i in range(n)]
+    pairs, want = [], []
+    for n in range(5, 21):
+        for k in range(6):
+            w = words(f"s{n}x{k}y", n)
+            half = w[:n // 2 + 3] + words(f"t{n}x{k}y", n)[n // 2 + 3:]
+            runs = [{tuple(v[i:i + 5]) for i in range(len(v) - 4)} for v in (w, half)]
+            pairs.append((" ".join(w), " ".join(words(f"u{n}x{k}y", n)), " ".join(half), " ".join(w + words(f"v{n}x{k}y", 300))))
+            want.append(len(runs[0] & runs[1]) / len(runs[0] | runs[1]))
+    a, b, c, d = (S.sketch(F.col(x)) for x in "abcd")
+    both = S.sketch(F.concat_ws(" ", F.lit("never"), "a"))
+    rows = spark.createDataFrame(pairs, "a string, b string, c string, d string").select(
+        F.size(a).alias("n"), S.likeness(a, b).alias("other"), S.likeness(a, c).alias("half"), S.likeness(a, a).alias("same"), S.containment(a, d).alias("part"),
+        S.containment(S.merge(a, d), d).alias("merged"), S.containment(a, S.merge(a, b)).alias("union"), S.likeness(a, both).alias("longer")).collect()
+    assert all(r.n > 0 and r.other == 0 and r.same == 1 and r.part in (1, None) and r.merged == 1 and r.union == 1 and r.longer > 0 for r in rows)
+    assert sum(r.part is None for r in rows) < len(rows) / 2
+    assert all(abs(r.half - x) < (1e-9 if r.n < S.LEAST else 0.2) for r, x in zip(rows, want))
+
+
 def test_next_row_over_many_ranges(spark, odd):
     df = spark.createDataFrame([(i * 7, f"text {i}") for i in range(100)] + [(7, "again"), (7, "again")], "doc_id long, text string")
     for extra in ([], [(None, "none a"), (None, None)]):
