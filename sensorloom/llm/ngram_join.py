@@ -1,13 +1,12 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: banded MinHash LSH, then exact verification.
 
 1. Every text becomes its set of 5-word shingle hashes; texts with equal sets
    are one *text class*, carried by its smallest ``doc_id``.
-2. Each class has one MinHash signature per tree.  A tree is the sorted table
-   of signatures, i.e. a prefix trie; two classes are candidates in a tree when
-   they share a prefix of the current depth.  The depth starts at the longest
-   prefix and is shortened until a pair of the threshold similarity is found
-   in some tree with the target recall.
-3. Members of a trie node are linked to the node's smallest member (a star, so
+2. Each class has one MinHash signature per tree (a band); two classes are candidates in a
+   tree when their signatures are equal there.  The depth (values of a signature) is fixed ahead by
+   a formula: the longest at which a pair of the threshold similarity is found in some tree with the
+   target recall.  There is no sorted trie, and the matches do not change the depth.
+3. Members of a node (the same signature in a tree) are linked to the node's smallest member (a star, so
    a node of n members gives n - 1 links) and the links' components gather
    what has to be compared.
 4. Within a component every pair that sizes allow is compared exactly, on whole
@@ -42,7 +41,7 @@ def recall(similarity: float, depth: int, trees: int) -> float:
 
 
 def forest_depth(threshold: float, trees: int, max_depth: int, target: float) -> int:
-    """Shorten the matched prefix until the target recall is met."""
+    """The longest signature per tree that meets the target recall."""
     depth = max_depth
     while depth > 1 and recall(threshold, depth, trees) < target:
         depth -= 1
