@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontam, langid, ngram_join, packing, pii, quality, secret_scan, sketch, warc
+from . import chaining, decontam, langid, ngram_join, packing, pieces, pii, quality, secret_scan, sketch, warc
 from .shared import let_workers_import
 
 LLM_QUERIES: dict = {}
@@ -159,3 +159,10 @@ def op9_scaled_sketch(spark, sf_dir):
 @query
 def op7_collinear_chains(spark, sf_dir):
     return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_sentence_pieces(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(pieces.decode_ids(F.col("ids"), model), 256).alias("decoded_sha256"))
