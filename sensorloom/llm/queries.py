@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontam, langid, ngram_join, packing, pieces, pii, quality, secret_scan, sketch, warc
+from . import chaining, decontam, langid, merkle, ngram_join, packing, pieces, pii, quality, secret_scan, sketch, warc
 from .shared import let_workers_import
 
 LLM_QUERIES: dict = {}
@@ -166,3 +166,43 @@ def op13_sentence_pieces(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
     out = pieces.encode_documents(table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(pieces.decode_ids(F.col("ids"), model), 256).alias("decoded_sha256"))
+
+
+#: zlib's CRC-32 of a string of digits.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x // 2, 3988292384 * (x % 2)))))"""
+
+LLM_ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, text, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: CASE WHEN v IS NULL THEN '-' ELSE
+    octet_length(encode(v)) || ':' || v END) AS f, CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 5 = 0 THEN {LOWER.format("text")} ELSE text END AS changed FROM documents),
+h AS (SELECT doc_id, source, sha256(array_to_string(f, '') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+  sha256(array_to_string(f, '') || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) AS other FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM h),
+t AS (SELECT s, 0 AS lvl, i, n, leaf AS h FROM l UNION ALL
+  SELECT s, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY s, lvl, i // 16, n),
+u AS (SELECT 0 AS lvl, s AS i, (SELECT count(DISTINCT s) FROM l) AS n, h FROM t WHERE n = 1 UNION ALL
+  SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 16, n),
+r AS (SELECT s, 0 AS part, lvl, i // 16 AS run, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY s, lvl, i // 16
+  UNION ALL SELECT 0, 1, lvl, i // 16, list(h ORDER BY i) FROM u WHERE n > 1 GROUP BY lvl, i // 16),
+p AS (SELECT doc_id, s, leaf, s AS tree, 0 AS part, 0 AS lvl, i, n, '' AS proof, other AS folded FROM l UNION ALL
+  SELECT doc_id, p.s, leaf, CASE WHEN p.n = 1 THEN 0 ELSE tree END, CASE WHEN p.n = 1 THEN 1 ELSE p.part END, CASE WHEN p.n = 1 THEN 0 ELSE p.lvl + 1 END,
+    CASE WHEN p.n = 1 THEN p.s ELSE i // 16 END, CASE WHEN p.n = 1 THEN (SELECT max(n) FROM u) ELSE (p.n + 15) // 16 END,
+    proof || coalesce(array_to_string(list_concat(hs[1:i % 16], hs[i % 16 + 2:]), ''), ''),
+    CASE WHEN p.n = 1 THEN folded ELSE sha256(array_to_string(hs[1:i % 16], '') || folded || array_to_string(hs[i % 16 + 2:], '')) END
+  FROM p LEFT JOIN r ON r.s = p.tree AND r.part = p.part AND r.lvl = p.lvl AND r.run = i // 16 AND p.n > 1 WHERE p.part = 0 OR p.n > 1)
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.h AS verified
+FROM p JOIN t ON t.s = p.s AND t.n = 1 JOIN u ON u.n = 1 WHERE p.part = 1 AND p.n = 1
+"""
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "source", merkle.leaf(*head, F.col("text")).alias("leaf"), merkle.leaf(*head, changed).alias("other"))
+    rows = merkle.manifest(leaves)
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.node(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+                       merkle.fold(F.col("other"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
