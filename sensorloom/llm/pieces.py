@@ -31,6 +31,8 @@ from .text import blocks
 MARK = "▁"
 NONE = np.int64(1 << 40)
 LONG = 64
+#: Texts that are encoded together.
+BLOCK_BYTES = 1 << 19
 
 
 def _each_byte(e: UnicodeDecodeError):
@@ -57,7 +59,7 @@ class Vocabulary:
     A symbol is a piece's id; characters that are in pieces but no piece of their own come after
     the ids, and any other character ``c`` is ``-1 - c``."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 150_000):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
@@ -297,7 +299,7 @@ def encode_ids(text: Column, model_path: str, *, begin: bool = True, end: bool =
         closing = np.array([voc.eos] * end, "<u4").tobytes()
         for texts in batches:
             out = []
-            for _, part in blocks(texts):
+            for _, part in blocks(texts, BLOCK_BYTES):
                 out += [opening + ids + closing for ids in voc.encode(part.to_pylist())]
             yield pa.array(out, pa.binary())
     return F.arrow_udf(run, "binary")(text)
@@ -310,18 +312,32 @@ def decode_ids(ids: Column, model_path: str) -> Column:
         voc = vocabulary(model_path)
         for arr in batches:
             out = []
-            for _, part in blocks(arr.fill_null(b"").cast(pa.large_binary())):
+            for _, part in blocks(arr.fill_null(b"").cast(pa.large_binary()), BLOCK_BYTES):
                 rows = part.to_pylist()
                 out += voc.decode(np.frombuffer(b"".join(rows), "<u4"), np.array([len(r) // 4 for r in rows], np.int64))
             yield pa.array(out, pa.string())
     return F.arrow_udf(run, "string")(ids)
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian uint32, with begin and end) of every whole text.
+def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids`` (little-endian uint32, with begin and end) of every whole text, and with ``decode`` the text
+    ``decoded`` from these ids.
 
     A null or empty text has begin and end alone.  Null ids and repeated rows are returned
     as they are; an empty table gives no rows; other columns are ignored.  No shuffle: each
     task holds the words of one block of texts, and a cache of bounded size."""
-    out = docs.select(F.col(id_col).alias("doc_id"), encode_ids(F.col(text_col), model_path).alias("ids"))
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary(model_path)
+        opening, closing = (np.array([i], "<u4").tobytes() for i in (voc.bos, voc.eos))
+        for batch in batches:
+            for at, part in blocks(batch.column(1), BLOCK_BYTES):
+                ids = [opening + x + closing for x in voc.encode(part.to_pylist())]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                cols = {"doc_id": batch.column(0).slice(at, len(part)), "n_tokens": pa.array(n), "ids": pa.array(ids, pa.binary())}
+                if decode:
+                    cols["decoded"] = pa.array(voc.decode(np.frombuffer(b"".join(ids), "<u4"), n), pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + (", decoded string" if decode else ""))

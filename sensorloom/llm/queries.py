@@ -163,9 +163,8 @@ def op7_collinear_chains(spark, sf_dir):
 
 @query
 def op13_sentence_pieces(spark, sf_dir):
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    out = pieces.encode_documents(table(spark, sf_dir, "documents"), model)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(pieces.decode_ids(F.col("ids"), model), 256).alias("decoded_sha256"))
+    out = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 #: zlib's CRC-32 of a string of digits.
