@@ -1,15 +1,6 @@
 """Search: hit clean-up, BM25 corpus search, batched clarification, page text.
 
-BM25 plan (exact, exhaustive):
-* the corpus is tokenised once; document count and lengths ride along as
-  a per-document sentinel term in the same shuffle and are read from the
-  small (broadcast) per-term table;
-* only occurrences of query terms are exploded and shuffled: the query
-  vocabulary is size-checked and broadcast into a semi-join;
-* per-(doc, term) frequencies and per-term document frequencies are
-  partial aggregates; scores are summed per (query, doc);
-* per-query max-normalisation and the top k use partial aggregates and
-  the salted two-phase top-k, so no query's candidates sit in one task.
+Top-k search goes through the block-max index of ``retrieval``; ``bm25`` scores all pairs.
 """
 
 from __future__ import annotations
@@ -17,10 +8,10 @@ from __future__ import annotations
 import json
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import fits
+from . import retrieval
 from .topk import clamp, top_k_per_group
 
 # BM25 parameters, tokenizer, snippet length, URL rule.
@@ -52,111 +43,54 @@ def clean_hits(hits: DataFrame, max_results: int = DEFAULT_MAX_RESULTS, group: s
     return top_k_per_group(out, [group], [F.col(order).asc()], k, salt_cols=[group, order]).drop("rank")
 
 
-DOC_SENTINEL = ""   # no token is empty: one sentinel occurrence per document
-
-
 def query_terms(queries: DataFrame, qkey: str = "query_id", qtext: str = "text") -> DataFrame:
     """Distinct (query, term) pairs."""
     return queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term")).distinct()
 
 
 def bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "text",
-         dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B,
-         small_queries: bool | None = None) -> DataFrame:
-    """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``."""
-    return _bm25(queries, docs, qkey, qtext, dkey, dtext, k1, b, small_queries)[0]
-
-
-def _bm25(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "text",
-          dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B,
-          small_queries: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``.
-
-    The corpus is tokenised once.  Every document also emits one sentinel
-    term, so the postings shuffle carries the document count and lengths
-    with the term frequencies.  Per-term document frequencies are bounded by
-    the query vocabulary and broadcast behind its size check."""
-    # Documents need an id to be returned.  Stating the filter here also keeps
-    # every branch identical (a join on the id would otherwise add it to one
-    # branch only and split the shared postings exchange).
-    d = docs.where(F.col(dkey).isNotNull()).select(dkey, tokens(F.col(dtext)).alias("_tok"),
-                                                   F.substring(F.col(dtext), 1, SNIPPET_CHARS).alias("_snip"))
+         dkey: str = "doc_id", dtext: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 score of every (query, doc) sharing a term: ``qkey, dkey, score``.  All pairs are scored;
+    ``search_topk`` scores only those that may be among the best."""
+    d = docs.where(F.col(dkey).isNotNull()).select(dkey, tokens(F.col(dtext)).alias("_tok"))
     qt = query_terms(queries, qkey, qtext)
-    # One size check covers every small side: the vocabulary, the per-term
-    # table (vocabulary + 1 rows) and the per-query maxima all have at most
-    # as many rows as the (query, term) pairs.
-    small = fits(qt) if small_queries is None else small_queries
-    vocab = qt.select("term").distinct()
-    keep = vocab.unionByName(vocab.sparkSession.range(1).select(F.lit(DOC_SENTINEL).alias("term")))
-    occ = d.select(dkey, F.size("_tok").alias("dl"), "_snip",
-                   F.explode(F.concat("_tok", F.array(F.lit(DOC_SENTINEL)))).alias("term"))
-    occ = occ.join(F.broadcast(keep) if small else keep, "term", "left_semi")
-    # The sentinel row of a document also carries its snippet, as a grouping
-    # key (NULL on every other row), so no branch can prune it and all share
-    # one postings exchange: the text is read once.  The snippet branch's
-    # filter also reads ``tf`` (an aggregate output) so it stays above the
-    # aggregate instead of being pushed into that branch alone.
-    snip = F.when(F.col("term") == DOC_SENTINEL, F.col("_snip"))
-    tf = occ.groupBy(dkey, "term", "dl", snip.alias("_snippet")).agg(F.count(F.lit(1)).alias("tf"))
-    snippets = tf.where(F.when(F.col("tf") > 0, F.col("_snippet").isNotNull())) \
-                 .select(dkey, F.col("_snippet").alias("snippet"))
-    per_term = tf.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"), F.sum("dl").alias("sdl"),
-        F.max(F.col("term") == DOC_SENTINEL).alias("is_sentinel"))
-    if small:
-        # per_term holds at most |vocabulary| + 1 rows and is broadcast, i.e.
-        # gathered whole anyway: the corpus statistics are read from its
-        # sentinel row by an unpartitioned window over that small table
-        # (no extra job, no subquery, one tokenisation pass).
-        # (``ctf >= df`` always holds; it keeps ``ctf``, which reads ``tf``,
-        # so this branch shares the postings aggregate and its exchange)
-        whole = Window.partitionBy()
-        terms = per_term.where(F.col("ctf") >= F.col("df")).select(
-            "term", "df", "is_sentinel",
-            F.max(F.when(F.col("is_sentinel"), F.col("df"))).over(whole).cast("double").alias("_n_docs"),
-            F.max(F.when(F.col("is_sentinel"), F.col("sdl") / F.col("df"))).over(whole).alias("_avgdl"))
-        t = tf.join(F.broadcast(terms.where(~F.col("is_sentinel")).drop("is_sentinel")), "term")
-        n_docs, avgdl = F.col("_n_docs"), F.col("_avgdl")
-    else:
-        # large vocabulary: statistics as scalar subqueries, per-term table
-        # joined by AQE (``ctf >= df`` always holds; it keeps ``ctf``, which
-        # reads ``tf``, so every branch shares the postings aggregate)
-        corpus = per_term.where(F.col("is_sentinel") & (F.col("ctf") >= F.col("df")))
-        n_docs = corpus.select(F.col("df").cast("double")).scalar()
-        avgdl = corpus.select(F.col("sdl") / F.col("df")).scalar()
-        terms = per_term.where(~F.col("is_sentinel") & (F.col("ctf") >= F.col("df"))).select("term", "df")
-        t = tf.join(terms, "term")
+    stats = d.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(F.size("_tok")).alias("_avgdl"))
+    tf = d.select(dkey, F.size("_tok").alias("dl"), F.explode("_tok").alias("term")).join(qt.select("term").distinct(), "term", "left_semi") \
+        .groupBy(dkey, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs, avgdl = stats.select("_n").scalar(), stats.select("_avgdl").scalar()
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    tw = t.select(dkey, "term", w.alias("w"))
-    j = tw.join(F.broadcast(qt) if small else qt, "term")
-    return j.groupBy(qkey, dkey).agg(F.sum("w").alias("score")), snippets
+    return tf.join(df, "term").select(dkey, "term", w.alias("w")).join(qt, "term").groupBy(qkey, dkey).agg(F.sum("w").alias("score"))
+
+
+def corpus_index(docs: DataFrame, qterms: DataFrame | None, dkey: str = "doc_id", dtext: str = "text", carry: tuple[str, ...] = (),
+                 k1: float = K1, b: float = B, **kw) -> retrieval.Index:
+    """Block-max index of the documents (rows without an id are left out); of all terms where ``qterms`` is None."""
+    shown = [F.col(dkey), F.substring(F.col(dtext), 1, SNIPPET_CHARS).alias("snippet"), *[F.col(c) for c in carry]]
+    vocabulary = None if qterms is None else qterms.select("term").distinct()
+    return retrieval.build_index(docs.where(F.col(dkey).isNotNull()), vocabulary, tokens, F.col(dtext), shown, k1=k1, b=b, **kw)
 
 
 def search_topk(queries: DataFrame, docs: DataFrame, max_results: int = DEFAULT_MAX_RESULTS,
-                qkey: str = "query_id", dkey: str = "doc_id", dtext: str = "text", digits: int = 4,
-                **kw) -> DataFrame:
+                qkey: str = "query_id", qtext: str = "text", dkey: str = "doc_id", dtext: str = "text", digits: int = 4,
+                carry: tuple[str, ...] = (), **kw) -> DataFrame:
     """Top hits per query: score max-normalised to [0, 1] per query, ranked
     as it is (but for floating-point noise), ties broken by document id, and
-    rounded to ``digits`` for display only; with a ~200-character snippet."""
-    k = clamp(max_results)
-    small = fits(query_terms(queries, qkey, kw.get("qtext", "text")))
-    s, snip = _bm25(queries, docs, qkey=qkey, dkey=dkey, dtext=dtext, small_queries=small, **kw)
-    mx = s.groupBy(qkey).agg(F.max("score").alias("_mx"))
-    # one max per query: at most as many rows as the checked (query, term) pairs
-    s = s.join(F.broadcast(mx) if small else mx, qkey).withColumn("score", F.round(F.col("score") / F.col("_mx"), 10)).drop("_mx")
-    top = top_k_per_group(s, [qkey], [F.col("score").desc(), F.col(dkey).asc()], k, salt_cols=[qkey, dkey])
-    # snippets come from the postings shuffle (no second read of the text)
-    return top.withColumn("score", F.round("score", digits)).join(snip, dkey, "left")
+    rounded to ``digits`` for display only; with a ~200-character snippet and the columns ``carry`` of
+    the document.  Every row of ``docs`` is a document, also with an id that others have."""
+    qt = query_terms(queries, qkey, qtext)
+    index = corpus_index(docs, qt, dkey, dtext, carry, **kw)
+    return retrieval.top_hits(index, qt, clamp(max_results), qkey=qkey, tie=dkey, digits=digits)
 
 
 def clarify(requests: DataFrame, docs: DataFrame, key: str = "request_id", technology: str = "technology",
-            question: str = "question", k: int = 3, dkey: str = "doc_id", **kw) -> DataFrame:
+            question: str = "question", k: int = 3, dkey: str = "doc_id", carry: tuple[str, ...] = ("title", "url"), **kw) -> DataFrame:
     """Batched clarification: query = technology + ' ' + question; the best
-    ``k`` hits per request as an array (bounded by k)."""
+    ``k`` hits per request as an array (bounded by k), each with id, score, snippet and ``carry``."""
     q = requests.select(key, F.concat_ws(" ", F.col(technology), F.col(question)).alias("text"))
-    top = search_topk(q, docs, max_results=k, qkey=key, dkey=dkey, **kw)
-    arr = F.array_sort(F.collect_list(F.struct("rank", dkey, "score")))
+    top = search_topk(q, docs, max_results=k, qkey=key, dkey=dkey, carry=carry, **kw)
+    arr = F.array_sort(F.collect_list(F.struct("rank", dkey, "score", *carry, "snippet")))
     return top.groupBy(key).agg(arr.alias("hits"))
 
 

@@ -46,19 +46,21 @@ def clarify_requests(fx):
     b = fx.benchmark
     return b.select(F.col("item_id").alias("request_id"),
                     F.substring_index(F.col("text"), " ", 1).alias("technology"),
-                    F.regexp_extract(F.col("text"), r"^\S*\s(.*)$", 1).alias("question"))
+                    F.regexp_extract(F.col("text"), r"(?s)^\S*\s(.*)$", 1).alias("question"))
 
 
 @register("clarify_top3", r"""WITH queries AS (
-  SELECT item_id AS query_id, concat_ws(' ', split_part(text, ' ', 1), regexp_extract(text, '^\S*\s(.*)$', 1)) AS qtext FROM benchmark),
+  SELECT item_id AS query_id, concat_ws(' ', split_part(text, ' ', 1), regexp_extract(text, '(?s)^\S*\s(.*)$', 1)) AS qtext FROM benchmark),
 """ + BM25_SQL.lstrip() + """
-SELECT query_id AS request_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS hit_ids, max(score) AS top_score
-FROM r WHERE rank <= 3 GROUP BY query_id
+SELECT query_id AS request_id, rank, doc_id, score, substr(text, 1, 60) AS title,
+  'https://' || coalesce(source, 'none') || '.example.com/' || doc_id AS url, substr(text, 1, 200) AS snippet
+FROM r JOIN documents USING (doc_id) WHERE rank <= 3
 """)
 def clarify_top3(fx):
-    c = SE.clarify(clarify_requests(fx), fx.documents, k=3)
-    return c.select("request_id", F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), ",").alias("hit_ids"),
-                    F.col("hits")[0]["score"].alias("top_score"))
+    docs = fx.documents.select("doc_id", "text", F.substring("text", 1, 60).alias("title"),
+                               F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"))
+    c = SE.clarify(clarify_requests(fx), docs, k=3)
+    return c.select("request_id", F.explode("hits").alias("hit")).select("request_id", "hit.*")
 
 
 # Stated here again: the oracle must not follow a wrong constant of the operator.

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import timeseries as TS
 from ..session import scratch_path
 from ..streaming import chain as CH
+from ..streaming import keyed as KE
+from ..streaming import registry as RG
 from ..streaming import sources as SRC
 from ..streaming import stateful as ST
 from .registry import register
@@ -58,39 +60,55 @@ def stream_chain(fx):
     return fx.spark.read.parquet(f"{base}/sink")
 
 
+def _two_batches(fx, base: str, start, where: str = "true") -> None:
+    """Land the messages in two parts, and run the stream over each with the same checkpoint."""
+    for part in (0, 1):
+        fx.raw_messages().where(f"(offset_id div 2) % 2 = {part} AND {where}").write.mode("append").json(f"{base}/landing")
+        _await(start(_readings_stream(fx, f"{base}/landing").withColumn("event_time", TS.event_time())))
+
+
 @register("stream_changes", "WITH " + PARSED_SQL + """
 SELECT offset_id, source_type, asset_id, timestamp, quality, value, unit FROM (
   SELECT *, LAG(value) OVER w AS prev, ROW_NUMBER() OVER w AS rn FROM parsed
-  WINDOW w AS (PARTITION BY asset_id ORDER BY TRY_CAST(timestamp AS TIMESTAMP) ASC NULLS FIRST, offset_id))
+  WINDOW w AS (PARTITION BY offset_id % 2, asset_id ORDER BY (offset_id // 2) % 2, TRY_CAST(timestamp AS TIMESTAMP) ASC NULLS FIRST, offset_id))
 WHERE rn = 1 OR prev IS DISTINCT FROM value
 """, ["raw_messages"])
 def stream_changes(fx):
-    """Change detection with one value of state per asset."""
+    """Change detection with one value of state per asset: two streams (even and odd messages), each over two
+    micro-batches, into one collection."""
     base = _run_dir(fx, "changes")
-    landing = land(fx, base)
-    r = _readings_stream(fx, landing).withColumn("event_time", TS.event_time())
-    _await(ST.changes_sink(r, f"{base}/sink", f"{base}/ckpt", f"{base}/state"))
-    return fx.spark.read.parquet(f"{base}/sink").drop("event_time", "batch_id")
-
-
-@register("stream_sampled", "WITH " + PARSED_SQL + """,
-t AS (SELECT *, TRY_CAST(timestamp AS TIMESTAMP) AS et FROM parsed WHERE TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL),
-s AS (SELECT asset_id, time_bucket(INTERVAL 1 HOUR, et) AS window_start, value, et, offset_id FROM t)
-SELECT asset_id, window_start, window_start + INTERVAL 1 HOUR AS window_end, value, n_readings FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY asset_id, window_start ORDER BY et DESC, offset_id DESC) AS rn,
-    COUNT(*) OVER (PARTITION BY asset_id, window_start) AS n_readings FROM s)
-WHERE rn = 1 AND window_start + INTERVAL 1 HOUR <= (SELECT max(et) FROM t) - INTERVAL 10 MINUTE
+    for s in (0, 1):
+        _two_batches(fx, f"{base}/{s}", lambda r, s=s: KE.changes_sink(r, f"{base}/sink", f"{base}/{s}/ckpt"), f"offset_id % 2 = {s}")
+    return fx.spark.read.parquet(f"{base}/sink").drop("event_time", "stream", "batch_id")
+
+
+SAMPLED_SQL = """,
+t AS (SELECT *, TRY_CAST(timestamp AS TIMESTAMP) AS event_time, (offset_id // 2) % 2 AS part, time_bucket(INTERVAL 1 HOUR, TRY_CAST(timestamp AS TIMESTAMP)) AS window_start
+  FROM parsed WHERE TRY_CAST(timestamp AS TIMESTAMP) IS NOT NULL),
+s AS (SELECT *, window_start + INTERVAL 1 HOUR AS window_end, part = 1 AND window_start + INTERVAL 1 HOUR <= (SELECT max(event_time) FROM t WHERE part = 0) - INTERVAL 10 MINUTE AS late FROM t)
+"""
+
+
+@register("stream_sampled", "WITH " + PARSED_SQL + SAMPLED_SQL + """
+SELECT asset_id, window_start, window_end, max_by(value, (event_time, offset_id)) FILTER (WHERE rn = 1) AS value, count(*) AS n_readings, count(*) FILTER (WHERE late) AS n_late FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY asset_id, window_start ORDER BY event_time DESC, offset_id DESC) AS rn FROM s)
+GROUP BY asset_id, window_start, window_end
 """, ["raw_messages"])
 def stream_sampled(fx):
-    """Hourly samples; only windows closed by the watermark are emitted."""
+    """Hourly samples over two micro-batches: every window of the input, with the number of late readings."""
     base = _run_dir(fx, "sampled")
-    landing = land(fx, base)
-    r = _readings_stream(fx, landing).withColumn("event_time", TS.event_time())
-    out = ST.sampled_stream(r, 3_600_000)
-    q = (out.writeStream.format("parquet").option("path", f"{base}/sink")
-         .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return fx.spark.read.parquet(f"{base}/sink")
+    _two_batches(fx, base, lambda r: ST.sampled_sink(r, f"{base}/out", f"{base}/ckpt", 3_600_000))
+    return ST.close_windows(fx.spark, f"{base}/out", f"{base}/ckpt")
+
+
+@register("stream_late", "WITH " + PARSED_SQL + SAMPLED_SQL + """
+SELECT offset_id, source_type, asset_id, timestamp, quality, value, unit, window_start FROM s WHERE late
+""", ["raw_messages"])
+def stream_late(fx):
+    """Readings that came after their window was closed, in a table of their own."""
+    base = _run_dir(fx, "late")
+    _two_batches(fx, base, lambda r: ST.sampled_sink(r, f"{base}/out", f"{base}/ckpt", 3_600_000))
+    return ST.late_readings(fx.spark, f"{base}/out", f"{base}/ckpt").drop("event_time", "window_end")
 
 
 @register("stream_sink", "WITH " + PARSED_SQL + """
@@ -149,23 +167,56 @@ def stream_readers(fx):
     return out
 
 
-RPC_DAYS = 30
-
-
-@register("stream_rpc", f"""
-SELECT q.id, q.method, CASE WHEN r.error_code IS NOT NULL THEN 'error' ELSE 'ok' END AS status
-FROM rpc_requests q JOIN rpc_responses r ON q.id = r.id AND r.recv_at >= q.sent_at AND r.recv_at <= q.sent_at + INTERVAL {RPC_DAYS} DAY
-""", ["rpc_requests", "rpc_responses"])
+@register("stream_rpc", """
+WITH q AS (SELECT o_orderkey AS id, o_orderstatus AS method, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS sent_at, o_orderdate FROM orders),
+r AS (SELECT q.id, q.sent_at + to_seconds(5 * date_diff('day', CAST(o_orderdate AS DATE), CAST(min(l_shipdate) AS DATE))) AS recv_at, max(l_returnflag) = 'R' AS failed
+  FROM q JOIN lineitem ON l_orderkey = q.id GROUP BY q.id, q.sent_at, o_orderdate)
+SELECT q.id, method, CASE WHEN r.id IS NULL THEN 'timeout' WHEN failed THEN 'error' ELSE 'ok' END AS status
+FROM q LEFT JOIN r ON r.id = q.id AND recv_at >= sent_at AND recv_at <= sent_at + INTERVAL 300 SECOND
+""")
 def stream_rpc(fx):
-    """Answered requests of the stream-stream join (open ones wait for the watermark)."""
+    """Requests answered within 300 s, with an error, or not at all: a heartbeat after the last message lets the open ones time out."""
     base = _run_dir(fx, "rpc")
-    sides = []
-    for name, df, ts in (("req", fx.rpc_requests(), "sent_at"), ("resp", fx.rpc_responses(), "recv_at")):
-        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    orders = fx.orders.select("o_orderkey", "o_orderstatus", "o_orderdate", F.timestamp_add("SECOND", F.col("o_orderkey") % 86400, F.col("o_orderdate").cast("timestamp")).alias("sent_at"))
+    ships = fx.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("ship"), F.max("l_returnflag").alias("flag"))
+    answers = ships.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sides = {"req": orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("method"), "sent_at"),
+             "resp": answers.select(F.col("o_orderkey").alias("id"), F.timestamp_add("SECOND", 5 * F.date_diff(F.col("ship").cast("date"), F.col("o_orderdate").cast("date")), F.col("sent_at")).alias("recv_at"),
+                                    F.when(F.col("flag") == "R", -32601).alias("error_code"))}
+    beats = fx.spark.createDataFrame([], "beat_at timestamp")
+    for name, df in {**sides, "beat": beats}.items():
         df.write.parquet(f"{base}/{name}")
-        sides.append(fx.spark.readStream.schema(df.schema).parquet(f"{base}/{name}"))
-    out = ST.rpc_stream(*sides, timeout_s=RPC_DAYS * 86400)
-    q = (out.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/ckpt")
-         .outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return fx.spark.read.parquet(f"{base}/sink").where("status <> 'timeout'").select("id", "method", "status")
+    schemas = {"req": sides["req"].schema, "resp": sides["resp"].schema, "beat": beats.schema}
+
+    def run():
+        req, resp, beat = (fx.spark.readStream.schema(schemas[n]).parquet(f"{base}/{n}") for n in ("req", "resp", "beat"))
+        out = ST.rpc_stream(req, resp, heartbeats=beat)
+        _await(out.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/ckpt")
+               .outputMode("append").trigger(availableNow=True).start())
+
+    run()
+    last = fx.spark.read.parquet(f"{base}/req").select("sent_at").union(fx.spark.read.parquet(f"{base}/resp").select("recv_at"))
+    for day in (1, 2):  # a beat moves the watermark on, the next micro-batch acts on it
+        beat = last.agg((F.max("sent_at") + F.expr(f"INTERVAL {day} DAY")).alias("beat_at"))
+        beat.write.mode("append").parquet(f"{base}/beat")
+        run()
+    return fx.spark.read.parquet(f"{base}/sink").select("id", "method", "status")
+
+
+@register("deployments", """
+WITH r AS (SELECT 'opcua.s' || s_suppkey || '.raw' AS source, CASE WHEN s_suppkey % 5 = 0 THEN 'nowhere' ELSE 'opcua.s' || s_suppkey || '.processed' END AS sink, s_suppkey FROM supplier
+  UNION ALL SELECT 'absent.s' || s_suppkey, 'opcua.s' || s_suppkey || '.processed', s_suppkey FROM supplier),
+t AS (SELECT c, source, sink, CASE WHEN source LIKE 'absent%' THEN 'missing source' WHEN sink = 'nowhere' OR s_suppkey % 3 = 0 THEN 'missing sink'
+  WHEN c = 2 AND s_suppkey % 2 = 0 THEN 'exists' ELSE 'deployed' END AS status FROM r, (SELECT unnest([1, 2]) AS c) WHERE c = 2 OR s_suppkey % 2 = 0)
+SELECT c AS call, source, sink, 'cleansing,normalization' AS steps, status FROM t
+""", ["topics"])
+def deployments(fx):
+    """Two calls to the registry: the second asks again for what the first deployed, and for more; missing topics are refused."""
+    registry = _run_dir(fx, "registry")
+    key = F.col("s_suppkey").cast("string")
+    own = F.concat(F.lit("opcua.s"), key, F.lit(".processed"))
+    asked = fx.supplier.select("s_suppkey", F.concat(F.lit("opcua.s"), key, F.lit(".raw")).alias("source"), F.when(F.col("s_suppkey") % 5 == 0, "nowhere").otherwise(own).alias("sink")) \
+        .unionByName(fx.supplier.select("s_suppkey", F.concat(F.lit("absent.s"), key).alias("source"), own.alias("sink")))
+    asked = asked.withColumn("steps", F.lit("cleansing,normalization"))
+    out = [RG.deploy(asked.where(part), fx.topics(), registry) for part in ("s_suppkey % 2 = 0", "true")]
+    return out[0].withColumn("call", F.lit(1)).unionByName(out[1].withColumn("call", F.lit(2))).drop("deployment")

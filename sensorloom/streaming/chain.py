@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import readings as R
 from ..session import scratch_path
 from ..sources.messages import split_readings
+from .registry import deploy_one
 
 
 def checkpoint_for(spark: SparkSession, source: str, sink: str, steps: list[str]) -> str:
@@ -65,15 +66,21 @@ def start_chain(spark: SparkSession, messages: DataFrame, sink_path: str, flags:
                 source_name: str = "messages", fmt: str = "parquet", taps: dict[str, str] | None = None,
                 checkpoint: str | None = None, available_now: bool = True,
                 processing_time: str | None = None, kafka_servers: str | None = None,
-                sink_topic: str | None = None) -> StreamingQuery:
+                sink_topic: str | None = None, source_schema: dict | None = None,
+                registry: str | None = None, topics: DataFrame | None = None) -> StreamingQuery:
     """Start the chain.  Without taps the processed stream is written with
     the file sink (exactly-once through its commit log); with taps each
-    micro-batch is persisted once and written to every target."""
+    micro-batch is persisted once and written to every target.
+
+    With ``registry`` and ``topics`` the chain is entered in the deployment registry first: a source or sink that is no
+    topic is refused, and a chain deployed before resumes from its checkpoint."""
     readings = parsed_readings(messages)
     result = R.preprocess(readings, cleansing=flags.get("cleansing", False),
                           imputation=flags.get("imputation", False),
                           normalization=flags.get("normalization", False),
-                          transformation=flags.get("transformation", False))
+                          transformation=flags.get("transformation", False), source_schema=source_schema)
+    if registry is not None:
+        deploy_one(spark, source_name, sink_topic or sink_path, result.steps, topics, registry)
     ckpt = checkpoint or checkpoint_for(spark, source_name, sink_path, result.steps)
     if fmt == "kafka":
         # processed readings as JSON messages keyed by the source offset
@@ -89,7 +96,7 @@ def start_chain(spark: SparkSession, messages: DataFrame, sink_path: str, flags:
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             batch.persist()
             try:
-                st = stages(batch, flags)
+                st = stages(batch, flags, source_schema)
                 st["processed"].write.mode("overwrite").format(fmt).save(os.path.join(sink_path, own, f"batch_id={batch_id}"))
                 for name, path in taps.items():
                     st[name].write.mode("overwrite").format(fmt).save(os.path.join(path, own, f"batch_id={batch_id}"))

@@ -1,5 +1,5 @@
-"""Stateful streaming operators: change detection, interval sampling,
-RPC timeouts, and an idempotent document sink."""
+"""Stateful streaming operators: interval sampling with late readings, RPC
+timeouts, and an idempotent document sink.  (Change detection: ``keyed``.)"""
 
 from __future__ import annotations
 
@@ -9,35 +9,50 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import prev_by_key
 from ..operators.store import with_doc_id
+from .keyed import stream_folder
+
+
+def _windows_of(ts: str, ntz: bool, secs: int):
+    """(start, end) of the tumbling window of a time; naive times by microseconds, whatever the session's zone is."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    if ntz:
+        micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
+        start = micros - F.pmod(micros, F.lit(secs * 1_000_000))
+        return F.timestamp_add("MICROSECOND", start, epoch), F.timestamp_add("MICROSECOND", start + secs * 1_000_000, epoch)
+    micros = F.unix_micros(F.col(ts))
+    start = micros - F.pmod(micros, F.lit(secs * 1_000_000))
+    return F.timestamp_micros(start), F.timestamp_micros(start + secs * 1_000_000)
+
+
+def sampled_sink(readings: DataFrame, path: str, checkpoint: str, interval_ms: int, delay_s: int = 600, key: str = "asset_id", value: str = "value",
+                 ts: str = "event_time", tiebreak: str = "offset_id", fmt: str = "parquet", available_now: bool = True):
+    """Sample a stream by tumbling windows and lose no reading.
+
+    The watermark of a micro-batch is the newest time of all earlier ones less ``delay_s``.  A reading whose window ends at or
+    before it is late: it goes whole to ``late``, and is merged into its window all the same.  Each micro-batch N
+    writes partial windows (``windows``), its late readings and the newest time so far (``marks``) to folders
+    ``batch_id=N`` of its stream, so a replayed batch replaces itself.  ``sampled_windows`` merges the partial windows,
+    ``close_windows`` ends the stream.  Readings without a time are in no window."""
+    if interval_ms < 1000:
+        raise ValueError("interval_ms must be at least 1000 (whole seconds)")
+    own = os.path.join(path, stream_folder(checkpoint))
+    ntz = dict(readings.dtypes)[ts] == "timestamp_ntz"
+    start, end = _windows_of(ts, ntz, interval_ms // 1000)
 
-def changes_sink(readings: DataFrame, path: str, checkpoint: str, state_path: str, key: str = "asset_id", value: str = "value",
-                 order: tuple[str, ...] = ("event_time", "offset_id"), bucket: str = "day", fmt: str = "parquet",
-                 available_now: bool = True):
-    """Write a reading only when its value differs from the key's last one.
-
-    The state is a table of one row per key (its last value), written anew by each micro-batch N to
-    ``state_path/batch_id=N`` and read from ``batch_id=N-1``: a replayed batch starts from the same state and
-    overwrites its own folders.  Inside a micro-batch the rows are compared as in batch, in buckets of time
-    (``prev_by_key``), so a key with a third of all rows is spread over many tasks and no task holds a key.
-    Inside a micro-batch the rows of a key are ordered by ``order``; across batches arrival order counts (a late
-    row is compared with the newest state, like a live subscription).  The first of ``order`` is a time."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            last = batch.sparkSession.read.format(fmt).load(os.path.join(state_path, f"batch_id={batch_id - 1}"))
-            rows = rows.unionByName(last.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-        # the state comes before all new rows: in a bucket of its own (NULL), and by the first order column
-        when = F.when(F.col("_new"), F.coalesce(F.date_trunc(bucket, F.col(order[0])), F.lit("0001-01-01").cast("timestamp")))
-        seq = ["_new", *order]
-        rows.persist()
+        spark = batch.sparkSession
+        top = spark.read.format(fmt).load(os.path.join(own, "marks", f"batch_id={batch_id - 1}")).first()[0] if batch_id else None
+        newest = F.lit(top).cast("timestamp_ntz" if ntz else "timestamp")
+        late = F.coalesce(F.col("window_end") <= newest - F.expr(f"INTERVAL {int(delay_s)} SECONDS"), F.lit(False))
+        rows = batch.where(F.col(ts).isNotNull()).withColumns({"window_start": start, "window_end": end}).withColumn("_late", late).persist()
         try:
-            prev = prev_by_key(rows, key, seq, when, [value])
-            changed = prev.where(F.col("_new") & (~F.col("has_prev") | ~F.col(f"prev_{value}").eqNullSafe(F.col(value))))
-            changed.select(*batch.columns).write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch_id={batch_id}"))
-            state = rows.groupBy(key).agg(F.max_by(F.col(value), F.struct(*seq)).alias(value))
-            state.write.mode("overwrite").format(fmt).save(os.path.join(state_path, f"batch_id={batch_id}"))
+            parts = rows.groupBy(key, "window_start", "window_end").agg(
+                F.max(F.struct(F.col(ts).alias("time"), F.col(tiebreak).alias("tie"), F.col(value).alias("value"))).alias("last"),
+                F.count(F.lit(1)).alias("n_readings"), F.count_if("_late").alias("n_late"))
+            for name, df in (("windows", parts), ("late", rows.where("_late").select(*batch.columns, "window_start", "window_end")),
+                             ("marks", rows.agg(F.greatest(F.max(ts), newest).alias("newest")))):
+                df.write.mode("overwrite").format(fmt).save(os.path.join(own, name, f"batch_id={batch_id}"))
         finally:
             rows.unpersist()
 
@@ -47,42 +62,51 @@ def changes_sink(readings: DataFrame, path: str, checkpoint: str, state_path: st
     return w.start()
 
 
-def sampled_stream(readings: DataFrame, interval_ms: int, delay: str = "10 minutes", key: str = "asset_id",
-                   value: str = "value", ts: str = "event_time", tiebreak: str = "offset_id") -> DataFrame:
-    """Tumbling-window sampling with a watermark: a window is emitted once the watermark, ``delay`` behind the newest
-    reading, passes its end (append mode).  Rows later than that are dropped by the stream, and windows still open
-    when the input ends stay in its state; ``timeseries.sample_interval`` over the stored readings gives them all."""
-    if interval_ms < 1000:
-        raise ValueError("interval_ms must be at least 1000 (whole seconds)")
-    secs = interval_ms // 1000
-    r = readings.where(F.col(ts).isNotNull())
-    ntz = dict(r.dtypes)[ts] == "timestamp_ntz"
-    if ntz:
-        # Watermarks need TIMESTAMP.  Convert by microseconds since the epoch
-        # (no time zone involved), so windows align exactly as on the naive
-        # time whatever the session time zone is.
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        r = r.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts))))
-    g = (r.withWatermark(ts, delay)
-         .groupBy(key, F.window(ts, f"{secs} seconds").alias("w"))
-         .agg(F.max_by(F.col(value), F.struct(ts, tiebreak)).alias(value), F.count(F.lit(1)).alias("n_readings")))
-    start, end = F.col("w.start"), F.col("w.end")
-    if ntz:
-        start = F.timestamp_add("MICROSECOND", F.unix_micros(start), epoch)
-        end = F.timestamp_add("MICROSECOND", F.unix_micros(end), epoch)
-    return g.select(key, start.alias("window_start"), end.alias("window_end"), value, "n_readings")
+def sampled_windows(spark, path: str, checkpoint: str, key: str = "asset_id", value: str = "value", delay_s: int = 600, fmt: str = "parquet") -> DataFrame:
+    """Every window so far: ``key, window_start, window_end, value`` (the last reading's), ``n_readings, n_late`` and ``closed``
+    (the watermark has passed it)."""
+    own = os.path.join(path, stream_folder(checkpoint))
+    parts = spark.read.format(fmt).load(os.path.join(own, "windows"))
+    newest = spark.read.format(fmt).load(os.path.join(own, "marks")).agg(F.max("newest")).first()[0]
+    out = parts.groupBy(key, "window_start", "window_end").agg(F.max("last").alias("last"), F.sum("n_readings").alias("n_readings"), F.sum("n_late").alias("n_late"))
+    mark = F.lit(newest).cast(dict(parts.dtypes)["window_end"]) - F.expr(f"INTERVAL {int(delay_s)} SECONDS")
+    return out.select(key, "window_start", "window_end", F.col("last.value").alias(value), "n_readings", "n_late", (F.col("window_end") <= mark).alias("closed"))
+
+
+def late_readings(spark, path: str, checkpoint: str, fmt: str = "parquet") -> DataFrame:
+    """Readings that came after their window was closed."""
+    return spark.read.format(fmt).load(os.path.join(path, stream_folder(checkpoint), "late")).drop("batch_id")
+
+
+def close_windows(spark, path: str, checkpoint: str, fmt: str = "parquet", **kw) -> DataFrame:
+    """End of the stream: all its windows, open ones too, written once as ``closed``; a second call writes the same."""
+    target = os.path.join(path, stream_folder(checkpoint), "closed")
+    sampled_windows(spark, path, checkpoint, fmt=fmt, **kw).drop("closed").write.mode("overwrite").format(fmt).save(target)
+    return spark.read.format(fmt).load(target)
+
 
+def rpc_stream(requests: DataFrame, responses: DataFrame, timeout_s: int = 300, delay: str = "0 seconds", heartbeats: DataFrame | None = None) -> DataFrame:
+    """Stream-stream left outer join: ``ok`` or ``error`` for a request answered within the timeout, ``timeout`` for
+    any other once the watermark passes it.
 
-def rpc_stream(requests: DataFrame, responses: DataFrame, timeout_s: int = 300, delay: str = "0 seconds") -> DataFrame:
-    """Stream-stream left outer join: a request without a response within
-    the timeout is emitted (status timeout) once the watermark passes."""
-    q = requests.withWatermark("sent_at", delay)
-    r = responses.withWatermark("recv_at", delay).select(F.col("id").alias("_rid"), "recv_at", "error_code")
-    cond = (F.col("id") == F.col("_rid")) & (F.col("recv_at") >= F.col("sent_at")) & \
+    The watermark follows the traffic of both sides; ``heartbeats`` (``beat_at``) are times that move it on when
+    there is none, so that the last requests of a quiet evening time out too.  They are in neither result nor join."""
+    # rows without an id, and heartbeats, have keys that match nothing: with a null key they would be filtered out before they move the watermark
+    known = F.concat(F.lit("id:"), F.col("id").cast("string"))
+    q = requests.withColumns({"_key": F.coalesce(known, F.lit("request without id")), "_beat": F.lit(False)})
+    r = responses.select(F.coalesce(known, F.lit("response without id")).alias("_rid"), "recv_at", "error_code")
+    if heartbeats is not None:
+        # of the time, not a constant: in a micro-batch of beats alone the join of two constants would be planned away, watermark and all
+        beat = lambda side: F.concat(F.lit(f"{side} beat "), F.col("beat_at").cast("string"))
+        q = q.unionByName(heartbeats.select(F.col("beat_at").alias("sent_at"), beat("request").alias("_key"), F.lit(True).alias("_beat")), allowMissingColumns=True)
+        r = r.unionByName(heartbeats.select(beat("response").alias("_rid"), F.col("beat_at").alias("recv_at")), allowMissingColumns=True)
+    q, r = q.withWatermark("sent_at", delay), r.withWatermark("recv_at", delay)
+    cond = (F.col("_key") == F.col("_rid")) & (F.col("recv_at") >= F.col("sent_at")) & \
            (F.col("recv_at") <= F.col("sent_at") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))
-    j = q.join(r, cond, "leftOuter").drop("_rid")
+    # the condition on both sides keeps the filter above the join
+    j = q.join(r, cond, "leftOuter").where(F.when(F.col("recv_at").isNull(), ~F.col("_beat")).otherwise(True))
     status = F.when(F.col("recv_at").isNull(), "timeout").when(F.col("error_code").isNotNull(), "error").otherwise("ok")
-    return j.withColumn("status", status)
+    return j.drop("_rid", "_key", "_beat").withColumn("status", status)
 
 
 def document_sink(df: DataFrame, collection_path: str, checkpoint: str, namespace: str,
