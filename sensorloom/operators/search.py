@@ -43,6 +43,13 @@ def clean_hits(hits: DataFrame, max_results: int = DEFAULT_MAX_RESULTS, group: s
     return top_k_per_group(out, [group], [F.col(order).asc()], k, salt_cols=[group, order]).drop("rank")
 
 
+def fetch_targets(hits: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """Clean hits -> (those that can be fetched, rejects with their ``reason``): an URL is there and is http or https."""
+    h = clean_hits(hits, **kw)
+    rejects = h.where(~F.col("url_valid")).withColumn("reason", F.when(F.col("url") == "", "no url").otherwise("not http or https"))
+    return h.where("url_valid").drop("url_valid"), rejects.drop("url_valid")
+
+
 def query_terms(queries: DataFrame, qkey: str = "query_id", qtext: str = "text") -> DataFrame:
     """Distinct (query, term) pairs."""
     return queries.select(qkey, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term")).distinct()

@@ -183,12 +183,11 @@ def change_log_state(log: DataFrame, key: str = "id", seq: str = "seq", path: st
 
 def change_log_conflicts(log: DataFrame, key: str = "id", seq: str = "seq",
                          seq_bucket_bits: int = 20) -> DataFrame:
-    """Creates whose id is still live (previous op exists and is not a
-    delete): the store answers 409.  Previous op via the bucketed lag."""
-    p = prev_by_key(log, key, [seq], F.shiftright(F.col(seq), seq_bucket_bits), ["op"])
+    """Creates whose id is live: the store answers 409.  An id is live if its previous op that is no patch is
+    no delete; a patch, refused (404) or not, changes nothing about that.  Previous op via the bucketed lag."""
+    p = prev_by_key(log.where(F.col("op") != "patch"), key, [seq], F.shiftright(F.col(seq), seq_bucket_bits), ["op"])
     return p.where((F.col("op") == "create") & F.col("has_prev") & (F.col("prev_op") != "delete")) \
-            .drop("has_prev")
-
+            .drop("has_prev", "prev_op")
 
 
 _SHELL_FIELDS = (("id", "shell_id"), ("idShort", "id_short"), ("assetInformation.assetKind", "asset_kind"),
@@ -212,14 +211,24 @@ def shell_listing(responses: DataFrame, json_col: str = "body", keep: tuple = ()
     return shells, rejects
 
 
-def read_submodels(spark, path: str) -> DataFrame:
-    """All submodels from AAS JSON documents (one per file, multi-line);
-    elements stay JSON text for ``flatten_elements``."""
-    raw = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
-    cols = [F.col("id").alias("submodel_id"), F.col("idShort").alias("id_short")]
-    for c, n in (("kind", "kind"), ("modelType", "model_type")):
-        if c in raw.columns:
-            cols.append(F.col(c).alias(n))
-    if "submodelElements" in raw.columns:
-        cols.append(F.to_json(F.col("submodelElements")).alias("elements_json"))
-    return raw.select(*cols)
+def read_submodels(spark, path: str, whole_files: bool = True):
+    """AAS JSON documents of any shape -> (submodels, rejects), without schema inference.
+
+    A document is a file (of any number of lines) or, without ``whole_files``, a line.  It is parsed once into a VARIANT
+    and holds one submodel, a list of them, or either under ``submodels`` or ``result``.  Elements stay JSON text for
+    ``flatten_elements``; fields that a submodel lacks are NULL.  Broken JSON, documents that hold no object and
+    items without an id are rejects (``file, raw_body, reason``), the other items of their document are kept."""
+    text = spark.read.option("wholetext", str(whole_files).lower()).text(path)
+    v = F.try_parse_json("value")
+    docs = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw_body"), v.alias("_v")).where("trim(raw_body) <> ''")
+    item = lambda p, kind: F.try_variant_get("_v", p, kind)
+    arrays = F.coalesce(item("$", "array<variant>"), item("$.submodels", "array<variant>"), item("$.result", "array<variant>"))
+    one = F.coalesce(item("$.submodels", "variant"), item("$.result", "variant"), F.col("_v"))
+    items = docs.select("file", "raw_body", F.col("_v").isNull().alias("_broken"), F.explode(F.coalesce(arrays, F.array(one))).alias("_s"))
+    get = lambda f: F.try_variant_get("_s", f"$.{f}", "string")
+    rows = items.select("file", "raw_body", "_broken", get("id").alias("submodel_id"), get("idShort").alias("id_short"), get("kind").alias("kind"),
+                        get("modelType").alias("model_type"), F.to_json(F.try_variant_get("_s", "$.submodelElements", "variant")).alias("elements_json"),
+                        F.schema_of_variant("_s").startswith("OBJECT").alias("_object"))
+    good = F.coalesce(F.col("submodel_id").isNotNull() & F.col("_object"), F.lit(False))
+    reason = F.when(F.col("_broken"), "broken JSON").when(~F.coalesce(F.col("_object"), F.lit(False)), "not an object").otherwise("no id")
+    return rows.where(good).drop("file", "raw_body", "_broken", "_object"), rows.where(~good).select("file", "raw_body", reason.alias("reason"))

@@ -52,6 +52,17 @@ def topic_inventory(fx):
     return OP.topic_inventory(fx.topics())
 
 
+@register("partition_counts", """
+SELECT 'opcua.s' || s_suppkey || '.raw' AS topic, CAST(1 + s_suppkey % 5 AS BIGINT) AS partitions FROM supplier
+""")
+def partition_counts(fx):
+    """Partition counts from one row per (topic, partition) and replica; internal topics left out."""
+    s = fx.supplier.withColumn("topic", F.concat(F.lit("opcua.s"), F.col("s_suppkey").cast("string"), F.lit(".raw")))
+    rows = s.select("topic", F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 5).cast("int"))).alias("partition"))
+    hidden = fx.supplier.select(F.concat(F.lit("__internal"), F.col("s_suppkey").cast("string")).alias("topic"), F.lit(0).alias("partition"))
+    return OP.topic_inventory(rows.unionByName(rows).unionByName(hidden))
+
+
 @register("topic_guard", f"""
 WITH {PIPES_SQL},
 d AS (SELECT * FROM p WHERE 'mongo-sink-' || replace(sink_topic, '.', '-') IN (SELECT connector FROM sinks)),

@@ -32,6 +32,16 @@ def hits_clean(fx):
     return SE.clean_hits(fx.hits(), max_results=5)
 
 
+@register("fetch_rejects", """
+SELECT query_id, pos, coalesce(title, '') AS title, coalesce(snippet, '') AS snippet, coalesce(url, '') AS url, CASE WHEN score IS NULL OR score = 0 THEN CAST(1.0 AS DOUBLE) ELSE score END AS score,
+  CASE WHEN url IS NULL OR url = '' THEN 'no url' ELSE 'not http or https' END AS reason
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY pos) AS rn FROM hits) WHERE rn <= 5 AND NOT coalesce(regexp_matches(url, '^https?://'), false)
+""", ["hits"])
+def fetch_rejects(fx):
+    """Hits that cannot be fetched, with the reason."""
+    return SE.fetch_targets(fx.hits(), max_results=5)[1]
+
+
 @register("search_topk", "WITH queries AS (SELECT item_id AS query_id, text AS qtext FROM benchmark)," + BM25_SQL + """
 SELECT r.query_id, r.doc_id, r.score, r.rank, substr(d.text, 1, 200) AS snippet
 FROM r JOIN documents d USING (doc_id) WHERE rank <= 5

@@ -99,6 +99,16 @@ def doc_filter_tier2(fx):
     return S.query_documents(raw_collection(fx), TIER2, limit=None)
 
 
+@register("doc_filter_default", """
+SELECT least(100, count(*)) AS n_returned, CAST(0 AS BIGINT) AS n_others FROM readings WHERE quality = 'good'
+""", ["readings"])
+def doc_filter_default(fx):
+    """The store's default limit: how many of the matches are returned, and how many rows that are none."""
+    got = S.query_documents(raw_collection(fx), {"quality": "good"})
+    others = got.join(fx.readings().where("quality = 'good'").select("offset_id"), "offset_id", "left_anti")
+    return got.agg(F.count(F.lit(1)).alias("n_returned")).join(others.agg(F.count(F.lit(1)).alias("n_others")))
+
+
 @register("processed_messages", f"""
 SELECT CAST(offset_id AS VARCHAR) AS key, to_json({{'offset_id': offset_id, 'source_type': source_type, 'asset_id': asset_id,
   'timestamp': timestamp, 'quality': quality, 'value': value, 'unit': unit}}) AS value FROM ({DEPLOYED_SQL})

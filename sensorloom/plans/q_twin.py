@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import twin as TW
+from ..session import scratch_path
 from ..sources.fixtures import shell_iri, submodel_iri
 from .registry import register
 
@@ -39,6 +42,20 @@ def shell_enriched(fx):
     return TW.enrich_shells(fx.shells(), fx.submodel_refs(), fx.submodels())
 
 
+@register("shell_enriched_scoped", """
+SELECT s.shell_id, s.id_short, s.s_suppkey, r.submodel_id, CASE WHEN c.submodel_id IS NOT NULL THEN 'scoped ' || c.seen ELSE m.id_short END AS sm_id_short,
+  CASE WHEN c.submodel_id IS NULL THEN m.price END AS sm_price, CASE WHEN r.submodel_id IS NULL THEN NULL ELSE m.submodel_id IS NOT NULL OR c.submodel_id IS NOT NULL END AS resolved
+FROM shells s LEFT JOIN submodel_refs r ON s.shell_id = r.shell_id LEFT JOIN submodels m ON r.submodel_id = m.submodel_id
+LEFT JOIN (SELECT shell_id, submodel_id, right(submodel_id, 2) AS seen FROM submodel_refs WHERE right(submodel_id, 1) IN ('3', '4')) c ON c.shell_id = r.shell_id AND c.submodel_id = r.submodel_id
+""", ["shells", "submodel_refs", "submodels"])
+def shell_enriched_scoped(fx):
+    """Submodels as seen under their shell first (some exist only there, and have no price), else the standalone ones."""
+    end = F.substring("submodel_id", -1, 1)
+    scoped = fx.submodel_refs().where(end.isin("3", "4")).select(
+        "shell_id", "submodel_id", F.concat(F.lit("scoped "), F.substring("submodel_id", -2, 2)).alias("id_short"), F.lit(None).cast("double").alias("price"))
+    return TW.enrich_shells(fx.shells(), fx.submodel_refs(), fx.submodels().select("submodel_id", "id_short", "price"), scoped=scoped)
+
+
 @register("submodel_counts", """
 SELECT s.shell_id, count(r.submodel_id) AS n_refs, count(m.submodel_id) AS n_resolved,
   count(r.submodel_id) - count(m.submodel_id) AS n_dangling
@@ -109,6 +126,15 @@ def orphans(fx):
     return TW.orphans(fx.submodels(), fx.submodel_refs())
 
 
+@register("orphans_template", """
+SELECT m.* FROM submodels m WHERE NOT EXISTS (SELECT 1 FROM submodel_refs r WHERE r.submodel_id = m.submodel_id) AND substr(m.submodel_id, length(m.submodel_id) - 1, 1) NOT IN ('1', '5')
+""", ["submodels", "submodel_refs"])
+def orphans_template(fx):
+    """Submodels that neither a shell nor the template shell refers to."""
+    template = fx.submodels().where(F.substring("submodel_id", -2, 1).isin("1", "5")).select("submodel_id")
+    return TW.orphans(fx.submodels(), fx.submodel_refs(), template)
+
+
 @register("shared_submodels", """
 SELECT submodel_id, count(DISTINCT shell_id) AS n_shells FROM submodel_refs GROUP BY submodel_id HAVING count(DISTINCT shell_id) > 1
 """, ["submodel_refs"])
@@ -151,8 +177,10 @@ def change_log_state(fx):
 
 
 @register("change_log_conflicts", """
-SELECT id, seq, op, body, prev_op FROM (SELECT *, LAG(op) OVER (PARTITION BY id ORDER BY seq) AS prev_op FROM change_log)
-WHERE op = 'create' AND prev_op IS NOT NULL AND prev_op <> 'delete'
+SELECT id, seq, op, body FROM (
+  SELECT *, max(CASE WHEN op IN ('create', 'replace') THEN seq END) OVER w AS written, max(CASE WHEN op = 'delete' THEN seq END) OVER w AS deleted FROM change_log
+  WINDOW w AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE op = 'create' AND written > coalesce(deleted, written - 1)
 """, ["change_log"])
 def change_log_conflicts(fx):
     return TW.change_log_conflicts(fx.change_log())
@@ -197,6 +225,42 @@ def all_submodels(fx):
     return fx.submodels().join(fx.element_trees(), "submodel_id", "left")
 
 
+def submodel_files(fx):
+    """Documents of six shapes over the element trees: an object, a list, wrapped lists, broken text, a number, and a list with an item without an id."""
+    k = F.col("p_partkey")
+    one = lambda key: F.concat(F.lit('{"id":"sm'), key.cast("string"), F.lit('","idShort":"p'), key.cast("string"),
+                               F.lit('","kind":"Instance","submodelElements":[{"modelType":"Property","idShort":"Size","value":"'), F.col("p_size").cast("string"), F.lit('"}]}'))
+    body = F.when(k % 6 == 0, one(k)).when(k % 6 == 1, F.concat(F.lit("["), one(k), F.lit(",\n"), one(-k), F.lit("]"))) \
+        .when(k % 6 == 2, F.concat(F.lit('{"result":['), one(k), F.lit("]}"))).when(k % 6 == 3, F.concat(F.lit('{"id": "sm'), k.cast("string"))) \
+        .when(k % 6 == 4, k.cast("string")).otherwise(F.concat(F.lit('{"submodels":['), one(k), F.lit(',{"idShort":"x","modelType":"Submodel"}]}')))
+    return fx.part.select(F.regexp_replace(body, "\n", " ").alias("value"))
+
+
+def _read_submodels(fx):
+    path = scratch_path(fx.spark, "runs", f"submodels-{uuid.uuid4().hex[:12]}")
+    submodel_files(fx).write.text(path)
+    return TW.read_submodels(fx.spark, path, whole_files=False)
+
+
+@register("submodels_read", """
+SELECT 'sm' || k AS submodel_id, 'p' || k AS id_short, 'Instance' AS kind, CAST(NULL AS VARCHAR) AS model_type, '[{"idShort":"Size","modelType":"Property","value":"' || p_size || '"}]' AS elements_json
+FROM (SELECT p_partkey AS k, p_size FROM part WHERE p_partkey % 6 IN (0, 1, 2, 5) UNION ALL SELECT -p_partkey, p_size FROM part WHERE p_partkey % 6 = 1)
+""")
+def submodels_read(fx):
+    """Submodels from JSON documents of different shapes, read in one pass without a schema."""
+    return _read_submodels(fx)[0]
+
+
+@register("submodels_rejected", """
+SELECT CASE p_partkey % 6 WHEN 3 THEN '{"id": "sm' || p_partkey WHEN 4 THEN CAST(p_partkey AS VARCHAR) ELSE '{"submodels":[{"id":"sm' || p_partkey || '","idShort":"p' || p_partkey
+    || '","kind":"Instance","submodelElements":[{"modelType":"Property","idShort":"Size","value":"' || p_size || '"}]},{"idShort":"x","modelType":"Submodel"}]}' END AS raw_body,
+  CASE p_partkey % 6 WHEN 3 THEN 'broken JSON' WHEN 4 THEN 'not an object' ELSE 'no id' END AS reason
+FROM part WHERE p_partkey % 6 IN (3, 4, 5)
+""")
+def submodels_rejected(fx):
+    return _read_submodels(fx)[1].drop("file")
+
+
 @register("shell_violations", r"""
 SELECT shell_id, 'id_form' AS rule FROM shells
   WHERE s_suppkey % 3 <> 2 AND NOT coalesce(regexp_full_match(shell_id, '^https://example\.com/ids/(sm|aas)/\d{4}_\d{4}_\d{4}_\d{4}$'), false)

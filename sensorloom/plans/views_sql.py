@@ -103,7 +103,7 @@ SELECT conv_id * 1000000 + turn AS message_id, unnest(range(len(w))) AS seq, unn
 FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
 """,
     "hits": """
-SELECT page_id // 20 AS query_id, page_id AS pos, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS title, CASE WHEN page_id % 3 = 0 THEN NULL ELSE substr(html, 1, 80) END AS snippet, CASE WHEN page_id % 6 = 0 THEN NULL ELSE url END AS url, CAST(CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(page_id AS DOUBLE) / 1024 END AS DOUBLE) AS score FROM pages
+SELECT page_id // 20 AS query_id, page_id AS pos, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS title, CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END AS snippet, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'ftp:' || url ELSE url END AS url, CAST(CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(page_id AS DOUBLE) / 1024 END AS DOUBLE) AS score FROM pages
 """,
     "audit_calls": """
 SELECT o_custkey AS request_id, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'generate_mcp_server' WHEN 1 THEN 'review_code' ELSE 'clarify' END AS tool,

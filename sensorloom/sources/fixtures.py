@@ -241,7 +241,7 @@ class Fixtures(Tables):
         return self.pages.select(
             F.floor(pid / 20).alias("query_id"), pid.alias("pos"),
             F.when(pid % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("url")).alias("title"),
-            F.when(pid % 3 == 0, F.lit(None).cast("string")).otherwise(F.substring("html", 1, 80)).alias("snippet"),
-            F.when(pid % 6 == 0, F.lit(None).cast("string")).otherwise(F.col("url")).alias("url"),
+            F.when(pid % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("html")).alias("snippet"),
+            F.when(pid % 6 == 0, F.lit(None).cast("string")).when(pid % 6 == 1, F.concat(F.lit("ftp:"), F.col("url"))).otherwise(F.col("url")).alias("url"),
             F.when(pid % 4 == 0, F.lit(None).cast("double")).when(pid % 4 == 1, F.lit(0.0))
              .otherwise(pid.cast("double") / 1024).alias("score"))
