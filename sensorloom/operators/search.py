@@ -144,23 +144,59 @@ def unescape(c: Column) -> Column:
     return F.when(c.rlike(OTHER_ENTITY), _any_entity(c)).otherwise(plain)
 
 
+#: A tag, with quoted attributes that may hold ``>``.
+TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: A comment, a raw block whole, a tag, or the text up to the next ``<``.
+PAGE_TOKEN = rf"(?is)<!--.*?-->|<({'|'.join(RAW_BLOCKS)})\b[^>]*+>.*?(?:</\1\s*>|\z)|{TAG}|[^<]++|<"
+AD_CLASS = r"""(?is)\sclass\s*=\s*(?:"(?:[^"]*\s)?ad(?:\s[^"]*)?"|'(?:[^']*\s)?ad(?:\s[^']*)?'|ad(?=[\s>]))"""
+
+
+def main_tokens(tokens: Column) -> Column:
+    """The tokens of a page without comments, raw blocks and dropped blocks (with all that is nested in them).
+
+    Only opening and closing tags of such blocks, and of ``div``, are walked through, with the block's tag and
+    the depth of it: a block ends where its own tag closes.  A block that is never closed is none."""
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    marks = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), name(t).alias("tag"), t.startswith("</").alias("close"), F.rlike(t, F.lit(AD_CLASS)).alias("ad")))
+    blocks = [b for b in DROP_BLOCKS if b not in RAW_BLOCKS]
+    events = F.filter(marks, lambda m: m["tag"].isin(*blocks, "div"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.lit("").alias("tag"), F.lit(0).alias("depth"), F.lit(0).alias("a"), none.alias("out"))
+
+    def state(tag, depth, at, out):
+        return F.struct(tag.alias("tag"), depth.alias("depth"), at.alias("a"), out.alias("out"))
+
+    def step(s, m):
+        opens = ~m["close"] & (m["tag"].isin(*blocks) | m["ad"])
+        inside = m["tag"] == s["tag"]
+        ends = inside & m["close"] & (s["depth"] == 1)
+        done = F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), m["i"].alias("b"))))
+        return F.when((s["tag"] == "") & opens, state(m["tag"], F.lit(1), m["i"], s["out"])) \
+            .when(ends, state(F.lit(""), F.lit(0), F.lit(0), done)) \
+            .when(inside, state(s["tag"], F.when(m["close"], s["depth"] - 1).otherwise(s["depth"] + 1), s["a"], s["out"])).otherwise(s)
+
+    dropped = F.aggregate(events, start, step, lambda s: s["out"])
+    raw = rf"(?i)^<(?:!--|(?:{'|'.join(RAW_BLOCKS)})\b)"
+    # computed once, as the element of an array
+    return F.transform(F.array(dropped), lambda d: F.transform(
+        tokens, lambda t, i: F.when(F.rlike(t, F.lit(raw)) | F.exists(d, lambda x: i.between(x["a"], x["b"])), " ").otherwise(t)))[0]
+
+
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Title and main text of a page: comments, scripts, styles and
-    boilerplate blocks removed; the ``<article>`` if present, else the
+    boilerplate blocks removed, however they are nested; the ``<article>`` if present, else the
     body; tags stripped, entities decoded, whitespace collapsed.  Empty
     text is flagged ``likely_script_rendered``.  Each step is a column of its
     own, so that no text is rewritten twice."""
-    x = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, rf"(?is)<({'|'.join(DROP_BLOCKS)})\b[^>]*>.*?</\1\s*>", " ")
-    x = F.regexp_replace(x, rf"(?is)<({'|'.join(RAW_BLOCKS)})\b[^>]*>.*", " ")
-    x = F.regexp_replace(x, r"(?is)<div class=\"ad\"[^>]*>.*?</div>", " ")
-    p = pages.select("page_id", "url", F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("_title"), x.alias("_x"))
+    p = pages.select("page_id", "url", F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("_title"),
+                     F.regexp_extract_all(F.col(html), F.lit(PAGE_TOKEN), 0).alias("_tokens"))
+    p = p.select("page_id", "url", "_title", F.array_join(main_tokens(F.col("_tokens")), "").alias("_x"))
     p = p.withColumn("_art", F.regexp_extract("_x", r"(?is)<article\b[^>]*>(.*)</article>", 1))
     p = p.withColumn("_body", F.when(F.col("_art") == "", F.regexp_extract("_x", r"(?is)<body\b[^>]*>(.*)</body>", 1)))
     main = F.when(F.col("_art") != "", F.col("_art")).when(F.col("_body") != "", F.col("_body")).otherwise(F.col("_x"))
     main = F.regexp_replace(main, r"(?i)<br\s*/?>|</(p|h[1-6]|li|div|tr)\s*>", "\n")
-    p = p.select("page_id", "url", "_title", F.regexp_replace(main, r"<[^>]*>", " ").alias("_main"))
-    text = F.regexp_replace(unescape(F.col("_main")), r"[ \t\r\f\u00a0]+", " ")
+    p = p.select("page_id", "url", "_title", F.regexp_replace(F.regexp_replace(main, TAG, " "), r"<[^>]*>", " ").alias("_main"))
+    text = F.regexp_replace(unescape(F.col("_main")), r"[ \t\r\f ]+", " ")
     text = F.trim(F.regexp_replace(text, r" *\n[ \n]*", "\n"), F.lit("\n "))
     p = p.select("page_id", "url", unescape(F.col("_title")).alias("title"), text.alias("content"))
     return p.withColumn("likely_script_rendered", F.col("content") == "")

@@ -107,3 +107,14 @@ def _page_text_sql() -> str:
 @register("page_text", _page_text_sql())
 def page_text(fx):
     return SE.page_text(fx.pages)
+
+
+NESTED = ("<div class='ad'>one<div>two</div>three</div><nav title=\"a>b\">four<nav>five</nav>six</nav><header data-x='>'>seven<form><header>eight</header></form>nine</header>"
+          '<div class="big ad">ten<DIV>eleven</DIV></div><script>if (a < b) "</nav>"</script><aside>twelve<!-- </aside> -->thirteen</aside>')
+
+
+@register("page_text_nested", _page_text_sql())
+def page_text_nested(fx):
+    """Pages with nested boilerplate, either kind of quotes and ``>`` in attributes, put behind each opening body and article tag: their text is that without it."""
+    html = F.regexp_replace("html", r"(?i)(<(?:article|body)\b[^>]*>)", "$1" + NESTED.replace("$", "\\$"))
+    return SE.page_text(fx.pages.withColumn("html", html))

@@ -12,6 +12,14 @@ CASES = [
     ("<body>a&nbsp;&#160;b &#0;&#xD800;</body>", "", "a b ��"),
     ("&lt;b&gt; no tags &copy;", "", "<b> no tags ©"),
     ("", "", ""),
+    ("<body>a<nav>b<nav>c</nav>d</nav>e</body>", "", "a e"),
+    ("<body>a<div class='ad'>b<div>c</div>d</div>e<div class=ad>f</div><div class='bad'>g</div></body>", "", "a e g"),
+    ("<body><p title=\"x>y\">a</p><p title='</nav>'>b</p></body>", "", "a\nb"),
+    ("<body>a<nav>never closed<p>b</p></body>", "", "a never closed b"),
+    ("<body>a</nav>b<form>c<nav>d</form>e</nav>f < g</body>", "", "a b e f < g"),
+    ("<body>a<script>x='</nav>'; y < z</script>b<!-- <nav> -->c<style>p > a {}</style></body>", "", "a b c"),
+    ("<body>" + "<p>x</p>" * 3000 + "<nav>n</nav>" * 300 + "</body>", "", "x\n" * 2999 + "x"),
+    ("<p " + "a='b' " * 5000 + ">t</p>" + "<" * 2000, "", "t\n" + "<" * 2000),
     (None, None, None),
 ]
 
