@@ -197,3 +197,112 @@ def common_attributes(fx):
     q = F.try_element_at("qualifiers", F.lit(1))
     return f.select("submodel_id", "path", "category", "semantic_id", F.array_join("supplemental_semantic_ids", ",").alias("supplemental"),
                     F.col("display_name")["en"].alias("name_en"), F.concat(q["type"], F.lit("="), q["value"]).alias("qualifier"))
+
+
+# -- every element type ----------------------------------------------------------
+
+REF = '{"type":"ExternalReference","keys":[{"type":"Submodel","value":"sm%(k)s"},{"type":"Property","value":"%(v)s"}]}'
+
+
+def _zoo_json() -> str:
+    """Element list with one element of each of the model's types; ``@K`` stands for the part's key, ``@S`` for its size."""
+    def ref(v):
+        return REF % {"k": "@K", "v": v}
+    prop = '{"modelType":"Property","idShort":"%s","valueType":"xs:int","value":"@S"}'
+    var = '[{"value":{"modelType":"Property","idShort":"%s","valueType":"xs:string","value":"%s"}}]'
+    return "[" + ",".join([
+        '{"modelType":"Property","idShort":"Flag","valueType":"xs:boolean","value":true}',
+        '{"modelType":"MultiLanguageProperty","idShort":"Name","value":[{"language":"de","text":"Teil @K"}]}',
+        '{"modelType":"Range","idShort":"Limits","valueType":"xs:int","min":"0","max":"@S"}',
+        '{"modelType":"File","idShort":"Manual","value":"/m/@K.pdf","contentType":"application/pdf"}',
+        '{"modelType":"File","idShort":"Lost","contentType":"text/plain"}',
+        '{"modelType":"Blob","idShort":"Icon","value":"AAEC","contentType":"image/png"}',
+        '{"modelType":"ReferenceElement","idShort":"See","value":' + ref("x@K") + "}",
+        '{"modelType":"RelationshipElement","idShort":"Link","first":' + ref("a@K") + ',"second":' + ref("b@K") + "}",
+        '{"modelType":"AnnotatedRelationshipElement","idShort":"Note","first":' + ref("c@K") + ',"second":' + ref("d@K") + ',"annotations":[' + prop % "Why" + "]}",
+        '{"modelType":"Entity","idShort":"Machine","entityType":"SelfManagedEntity","globalAssetId":"urn:@K","statements":[' + prop % "Weight" + "]}",
+        '{"modelType":"Operation","idShort":"Start","inputVariables":' + var % ("Speed", "@S") + ',"outputVariables":' + var % ("Done", "no")
+        + ',"inoutputVariables":' + var % ("Mode", "auto") + "}",
+        '{"modelType":"BasicEventElement","idShort":"Alarm","observed":' + ref("o@K") + ',"direction":"output","state":"on","messageTopic":"t/@K","minInterval":"PT1S"}',
+        '{"modelType":"SubmodelElementList","idShort":"Axes","typeValueListElement":"Property","valueTypeListElement":"xs:int","orderRelevant":true,"value":['
+        + '{"modelType":"Property","valueType":"xs:int","value":"1"},{"modelType":"Property","valueType":"int","value":"2"}]}',
+        '{"modelType":"SubmodelElementCollection","idShort":"Group","value":[' + prop % "Inner" + ',{"modelType":"Property","idShort":"Day","valueType":"xs:date","value":"soon"}]}',
+    ]) + "]"
+
+
+#: What the elements are, stated by themselves: path, type, and what else they have.
+ZOO = [
+    ("Flag", "Property", {"value_type": "xs:boolean", "value": "true", "value_kind": "BOOLEAN"}),
+    ("Name", "MultiLanguageProperty", {"value": '[{"language":"de","text":"Teil @K"}]', "value_kind": "ARRAY<OBJECT<language: STRING, text: STRING>>"}),
+    ("Limits", "Range", {"value_type": "xs:int", "min": "0", "max": "@S"}),
+    ("Manual", "File", {"value": "/m/@K.pdf", "content_type": "application/pdf", "value_kind": "STRING"}),
+    ("Lost", "File", {"content_type": "text/plain"}),
+    ("Icon", "Blob", {"value": "AAEC", "content_type": "image/png", "value_kind": "STRING"}),
+    ("See", "ReferenceElement", {"value": '{"keys":[{"type":"Submodel","value":"sm@K"},{"type":"Property","value":"x@K"}],"type":"ExternalReference"}',
+                                 "value_kind": "OBJECT<keys: ARRAY<OBJECT<type: STRING, value: STRING>>, type: STRING>"}),
+    ("Link", "RelationshipElement", {"first_key": "a@K", "second_key": "b@K"}),
+    ("Note", "AnnotatedRelationshipElement", {"first_key": "c@K", "second_key": "d@K"}),
+    ("Note.Why", "Property", {"value_type": "xs:int", "value": "@S", "value_kind": "STRING"}),
+    ("Machine", "Entity", {"entity_type": "SelfManagedEntity", "global_asset_id": "urn:@K"}),
+    ("Machine.Weight", "Property", {"value_type": "xs:int", "value": "@S", "value_kind": "STRING"}),
+    ("Start", "Operation", {}),
+    ("Start.Speed", "Property", {"value_type": "xs:string", "value": "@S", "value_kind": "STRING"}),
+    ("Start.Done", "Property", {"value_type": "xs:string", "value": "no", "value_kind": "STRING"}),
+    ("Start.Mode", "Property", {"value_type": "xs:string", "value": "auto", "value_kind": "STRING"}),
+    ("Alarm", "BasicEventElement", {"observed_key": "o@K", "direction": "output", "message_topic": "t/@K"}),
+    ("Axes", "SubmodelElementList", {"list_element_type": "Property", "list_value_type": "xs:int",
+                                     "value_kind": "ARRAY<OBJECT<modelType: STRING, value: STRING, valueType: STRING>>"}),
+    ("Axes[0]", "Property", {"value_type": "xs:int", "value": "1", "value_kind": "STRING"}),
+    ("Axes[1]", "Property", {"value_type": "int", "value": "2", "value_kind": "STRING"}),
+    ("Group", "SubmodelElementCollection", {"value_kind": "ARRAY<OBJECT<idShort: STRING, modelType: STRING, value: STRING, valueType: STRING>>"}),
+    ("Group.Inner", "Property", {"value_type": "xs:int", "value": "@S", "value_kind": "STRING"}),
+    ("Group.Day", "Property", {"value_type": "xs:date", "value": "soon", "value_kind": "STRING"}),
+]
+ZOO_COLUMNS = ["value_type", "value", "min", "max", "content_type", "first_key", "second_key", "observed_key", "direction", "message_topic", "entity_type",
+               "global_asset_id", "list_element_type", "list_value_type", "value_kind"]
+
+
+def _zoo_sql() -> str:
+    def text(v):
+        return "CAST(NULL AS VARCHAR)" if v is None else "replace(replace('" + v + "', '@K', CAST(p_partkey AS VARCHAR)), '@S', CAST(p_size AS VARCHAR))"
+    rows = [f"SELECT p_partkey AS part, '{path}' AS path, '{kind}' AS model_type, " + ", ".join(f"{text(more.get(c))} AS {c}" for c in ZOO_COLUMNS) + " FROM part"
+            for path, kind, more in ZOO]
+    return " UNION ALL ".join(rows)
+
+
+def zoo(fx):
+    part, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
+    js = F.replace(F.replace(F.lit(_zoo_json()), F.lit("@K"), part), F.lit("@S"), size)
+    trees = fx.part.select(F.col("p_partkey").alias("part"), js.alias("elements_json"))
+    return EL.flatten_elements(trees, key="part", with_typed=True)
+
+
+@register("elements_typed", _zoo_sql())
+def elements_typed(fx):
+    """Elements of all types, with the fields that only some of them have."""
+    return zoo(fx).select("part", "path", "model_type", *ZOO_COLUMNS)
+
+
+@register("typed_violations", f"""
+SELECT part, path, CASE path WHEN 'Flag' THEN 'boolean_text' WHEN 'Lost' THEN 'file_incomplete' WHEN 'Axes[1]' THEN 'valuetype_prefix' ELSE 'iso_date' END AS rule
+FROM ({_zoo_sql()}) WHERE path IN ('Flag', 'Lost', 'Axes[1]', 'Group.Day')
+""")
+def typed_violations(fx):
+    """Value rules over all element types: a literal boolean, a file without a value, a type without prefix, a day that is no date."""
+    return EL.element_violations(zoo(fx), key="part")
+
+
+@register("payload_root_violations", """
+WITH p AS (SELECT p_partkey AS part, p_partkey % 8 AS k FROM part),
+r AS (SELECT part, unnest(CASE k WHEN 0 THEN [] WHEN 1 THEN ['missing_id'] WHEN 2 THEN ['missing_kind', 'missing_submodelElements'] WHEN 3 THEN ['forbidden_idType', 'forbidden_identification']
+  WHEN 4 THEN ['not_an_object'] WHEN 5 THEN ['not_an_object'] WHEN 6 THEN ['missing_id', 'missing_idShort', 'missing_modelType', 'missing_kind', 'missing_submodelElements', 'forbidden_semanticId']
+  ELSE ['not_an_object'] END) AS rule FROM p)
+SELECT part, rule FROM r
+""")
+def payload_root_violations(fx):
+    """Root fields that a payload must have or must not have; broken texts, lists and NULL are no objects."""
+    k = F.col("p_partkey") % 8
+    head, tail = '"idShort":"x","modelType":"Submodel"', '"kind":"Instance","submodelElements":[]'
+    body = F.when(k == 0, '{"id":"a",' + head + "," + tail + "}").when(k == 1, "{" + head + "," + tail + "}").when(k == 2, '{"id":"a",' + head + "}") \
+        .when(k == 3, '{"id":"a","idType":"IRI","identification":{},' + head + "," + tail + "}").when(k == 4, '{"id":').when(k == 5, "[]").when(k == 6, '{"semanticId":{}}')
+    return EL.payload_violations(fx.part.select(F.col("p_partkey").alias("part"), body.alias("body")), "part", "body")
