@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,20 +27,22 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-NAME_AND_SIGN = re.compile(r"""(?<![\w.$-])["'\[]{0,2}([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]*+(?::=|=>|=(?![=>])|:(?![:/]))[ \t]*+""", re.A)
+NAME_AND_SIGN = re.compile(r"""(?<![\w.$-])["'\[]{0,2}([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]*+(\+=|:=|=>|=(?![=>])|:(?![:/]))[ \t]*+""", re.A)
 #: A quoted literal ends with its line, but for escaped line ends, PEM blocks and triple quotes.
 QUOTED = re.compile(r"""(?:[rbfu]{1,2})?(?:\"{3}((?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}"""
                     r"""|"(-----BEGIN[^"]*+|(?:[^"\\\n]++|\\(?:\r\n|[\s\S]))*+)"|'(-----BEGIN[^']*+|(?:[^'\\\n]++|\\(?:\r\n|[\s\S]))*+)'|`(-----BEGIN[^`]*+|[^`\n]*+)`)""", re.A)
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""", re.A)
 #: How random a literal looks is told by so many characters of it.
-LOOKS = 4096
+LOOKS = 1024
 PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`A-Za-z_])")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How sensitive a part of a name, or two joined parts, is.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0,
              "privatekey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "credential": 0.9, "credentials": 0.9, "auth": 0.7,
-             "bearer": 0.8, "pin": 0.5, "key": 0.5, "salt": 0.5, "dsn": 0.5, "connectionstring": 0.6, "cookie": 0.5, "session": 0.5}
+             "bearer": 0.8, "pass": 0.55, "pin": 0.55, "key": 0.55, "salt": 0.7, "dsn": 0.6, "connectionstring": 0.6, "cookie": 0.6, "session": 0.6}
+#: The same for values that are digits alone.
+NUMBERS = {"pin": 0.75}
 #: Names that end so may hold words with blanks between.
 PHRASE = frozenset(("password", "passwd", "pwd", "passphrase"))
 PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|placeholder|dummy|your[_-]|^x+$|^\*+$|^\.+$|^<.*>$|^\$\{?\w+\}?$|^(true|false|null|none|undefined)$")
@@ -47,17 +52,64 @@ def name_parts(name: str) -> list[str]:
     return [p.lower() for p in PARTS.findall(name)]
 
 
-def name_score(name: str) -> float:
+def name_score(name: str, table: dict[str, float] | None = None) -> float:
     parts = name_parts(name)
     joined = parts + [a + b for a, b in zip(parts, parts[1:])]
-    return max((SENSITIVE.get(p, 0.0) for p in joined), default=0.0)
+    return max(((table or SENSITIVE).get(p, 0.0) for p in joined), default=0.0)
 
 
-def literal_score(value: str, phrase: bool = False) -> float:
-    """How much like a secret the longest part without blanks (of a ``phrase``, all) is: length, spread of characters, mixed classes; 0 for placeholders."""
-    value = value.strip()
-    part = (value if phrase else max(value.split(), key=len, default=""))[:LOOKS]
-    if len(part) < 8 or PLACEHOLDER.search(part) or value[0] == "<" and value[-1] == ">":
+class Value(NamedTuple):
+    """What tells how random a text looks, without the text; that of two texts one after the other follows from theirs.
+
+    A run is its length and its first ``LOOKS`` characters.  ``lead`` and ``tail`` are the runs without blanks at the ends (both
+    all of it, where there is no blank), ``best`` is the longest of all, ``whole`` the text without ``before`` and ``after``, the blanks at its ends."""
+    lead: tuple[int, str]
+    tail: tuple[int, str]
+    best: tuple[int, str]
+    whole: tuple[int, str]
+    before: str
+    after: str
+    blank: bool
+    last: str
+
+
+NOTHING = Value((0, ""), (0, ""), (0, ""), (0, ""), "", "", False, "")
+
+
+def _run(text: str) -> tuple[int, str]:
+    return len(text), text[:LOOKS]
+
+
+def _then(a: tuple[int, str], b: tuple[int, str]) -> tuple[int, str]:
+    return a[0] + b[0], a[1] if len(a[1]) >= LOOKS or not b[1] else a[1] + b[1][:LOOKS - len(a[1])]
+
+
+def value_of(text: str) -> Value:
+    parts, whole = text.split(), text.strip()
+    if not parts:
+        return NOTHING._replace(before=text[:LOOKS], blank=text != "")
+    before, after = text[:len(text) - len(text.lstrip())], text[len(text.rstrip()):]
+    lead = (0, "") if before else _run(parts[0])
+    tail = (0, "") if after else _run(parts[-1])
+    return Value(lead, tail, _run(max(parts, key=len)), _run(whole), before[:LOOKS], after[:LOOKS], len(parts) > 1 or len(whole) < len(text), whole[-1])
+
+
+def followed_by(a: Value, b: Value) -> Value:
+    """The value of two texts one after the other; of equally long runs the first is the best."""
+    middle = _then(a.tail, b.lead)
+    best = max(a.best, middle, b.best, key=lambda r: r[0])
+    lead, tail = a.lead if a.blank else middle, b.tail if b.blank else middle
+    if not a.whole[0]:
+        return Value(lead, tail, best, b.whole, (a.before + b.before)[:LOOKS], b.after, a.blank or b.blank, b.last)
+    if not b.whole[0]:
+        return Value(lead, tail, best, a.whole, a.before, (a.after + b.before)[:LOOKS], a.blank or b.blank, a.last)
+    whole = _then(_then(a.whole, _run(a.after + b.before)), b.whole)
+    return Value(lead, tail, best, whole, a.before, b.after, a.blank or b.blank, b.last)
+
+
+def part_score(part: str) -> float:
+    """Length, spread of characters, mixed classes; 0 for placeholders."""
+    if len(part) < 8 or PLACEHOLDER.search(part):
         return 0.0
     n = len(part)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(part).values())
@@ -65,24 +117,50 @@ def literal_score(value: str, phrase: bool = False) -> float:
     return min(1.0, 0.6 * bits / math.log2(max(n, 9)) + 0.15 * classes)
 
 
+def secret_score(name: str, value: Value, known: dict[str, float]) -> float:
+    """How sensitive the name is, times how much like a secret the value's longest run without blanks looks (all of it, where the
+    name ends like a password's); 0 between pointed brackets."""
+    sensitive = name_score(name)
+    if not sensitive or not value.whole[0] or value.whole[1][0] == "<" and value.last == ">":
+        return 0.0
+    part = (value.whole if name_parts(name)[-1] in PHRASE else value.best)[1]
+    if part.isdigit():
+        sensitive = max(sensitive, name_score(name, NUMBERS))
+    if part not in known:
+        if len(known) > 500:
+            known.clear()
+        known[part] = part_score(part)
+    return sensitive * known[part]
+
+
 def literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of each literal assigned to a name, with the
-    most sensitive name that it reaches."""
-    constants: dict[str, list[tuple[int, int, int]]] = {}  # (start, end, end of what is scored) of the literals of a name
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    known: dict[tuple, float] = {}
+    most sensitive name that it reaches.
+
+    An assignment is a node: its own literals, and links to the earlier nodes of the constants it takes in.  A node's value is made from
+    those of its operands, never from their texts, and scored once; then scores go back along the links."""
+    constants: dict[str, tuple[int, Value]] = {}
+    own: list[list[tuple[int, int]]] = []
+    links: list[list[int]] = []
+    best: list[tuple[float, str]] = []
+    known: dict[str, float] = {}
     longest = 0
     regions = [(0, len(text))]  # the text, then the insides of literals of several lines
     for at, stop in regions:
         lo = hi = at  # the last run of bare characters right after a sign
         ends: dict[int, int] = {}
         while m := NAME_AND_SIGN.search(text, at, stop):
-            name, pos, pieces = m[1], m.end(), []
+            name, pos = m[1], m.end()
+            spans, taken, value = [], [], NOTHING
+            if m[2] == "+=" and name in constants:
+                taken.append(constants[name][0])
+                value = constants[name][1]
             at = m.end()
             while True:
                 if operand := QUOTED.match(text, pos, stop):
                     start, end = operand.span(operand.lastindex)
-                    pieces.append((start, end, end))
+                    spans.append((start, end))
+                    value = followed_by(value, value_of(text[start:end]))
                     at = pos = operand.end()  # what is quoted is no code
                     if text.find("\n", start, end) >= 0:
                         regions.append((start, end))
@@ -97,30 +175,36 @@ def literals(text: str) -> list[tuple[int, int, str, float]]:
                             lo, hi = pos, ends[pos]
                     start, pos = pos, hi if lo <= pos < hi else ends[pos]
                     if pos - start <= longest and text[start:pos] in constants:
-                        pieces += constants[text[start:pos]]
+                        node, more = constants[text[start:pos]]
+                        taken.append(node)
+                        value = followed_by(value, more)
                     else:
                         end = pos
                         while end > start and text[end - 1] in ".,:":
                             end -= 1
-                        pieces.append((start, end, min(end, start + LOOKS)))
+                        spans.append((start, end))
+                        head = text[start:min(end, start + LOOKS)]  # bare characters have no blanks
+                        run = (end - start, head)
+                        value = followed_by(value, Value(run, run, run, run, "", "", False, text[end - 1]) if head else NOTHING)
                 plus = PLUS.match(text, pos, stop)
                 if not plus:
                     break
                 pos = plus.end()
-            pieces = list(dict.fromkeys(pieces))
-            constants[name] = pieces
+            constants[name] = (len(own), value)
             longest = max(longest, len(name))
-            sensitive = name_score(name)
-            if not sensitive:
-                continue
-            key = (name_parts(name)[-1] in PHRASE, *pieces)
-            if key not in known:
-                known[key] = literal_score("".join(text[s:e] for s, _, e in pieces), key[0])
-            for start, end, _ in pieces:
-                score = sensitive * known[key]
-                if end > start and score > best.get((start, end), (0.0, ""))[0]:
-                    best[start, end] = (score, name)
-    return [(s, e, name, score) for (s, e), (score, name) in sorted(best.items())]
+            own.append(spans)
+            links.append(taken)
+            best.append((secret_score(name, value, known), name))
+    out: dict[tuple[int, int], tuple[float, str]] = {}
+    for node in range(len(own) - 1, -1, -1):  # later nodes link to earlier ones
+        score = best[node]
+        for other in links[node]:
+            if score[0] > best[other][0]:
+                best[other] = score
+        for start, end in own[node]:
+            if end > start and score[0] > out.get((start, end), (0.0, ""))[0]:
+                out[start, end] = score
+    return [(s, e, name, score) for (s, e), (score, name) in sorted(out.items())]
 
 
 def scan(text: str | None, threshold: float = 0.5) -> list[dict]:
@@ -133,8 +217,10 @@ def scan(text: str | None, threshold: float = 0.5) -> list[dict]:
     out += [(m.start(), 2, m.end(), 1.0, None) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
         fixed = sorted((x[0], x[2]) for x in out)
+        reach = list(accumulate((e for _, e in fixed), max))  # where the spans up to each one end at most
         for start, end, name, score in literals(text):
-            if score >= threshold and not any(a <= start and end <= b for a, b in fixed):
+            k = bisect_right(fixed, (start, len(text))) - 1
+            if score >= threshold and (k < 0 or reach[k] < end):
                 out.append((start, 3, end, score, name))
     return [{"kind": KINDS[k], "start": s, "end": e, "score": sc, "name": name} for s, k, e, sc, name in sorted(out, key=lambda x: x[:3])]
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from sensorloom.llm import secret_scan as S
 from sensorloom.llm.queries import LLM_QUERIES
@@ -78,6 +79,84 @@ def test_literals_of_any_length():
         S.literals(unit * 10_000)
 
 
+def plain_literals(text):
+    """The same lexer with whole texts instead of values, for short inputs."""
+    constants, nodes, regions = {}, [], [(0, len(text))]
+    for at, stop in regions:
+        while m := S.NAME_AND_SIGN.search(text, at, stop):
+            old = constants.get(m[1]) if m[2] == "+=" else None
+            whole, spans, at, pos = (old[0], set(old[1]), m.end(), m.end()) if old else ("", set(), m.end(), m.end())
+            while True:
+                if q := S.QUOTED.match(text, pos, stop):
+                    a, b = q.span(q.lastindex)
+                    at = pos = q.end()
+                    regions += [(a, b)] * ("\n" in text[a:b])
+                elif q := S.BARE.match(text, pos, stop):
+                    a, b, pos = q.start(), q.end(), q.end()
+                    if text[a:b] in constants:
+                        whole, spans, a, b = whole + constants[text[a:b]][0], spans | constants[text[a:b]][1], 0, 0
+                    b = a + len(text[a:b].rstrip(".,:"))
+                else:
+                    break
+                whole, spans = whole + text[a:b], spans | {(a, b)}
+                if not (plus := S.PLUS.match(text, pos, stop)):
+                    break
+                pos = plus.end()
+            constants[m[1]] = (whole, spans)
+            nodes.append((m[1], whole, spans))
+    best = {}
+    for name, whole, spans in nodes:
+        value = whole.strip()
+        part = value if value and S.name_parts(name)[-1:] and S.name_parts(name)[-1] in S.PHRASE else max(value.split(), key=len, default="")
+        known = S.name_score(name)
+        if known and part.isdigit():
+            known = max(known, S.name_score(name, S.NUMBERS))
+        score = 0.0 if value[:1] == "<" and value[-1:] == ">" else known * S.part_score(part[:S.LOOKS])
+        for a, b in spans:
+            if b > a and score > best.get((a, b), 0.0):
+                best[a, b] = score
+    return best
+
+
+def test_lexer_equals_a_plain_one():
+    rng = random.Random(11)
+    pieces = ["a", "b", "token", "db_pwd", "my_key", "pin", " = ", "=", " += ", ": ", " + ", "+", "\n", "\n", " ", '"', "'", '"""', "q8Zr2LxV", "0tPw7KdM", "k k", "12345678", ".", "<", ">", "a", "b", "é", "x" * 30]
+    for _ in range(6000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(3, 40)))
+        got = {(s, e): score for s, e, _, score in S.literals(t)}
+        want = plain_literals(t)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got), (t, got, want)
+
+
+def test_values_follow_from_their_parts():
+    rng = random.Random(12)
+    for _ in range(4000):
+        parts = ["".join(rng.choice(["ab", "c", " ", "  ", "\n", "<", ">", "x" * 700]) for _ in range(rng.randint(0, 5))) for _ in range(3)]
+        value = S.NOTHING
+        for x in parts:
+            value = S.followed_by(value, S.value_of(x))
+        want = S.value_of("".join(parts))
+        assert value[:4] == want[:4] and value.blank == want.blank and value.last == want.last, parts
+
+
+def test_chains_of_constants_take_linear_time():
+    for line in ('token = token + "{:x}"\n', 'x = x + "ab{}"\n', "x += 'q{}'\n", "a = a + a\n", "t{0} = base + 'k{0}'\n", "secret = base + x{}\n", 'password = "a b {}"\n', "token: 'q{}' key=z\n"):
+        for start in ("", f'base = "{"q8Zr2LxV0tPw7KdM" * 200}"\n'):
+            text = start + "".join(line.format(i) for i in range(20_000))[:200_000]
+            began = time.process_time()
+            S.scan(text)
+            assert time.process_time() - began < 4, line
+
+
+def test_names_with_realistic_literals():
+    mixed = "9fQ2xLr8VtPw7KdM3sZb6NcJ1hYgTe4uRiOaWq"
+    for name, value in (("key", mixed), ("session", mixed), ("cookie", mixed), ("salt", "9F86D081884C7D659A2FEAA0C55AD015"), ("dsn", "postgres://app:x8Zr2LxV@db1/app"), ("pin", "48291357"),
+                        ("db_pass", mixed), ("session_key", mixed[:16])):
+        assert found(f'{name} = "{value}"') == [(name, value)], name
+    assert found(f'secret_part = "{mixed[:6]}"\nsecret_part += "{mixed[6:20]}"')[-1] == ("secret_part", mixed[6:20])
+    assert found('key = "customer_name"') == [] and found("first_pass = parse_everything") == [] and found('spin = "48291357"') == []
+
+
 def test_redaction(spark, odd):
     text = "a password=abcdefgh1 b " + "0123456789abcdef" * 2
     assert S.redacted(text) == "a [SECRET] b [SECRET]"
