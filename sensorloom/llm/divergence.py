@@ -29,7 +29,7 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 #: Terms held per task before their counts are sent.
 HELD = 400_000
 #: Sources and terms that one task of the distances looks at together.
-SOURCES, TERMS = 64, 4096
+SOURCES, TERMS = 64, 256
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("documents", pa.int64())])
 
