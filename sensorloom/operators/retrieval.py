@@ -35,10 +35,11 @@ NOISE = 1e-9
 
 
 class Index(NamedTuple):
-    """Weights of the postings, the block-max table, and the documents' rows."""
+    """Weights of the postings, the block-max table, the documents' rows, and the terms with their numbers."""
     weights: DataFrame
     maxima: DataFrame
     documents: DataFrame
+    terms: DataFrame
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -63,16 +64,18 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None, tokens, text: Col
         occ = occ.join(F.broadcast(keep) if fits(vocabulary) else keep, "term", "left_semi")
     shown = F.when(F.col("term") == "", F.col("shown"))
     postings = _written(occ.groupBy("row", "term", "dl", shown.alias("shown")).agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n_docs, length = postings.where("term = ''").agg(F.count(F.lit(1)), F.sum("dl")).first()
-    avgdl = (length or 0) / n_docs if n_docs else 1.0
-    found = postings.where("term <> ''").select("row", "term", "dl", "tf")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+    terms = _written(terms.withColumn("number", F.monotonically_increasing_id()), "terms")
+    corpus = terms.where("term = ''").first()
+    n_docs = corpus.df if corpus else 0
+    avgdl = corpus.length / n_docs if n_docs and corpus.length else 1.0
+    found = postings.where("term <> ''").select("row", "term", "dl", "tf").join(terms, "term")
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
     block = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n_docs // block_docs)))).alias("block")
-    weights = _written(found.join(df, "term").select("row", "term", block, w.alias("w")), "weights")
+    weights = found.select("row", F.col("number").alias("term"), block, w.alias("w"))
     maxima = weights.groupBy("term", "block").agg(F.max("w").alias("m"), F.max_by("row", F.struct("w", -F.col("row"))).alias("best"))
-    return Index(weights, _written(maxima, "maxima"), postings.where("term = ''").select("row", "shown"))
+    return Index(weights, _written(maxima, "maxima"), postings.where("term = ''").select("row", "shown"), terms.select("term", "number"))
 
 
 def _block_hits(k: int, counts: bool):
@@ -80,15 +83,13 @@ def _block_hits(k: int, counts: bool):
     def run(postings: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(postings) and len(plan):
-            terms, term_of = np.unique(postings.term.to_numpy(object).astype(str), return_inverse=True)
+            term_of, terms = pd.factorize(postings.term)
             rows, doc_of = np.unique(postings.row.to_numpy(), return_inverse=True)
             order = np.lexsort((doc_of, term_of))
             first = np.searchsorted(term_of[order], np.arange(len(terms) + 1))
             doc_of, w = doc_of[order], postings.w.to_numpy()[order]
             most = np.maximum.reduceat(w, first[:-1])
-            names = plan.term.to_numpy(object).astype(str)
-            code = np.minimum(np.searchsorted(terms, names), len(terms) - 1)
-            plan = plan.assign(code=np.where(terms[code] == names, code, -1))
+            plan = plan.assign(code=pd.Index(terms).get_indexer(plan.term))
             for query, part in plan[plan.code >= 0].groupby("query", sort=False):
                 floor = float(part.floor.iloc[0]) - float(part.noise.iloc[0])
                 codes = part.code.to_numpy()
@@ -130,9 +131,10 @@ def _block_hits(k: int, counts: bool):
 
 
 def _hits(index: Index, query_terms: DataFrame, qkey: str, k: int, counts: bool = False) -> DataFrame:
-    small = fits(query_terms)
-    qt = query_terms.select(F.col(qkey).alias("query"), "term")
-    qt = F.broadcast(qt) if small else qt
+    kind = query_terms.schema[qkey].dataType.simpleString()
+    qt = _written(query_terms.join(index.terms, "term").select(F.col(qkey).alias("query"), F.col("number").alias("term")), "queries")
+    n_queries = qt.select("query").distinct().count()
+    qt = F.broadcast(qt) if fits(qt) else qt
     champions = top_k_per_group(index.maxima, ["term"], [F.desc("m"), F.asc("block")], k)
     seeds = champions.join(qt, "term").select("query", F.col("best").alias("row")).distinct()
     first = index.weights.join(seeds, "row").join(qt, ["query", "term"]).groupBy("query", "row").agg(F.sum("w").alias("score"))
@@ -141,11 +143,10 @@ def _hits(index: Index, query_terms: DataFrame, qkey: str, k: int, counts: bool
     reach = index.maxima.groupBy("term").agg(F.max("m").alias("top")).join(qt, "term").groupBy("query").agg((F.sum("top") * NOISE).alias("noise"))
     known = reach.join(floor, "query")
     bound = index.maxima.join(qt, "term").groupBy("query", "block").agg(F.sum("m").alias("bound")).join(known, "query").where("bound >= floor - noise")
-    group = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-query_terms.select(qkey).distinct().count() // QUERY_GROUP)))).alias("part")
+    group = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n_queries // QUERY_GROUP)))).alias("part")
     plan = bound.select("query", "block", "floor", "noise", group).join(qt, "query")
     parts = plan.select(F.col("block").alias("own_block"), F.col("part").alias("own_part")).distinct()
     postings = index.weights.join(parts, F.col("block") == F.col("own_block")).select("row", "term", "w", "own_block", "own_part")
-    kind = query_terms.schema[qkey].dataType.simpleString()
     return postings.groupBy("own_block", "own_part").cogroup(plan.groupBy("block", "part")) \
         .applyInPandas(_block_hits(k, counts), f"query {kind}, row long, score double")
 
