@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .text import blocks
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs for numbers (fractions, Roman numerals, raised digits) count as word characters, but are no letters.
+NUMBER_SIGNS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
 #: Words whose scores a task keeps, at most.
 CACHE = 300_000
 

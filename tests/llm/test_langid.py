@@ -22,7 +22,8 @@ def test_back_off_and_odd_texts(spark, odd):
     assert m.langs == ["de", "en"]
     assert predict("nicht")[0] == "de" and predict("thethat")[0] == "en"
     assert predict("nichtund")[0] == "de"  # unseen word, known n-grams
-    assert predict(None) == predict("") == predict("12 !") == ("und", 0.0)
+    assert predict(None) == predict("") == predict("12 !") == predict("½ ²") == predict("Ⅷ ⅷ ㊿ ① ٣") == ("und", 0.0)
+    assert predict("²nicht½")[0] == "de" and L.LETTERS.findall("x²y ª一 ñ") == ["x", "y", "ª一", "ñ"]
     rows = L.identify(odd, m).collect()
     assert len(rows) == odd.count()
     by = {r.doc_id: r.lang_pred for r in rows}
