@@ -9,9 +9,13 @@ asks for one shell (``describe_shell``).
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import commit_folder, path_exists
 from .ordered import prev_by_key
 
 
@@ -115,6 +119,42 @@ def export_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame, expo
     export_documents(shells, refs, submodels, exported).write.mode("append").format(fmt).save(path)
 
 
+def export_parts(shells: DataFrame, refs: DataFrame, submodels: DataFrame, exported: DataFrame, part_size: int = 10_000) -> DataFrame:
+    """Documents of pending shells in parts of bounded size: ``shell_id``, its columns, ``part`` and ``submodels``, the resolved ones in the
+    order of reference (``refs.pos``, whole numbers that are unique in their shell).
+
+    A part holds the positions of one span of ``part_size``, so its array has at most that many submodels and a shell
+    with a third of all references is many rows; the parts of a shell follow by number, with gaps where positions
+    have.  A shell without resolvable submodels has part 0 with an empty array."""
+    pending = export_pending(shells, exported)
+    e = enrich_shells(pending, refs.withColumn("part", F.floor(F.col("pos") / part_size)), submodels)
+    names = [c for c in e.columns if c.startswith("sm_")]
+    keep = [c for c in shells.columns if c != "shell_id"]
+    item = F.struct("pos", "submodel_id", *[F.col(c).alias(c[3:]) for c in names])
+    parts = e.where("resolved").groupBy("shell_id", *keep, "part").agg(F.array_sort(F.collect_list(item)).alias("submodels"))
+    empty = pending.join(parts.select("shell_id"), "shell_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    return parts.unionByName(empty.withColumn("submodels", F.array().cast(parts.schema["submodels"].dataType)))
+
+
+def write_export(parts: DataFrame, path: str, name: str, fmt: str = "json") -> bool:
+    """Write an export under ``path`` as a whole: it is staged, and appears as ``committed/name`` in one step, so a failed write leaves
+    nothing that ``read_exports`` reads.  False, and nothing written, where an export of that name is there."""
+    spark = parts.sparkSession
+    final = os.path.join(path, "committed", name)
+    if path_exists(spark, final):
+        return False
+    staged = os.path.join(path, "staged", uuid.uuid4().hex)
+    parts.write.format(fmt).save(staged)
+    commit_folder(spark, staged, final)
+    return True
+
+
+def read_exports(spark, path: str, schema, fmt: str = "json") -> DataFrame:
+    """All committed exports, with the name of each (``export``)."""
+    rows = spark.read.schema(schema).format(fmt).option("recursiveFileLookup", "true").load(os.path.join(path, "committed"))
+    return rows.withColumn("export", F.regexp_extract(F.col("_metadata.file_path"), "/committed/([^/]+)/", 1))
+
+
 def orphans(submodels: DataFrame, refs: DataFrame, template_refs: DataFrame | None = None) -> DataFrame:
     """Submodels linked to no shell (and not to the template shell)."""
     out = submodels.join(refs.select("submodel_id"), "submodel_id", "left_anti")

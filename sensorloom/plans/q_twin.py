@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from ..operators import twin as TW
@@ -119,6 +120,39 @@ def export_documents(fx):
     return d.select("shell_id", "id_short", "s_suppkey", "n_dangling", F.size("submodels").cast("long").alias("n_submodels"), F.array_join(text, ",").alias("submodels"))
 
 
+HOT_REFS_SQL = """(SELECT CASE WHEN l_orderkey % 3 = 0 THEN (SELECT min(shell_id) FROM shells) ELSE shell_id END AS shell_id, submodel_id, l_orderkey * 8 + l_linenumber AS pos
+  FROM lineitem JOIN shells ON s_suppkey = l_suppkey JOIN submodels ON submodel_id = 'https://example.com/ids/sm/0000_0000_' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(8, length(CAST(l_partkey AS VARCHAR))) AS INT), '0'))"""
+
+
+@register("export_parts", f"""
+WITH r AS {HOT_REFS_SQL}
+SELECT 'first' AS export, s.shell_id, s.id_short, s.s_suppkey, pos // 500 AS part, count(*) AS n_submodels, string_agg(r.submodel_id, ',' ORDER BY pos, r.submodel_id) AS submodels
+FROM r JOIN shells s ON s.shell_id = r.shell_id GROUP BY s.shell_id, s.id_short, s.s_suppkey, pos // 500
+UNION ALL SELECT 'first', shell_id, id_short, s_suppkey, 0, 0, '' FROM shells WHERE shell_id NOT IN (SELECT shell_id FROM r)
+""", ["shells", "submodels"])
+def export_parts(fx):
+    """Exported documents in parts, in the order of reference; one shell has a third of all references.  Of three writes one
+    fails and one repeats a name: only the first is there."""
+    li = fx.lineitem
+    low = fx.shells().agg(F.min("shell_id").alias("_low"))
+    refs = li.select(F.when(F.col("l_orderkey") % 3 == 0, None).otherwise(shell_iri("l_suppkey")).alias("shell_id"), submodel_iri("l_partkey").alias("submodel_id"),
+                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pos"))
+    refs = refs.withColumn("shell_id", F.coalesce("shell_id", F.lit(low.first()[0])))
+    parts = TW.export_parts(fx.shells(), refs, fx.submodels().select("submodel_id", "price"), fx.shells().limit(0), part_size=500)
+    path = scratch_path(fx.spark, "runs", f"export-{uuid.uuid4().hex[:12]}")
+    broken = parts.withColumn("part", F.when(F.col("part") > 3, F.raise_error(F.lit("no more room")).cast("long")).otherwise(F.col("part")))
+    try:
+        TW.write_export(broken, path, "broken")
+        raise AssertionError("the write should have failed")
+    except SparkRuntimeException:
+        pass
+    TW.write_export(parts, path, "first")
+    TW.write_export(parts.limit(1), path, "first")
+    done = TW.read_exports(fx.spark, path, parts.schema)
+    return done.select("export", "shell_id", "id_short", "s_suppkey", "part", F.size("submodels").cast("long").alias("n_submodels"),
+                       F.array_join(F.transform("submodels", lambda m: m["submodel_id"]), ",").alias("submodels"))
+
+
 @register("orphans", """
 SELECT m.* FROM submodels m WHERE NOT EXISTS (SELECT 1 FROM submodel_refs r WHERE r.submodel_id = m.submodel_id)
 """, ["submodels", "submodel_refs"])

@@ -60,6 +60,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def commit_folder(spark: SparkSession, staged: str, final: str) -> None:
+    """Make a written folder visible under its final name in one step; an error if that name exists."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = hadoop.FileContext.getFileContext(hadoop.Path(final).toUri(), conf) if "://" in final else hadoop.FileContext.getFileContext(conf)
+    context.mkdir(hadoop.Path(os.path.dirname(final)), hadoop.permission.FsPermission.getDirDefault(), True)
+    options = gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.NONE
+    context.rename(hadoop.Path(staged), hadoop.Path(final), options)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder for sinks and stream state."""
     return os.path.join(checkpoint_dir(spark), "sensorloom", *parts)

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import commit_folder, path_exists
+
 ENTRY = "deployment string, source string, sink string, steps string, status string, call string, called_at long"
 
 
@@ -26,21 +28,8 @@ def deployment_id(source, sink, steps):
     return F.substring(F.sha2(F.concat_ws("\x01", source, sink, steps), 256), 1, 16)
 
 
-def _commit(spark: SparkSession, staged: str, final: str) -> None:
-    """Rename a folder in one step; an error if the target exists."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path, options = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(final).toUri(), conf) if "://" in final else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
-    context.mkdir(path(os.path.dirname(final)), jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
-    none = spark.sparkContext._gateway.new_array(options, 1)
-    none[0] = options.NONE
-    context.rename(path(staged), path(final), none)
-
-
 def _calls(spark: SparkSession, registry: str) -> DataFrame:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(registry, "calls"))
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+    if not path_exists(spark, os.path.join(registry, "calls")):
         return spark.createDataFrame([], ENTRY)
     return spark.read.schema(ENTRY).option("recursiveFileLookup", "true").parquet(os.path.join(registry, "calls"))
 
@@ -71,7 +60,7 @@ def deploy(requests: DataFrame, topics: DataFrame, registry: str, topic_col: str
     entries = r.select("deployment", "source", "sink", "steps", status.alias("status"), F.lit(call).alias("call"), F.lit(time.time_ns()).alias("called_at"))
     staged, final = os.path.join(registry, "staged", call), os.path.join(registry, "calls", call)
     entries.write.parquet(staged)
-    _commit(spark, staged, final)
+    commit_folder(spark, staged, final)
     own = spark.read.schema(ENTRY).parquet(final)
     winner = deployed(spark, registry).select(F.col("deployment").alias("_d"), F.col("call").alias("_winner"))
     status = F.when((F.col("status") == "deployed") & (F.col("_winner") != call), "exists").otherwise(F.col("status"))

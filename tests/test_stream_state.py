@@ -9,7 +9,7 @@ import pytest
 
 from helpers import bag, spark_bag
 
-from sensorloom.session import scratch_path
+from sensorloom.session import commit_folder, scratch_path
 from sensorloom.streaming import chain as CH
 from sensorloom.streaming import keyed as KE
 from sensorloom.streaming import registry as RG
@@ -70,9 +70,9 @@ def test_commit_never_overwrites(spark):
     base = scratch_path(spark, "tests", f"commit-{uuid.uuid4().hex}")
     for n in (1, 2):
         spark.range(n).write.parquet(os.path.join(base, "staged", str(n)))
-    RG._commit(spark, os.path.join(base, "staged", "1"), os.path.join(base, "calls", "c"))
+    commit_folder(spark, os.path.join(base, "staged", "1"), os.path.join(base, "calls", "c"))
     with pytest.raises(Exception, match="FileAlreadyExists|exists"):
-        RG._commit(spark, os.path.join(base, "staged", "2"), os.path.join(base, "calls", "c"))
+        commit_folder(spark, os.path.join(base, "staged", "2"), os.path.join(base, "calls", "c"))
     assert spark.read.parquet(os.path.join(base, "calls", "c")).count() == 1
 
 
