@@ -94,10 +94,10 @@ def mqtt_topic(fx):
 @register("modbus_registers", f"""
 SELECT event_id, CAST(address AS INTEGER) AS address, 'modbus' AS source_type, 'hr' || CAST(address AS VARCHAR) AS asset_id,
   {ISO_MS_SQL.format(c="ts")} AS timestamp, 'good' AS quality, CAST(reg AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS unit
-FROM (SELECT event_id, ts, unnest(generate_series(0, 2)) AS address, unnest([r0, r1, r2]) AS reg FROM modbus_polls)
+FROM (SELECT event_id, ts, unnest(generate_series(0, 9)) AS address, unnest([r0, r1, r2, r3, r4, r5, r6, r7, r8, r9]) AS reg FROM modbus_polls)
 """, ["modbus_polls"])
 def modbus_registers(fx):
-    regs = M.modbus_registers(fx.modbus_polls(), ["r0", "r1", "r2"])
+    regs = M.modbus_registers(fx.modbus_polls(), [f"r{i}" for i in range(10)])
     return regs.select("event_id", "address", F.lit("modbus").alias("source_type"),
                        F.concat(F.lit("hr"), F.col("address").cast("string")).alias("asset_id"),
                        M.iso_utc_millis("ts").alias("timestamp"), F.lit("good").alias("quality"),

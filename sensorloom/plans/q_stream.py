@@ -67,6 +67,17 @@ def _two_batches(fx, base: str, start, where: str = "true") -> None:
         _await(start(_readings_stream(fx, f"{base}/landing").withColumn("event_time", TS.event_time())))
 
 
+@register("stream_schema", "WITH " + PARSED_SQL + """
+SELECT offset_id, source_type, asset_id, timestamp, quality, value, unit FROM parsed WHERE quality <> 'bad' AND unit IS NOT NULL AND asset_id IS NOT NULL
+""", ["raw_messages"])
+def stream_schema(fx):
+    """Cleansing that also asks for the fields of the source's schema."""
+    base = _run_dir(fx, "schema")
+    _await(CH.start_chain(fx.spark, SRC.json_messages(fx.spark, land(fx, base)), f"{base}/sink", {"cleansing": True}, checkpoint=f"{base}/ckpt",
+                          source_schema={"unit": "string", "asset_id": "string"}))
+    return fx.spark.read.parquet(f"{base}/sink")
+
+
 @register("stream_changes", "WITH " + PARSED_SQL + """
 SELECT offset_id, source_type, asset_id, timestamp, quality, value, unit FROM (
   SELECT *, LAG(value) OVER w AS prev, ROW_NUMBER() OVER w AS rn FROM parsed

@@ -90,7 +90,8 @@ SELECT 'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS STRING)
   || '"},{"modelType":"Property","idShort":"Brand","valueType":"xs:string","value":"' || p_brand || '"}]' AS elements_json FROM part
 """,
     "modbus_polls": """
-SELECT event_id, ts, event_id % 100 AS r0, event_id % 7 AS r1, event_id % 3 AS r2 FROM events
+SELECT event_id, ts, event_id % 100 AS r0, event_id % 91 AS r1, event_id % 82 AS r2, event_id % 73 AS r3, event_id % 64 AS r4, event_id % 55 AS r5, event_id % 46 AS r6,
+  event_id % 37 AS r7, event_id % 28 AS r8, event_id % 19 AS r9 FROM events
 """,
     "plans": """
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not json' ELSE '{"technology_lower":' || CASE WHEN doc_id % 17 = 0 THEN 'null' ELSE '"t' || CAST(doc_id AS STRING) || '"' END

@@ -93,8 +93,7 @@ class Fixtures(Tables):
 
     def modbus_polls(self) -> DataFrame:
         eid = F.col("event_id")
-        return self.events.select("event_id", "ts", (eid % 100).alias("r0"), (eid % 7).alias("r1"),
-                                  (eid % 3).alias("r2"))
+        return self.events.select("event_id", "ts", *[(eid % (100 - 9 * i)).alias(f"r{i}") for i in range(10)])
 
     # -- asset model -----------------------------------------------------
     def shells(self) -> DataFrame:
