@@ -57,7 +57,11 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None, tokens, text: Col
     Every document leaves one row with an empty term, which counts the corpus and holds
     the carried columns; a null text has no terms."""
     spark = docs.sparkSession
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*carry).alias("shown"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_tok"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*carry).alias("shown"), text.alias("_text"))
+    cores = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() * 2 <= cores:  # a few files, read by fewer tasks than there are cores (so of bounded size): deal the texts out before the work on them
+        d = d.repartition(cores, "row")
+    d = d.withColumn("_tok", F.coalesce(tokens(F.col("_text")), F.array().cast("array<string>"))).drop("_text")
     occ = d.select("row", F.size("_tok").alias("dl"), "shown", F.explode(F.concat("_tok", F.array(F.lit("")))).alias("term"))
     if vocabulary is not None:
         keep = vocabulary.unionByName(spark.range(1).select(F.lit("").alias("term")))

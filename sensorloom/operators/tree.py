@@ -56,6 +56,22 @@ def browse(edges: DataFrame, start: str | None = None, max_depth: int | None = N
     return out
 
 
+def browse_lazy(edges: DataFrame, start: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The reader's browse to ``max_depth`` as one recursive query: nothing runs while the plan is built, and the levels run one after
+    the other when it does.  Spark ends a recursion beyond ``spark.sql.cteRecursionRowLimit`` rows with an error, so that limit
+    is lifted in the session here; ``browse`` has none."""
+    spark = edges.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    e = edges.select("parent_id", "node_id", "name", "node_class", "value")
+    first = "e.parent_id IS NULL" if start is None else "e.parent_id = :start"
+    return spark.sql(f"""
+        WITH RECURSIVE found AS (
+          SELECT e.parent_id, e.node_id, e.name, e.node_class, e.value, 0 AS depth FROM {{edges}} e WHERE {first}
+          UNION ALL
+          SELECT e.parent_id, e.node_id, e.name, e.node_class, e.value, found.depth + 1 FROM {{edges}} e JOIN found ON e.parent_id = found.node_id WHERE found.depth < {int(max_depth)})
+        SELECT * FROM found""", args=None if start is None else {"start": start}, edges=e)
+
+
 def variables(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("node_class") == "Variable")
 

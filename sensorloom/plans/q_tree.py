@@ -16,7 +16,7 @@ REC = """WITH RECURSIVE t AS (
 @register("node_browse", REC.format(start="parent_id IS NULL") + " SELECT node_id, name, node_class, depth FROM t",
           ["nodes"])
 def node_browse(fx):
-    return TR.browse(fx.nodes()).select("node_id", "name", "node_class", "depth")
+    return TR.browse_lazy(fx.nodes()).select("node_id", "name", "node_class", "depth")
 
 
 @register("node_variables", """WITH RECURSIVE t AS (

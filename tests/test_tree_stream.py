@@ -29,6 +29,15 @@ def test_bridge_browse_has_no_depth_limit(spark):
     assert TR.browse(edges).agg(F.max("depth")).first()[0] == 5
 
 
+def test_recursive_browse_equals_the_levels(spark, fx):
+    edges = fx.nodes()
+    for start, depth in ((None, 5), (None, 1), ("ns=2;s=R1", 2), ("none", 5)):
+        assert spark_bag(TR.browse_lazy(edges, start, depth)) == spark_bag(TR.browse(edges, start, depth).select("parent_id", "node_id", "name", "node_class", "value", "depth"))
+    ring = spark.createDataFrame([(None, "a", "x", "Object", None), ("a", "b", "x", "Object", "v"), ("b", "a", "x", "Object", None)],
+                                 "parent_id string, node_id string, name string, node_class string, value string")
+    assert [r.depth for r in TR.browse_lazy(ring).orderBy("depth").collect()] == [0, 1, 2, 3, 4, 5]
+
+
 def test_rpc_stream_matches_batch_pairs(spark, fx):
     base = scratch_path(spark, "tests", f"rpc-{uuid.uuid4().hex}")
     req = fx.rpc_requests().withColumn("sent_at", F.col("sent_at").cast("timestamp"))
