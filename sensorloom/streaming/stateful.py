@@ -13,15 +13,21 @@ from ..operators.store import with_doc_id
 from .keyed import stream_folder
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def _micros(ts: str, ntz: bool):
+    """Microseconds since the epoch; of a naive time as it stands, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(ts)) if ntz else F.unix_micros(F.col(ts))
+
+
 def _windows_of(ts: str, ntz: bool, secs: int):
-    """(start, end) of the tumbling window of a time; naive times by microseconds, whatever the session's zone is."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    """(start, end) of the tumbling window of a time."""
+    micros = _micros(ts, ntz)
+    start = micros - F.pmod(micros, F.lit(secs * 1_000_000))
     if ntz:
-        micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
-        start = micros - F.pmod(micros, F.lit(secs * 1_000_000))
+        epoch = F.lit(EPOCH).cast("timestamp_ntz")
         return F.timestamp_add("MICROSECOND", start, epoch), F.timestamp_add("MICROSECOND", start + secs * 1_000_000, epoch)
-    micros = F.unix_micros(F.col(ts))
-    start = micros - F.pmod(micros, F.lit(secs * 1_000_000))
     return F.timestamp_micros(start), F.timestamp_micros(start + secs * 1_000_000)
 
 
@@ -43,15 +49,15 @@ def sampled_sink(readings: DataFrame, path: str, checkpoint: str, interval_ms: i
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         top = spark.read.format(fmt).load(os.path.join(own, "marks", f"batch_id={batch_id - 1}")).first()[0] if batch_id else None
-        newest = F.lit(top).cast("timestamp_ntz" if ntz else "timestamp")
-        late = F.coalesce(F.col("window_end") <= newest - F.expr(f"INTERVAL {int(delay_s)} SECONDS"), F.lit(False))
+        newest = F.lit(top).cast("long")
+        late = F.coalesce(_micros("window_end", ntz) <= newest - int(delay_s) * 1_000_000, F.lit(False))
         rows = batch.where(F.col(ts).isNotNull()).withColumns({"window_start": start, "window_end": end}).withColumn("_late", late).persist()
         try:
             parts = rows.groupBy(key, "window_start", "window_end").agg(
                 F.max(F.struct(F.col(ts).alias("time"), F.col(tiebreak).alias("tie"), F.col(value).alias("value"))).alias("last"),
                 F.count(F.lit(1)).alias("n_readings"), F.count_if("_late").alias("n_late"))
             for name, df in (("windows", parts), ("late", rows.where("_late").select(*batch.columns, "window_start", "window_end")),
-                             ("marks", rows.agg(F.greatest(F.max(ts), newest).alias("newest")))):
+                             ("marks", rows.agg(F.greatest(F.max(_micros(ts, ntz)), newest).alias("newest")))):
                 df.write.mode("overwrite").format(fmt).save(os.path.join(own, name, f"batch_id={batch_id}"))
         finally:
             rows.unpersist()
@@ -69,8 +75,9 @@ def sampled_windows(spark, path: str, checkpoint: str, key: str = "asset_id", va
     parts = spark.read.format(fmt).load(os.path.join(own, "windows"))
     newest = spark.read.format(fmt).load(os.path.join(own, "marks")).agg(F.max("newest")).first()[0]
     out = parts.groupBy(key, "window_start", "window_end").agg(F.max("last").alias("last"), F.sum("n_readings").alias("n_readings"), F.sum("n_late").alias("n_late"))
-    mark = F.lit(newest).cast(dict(parts.dtypes)["window_end"]) - F.expr(f"INTERVAL {int(delay_s)} SECONDS")
-    return out.select(key, "window_start", "window_end", F.col("last.value").alias(value), "n_readings", "n_late", (F.col("window_end") <= mark).alias("closed"))
+    end = _micros("window_end", dict(parts.dtypes)["window_end"] == "timestamp_ntz")
+    closed = F.coalesce(end <= F.lit(newest).cast("long") - int(delay_s) * 1_000_000, F.lit(False))
+    return out.select(key, "window_start", "window_end", F.col("last.value").alias(value), "n_readings", "n_late", closed.alias("closed"))
 
 
 def late_readings(spark, path: str, checkpoint: str, fmt: str = "parquet") -> DataFrame:
