@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .joins import fits
+from .joins import BROADCAST_MAX_ROWS, fits
 from .topk import top_k_per_group
 
 #: Documents of a block, and queries that one task looks at together.
@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None, tokens, text: Col
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
     block = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n_docs // block_docs)))).alias("block")
     weights = found.select("row", F.col("number").alias("term"), block, w.alias("w"))
-    maxima = weights.groupBy("term", "block").agg(F.max("w").alias("m"), F.max_by("row", F.struct("w", -F.col("row"))).alias("best"))
+    maxima = weights.groupBy("term", "block").agg(F.max("w").alias("m"), F.max_by("row", "w").alias("best"))
     return Index(weights, _written(maxima, "maxima"), postings.where("term = ''").select("row", "shown"), terms.select("term", "number"))
 
 
@@ -137,10 +137,11 @@ def _block_hits(k: int, counts: bool):
 def _hits(index: Index, query_terms: DataFrame, qkey: str, k: int, counts: bool = False) -> DataFrame:
     kind = query_terms.schema[qkey].dataType.simpleString()
     qt = _written(query_terms.join(index.terms, "term").select(F.col(qkey).alias("query"), F.col("number").alias("term")), "queries")
-    n_queries = qt.select("query").distinct().count()
-    qt = F.broadcast(qt) if fits(qt) else qt
+    n_pairs, n_queries = qt.agg(F.count(F.lit(1)), F.count_distinct("query")).first()
+    qt = F.broadcast(qt) if n_pairs <= BROADCAST_MAX_ROWS else qt
     champions = top_k_per_group(index.maxima, ["term"], [F.desc("m"), F.asc("block")], k)
     seeds = champions.join(qt, "term").select("query", F.col("best").alias("row")).distinct()
+    seeds = F.broadcast(seeds) if n_pairs * k <= BROADCAST_MAX_ROWS else seeds  # at most k per pair
     first = index.weights.join(seeds, "row").join(qt, ["query", "term"]).groupBy("query", "row").agg(F.sum("w").alias("score"))
     floor = top_k_per_group(first, ["query"], [F.desc("score"), F.asc("row")], k).groupBy("query") \
         .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("floor"))
