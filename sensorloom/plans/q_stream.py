@@ -60,22 +60,15 @@ def stream_chain(fx):
     return fx.spark.read.parquet(f"{base}/sink")
 
 
-def _two_batches(fx, base: str, start, where: str = "true") -> None:
-    """Land the messages in two parts, and run the stream over each with the same checkpoint."""
+def _two_batches(fx, streams: dict) -> None:
+    """Land the messages of each stream (folder -> condition on them, start function) in two parts, and run the streams side by side over
+    each part, with the same checkpoints."""
     for part in (0, 1):
-        fx.raw_messages().where(f"(offset_id div 2) % 2 = {part} AND {where}").write.mode("append").json(f"{base}/landing")
-        _await(start(_readings_stream(fx, f"{base}/landing").withColumn("event_time", TS.event_time())))
-
-
-@register("stream_schema", "WITH " + PARSED_SQL + """
-SELECT offset_id, source_type, asset_id, timestamp, quality, value, unit FROM parsed WHERE quality <> 'bad' AND unit IS NOT NULL AND asset_id IS NOT NULL
-""", ["raw_messages"])
-def stream_schema(fx):
-    """Cleansing that also asks for the fields of the source's schema."""
-    base = _run_dir(fx, "schema")
-    _await(CH.start_chain(fx.spark, SRC.json_messages(fx.spark, land(fx, base)), f"{base}/sink", {"cleansing": True}, checkpoint=f"{base}/ckpt",
-                          source_schema={"unit": "string", "asset_id": "string"}))
-    return fx.spark.read.parquet(f"{base}/sink")
+        for base, (where, _) in streams.items():
+            fx.raw_messages().where(f"(offset_id div 2) % 2 = {part} AND {where}").write.mode("append").json(f"{base}/landing")
+        running = [start(_readings_stream(fx, f"{base}/landing").withColumn("event_time", TS.event_time())) for base, (_, start) in streams.items()]
+        for q in running:
+            _await(q)
 
 
 @register("stream_changes", "WITH " + PARSED_SQL + """
@@ -88,8 +81,7 @@ def stream_changes(fx):
     """Change detection with one value of state per asset: two streams (even and odd messages), each over two
     micro-batches, into one collection."""
     base = _run_dir(fx, "changes")
-    for s in (0, 1):
-        _two_batches(fx, f"{base}/{s}", lambda r, s=s: KE.changes_sink(r, f"{base}/sink", f"{base}/{s}/ckpt"), f"offset_id % 2 = {s}")
+    _two_batches(fx, {f"{base}/{s}": (f"offset_id % 2 = {s}", lambda r, s=s: KE.changes_sink(r, f"{base}/sink", f"{base}/{s}/ckpt", partitions=4)) for s in (0, 1)})
     return fx.spark.read.parquet(f"{base}/sink").drop("event_time", "stream", "batch_id")
 
 
@@ -108,7 +100,7 @@ GROUP BY asset_id, window_start, window_end
 def stream_sampled(fx):
     """Hourly samples over two micro-batches: every window of the input, with the number of late readings."""
     base = _run_dir(fx, "sampled")
-    _two_batches(fx, base, lambda r: ST.sampled_sink(r, f"{base}/out", f"{base}/ckpt", 3_600_000))
+    _two_batches(fx, {base: ("true", lambda r: ST.sampled_sink(r, f"{base}/out", f"{base}/ckpt", 3_600_000))})
     return ST.close_windows(fx.spark, f"{base}/out", f"{base}/ckpt")
 
 
@@ -118,7 +110,7 @@ SELECT offset_id, source_type, asset_id, timestamp, quality, value, unit, window
 def stream_late(fx):
     """Readings that came after their window was closed, in a table of their own."""
     base = _run_dir(fx, "late")
-    _two_batches(fx, base, lambda r: ST.sampled_sink(r, f"{base}/out", f"{base}/ckpt", 3_600_000))
+    _two_batches(fx, {base: ("true", lambda r: ST.sampled_sink(r, f"{base}/out", f"{base}/ckpt", 3_600_000))})
     return ST.late_readings(fx.spark, f"{base}/out", f"{base}/ckpt").drop("event_time", "window_end")
 
 

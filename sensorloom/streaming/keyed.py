@@ -66,10 +66,12 @@ def stream_folder(checkpoint: str) -> str:
 
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession):
-    """Settings of the store for the queries started meanwhile (a query keeps those it was started with)."""
-    old = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """Settings of the store for the queries started meanwhile (a query keeps those it was started with, and the number of
+    its partitions for good)."""
+    new = STORE if partitions is None else {**STORE, "spark.sql.shuffle.partitions": str(partitions)}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -79,9 +81,13 @@ def state_store(spark: SparkSession):
 
 
 def changes_sink(readings: DataFrame, path: str, checkpoint: str, key: str = "asset_id", value: str = "value",
-                 order: tuple[str, ...] = ("event_time", "offset_id"), fmt: str = "parquet", available_now: bool = True):
+                 order: tuple[str, ...] = ("event_time", "offset_id"), fmt: str = "parquet", available_now: bool = True,
+                 partitions: int | None = None):
     """Write the changed readings to ``path/stream=S/batch_id=N``, S being a hash of the checkpoint: streams and
-    redeployments with another checkpoint never overwrite one another, and a replayed batch replaces itself."""
+    redeployments with another checkpoint never overwrite one another, and a replayed batch replaces itself.
+
+    ``partitions`` of the state are chosen when the stream starts first (else the session's shuffle partitions): each is a store of
+    its own that every micro-batch opens and commits, so a few are right for few keys and many for many."""
     own = os.path.join(path, stream_folder(checkpoint))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -90,5 +96,5 @@ def changes_sink(readings: DataFrame, path: str, checkpoint: str, key: str = "as
     w = changed_rows(readings, key, value, order).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
-    with state_store(readings.sparkSession):
+    with state_store(readings.sparkSession, partitions):
         return w.start()
