@@ -24,10 +24,23 @@ from .text import blocks
 #: Signs for numbers (fractions, Roman numerals, raised digits) count as word characters, but are no letters.
 NUMBER_SIGNS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
+#: The same words of texts of ASCII alone (other characters as spaces), and of texts of the Basic Multilingual Plane alone (the letters
+#: named, which is a look in a table for a character).
+ASCII_LETTERS = "".join(c.lower() if c.isalpha() else " " for c in map(chr, range(128)))
+PLANE_LETTERS = re.compile("[" + "".join(f"{re.escape(r[0])}-{re.escape(r[-1])}" for r in LETTERS.findall("".join(chr(i) for i in range(0x10000)))) + "]+")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 #: Words whose scores a task keeps, at most.
 CACHE = 300_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters of the text in lower case, as ``LETTERS`` finds them."""
+    if text.isascii():
+        return text.translate(ASCII_LETTERS).split()
+    low = text.lower()
+    return (LETTERS if BEYOND.search(low) else PLANE_LETTERS).findall(low)
+
+
 @dataclass
 class Model:
     """Log probabilities per language (columns as ``langs``): ``rows`` of the table by word, and
@@ -88,7 +101,7 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, posterior) of each text; ``und`` and 0 for one without letters or an untrained model.
         Equal scores go to the first language by name."""
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        found = [letter_runs(t) if t else [] for t in texts]
         if not self.model.langs or not any(found):
             return [("und", 0.0)] * len(texts)
         if len(self.at) > CACHE + len(self.model.words):
@@ -130,7 +143,7 @@ def _count(max_n: int):
                                                pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "item", "count"])
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for w, c in Counter(LETTERS.findall((text.as_py() or "").lower())).items():
+                for w, c in Counter(letter_runs(text.as_py() or "")).items():
                     counts[lang, 0, w] += c
                     padded = f" {w} "
                     for n in range(1, max_n + 1):

@@ -46,3 +46,15 @@ def test_a_full_cache_changes_nothing(monkeypatch, texts, spark, docs):
     s = L.Scorer(m)
     got = [s.predict([t])[0] for t in texts.values()]
     assert [g[0] for g in got] == [w[0] for w in want] and max(abs(a[1] - b[1]) for a, b in zip(got, want)) < 1e-9
+
+
+def test_letter_runs_are_those_of_the_whole_pattern(monkeypatch):
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    texts = [every[:128], every[:0xD800], every, "a\x1fb\x85c_d\u00b2e I\u0307\u0130 \U0001d400x \U0001f600y", "\u1160\u3164z", "", *(f"x{c}Y{c}" for c in every[:0x3000])]
+    assert all(L.letter_runs(t) == L.LETTERS.findall(t.lower()) for t in texts)
+
+    class Unused:
+        def findall(self, text):
+            raise AssertionError("the pattern that tries every class for a character")
+    monkeypatch.setattr(L, "LETTERS", Unused())  # texts of ASCII or the first plane do without it
+    assert L.letter_runs("One-two 3") == ["one", "two"] and L.letter_runs("Stra\u00dfe \u00bd") == ["stra\u00dfe"]
