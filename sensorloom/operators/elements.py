@@ -125,6 +125,16 @@ def _below(nodes: DataFrame, key: str) -> DataFrame:
                                      F.col("i").alias("pos"), F.col("c").alias("el")).alias("n"))
 
 
+def _deeper_than(text: Column, levels: int) -> Column:
+    """Whether the text has more than ``levels`` arrays in one another; nothing is parsed for it.  Strings are taken out
+    first, then level by level the arrays without an array; texts that are no JSON may be either."""
+    bare = F.regexp_replace(F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")), '"[^"]*+"', "")
+    left = F.regexp_replace(bare, r"[^\[\]]++", "")
+    for _ in range(levels):
+        left = F.replace(left, F.lit("[]"), F.lit(""))
+    return F.length(left) > 0
+
+
 def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "elements_json",
                      unroll: int = 8, with_common: bool = False, with_typed: bool = False) -> DataFrame:
     """Rows ``key, path, parent_path, depth, pos, id_short, model_type,
@@ -134,11 +144,11 @@ def flatten_elements(df: DataFrame, key: str = "submodel_id", json_col: str = "e
     from level k inside the row with ``transform``/``flatten`` (one
     projection per level, each computed once), then all levels are
     concatenated and exploded.  No union of re-scanned levels, no shuffle.
-    Trees deeper than ``unroll`` (looked for only among texts with that many arrays) go on level by
+    Trees deeper than ``unroll`` (looked for only among texts with that many arrays in one another) go on level by
     level from a checkpoint of their lowest nodes.  An element without ``modelType`` is a Property."""
     nodes = _levels(df, key, json_col, unroll)
     text = F.col(json_col)
-    maybe = df.where(F.length(text) - F.length(F.replace(text, F.lit("["))) > unroll)
+    maybe = df.where(F.length(text) - F.length(F.replace(text, F.lit("["))) > unroll).where(_deeper_than(text, unroll + 1))
     if not maybe.select(key).isEmpty():  # a look at the texts alone; nothing is parsed for it
         low = _levels(maybe, key, json_col, unroll).where(F.col("n.depth") == unroll)
         more = _below(low, key)

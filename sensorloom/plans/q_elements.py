@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import elements as EL
 from ..operators import rules as RU
+from ..sources.tables import dealt
 from .registry import register
 
 SM = "'https://example.com/ids/sm/0000_0000_' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(8, length(CAST(p_partkey AS VARCHAR))) AS INT), '0')"
@@ -154,7 +155,7 @@ def deep_trees(fx):
     down = "".join(f'[{{"modelType":"SubmodelElementCollection","idShort":"L{i}","value":' for i in range(10))
     js = F.concat(F.lit(down + '[{"idShort":"V","value":"'), F.col("p_brand"), F.lit('"},{"modelType":"RelationshipElement","idShort":"R","first":{"keys":[{"type":"Property","value":"'),
                   F.col("p_name"), F.lit('"}]}}]' + "}]" * 10))
-    return fx.part.select(F.col("p_partkey").alias("submodel_id"), F.when(F.col("p_partkey") % 7 == 0, F.substring(js, 1, 100)).otherwise(js).alias("elements_json"))
+    return dealt(fx.part.select("p_partkey", "p_brand", "p_name")).select(F.col("p_partkey").alias("submodel_id"), F.when(F.col("p_partkey") % 7 == 0, F.substring(js, 1, 100)).otherwise(js).alias("elements_json"))
 
 
 DEEP = ".".join(f"L{i}" for i in range(10))
@@ -184,7 +185,7 @@ def described_trees(fx):
                   F.lit('"}]},{"keys":[{"type":"GlobalReference","value":"x"}]}],"displayName":[{"language":"en","text":"old"},{"language":"en","text":"'), F.col("p_name"),
                   F.lit('"}],"qualifiers":[{"kind":"ConceptQualifier","type":"size","valueType":"xs:int","value":"'), F.col("p_size").cast("string"),
                   F.lit('"}]},{"idShort":"Q","value":"2"}]'))
-    return fx.part.select(F.col("p_partkey").alias("submodel_id"), js.alias("elements_json"))
+    return dealt(fx.part.select("p_partkey", "p_type", "p_brand", "p_name", "p_size")).select(F.col("p_partkey").alias("submodel_id"), js.alias("elements_json"))
 
 
 @register("common_attributes", f"""
@@ -273,7 +274,7 @@ def _zoo_sql() -> str:
 def zoo(fx):
     part, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
     js = F.replace(F.replace(F.lit(_zoo_json()), F.lit("@K"), part), F.lit("@S"), size)
-    trees = fx.part.select(F.col("p_partkey").alias("part"), js.alias("elements_json"))
+    trees = dealt(fx.part.select("p_partkey", "p_size")).select(F.col("p_partkey").alias("part"), js.alias("elements_json"))
     return EL.flatten_elements(trees, key="part", with_typed=True)
 
 

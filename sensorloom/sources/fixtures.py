@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.elements import flatten_elements, preprocessing_flags
-from .tables import Tables
+from .tables import Tables, dealt
 
 SHELL_PREFIX = "https://example.com/ids/aas/0000_0000_0000_"
 SUBMODEL_PREFIX = "https://example.com/ids/sm/0000_0000_"
@@ -130,7 +130,7 @@ class Fixtures(Tables):
             _s("p_size"),
             F.lit('"},{"modelType":"Property","idShort":"Brand","valueType":"xs:string","value":"'),
             F.col("p_brand"), F.lit('"}]'))
-        return self.part.select(submodel_iri("p_partkey").alias("submodel_id"), js.alias("elements_json"))
+        return dealt(self.part.select("p_partkey", "p_size", "p_brand")).select(submodel_iri("p_partkey").alias("submodel_id"), js.alias("elements_json"))
 
     def stages(self) -> DataFrame:
         # Four template stages per pipeline; a literal array exploded per

@@ -15,6 +15,12 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
                "embeddings pages benchmark labels conversations").split()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly to several tasks a core, before work that is much for a row: a table of
+    small rows is few files, read by fewer tasks than there are cores."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tables:
     """Opens each table once per instance (one file listing / footer read);
     views built from the same table share that relation."""

@@ -112,3 +112,23 @@ def test_repeated_languages(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([([("en", "a"), ("de", "b"), ("en", "c"), (None, "d")],)], "x array<struct<language:string,text:string>>")
     assert df.select(EL.lang_strings_to_map(F.col("x"))).first()[0] == {"de": "b", "en": "c"}
+
+
+def test_only_nested_arrays_are_looked_into_again(spark):
+    """Many arrays beside one another are no deep tree; brackets and escapes in strings are neither depth nor its end."""
+    one = {"modelType": "Property", "idShort": "p", "value": "]]]\\\\\" [ ]"}
+    deep = one
+    for i in range(6):
+        deep = {"modelType": "SubmodelElementCollection", "idShort": f"c{i}", "value": [deep]}
+    flat = [{"modelType": "SubmodelElementCollection", "idShort": f"c{i}", "value": [{**one, "value": "[[[[[[[["}]} for i in range(20)]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in {"deep": [deep], "flat": flat}.items()], "submodel_id string, elements_json string")
+    assert [r.submodel_id for r in df.where(EL._deeper_than(df.elements_json, 4)).collect()] == ["deep"]
+    got = {(r.submodel_id, r.depth) for r in EL.flatten_elements(df, unroll=3).collect()}
+    assert got == {("deep", d) for d in range(7)} | {("flat", 0), ("flat", 1)}
+
+
+def test_trees_are_built_and_parsed_by_all_cores(spark, fx):
+    from sensorloom.plans import q_elements as Q
+    cores = spark.sparkContext.defaultParallelism
+    for trees in (fx.element_trees(), Q.deep_trees(fx), Q.described_trees(fx), Q.zoo(fx)):
+        assert trees.rdd.getNumPartitions() >= cores
