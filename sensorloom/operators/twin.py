@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import commit_folder, path_exists
@@ -251,14 +251,9 @@ def shell_listing(responses: DataFrame, json_col: str = "body", keep: tuple = ()
     return shells, rejects
 
 
-def read_submodels(spark, path: str, whole_files: bool = True):
-    """AAS JSON documents of any shape -> (submodels, rejects), without schema inference.
-
-    A document is a file (of any number of lines) or, without ``whole_files``, a line.  It is parsed once into a VARIANT
-    and holds one submodel, a list of them, or either under ``submodels`` or ``result``.  Elements stay JSON text for
-    ``flatten_elements``; fields that a submodel lacks are NULL.  Broken JSON, documents that hold no object and
-    items without an id are rejects (``file, raw_body, reason``), the other items of their document are kept."""
-    text = spark.read.option("wholetext", str(whole_files).lower()).text(path)
+def _submodel_items(spark, path: str, whole_files: bool) -> tuple[DataFrame, Column]:
+    """Items of the documents under ``path``, and whether one is a submodel."""
+    text = spark.read.text(path, wholetext=whole_files)
     v = F.try_parse_json("value")
     docs = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw_body"), v.alias("_v")).where("trim(raw_body) <> ''")
     item = lambda p, kind: F.try_variant_get("_v", p, kind)
@@ -270,5 +265,22 @@ def read_submodels(spark, path: str, whole_files: bool = True):
                         get("modelType").alias("model_type"), F.to_json(F.try_variant_get("_s", "$.submodelElements", "variant")).alias("elements_json"),
                         F.schema_of_variant("_s").startswith("OBJECT").alias("_object"))
     good = F.coalesce(F.col("submodel_id").isNotNull() & F.col("_object"), F.lit(False))
+    return rows, good
+
+
+def read_submodels(spark, path: str, whole_files: bool = True) -> DataFrame:
+    """Submodels of AAS JSON documents of any shape, without schema inference.
+
+    A document is a file (of any number of lines) or, without ``whole_files``, a line.  It is parsed once into a VARIANT
+    and holds one submodel, a list of them, or either under ``submodels`` or ``result``.  Elements stay JSON text for
+    ``flatten_elements``; fields that a submodel lacks are NULL.  Broken JSON, documents that hold no object and
+    items without an id are left out (``rejected_submodels``), the other items of their document are kept."""
+    rows, good = _submodel_items(spark, path, whole_files)
+    return rows.where(good).drop("file", "raw_body", "_broken", "_object")
+
+
+def rejected_submodels(spark, path: str, whole_files: bool = True) -> DataFrame:
+    """What ``read_submodels`` leaves out, as rejects: ``file, raw_body, reason``."""
+    rows, good = _submodel_items(spark, path, whole_files)
     reason = F.when(F.col("_broken"), "broken JSON").when(~F.coalesce(F.col("_object"), F.lit(False)), "not an object").otherwise("no id")
-    return rows.where(good).drop("file", "raw_body", "_broken", "_object"), rows.where(~good).select("file", "raw_body", reason.alias("reason"))
+    return rows.where(~good).select("file", "raw_body", reason.alias("reason"))

@@ -270,10 +270,10 @@ def submodel_files(fx):
     return fx.part.select(F.regexp_replace(body, "\n", " ").alias("value"))
 
 
-def _read_submodels(fx):
+def _submodel_folder(fx):
     path = scratch_path(fx.spark, "runs", f"submodels-{uuid.uuid4().hex[:12]}")
     submodel_files(fx).write.text(path)
-    return TW.read_submodels(fx.spark, path, whole_files=False)
+    return path
 
 
 @register("submodels_read", """
@@ -282,7 +282,7 @@ FROM (SELECT p_partkey AS k, p_size FROM part WHERE p_partkey % 6 IN (0, 1, 2, 5
 """)
 def submodels_read(fx):
     """Submodels from JSON documents of different shapes, read in one pass without a schema."""
-    return _read_submodels(fx)[0]
+    return TW.read_submodels(fx.spark, _submodel_folder(fx), whole_files=False)
 
 
 @register("submodels_rejected", """
@@ -292,7 +292,7 @@ SELECT CASE p_partkey % 6 WHEN 3 THEN '{"id": "sm' || p_partkey WHEN 4 THEN CAST
 FROM part WHERE p_partkey % 6 IN (3, 4, 5)
 """)
 def submodels_rejected(fx):
-    return _read_submodels(fx)[1].drop("file")
+    return TW.rejected_submodels(fx.spark, _submodel_folder(fx), whole_files=False).drop("file")
 
 
 @register("shell_violations", r"""
