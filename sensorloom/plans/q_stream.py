@@ -81,7 +81,8 @@ def stream_changes(fx):
     """Change detection with one value of state per asset: two streams (even and odd messages), each over two
     micro-batches, into one collection."""
     base = _run_dir(fx, "changes")
-    _two_batches(fx, {f"{base}/{s}": (f"offset_id % 2 = {s}", lambda r, s=s: KE.changes_sink(r, f"{base}/sink", f"{base}/{s}/ckpt", partitions=4)) for s in (0, 1)})
+    parts = max(4, fx.tasks("events", rows=500_000) // 2)  # of each of two streams that run side by side
+    _two_batches(fx, {f"{base}/{s}": (f"offset_id % 2 = {s}", lambda r, s=s: KE.changes_sink(r, f"{base}/sink", f"{base}/{s}/ckpt", partitions=parts)) for s in (0, 1)})
     return fx.spark.read.parquet(f"{base}/sink").drop("event_time", "stream", "batch_id")
 
 

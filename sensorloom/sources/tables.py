@@ -21,6 +21,10 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+#: Rows of a table that one task of a shuffle gets, at most, on the average.
+TASK_ROWS = 250_000
+
+
 class Tables:
     """Opens each table once per instance (one file listing / footer read);
     views built from the same table share that relation."""
@@ -38,6 +42,11 @@ class Tables:
             self._opened[name] = self.spark.read.parquet(self.path(name))
         return self._opened[name]
 
+    def tasks(self, *names: str, rows: int = TASK_ROWS) -> int:
+        """Tasks for a shuffle of these tables' rows: one for ``rows`` of them, so a task holds no more of a larger table.  Counts
+        are read from the footers of the files."""
+        return max(1, -(-sum(self.read(n).count() for n in names) // rows))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             return self.read(name)

@@ -99,3 +99,34 @@ def test_chain_asks_the_registry(spark, fx):
                        topics=topics).awaitTermination(300)
         counts.add(spark.read.parquet(f"{base}/sink").count())
     assert len(counts) == 1 and RG.deployed(spark, f"{base}/registry").count() == 1
+
+
+def test_last_value_takes_rows_as_they_are(spark):
+    """A key's rows are plain rows; the state is asked once and written once."""
+    from pyspark.sql import Row
+
+    class State:
+        calls, held = [], None
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, new):
+            self.calls.append("update")
+            self.held = new
+
+    p = KE.LastValue("value", ["event_time", "offset_id"])
+    p.last = State()
+    at = lambda t, i, v: Row(event_time=t, offset_id=i, value=v)
+    rows = [at(2, 5, "b"), at(1, 9, "a"), at(None, 7, None), at(1, 3, "a"), at(2, 6, None)]
+    assert [r.offset_id for r in p.handleInputRows(("x",), iter(rows), None)] == [7, 3, 5, 6]
+    assert p.last.held == (None,) and p.last.calls == ["get", "update"]
+    assert [r.offset_id for r in p.handleInputRows(("x",), iter([at(3, 1, None), at(float("nan"), 2, "c")]), None)] == [2, 1]
+    p.last.calls.clear()
+    assert list(p.handleInputRows(("x",), iter([at(4, 1, None)]), None)) == [] and p.last.calls == ["get"]
+
+
+def test_state_partitions_follow_the_rows(fx):
+    n = fx.events.count()
+    assert fx.tasks("events", rows=n) == 1 and fx.tasks("events", rows=10) == -(-n // 10)
