@@ -14,6 +14,12 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def table_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """The smaller side of a join, one row a key: broadcast or hashed by partition, so the rows of the large side
+    pass by and are not sorted, and a hot key of theirs can still be split."""
+    return F.broadcast(df) if fits(df, max_rows) else df.hint("shuffle_hash")
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``small`` only when it holds at most ``max_rows`` rows;

@@ -15,12 +15,13 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import commit_folder, path_exists
+from ..session import checkpoint_dir, commit_folder, path_exists
+from .joins import join_small, table_side
 from .ordered import prev_by_key
 
 
 def enrich_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame,
-                  scoped: DataFrame | None = None, on_missing: str = "keep") -> DataFrame:
+                  scoped: DataFrame | None = None, on_missing: str = "keep", tasks: int | None = None) -> DataFrame:
     """One row per (shell, reference) with the resolved submodel columns.
 
     ``on_missing``: a dangling reference is kept and marked ("keep"), left out ("skip") or ends the job ("error").
@@ -28,15 +29,18 @@ def enrich_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame,
     Resolution: the submodel as seen under the shell (``scoped``, keyed by
     shell_id + submodel_id) else the standalone submodel; ``resolved`` is
     false for a dangling reference.  Shells without references keep one row
-    with NULL submodel.  References without a key (NULL id) are skipped."""
+    with NULL submodel.  References without a key (NULL id) are skipped.
+
+    Neither submodels nor shells need sorted references.  ``tasks`` is the number of partitions of the join with ``scoped``, which has
+    about as many rows as there are references (else the session's, whatever the rows are)."""
     r = refs.where(F.col("submodel_id").isNotNull())
     sm = submodels.select("submodel_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"sm_{c}") for c in submodels.columns
                                                                       if c != "submodel_id"])
-    j = r.join(sm, "submodel_id", "left")
+    j = r.join(table_side(sm), "submodel_id", "left")
     if scoped is not None:
         sc = scoped.select("shell_id", "submodel_id", F.lit(True).alias("_scoped"), *[F.col(c).alias(f"sc_{c}") for c in scoped.columns
                                                         if c not in ("shell_id", "submodel_id")])
-        j = j.join(sc, ["shell_id", "submodel_id"], "left")
+        j = by_pair(j, tasks).join(by_pair(sc, tasks), PAIR, "left")
         for c in submodels.columns:
             if c != "submodel_id" and f"sc_{c}" in j.columns:
                 j = j.withColumn(f"sm_{c}", F.when(F.col("_scoped"), F.col(f"sc_{c}")).otherwise(F.col(f"sm_{c}"))).drop(f"sc_{c}")
@@ -48,7 +52,15 @@ def enrich_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame,
         j = j.withColumn("resolved", F.when(F.col("resolved"), True).otherwise(F.raise_error(missing).cast("boolean")))
     elif on_missing == "skip":
         j = j.where("resolved")
-    return shells.join(j, "shell_id", "left")
+    return shells.hint("shuffle_hash").join(j, "shell_id", "left")
+
+
+PAIR = ["shell_id", "submodel_id"]
+
+
+def by_pair(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows dealt by shell and submodel to so many tasks (None: as the session has it)."""
+    return df if tasks is None else df.repartition(tasks, *PAIR)
 
 
 def submodel_counts(shells: DataFrame, refs: DataFrame, submodels: DataFrame) -> DataFrame:

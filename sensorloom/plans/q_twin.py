@@ -54,7 +54,7 @@ def shell_enriched_scoped(fx):
     end = F.substring("submodel_id", -1, 1)
     scoped = fx.submodel_refs().where(end.isin("3", "4")).select(
         "shell_id", "submodel_id", F.concat(F.lit("scoped "), F.substring("submodel_id", -2, 2)).alias("id_short"), F.lit(None).cast("double").alias("price"))
-    return TW.enrich_shells(fx.shells(), fx.submodel_refs(), fx.submodels().select("submodel_id", "id_short", "price"), scoped=scoped)
+    return TW.enrich_shells(fx.shells(), fx.submodel_refs(), fx.submodels().select("submodel_id", "id_short", "price"), scoped=scoped, tasks=fx.tasks("lineitem"))
 
 
 @register("submodel_counts", """

@@ -103,9 +103,10 @@ class Fixtures(Tables):
     def submodel_refs(self) -> DataFrame:
         # Every tenth part is referenced by a key that no submodel has: the references dangle, the parts are orphans.
         k = F.col("l_partkey")
-        return (self.lineitem.select(shell_iri("l_suppkey").alias("shell_id"),
-                                     submodel_iri(F.when(k % 10 == 3, k + 50_000_000).otherwise(k)).alias("submodel_id"))
-                .distinct())
+        # Numbers are made distinct, not their long texts: no two numbers have one text.
+        pairs = self.lineitem.select("l_suppkey", F.when(k % 10 == 3, k + 50_000_000).otherwise(k).alias("_part"))
+        pairs = pairs.repartition(self.tasks("lineitem"), "l_suppkey", "_part").distinct()
+        return pairs.select(shell_iri("l_suppkey").alias("shell_id"), submodel_iri("_part").alias("submodel_id"))
 
     def submodels(self) -> DataFrame:
         return self.part.select(submodel_iri("p_partkey").alias("submodel_id"), F.col("p_type").alias("id_short"),

@@ -44,3 +44,28 @@ def test_bucketed_helpers_scan_and_shuffle_once(fx):
         plan = _final_plan(df)
         assert "ReusedExchange" in plan, plan
         assert len(re.findall(r"FileScan parquet", plan.split("== Final Plan ==")[-1])) == 1, plan
+
+
+def _large(monkeypatch):
+    """Nothing counts as small, and tables have 19 tasks, more than the session has partitions."""
+    from sensorloom.operators import joins
+    from sensorloom.sources.tables import Tables
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", -1)
+    monkeypatch.setattr(joins, "fits", lambda df, max_rows=0: False)
+    monkeypatch.setattr(Tables, "tasks", lambda self, *names, rows=0: 19)
+
+
+def test_references_are_made_distinct_as_numbers_in_tasks_by_rows(fx, monkeypatch):
+    _large(monkeypatch)
+    plan = _final_plan(fx.submodel_refs())
+    assert re.search(r"Exchange hashpartitioning\(l_suppkey#\d+L, _part#\d+L, 19\)", plan), plan
+    assert not re.search(r"HashAggregate\(keys=\[(shell_id|submodel_id)", plan), plan
+
+
+def test_references_are_not_sorted_for_shells_and_submodels(fx, monkeypatch):
+    from sensorloom.plans import q_twin as Q
+    _large(monkeypatch)
+    plan = _final_plan(Q.shell_enriched(fx))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort " not in plan, plan
+    for query in (Q.shell_enriched_scoped,):
+        assert re.search(r"hashpartitioning\(shell_id#\d+, submodel_id#\d+, 19\)", _final_plan(query(fx))), query
