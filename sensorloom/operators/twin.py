@@ -97,11 +97,12 @@ def lookup(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return keys.join(t, key, "left").withColumn("found", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 
 
-def lookup_scoped(requests: DataFrame, refs: DataFrame, submodels: DataFrame) -> DataFrame:
-    """Submodel under a shell: the pair must be linked and the submodel exist."""
-    linked = refs.select("shell_id", "submodel_id").join(submodels, "submodel_id", "inner") \
-                 .withColumn("_hit", F.lit(True))
-    out = requests.join(linked, ["shell_id", "submodel_id"], "left")
+def lookup_scoped(requests: DataFrame, refs: DataFrame, submodels: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Submodel under a shell: the pair must be linked and the submodel exist.
+
+    ``tasks`` is the number of partitions of the join by pairs (else the session's, whatever the rows are)."""
+    linked = refs.select(*PAIR).join(table_side(submodels), "submodel_id", "inner").withColumn("_hit", F.lit(True))
+    out = by_pair(requests, tasks).join(by_pair(linked, tasks), PAIR, "left")
     return out.withColumn("found", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 
 

@@ -93,7 +93,7 @@ LEFT JOIN (submodel_refs r JOIN submodels m ON r.submodel_id = m.submodel_id)
   ON k.shell_id = r.shell_id AND k.submodel_id = r.submodel_id
 """, ["submodel_refs", "submodels"])
 def lookup_scoped(fx):
-    return TW.lookup_scoped(link_requests(fx), fx.submodel_refs(), fx.submodels())
+    return TW.lookup_scoped(link_requests(fx), fx.submodel_refs(), fx.submodels(), tasks=fx.tasks("lineitem"))
 
 
 @register("export_pending", """

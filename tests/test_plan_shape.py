@@ -67,5 +67,5 @@ def test_references_are_not_sorted_for_shells_and_submodels(fx, monkeypatch):
     _large(monkeypatch)
     plan = _final_plan(Q.shell_enriched(fx))
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort " not in plan, plan
-    for query in (Q.shell_enriched_scoped,):
+    for query in (Q.shell_enriched_scoped, Q.lookup_scoped):
         assert re.search(r"hashpartitioning\(shell_id#\d+, submodel_id#\d+, 19\)", _final_plan(query(fx))), query
