@@ -256,7 +256,8 @@ FROM submodels m LEFT JOIN element_trees e ON m.submodel_id = e.submodel_id
 """, ["submodels", "element_trees"])
 def all_submodels(fx):
     """Every submodel with its element tree (the store's full listing)."""
-    return fx.submodels().join(fx.element_trees(), "submodel_id", "left")
+    tasks = fx.tasks("part", rows=100_000)  # trees are long texts, and a session counts shuffled bytes, packed
+    return fx.submodels().repartition(tasks, "submodel_id").join(fx.element_trees(tasks), "submodel_id", "left")
 
 
 def submodel_files(fx):

@@ -120,7 +120,8 @@ class Fixtures(Tables):
              .otherwise("delete").alias("op"),
             F.col("o_orderpriority").alias("body"))
 
-    def element_trees(self) -> DataFrame:
+    def element_trees(self, tasks: int | None = None) -> DataFrame:
+        """With ``tasks`` the rows are dealt to so many by id (before their texts are built), else evenly."""
         k = F.col("p_partkey") % 3
         flag = F.when(k == 0, "true").when(k == 1, "false").otherwise("")
         js = F.concat(
@@ -131,6 +132,9 @@ class Fixtures(Tables):
             _s("p_size"),
             F.lit('"},{"modelType":"Property","idShort":"Brand","valueType":"xs:string","value":"'),
             F.col("p_brand"), F.lit('"}]'))
+        if tasks is not None:
+            return self.part.select(submodel_iri("p_partkey").alias("submodel_id"), "p_partkey", "p_size", "p_brand") \
+                .repartition(tasks, "submodel_id").select("submodel_id", js.alias("elements_json"))
         return dealt(self.part.select("p_partkey", "p_size", "p_brand")).select(submodel_iri("p_partkey").alias("submodel_id"), js.alias("elements_json"))
 
     def stages(self) -> DataFrame:

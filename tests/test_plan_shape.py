@@ -69,3 +69,9 @@ def test_references_are_not_sorted_for_shells_and_submodels(fx, monkeypatch):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort " not in plan, plan
     for query in (Q.shell_enriched_scoped, Q.lookup_scoped):
         assert re.search(r"hashpartitioning\(shell_id#\d+, submodel_id#\d+, 19\)", _final_plan(query(fx))), query
+
+
+def test_listing_is_dealt_by_rows(fx, monkeypatch):
+    from sensorloom.plans import q_twin as Q
+    _large(monkeypatch)
+    assert len(re.findall(r"Exchange hashpartitioning\(submodel_id#\d+, 19\)", _final_plan(Q.all_submodels(fx)))) == 2
