@@ -190,23 +190,34 @@ def idshort_collisions(submodels: DataFrame, id_short: str = "id_short") -> Data
             .where(F.col("n_submodels") > 1))
 
 
+def _winners(refs: DataFrame, submodels: DataFrame, links: DataFrame) -> DataFrame:
+    """``submodel_id, shell_id`` of the accepted requests, one a submodel.
+
+    Whether a submodel is asked for, exists and is linked are three bits of its id, combined before they are shuffled.  The ids that are
+    free are written once: they are few beside the requests, which are then not shuffled for them."""
+    bit = lambda df, n: df.select("submodel_id", F.lit(n).alias("_bit"))
+    bits = bit(links, 1).unionByName(bit(submodels, 2)).unionByName(bit(refs, 4)).groupBy("submodel_id").agg(F.bit_or("_bit").alias("_bits"))
+    checkpoint_dir(links.sparkSession)
+    free = bits.where((F.col("_bits") == 3) & F.col("submodel_id").isNotNull()).select("submodel_id").checkpoint()
+    return join_small(links, free, "submodel_id", "left_semi").groupBy("submodel_id").agg(F.min("shell_id").alias("shell_id"))
+
+
 def accepted_links(refs: DataFrame, submodels: DataFrame, links: DataFrame) -> DataFrame:
     """Link requests with ``accepted``: the submodel exists, no shell has it yet, and of several requests for
     it in one batch the one of the smallest shell id wins (a submodel belongs to one shell)."""
-    free = (links.select("submodel_id").distinct().join(submodels.select("submodel_id"), "submodel_id", "left_semi")
-            .join(refs.select("submodel_id"), "submodel_id", "left_anti"))
-    winner = links.join(free, "submodel_id", "left_semi").groupBy("submodel_id").agg(F.min("shell_id").alias("_winner"))
+    winner = _winners(refs, submodels, links).withColumnRenamed("shell_id", "_winner")
     out = links.join(winner, "submodel_id", "left")
     return out.withColumn("accepted", F.coalesce(F.col("shell_id") == F.col("_winner"), F.lit(False))).drop("_winner")
 
 
 def apply_links(refs: DataFrame, submodels: DataFrame, links: DataFrame, unlinks: DataFrame) -> DataFrame:
     """Accepted link requests (see ``accepted_links``) added, unlink requests
-    removed; the submodels themselves stay."""
-    pairs = ["shell_id", "submodel_id"]
-    valid = accepted_links(refs, submodels, links.select(*pairs)).where("accepted").select(*pairs)
-    added = refs.select(*pairs).unionByName(valid).dropDuplicates(pairs)
-    return added.join(unlinks.select(*pairs), pairs, "left_anti")
+    removed; the submodels themselves stay.  An unlink request without one of the ids removes nothing."""
+    valid = _winners(refs, submodels, links).where("shell_id is not null")
+    gone = unlinks.where("shell_id is not null and submodel_id is not null")
+    bit = lambda df, n: df.select(*PAIR, F.lit(n).alias("_bit"))
+    bits = bit(refs, 1).unionByName(bit(valid, 1)).unionByName(bit(gone, 2)).groupBy(*PAIR).agg(F.bit_or("_bit").alias("_bits"))
+    return bits.where("_bits = 1").drop("_bits")
 
 
 def change_log_state(log: DataFrame, key: str = "id", seq: str = "seq", path: str | None = None,

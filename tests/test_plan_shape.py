@@ -75,3 +75,15 @@ def test_listing_is_dealt_by_rows(fx, monkeypatch):
     from sensorloom.plans import q_twin as Q
     _large(monkeypatch)
     assert len(re.findall(r"Exchange hashpartitioning\(submodel_id#\d+, 19\)", _final_plan(Q.all_submodels(fx)))) == 2
+
+
+def test_links_are_combined_not_sorted(fx):
+    from sensorloom.plans import q_twin as Q
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for c in names:
+        fx.spark.conf.set(c, "-1")
+    try:
+        assert "SortMergeJoin" not in _final_plan(Q.link_unlink(fx))
+    finally:
+        for c in names:
+            fx.spark.conf.unset(c)

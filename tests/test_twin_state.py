@@ -75,3 +75,16 @@ def test_plans_need_their_tools_and_a_numeric_port(spark):
     rows = [(1, full % ("80", ',"tools":[{"n":1}]')), (2, full % ("80", "")), (3, full % ('"abc"', ',"tools":[]'))]
     got = AU.plan_status(spark.createDataFrame(rows, "doc_id long, body string")).orderBy("doc_id").collect()
     assert [x.status for x in got] == ["success", "error", "error"]
+
+
+def test_null_ids_of_link_and_unlink_requests(spark):
+    _, refs, sms = model(spark)
+    pairs = "shell_id string, submodel_id string"
+    refs = refs.unionByName(spark.createDataFrame([("A", None), (None, "M9"), ("B", "gone")], pairs))
+    asked = spark.createDataFrame([(None, "M2"), ("C", "M2"), ("C", "M2"), ("C", None)], pairs)
+    off = spark.createDataFrame([("A", None), (None, "M9"), ("A", "M1"), (None, None)], pairs)
+    got = [tuple(r) for r in TW.apply_links(refs, sms, asked, off).collect()]
+    assert sorted(got, key=str) == sorted([("B", "gone"), ("C", "M2"), ("A", None), (None, "M9")], key=str)
+    accepted = [tuple(r) for r in TW.accepted_links(refs, sms, asked).select("shell_id", "submodel_id", "accepted").collect()]
+    assert sorted(accepted, key=str) == sorted([(None, "M2", False), ("C", "M2", True), ("C", "M2", True), ("C", None, False)], key=str)
+    assert TW.accepted_links(refs, sms, asked.where("shell_id is null")).where("accepted").count() == 0
