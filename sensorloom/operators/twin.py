@@ -140,12 +140,16 @@ def export_parts(shells: DataFrame, refs: DataFrame, submodels: DataFrame, expor
     with a third of all references is many rows; the parts of a shell follow by number, with gaps where positions
     have.  A shell without resolvable submodels has part 0 with an empty array."""
     pending = export_pending(shells, exported)
-    e = enrich_shells(pending, refs.withColumn("part", F.floor(F.col("pos") / part_size)), submodels)
-    names = [c for c in e.columns if c.startswith("sm_")]
     keep = [c for c in shells.columns if c != "shell_id"]
-    item = F.struct("pos", "submodel_id", *[F.col(c).alias(c[3:]) for c in names])
-    parts = e.where("resolved").groupBy("shell_id", *keep, "part").agg(F.array_sort(F.collect_list(item)).alias("submodels"))
-    empty = pending.join(parts.select("shell_id"), "shell_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    names = [c for c in submodels.columns if c != "submodel_id"]
+    known = table_side(submodels.select("submodel_id", F.struct("submodel_id", *names).alias("_sm")))
+    found = refs.select("shell_id", "submodel_id", "pos").join(known, "submodel_id")
+    whole = found.select("shell_id", "pos", F.floor(F.col("pos") / part_size).alias("part"), "_sm").join(pending.hint("shuffle_hash"), "shell_id")
+    item = F.struct("pos", "_sm.submodel_id", *[F.col(f"_sm.{c}") for c in names])
+    parts = whole.groupBy("shell_id", *keep, "part").agg(F.array_sort(F.collect_list(item)).alias("submodels"))
+    # of these it is enough to know their shells; their parts need not be built again
+    resolved = refs.select("shell_id", "submodel_id").join(table_side(submodels.select("submodel_id")), "submodel_id", "left_semi").select("shell_id").distinct()
+    empty = pending.join(resolved, "shell_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
     return parts.unionByName(empty.withColumn("submodels", F.array().cast(parts.schema["submodels"].dataType)))
 
 

@@ -140,6 +140,9 @@ def export_parts(fx):
     refs = refs.withColumn("shell_id", F.coalesce("shell_id", F.lit(low.first()[0])))
     parts = TW.export_parts(fx.shells(), refs, fx.submodels().select("submodel_id", "price"), fx.shells().limit(0), part_size=500)
     path = scratch_path(fx.spark, "runs", f"export-{uuid.uuid4().hex[:12]}")
+    schema = parts.schema
+    parts.write.parquet(f"{path}/parts")  # built once for all three writes
+    parts = fx.spark.read.schema(schema).parquet(f"{path}/parts")
     broken = parts.withColumn("part", F.when(F.col("part") > 3, F.raise_error(F.lit("no more room")).cast("long")).otherwise(F.col("part")))
     try:
         TW.write_export(broken, path, "broken")
@@ -148,7 +151,7 @@ def export_parts(fx):
         pass
     TW.write_export(parts, path, "first")
     TW.write_export(parts.limit(1), path, "first")
-    done = TW.read_exports(fx.spark, path, parts.schema)
+    done = TW.read_exports(fx.spark, path, schema)
     return done.select("export", "shell_id", "id_short", "s_suppkey", "part", F.size("submodels").cast("long").alias("n_submodels"),
                        F.array_join(F.transform("submodels", lambda m: m["submodel_id"]), ",").alias("submodels"))
 

@@ -87,3 +87,10 @@ def test_links_are_combined_not_sorted(fx):
     finally:
         for c in names:
             fx.spark.conf.unset(c)
+
+
+def test_export_builds_its_parts_once(fx):
+    from sensorloom.operators import twin as TW
+    refs = fx.submodel_refs().withColumn("pos", F.length("submodel_id"))
+    df = TW.export_parts(fx.shells(), refs, fx.submodels(), fx.shells().limit(0))
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("floor(") == 1
