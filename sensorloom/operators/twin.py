@@ -214,13 +214,15 @@ def accepted_links(refs: DataFrame, submodels: DataFrame, links: DataFrame) -> D
     return out.withColumn("accepted", F.coalesce(F.col("shell_id") == F.col("_winner"), F.lit(False))).drop("_winner")
 
 
-def apply_links(refs: DataFrame, submodels: DataFrame, links: DataFrame, unlinks: DataFrame) -> DataFrame:
+def apply_links(refs: DataFrame, submodels: DataFrame, links: DataFrame, unlinks: DataFrame, tasks: int | None = None) -> DataFrame:
     """Accepted link requests (see ``accepted_links``) added, unlink requests
-    removed; the submodels themselves stay.  An unlink request without one of the ids removes nothing."""
+    removed; the submodels themselves stay.  An unlink request without one of the ids removes nothing.
+
+    ``tasks`` is the number of partitions of the pairs (else the session's, whatever the rows are)."""
     valid = _winners(refs, submodels, links).where("shell_id is not null")
     gone = unlinks.where("shell_id is not null and submodel_id is not null")
     bit = lambda df, n: df.select(*PAIR, F.lit(n).alias("_bit"))
-    bits = bit(refs, 1).unionByName(bit(valid, 1)).unionByName(bit(gone, 2)).groupBy(*PAIR).agg(F.bit_or("_bit").alias("_bits"))
+    bits = by_pair(bit(refs, 1).unionByName(bit(valid, 1)).unionByName(bit(gone, 2)), tasks).groupBy(*PAIR).agg(F.bit_or("_bit").alias("_bits"))
     return bits.where("_bits = 1").drop("_bits")
 
 

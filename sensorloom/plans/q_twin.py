@@ -198,7 +198,7 @@ WHERE NOT EXISTS (SELECT 1 FROM {LINKS_SQL.format(w="l_returnflag = 'R'")} u
                   WHERE u.shell_id = a.shell_id AND u.submodel_id = a.submodel_id)
 """, ["submodel_refs", "submodels"])
 def link_unlink(fx):
-    return TW.apply_links(fx.submodel_refs(), fx.submodels(), link_requests(fx), unlink_requests(fx))
+    return TW.apply_links(fx.submodel_refs(), fx.submodels(), link_requests(fx), unlink_requests(fx), tasks=fx.tasks("lineitem"))
 
 
 @register("change_log_state", """
