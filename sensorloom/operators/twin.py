@@ -132,19 +132,22 @@ def export_shells(shells: DataFrame, refs: DataFrame, submodels: DataFrame, expo
     export_documents(shells, refs, submodels, exported).write.mode("append").format(fmt).save(path)
 
 
-def export_parts(shells: DataFrame, refs: DataFrame, submodels: DataFrame, exported: DataFrame, part_size: int = 10_000) -> DataFrame:
+def export_parts(shells: DataFrame, refs: DataFrame, submodels: DataFrame, exported: DataFrame, part_size: int = 10_000,
+                 tasks: int | None = None) -> DataFrame:
     """Documents of pending shells in parts of bounded size: ``shell_id``, its columns, ``part`` and ``submodels``, the resolved ones in the
     order of reference (``refs.pos``, whole numbers that are unique in their shell).
 
     A part holds the positions of one span of ``part_size``, so its array has at most that many submodels and a shell
     with a third of all references is many rows; the parts of a shell follow by number, with gaps where positions
-    have.  A shell without resolvable submodels has part 0 with an empty array."""
+    have.  A shell without resolvable submodels has part 0 with an empty array.  References are dealt by shell and part (to ``tasks``,
+    else as the session has it), so those of one shell are not in one task."""
     pending = export_pending(shells, exported)
     keep = [c for c in shells.columns if c != "shell_id"]
     names = [c for c in submodels.columns if c != "submodel_id"]
     known = table_side(submodels.select("submodel_id", F.struct("submodel_id", *names).alias("_sm")))
     found = refs.select("shell_id", "submodel_id", "pos").join(known, "submodel_id")
-    whole = found.select("shell_id", "pos", F.floor(F.col("pos") / part_size).alias("part"), "_sm").join(pending.hint("shuffle_hash"), "shell_id")
+    whole = found.select("shell_id", "pos", F.floor(F.col("pos") / part_size).alias("part"), "_sm").join(table_side(pending), "shell_id")
+    whole = whole.repartition(*filter(None, [tasks]), "shell_id", "part")
     item = F.struct("pos", "_sm.submodel_id", *[F.col(f"_sm.{c}") for c in names])
     parts = whole.groupBy("shell_id", *keep, "part").agg(F.array_sort(F.collect_list(item)).alias("submodels"))
     # of these it is enough to know their shells; their parts need not be built again

@@ -138,7 +138,7 @@ def export_parts(fx):
     refs = li.select(F.when(F.col("l_orderkey") % 3 == 0, None).otherwise(shell_iri("l_suppkey")).alias("shell_id"), submodel_iri("l_partkey").alias("submodel_id"),
                      (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pos"))
     refs = refs.withColumn("shell_id", F.coalesce("shell_id", F.lit(low.first()[0])))
-    parts = TW.export_parts(fx.shells(), refs, fx.submodels().select("submodel_id", "price"), fx.shells().limit(0), part_size=500)
+    parts = TW.export_parts(fx.shells(), refs, fx.submodels().select("submodel_id", "price"), fx.shells().limit(0), part_size=500, tasks=fx.tasks("lineitem"))
     path = scratch_path(fx.spark, "runs", f"export-{uuid.uuid4().hex[:12]}")
     schema = parts.schema
     parts.write.parquet(f"{path}/parts")  # built once for all three writes

@@ -94,3 +94,5 @@ def test_export_builds_its_parts_once(fx):
     refs = fx.submodel_refs().withColumn("pos", F.length("submodel_id"))
     df = TW.export_parts(fx.shells(), refs, fx.submodels(), fx.shells().limit(0))
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("floor(") == 1
+    # a shell with a third of all references is in many tasks
+    assert re.search(r"Exchange hashpartitioning\(shell_id#\d+, part#\d+L, \d+\)", _final_plan(df))
