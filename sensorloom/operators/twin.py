@@ -145,13 +145,14 @@ def export_parts(shells: DataFrame, refs: DataFrame, submodels: DataFrame, expor
     keep = [c for c in shells.columns if c != "shell_id"]
     names = [c for c in submodels.columns if c != "submodel_id"]
     known = table_side(submodels.select("submodel_id", F.struct("submodel_id", *names).alias("_sm")))
-    found = refs.select("shell_id", "submodel_id", "pos").join(known, "submodel_id")
+    found = refs.select("shell_id", "submodel_id", "pos").where("shell_id is not null").join(known, "submodel_id")
     whole = found.select("shell_id", "pos", F.floor(F.col("pos") / part_size).alias("part"), "_sm").join(table_side(pending), "shell_id")
     whole = whole.repartition(*filter(None, [tasks]), "shell_id", "part")
     item = F.struct("pos", "_sm.submodel_id", *[F.col(f"_sm.{c}") for c in names])
     parts = whole.groupBy("shell_id", *keep, "part").agg(F.array_sort(F.collect_list(item)).alias("submodels"))
-    # of these it is enough to know their shells; their parts need not be built again
-    resolved = refs.select("shell_id", "submodel_id").join(table_side(submodels.select("submodel_id")), "submodel_id", "left_semi").select("shell_id").distinct()
+    # of these it is enough to know their shells; their parts need not be built again, and with their positions the same
+    # shuffled references serve for both
+    resolved = found.groupBy("shell_id").agg(F.max("pos").alias("_pos")).where(F.col("_pos").isNull() | F.col("_pos").isNotNull()).select("shell_id")
     empty = pending.join(resolved, "shell_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
     return parts.unionByName(empty.withColumn("submodels", F.array().cast(parts.schema["submodels"].dataType)))
 
@@ -164,7 +165,10 @@ def write_export(parts: DataFrame, path: str, name: str, fmt: str = "json") -> b
     if path_exists(spark, final):
         return False
     staged = os.path.join(path, "staged", uuid.uuid4().hex)
-    parts.write.format(fmt).save(staged)
+    writer = parts.write.format(fmt)
+    if fmt in ("json", "csv", "text"):
+        writer = writer.option("compression", "gzip")  # long ids repeat in every item
+    writer.save(staged)
     commit_folder(spark, staged, final)
     return True
 

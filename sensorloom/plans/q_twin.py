@@ -141,7 +141,7 @@ def export_parts(fx):
     parts = TW.export_parts(fx.shells(), refs, fx.submodels().select("submodel_id", "price"), fx.shells().limit(0), part_size=500, tasks=fx.tasks("lineitem"))
     path = scratch_path(fx.spark, "runs", f"export-{uuid.uuid4().hex[:12]}")
     schema = parts.schema
-    parts.write.parquet(f"{path}/parts")  # built once for all three writes
+    parts.write.option("compression", "zstd").parquet(f"{path}/parts")  # built once for all three writes
     parts = fx.spark.read.schema(schema).parquet(f"{path}/parts")
     broken = parts.withColumn("part", F.when(F.col("part") > 3, F.raise_error(F.lit("no more room")).cast("long")).otherwise(F.col("part")))
     try:

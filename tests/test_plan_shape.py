@@ -96,3 +96,14 @@ def test_export_builds_its_parts_once(fx):
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("floor(") == 1
     # a shell with a third of all references is in many tasks
     assert re.search(r"Exchange hashpartitioning\(shell_id#\d+, part#\d+L, \d+\)", _final_plan(df))
+
+
+def test_export_shuffles_its_references_once(fx, monkeypatch):
+    """The shells with resolved references are found from the shuffle that the parts are built from."""
+    from sensorloom.operators import twin as TW
+    monkeypatch.setattr(TW, "table_side", lambda df: df.hint("shuffle_hash"))
+    refs = fx.submodel_refs().withColumn("pos", F.length("submodel_id"))
+    plan = _final_plan(TW.export_parts(fx.shells(), refs, fx.submodels(), fx.shells().limit(0)))
+    assert len(re.findall(r"Reused\w*|ReusedExchange", plan)) >= 1 and "Exchange hashpartitioning(submodel_id" in plan
+    reused = [line for line in plan.splitlines() if "ReusedExchange" in line]
+    assert any("hashpartitioning(submodel_id" in line and "pos" in line for line in reused), plan

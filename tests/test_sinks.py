@@ -34,6 +34,20 @@ def test_export_skips_already_exported(spark, fx):
     assert spark.read.json(path).count() == out.count()
 
 
+def test_export_of_long_ids_is_small_on_disk(spark):
+    path = scratch_path(spark, "tests", f"export-{uuid.uuid4().hex}")
+    ids = [f"https://example.com/ids/sm/0000_0000_{i:08d}" for i in range(4000)]
+    shells = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s3", None)], "shell_id string, id_short string")
+    refs = spark.createDataFrame([("s1", m, i) for i, m in enumerate(ids)] + [("s2", "gone", 1), ("s2", ids[7], 5), (None, ids[8], 6)], "shell_id string, submodel_id string, pos long")
+    submodels = spark.createDataFrame([(m, 1.5) for m in ids], "submodel_id string, price double")
+    parts = TW.export_parts(shells, refs, submodels, shells.limit(0), part_size=500)
+    assert TW.write_export(parts, path, "one")
+    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert sum(map(os.path.getsize, files)) < sum(map(len, ids)) / 2  # the ids alone were 176,000 bytes before
+    got = {(r.shell_id, r.part): [m.submodel_id for m in r.submodels] for r in TW.read_exports(spark, path, parts.schema).collect()}
+    assert got == {("s1", p): ids[500 * p:500 * p + 500] for p in range(8)} | {("s2", 0): [ids[7]], ("s3", 0): []}
+
+
 def test_document_sink_replay_is_idempotent(spark, fx):
     base = scratch_path(spark, "tests", f"sink-{uuid.uuid4().hex}")
     landing = os.path.join(base, "landing")
